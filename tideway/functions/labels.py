@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,32 +61,39 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_label(label: Column | str) -> Column:
     """Lower case, separators to one underscore (pairs are folded once), aliases resolved; null or '' is ``unknown``."""
     c = _column(label)
     c = F.when(c.isNull() | (c == ""), "unknown").otherwise(c)
     c = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     c = F.replace(F.translate(c, "/- ", "___"), F.lit("__"), F.lit("_"))
-    return F.coalesce(_lookup(ALIASES, c), c)
+    return let(c, lambda text: F.coalesce(_lookup(ALIASES, text), text))
 
 
 def infer_service(label: Column | str) -> Column:
     """The label's service: itself, by app name, else by the first app name that it contains."""
-    token = normalize_label(label)
+    return let(normalize_label(label), _service_of)
+
+
+def _service_of(token: Column) -> Column:
     pairs = F.array(*[F.struct(F.lit(k).alias("app"), F.lit(v).alias("service")) for k, v in SERVICE_OF_APP.items()])
     contained = F.get(F.filter(pairs, lambda p: F.contains(token, p["app"])), F.lit(0))["service"]
     return F.coalesce(F.when(token.isin(*SERVICES), token), _lookup(SERVICE_OF_APP, token), contained, F.lit("unknown"))
 
 
 def service_from_category(category: Column | str) -> Column:
-    token = normalize_label(category)
-    return F.coalesce(_lookup(SERVICE_OF_CATEGORY, token), infer_service(token))
+    return let(normalize_label(category), lambda token: F.coalesce(_lookup(SERVICE_OF_CATEGORY, token), infer_service(token)))
 
 
 def app_from_path(path: Column | str) -> Column:
     """The first known app whose token the path contains, else its folder's label. Paths are relative to the input root."""
     path = _column(path)
-    found = F.coalesce(*[F.when(F.contains(F.lower(path), F.lit(t)), F.lit(t)) for t in PATH_TOKENS])
+    found = let(F.lower(path), lambda text: F.coalesce(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in PATH_TOKENS]))
     return F.coalesce(found, normalize_label(F.try_element_at(F.split(path, "/"), F.lit(-2))))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideway.functions.labels import let
+
 
 def finite(value: Column) -> Column:
     """The value as a double, or null if it is missing, not a number or infinite."""
@@ -35,11 +37,15 @@ def text_of(df: DataFrame, names: list[str]) -> Column:
 
 def parse_ppi(text: Column) -> Column:
     """``struct(iats, dirs, lengths)`` of equal length from a list of lists; null if malformed, short of three lists, or empty."""
-    lists = F.from_json(F.translate(text, "()", "[]"), "array<array<double>>")
-    n = F.least(*[F.size(F.get(lists, F.lit(i))) for i in range(3)])
-    iats, dirs, lengths = (F.slice(F.get(lists, F.lit(i)), F.lit(1), F.greatest(n, F.lit(0))) for i in range(3))
-    whole = (F.size(lists) >= 3) & (n > 0) & ~F.exists(F.concat(iats, dirs, lengths), lambda x: x.isNull())
-    return F.when(whole, F.struct(iats.alias("iats"), F.transform(dirs, lambda x: x.cast("int")).alias("dirs"), lengths.alias("lengths")))
+
+    def cut_even(lists: Column) -> Column:
+        n = F.least(*[F.size(F.get(lists, F.lit(i))) for i in range(3)])
+        iats, dirs, lengths = (F.slice(F.get(lists, F.lit(i)), F.lit(1), F.greatest(n, F.lit(0))) for i in range(3))
+        whole = (F.size(lists) >= 3) & (n > 0) & ~F.exists(F.concat(iats, dirs, lengths), lambda x: x.isNull())
+        found = F.struct(iats.alias("iats"), F.transform(dirs, lambda x: x.cast("int")).alias("dirs"), lengths.alias("lengths"))
+        return F.when(whole, found)
+
+    return let(F.from_json(F.translate(text, "()", "[]"), "array<array<double>>"), cut_even)
 
 
 def series_text(values: Column, precision: int) -> Column:

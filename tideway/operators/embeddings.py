@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideway.functions.labels import let
 from tideway.operators.features import unit
 
 BLOCK_TRAIN, BLOCK_TEST = 16_384, 2_048
@@ -105,10 +106,17 @@ def prototypes(rows: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame
 def nearest_prototype(rows: DataFrame, protos: DataFrame) -> DataFrame:
     """Adds ``pred`` and ``sim``: the most similar prototype (one row per class), ties to the smallest label."""
     table = protos.agg(F.collect_list(F.struct("label", "proto")).alias("protos"))  # one row: classes are a vocabulary
-    scored = rows.join(F.broadcast(table), F.lit(True)).withColumn("__z", unit(F.col("z")))
-    best = F.array_max(F.transform("protos", lambda p: F.struct(dot(F.col("__z"), p["proto"]).alias("sim"), (-p["label"]).alias("minus"))))
-    scored = scored.withColumn("__best", best)
-    return scored.withColumns({"pred": -F.col("__best")["minus"], "sim": F.col("__best")["sim"]}).drop("protos", "__z", "__best")
+    scored = rows.join(F.broadcast(table), F.lit(True)).withColumn("__best", _best())
+    return scored.withColumns({"pred": -F.col("__best")["minus"], "sim": F.col("__best")["sim"]}).drop("protos", "__best")
+
+
+def _best() -> Column:
+    """The most similar of ``protos`` and, negated, its label; the smallest label wins ties."""
+
+    def among(z: Column) -> Column:
+        return F.array_max(F.transform("protos", lambda p: F.struct(dot(z, p["proto"]).alias("sim"), (-p["label"]).alias("minus"))))
+
+    return let(unit(F.col("z")), among)
 
 
 def leave_one_group_out(rows: DataFrame, group: str = "app") -> DataFrame:
@@ -126,9 +134,7 @@ def leave_one_group_out(rows: DataFrame, group: str = "app") -> DataFrame:
     protos = left.where("n > 0").groupBy(group, "label").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("x")))).alias("a"))
     protos = protos.select(group, "label", unit(F.transform("a", lambda p: p["x"])).alias("proto"))
     table = protos.groupBy(group).agg(F.collect_list(F.struct("label", "proto")).alias("protos"))
-    scored = rows.join(table, group).withColumn("__z", unit(F.col("z")))
-    best = F.array_max(F.transform("protos", lambda p: F.struct(dot(F.col("__z"), p["proto"]).alias("sim"), (-p["label"]).alias("minus"))))
-    return scored.select("id", "label", group, (-best["minus"]).alias("pred"))
+    return rows.join(table, group).select("id", "label", group, (-_best()["minus"]).alias("pred"))
 
 
 def invariance(base: DataFrame, twin: DataFrame) -> DataFrame:
@@ -185,12 +191,17 @@ def margin_score(rows: DataFrame, target: float = 0.8, margin: float = 0.2) -> D
 def prototype_entropy(rows: DataFrame, protos: DataFrame, temperature: float = 0.1) -> DataFrame:
     """Mean cross-entropy of the softmax over cosines with the prototypes: ``(score)``."""
     table = protos.agg(F.collect_list(F.struct("label", "proto")).alias("protos"))  # one row: classes are a vocabulary
-    scored = rows.join(F.broadcast(table), F.lit(True)).withColumn("__z", unit(F.col("z")))
-    scored = scored.withColumn("logits", F.transform("protos", lambda p: F.struct(p["label"].alias("label"), (dot(F.col("__z"), p["proto"]) / temperature).alias("v"))))
-    top = F.array_max(F.transform("logits", lambda x: x["v"]))
-    total = F.log(F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x["v"] - top))) + top
-    own = F.get(F.filter("logits", lambda x: x["label"] == F.col("label")), F.lit(0))["v"]
-    return scored.agg(F.avg(total - own).alias("score"))
+    scored = rows.join(F.broadcast(table), F.lit(True))
+
+    def logits(z: Column) -> Column:
+        return F.transform("protos", lambda p: F.struct(p["label"].alias("label"), (dot(z, p["proto"]) / temperature).alias("v")))
+
+    def entropy(values: Column) -> Column:
+        own = F.get(F.filter(values, lambda x: x["label"] == F.col("label")), F.lit(0))["v"]
+        top = F.array_max(F.transform(values, lambda x: x["v"]))
+        return let(top, lambda t: F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x["v"] - t))) + t - own)
+
+    return scored.agg(F.avg(let(let(unit(F.col("z")), logits), entropy)).alias("score"))
 
 
 def contrastive_score(rows: DataFrame, temperature: float = 0.1) -> DataFrame:

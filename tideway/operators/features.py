@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideway.functions.labels import condition_index, infer_condition, protocol_flags, stable_key
+from tideway.functions.labels import condition_index, infer_condition, let, protocol_flags, stable_key
 from tideway.functions.values import named, number_of, parse_series, text_of
 
 MAX_PACKETS, PACKET_WIDTH, STEPS, NETWORK_WIDTH = 128, 16, 24, 8
@@ -46,6 +46,11 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
+def _column_sum(rows: Column, j: int, power: int = 1) -> Column:
+    """The sum of one column of an array of rows, or of its squares."""
+    return F.aggregate(rows, F.lit(0.0), lambda s, r: s + (r[j] if power == 1 else r[j] * r[j]))
+
+
 def _clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 
@@ -98,27 +103,31 @@ def packet_matrix(rows: DataFrame, row_id: str, max_packets: int = MAX_PACKETS)
     floor_duration = F.greatest(F.col("__duration"), F.lit(1.0))
     tcp, udp, quic = protocol_flags(number_of(rows, *NAMES["protocol"]))
     fwd = F.coalesce(F.try_divide(F.size(F.filter("ways", lambda x: x > 0)).cast("double"), n), F.lit(0.0))
-    rows = rows.withColumns(
-        {
-            "__pps": F.log1p(F.greatest(number_of(rows, PACKETS_S, n / floor_duration), F.lit(0.0))) / 10.0,
-            "__bps": F.log1p(F.greatest(number_of(rows, BYTES_S, total_len / floor_duration), F.lit(0.0))) / 20.0,
-            "__fwd": fwd,
-            "__long": F.log1p(F.greatest(F.col("__duration"), F.lit(0.0))) / 20.0,
-            "__total": F.greatest(total_iat, F.lit(1.0)),
-            "__flags": F.array(tcp, udp, quic, *[F.least(number_of(rows, *NAMES[x]), F.lit(m)) / m for x, m in (("syn", 16.0), ("ack", 64.0), ("rst", 16.0))]),
-            "__cum": running_sum(F.col("gaps")),
-        }
-    )
-    last = F.greatest(F.size("lens") - 1, F.lit(1)).cast("double")
-    items = F.arrays_zip("lens", "gaps", "ways", "__cum")
-
-    def packet(x: Column, i: Column) -> Column:
-        burst = _clip(F.floor(x["__cum"] / F.col("__total") * 8.0) / 8.0, 0, 1)
-        flags = [F.get("__flags", F.lit(j)) for j in range(6)]
-        cells = [x["lens"] / 1500.0, F.log1p(x["gaps"]) / 10.0, x["ways"], F.col("__pps"), F.col("__bps"), F.col("__fwd"), 1.0 - F.col("__fwd")]
-        return F.array(*[c.cast("float") for c in (*cells, *flags, F.col("__long"), burst, i / last)])
-
-    return rows.withColumn("packet_seq", F.transform(items, packet)).drop("__duration", "__pps", "__bps", "__fwd", "__long", "__total", "__flags", "__cum")
+    flags = [tcp, udp, quic, *[F.least(number_of(rows, *NAMES[x]), F.lit(m)) / m for x, m in (("syn", 16.0), ("ack", 64.0), ("rst", 16.0))]]
+    flow = {
+        "pps": F.log1p(F.greatest(number_of(rows, PACKETS_S, n / floor_duration), F.lit(0.0))) / 10.0,
+        "bps": F.log1p(F.greatest(number_of(rows, BYTES_S, total_len / floor_duration), F.lit(0.0))) / 20.0,
+        "fwd": fwd,
+        "long": F.log1p(F.greatest(F.col("__duration"), F.lit(0.0))) / 20.0,
+        "total": F.greatest(total_iat, F.lit(1.0)),
+        "last": F.greatest(F.size("lens") - 1, F.lit(1)).cast("double"),
+        **{f"flag{i}": flag for i, flag in enumerate(flags)},
+    }
+    items = F.arrays_zip("lens", "gaps", "ways", running_sum(F.col("gaps")).alias("cum"))
+
+    def packets(f: Column) -> Column:
+        """The matrix, from what is the same for all packets of the flow."""
+
+        def packet(x: Column, i: Column) -> Column:
+            burst = _clip(F.floor(x["cum"] / f["total"] * 8.0) / 8.0, 0, 1)
+            cells = [x["lens"] / 1500.0, F.log1p(x["gaps"]) / 10.0, x["ways"], f["pps"], f["bps"], f["fwd"], 1.0 - f["fwd"]]
+            cells += [f[f"flag{j}"] for j in range(6)] + [f["long"], burst, i / f["last"]]
+            return F.array(*[c.cast("float") for c in cells])
+
+        return F.transform(items, packet)
+
+    matrix = let(F.struct(*[c.alias(name) for name, c in flow.items()]), packets)
+    return rows.withColumn("packet_seq", matrix).drop("__duration")
 
 
 def running_sum(x: Column) -> Column:
@@ -151,16 +160,18 @@ def network_series(rows: DataFrame, row_id: str, steps: int = STEPS, noise: floa
         scaled(value["rtt"], 8.0), scaled(value["jitter"], 6.0), _clip(value["loss"], 0, 1), scaled(value["retrans"], 8.0),
         scaled(value["throughput"], 16.0), _clip(value["uplink"], 0, 1), scaled(queue, 6.0), hint / 3.0,
     )
-    rows = rows.withColumn("__base", base)
     own = F.col(row_id).cast("string")
 
-    def step(t: Column) -> Column:
-        if not noise:
-            return F.transform("__base", lambda x: _clip(x, -5, 5).cast("float"))
-        grown = 0.5 + t / max(steps - 1, 1)
-        return F.transform("__base", lambda x, j: _clip(x + noise * gaussian(F.lit("net"), own, t, j) * grown, -5, 5).cast("float"))
+    def series(base: Column) -> Column:
+        def step(t: Column) -> Column:
+            if not noise:
+                return F.transform(base, lambda x: _clip(x, -5, 5).cast("float"))
+            grown = 0.5 + t / max(steps - 1, 1)
+            return F.transform(base, lambda x, j: _clip(x + noise * gaussian(F.lit("net"), own, t, j) * grown, -5, 5).cast("float"))
 
-    return rows.withColumn("network_seq", F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), step)).drop("__base")
+        return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), step)
+
+    return rows.withColumn("network_seq", let(base, series))
 
 
 def augmented(rows: DataFrame, row_id: str, copy: Column | None = None, noise: float = 0.015) -> DataFrame:
@@ -171,20 +182,26 @@ def augmented(rows: DataFrame, row_id: str, copy: Column | None = None, noise: f
     def pick(values: tuple[float, ...], tag: str) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), (F.floor(stable_key(F.lit(tag), own, copy) * len(values)) + 1).cast("int"))
 
-    rows = rows.withColumns({"__scale": pick(RTT_SCALES, "rtt"), "__jitter": pick(JITTER_ADDS, "jit"), "__loss": pick(LOSS_ADDS, "loss")})
+    chosen = F.struct(pick(RTT_SCALES, "rtt").alias("scale"), pick(JITTER_ADDS, "jit").alias("jitter"), pick(LOSS_ADDS, "loss").alias("loss"))
+
+    def packets(c: Column) -> Column:
+        def packet(row: Column, i: Column) -> Column:
+            moved = row[1] * c["scale"] + (noise * gaussian(F.lit("aug"), own, copy, i) if noise else 0.0)
+            return F.concat(F.slice(row, 1, 1), F.array(_clip(moved, 0, 10).cast("float")), F.slice(row, 3, PACKET_WIDTH))
+
+        return F.transform("packet_seq", packet)
 
-    def packet(row: Column, i: Column) -> Column:
-        moved = row[1] * F.col("__scale") + (noise * gaussian(F.lit("aug"), own, copy, i) if noise else 0.0)
-        return F.transform(row, lambda x, j: F.when(j == 1, _clip(moved, 0, 10)).otherwise(x).cast("float"))
+    def networks(c: Column) -> Column:
+        def network(row: Column) -> Column:
+            first = [_clip(row[0] * c["scale"], 0, 5), _clip(row[1] + c["jitter"], 0, 5), _clip(row[2] + c["loss"], 0, 1)]
+            return F.concat(F.array(*[x.cast("float") for x in first]), F.slice(row, 4, NETWORK_WIDTH))
 
-    def network(row: Column) -> Column:
-        first = [_clip(row[0] * F.col("__scale"), 0, 5), _clip(row[1] + F.col("__jitter"), 0, 5), _clip(row[2] + F.col("__loss"), 0, 1)]
-        return F.concat(F.array(*[c.cast("float") for c in first]), F.slice(row, 4, NETWORK_WIDTH))
+        return F.transform("network_seq", network)
 
-    rows = rows.withColumns({"packet_seq": F.transform("packet_seq", packet), "network_seq": F.transform("network_seq", network)})
-    mean = [_sum(F.transform("network_seq", lambda r, j=j: r[j].cast("double"))) / F.size("network_seq") for j in range(3)]
+    rows = rows.withColumns({"packet_seq": let(chosen, packets), "network_seq": let(chosen, networks)})
+    mean = [_column_sum(F.col("network_seq"), j) / F.size("network_seq") for j in range(3)]
     condition = infer_condition(F.expm1(mean[0] * 8.0), F.expm1(mean[1] * 6.0), mean[2])
-    return rows.withColumn("condition", condition).drop("__scale", "__jitter", "__loss")
+    return rows.withColumn("condition", condition)
 
 
 def with_augmented(rows: DataFrame, row_id: str, copies: int, noise: float = 0.015) -> DataFrame:
@@ -202,20 +219,24 @@ def flow_records(rows: DataFrame, row_id: str, noise: float = 0.03) -> DataFrame
 
 def pooled_vector(sequence: Column, series: Column, width: int = PACKET_WIDTH, conditions: int = NETWORK_WIDTH) -> Column:
     """Means and deviations of packet features and means of the network series, at unit length: an encoder without training."""
-    n = F.greatest(F.size(sequence), F.lit(1)).cast("double")
 
-    def mean(rows: Column, j: int, size: Column) -> Column:
-        return F.aggregate(rows, F.lit(0.0), lambda s, r: s + r[j]) / size
+    def moments(rows: Column, count: int, spread: bool) -> list[Column]:
+        n = F.greatest(F.size(rows), F.lit(1)).cast("double")
+        means = [_column_sum(rows, j) / n for j in range(count)]
+        if not spread:
+            return means
+        return means + [F.sqrt(F.greatest(_column_sum(rows, j, 2) / n - m * m, F.lit(0.0))) for j, m in enumerate(means)]
 
-    means = [mean(sequence, j, n) for j in range(width)]
-    squares = [F.aggregate(sequence, F.lit(0.0), lambda s, r, j=j: s + r[j] * r[j]) / n for j in range(width)]
-    spread = [F.sqrt(F.greatest(q - m * m, F.lit(0.0))) for q, m in zip(squares, means, strict=True)]
-    steps = F.greatest(F.size(series), F.lit(1)).cast("double")
-    return unit(F.array(*means, *spread, *[mean(series, j, steps) for j in range(conditions)]))
+    packets = let(sequence, lambda rows: F.array(*moments(rows, width, True)))
+    network = let(series, lambda rows: F.array(*moments(rows, conditions, False)))
+    return unit(F.concat(packets, network))
 
 
 def unit(v: Column) -> Column:
     """The vector at length one (its norm is floored at 1e-12)."""
-    v = v.cast("array<double>")
-    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+
+    def scaled(w: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
+        return let(norm, lambda n: F.transform(w, lambda x: x / n))
+
+    return let(v.cast("array<double>"), scaled)

@@ -23,8 +23,14 @@ def mean_of(x: Column) -> Column:
 
 
 def deviation_of(x: Column) -> Column:
-    """Population deviation of an array."""
-    return F.sqrt(_sum(F.transform(x, lambda v: (v - mean_of(x)) * (v - mean_of(x)))) / F.size(x))
+    """Population deviation of an array, in one pass (running mean and squared distance from it)."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(a: Column, v: Column) -> Column:
+        n, mean = a["n"] + 1, a["mean"] + (v - a["mean"]) / (a["n"] + 1)
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + (v - a["mean"]) * (v - mean)).alias("m2"))
+
+    return F.aggregate(x, start, step, lambda a: F.sqrt(a["m2"] / a["n"]))
 
 
 def exported_flows(rows: DataFrame) -> DataFrame:
@@ -34,17 +40,18 @@ def exported_flows(rows: DataFrame) -> DataFrame:
     """
     named = {"APP", "CATEGORY", "DURATION", "BYTES", "BYTES_REV", "PACKETS", "PACKETS_REV", "PROTOCOL", "PPI"}
     kept = [c for c in rows.columns if c not in named]
-    parsed = rows.withColumn("p", parse_ppi(F.col("PPI"))).where("p is not null").select("*", "p.iats", "p.dirs", "p.lengths")
+    # The explode of one element keeps the filter from parsing a second time.
+    parsed = rows.withColumn("p", F.explode(F.array(parse_ppi(F.col("PPI"))))).where("p is not null").select("*", "p.iats", "p.dirs", "p.lengths")
     parsed = parsed.withColumns({"iat_mean": mean_of(F.col("iats")), "iat_std": deviation_of(F.col("iats")), "iat_sum": _sum(F.col("iats"))})
     fwd, rev = (numeric(F.col(c)).cast("long") for c in ("PACKETS", "PACKETS_REV"))
     parsed = parsed.withColumns(
         {
-            "duration": F.greatest(numeric(F.col("DURATION")) * 1000.0, F.col("iat_sum")),
-            "packets": F.greatest(fwd + rev, F.size("lengths").cast("long"), F.lit(1)),
-            "bytes": F.greatest(numeric(F.col("BYTES")) + numeric(F.col("BYTES_REV")), _sum(F.col("lengths"))),
+            "flow_ms": F.greatest(numeric(F.col("DURATION")) * 1000.0, F.col("iat_sum")),
+            "n_packets": F.greatest(fwd + rev, F.size("lengths").cast("long"), F.lit(1)),
+            "n_bytes": F.greatest(numeric(F.col("BYTES")) + numeric(F.col("BYTES_REV")), _sum(F.col("lengths"))),
         }
     )
-    seconds = F.greatest(F.col("duration") / 1000.0, F.lit(0.001))
+    seconds = F.greatest(F.col("flow_ms") / 1000.0, F.lit(0.001))
     return parsed.select(
         *kept,
         normalize_label("APP").alias("app"),
@@ -56,16 +63,16 @@ def exported_flows(rows: DataFrame) -> DataFrame:
         F.col("iat_mean").alias("rtt_ms"),
         F.col("iat_std").alias("jitter_ms"),
         F.lit(0.0).alias("loss_rate"),
-        F.col("packets").alias("total_packets"),
+        F.col("n_packets").alias("total_packets"),
         fwd.alias("total_fwd_packets"),
         rev.alias("total_bwd_packets"),
-        (F.col("bytes") / F.col("packets")).alias("packet_length_mean"),
+        (F.col("n_bytes") / F.col("n_packets")).alias("packet_length_mean"),
         deviation_of(F.col("lengths")).alias("packet_length_std"),
         F.col("iat_mean").alias("flow_iat_mean"),
         F.col("iat_std").alias("flow_iat_std"),
-        F.col("duration").alias("flow_duration"),
-        (F.col("bytes") / seconds).alias("flow_bytes_s"),
-        (F.col("packets") / seconds).alias("flow_packets_s"),
+        F.col("flow_ms").alias("flow_duration"),
+        (F.col("n_bytes") / seconds).alias("flow_bytes_s"),
+        (F.col("n_packets") / seconds).alias("flow_packets_s"),
         numeric(F.col("PROTOCOL"), 17.0).cast("int").alias("protocol"),
     )
 
