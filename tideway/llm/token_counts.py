@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideway.llm.runtime import columns
+from tideway.llm.runtime import columns, cut
 from tideway.llm.token_ids import BYTE_BPE, encode
 
 BLOCK = 256
@@ -77,7 +77,8 @@ def context_limits(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = BYTE_BPE) -> DataFrame:
-    return context_limits(length_histogram(docs, text, vocabulary))
+    """:func:`context_limits` of the documents; the histogram is kept, for it is read twice and texts are encoded once."""
+    return context_limits(cut(length_histogram(docs, text, vocabulary)))
 
 
 def quantile_length(limits: DataFrame, share: float) -> DataFrame:
