@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product: probed lists and an adaptive dimension scan.
 
 Largest inner product is made nearest distance by one more dimension, ``sqrt(M^2 - |x|^2)`` with M the largest norm. Centroids
-come from a bounded sample; every vector goes to the list of its nearest centroid, and a query probes the nearest lists. Within a
-list, vectors are rotated at random, so that any block of columns is an unbiased sample of a distance: after
+come from a bounded sample; every vector goes to the list of its nearest centroid, and a query probes the nearest lists, as many as
+it takes on the sample to reach ``TARGET`` of the true neighbours there. The k-th best of those sample vectors that lie in the lists
+probed bounds what any list need return. Within a list, vectors are rotated at random, so that any block of columns is an unbiased sample of a distance: after
 each block of columns a hypothesis test drops the candidates whose scaled partial distance says, at the given strength, that
 they are farther than the k-th found so far. Survivors are scored exactly, in double precision on the original
 vectors.
@@ -11,7 +12,7 @@ Lists are dealt as blocks of at most ``block`` candidates by ``query_block`` que
 many tasks; each block returns k rows a query, and the k best are kept.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-repeated ids are each a candidate, but no row is a candidate for a query of its id; ties go to the smaller id; with k or
+a repeated id is found once, with its best score, and no row is a candidate for a query of its id; ties go to the smaller id; with k or
 fewer candidates all are found; an empty table gives an empty result; extra input columns are not read.
 """
 
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 
 from tideway.llm.runtime import cut
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_SHARE = 20_000, 8  # vectors at most, and at most one in so many (but 256)
 MAX_LISTS = 1024
-PROBE_SHARE, LEAST_PROBES, MOST_PROBES = 0.15, 16, 48
+LEAST_LISTS = 16
+TARGET = 0.95  # of the neighbours among the sample, for the number of lists probed
+TRIALS = 400  # sample vectors that the number is found on
 COLUMNS = 16
-STRENGTH = 2.1  # of the test, in standard deviations of a partial distance
+STRENGTH = 1.5  # of the test, in standard deviations of a partial distance
 BLOCK, QUERY_BLOCK = 8192, 1024
 SEED = 11
 
@@ -78,31 +81,60 @@ def rotation(size: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def adaptive_scan(q: np.ndarray, blocks: list[np.ndarray], k: int, strength: float = STRENGTH) -> np.ndarray:
-    """Places of the candidates that are left after all column blocks, at least the k nearest of a first part."""
+def adaptive_scan(q: np.ndarray, blocks: list[np.ndarray], k: int, far: float = np.inf, strength: float = STRENGTH) -> np.ndarray:
+    """Places of the candidates that are left after all column blocks: within ``far``, and about the k nearest."""
     n, size = len(blocks[0]), sum(b.shape[1] for b in blocks)
     head = min(n, 4 * k)
-    far = np.inf
     if head >= k:
         at, known = 0, np.zeros(head)
         for b in blocks:
             part = b[:head] - q[at : at + b.shape[1]]
             known += np.einsum("ij,ij->i", part, part)
             at += b.shape[1]
-        far = np.partition(known, k - 1)[k - 1]
+        far = min(far, np.partition(known, k - 1)[k - 1])
     alive, partial, at = np.arange(n), np.zeros(n), 0
     for b in blocks:
         part = (b if len(alive) == n else b[alive]) - q[at : at + b.shape[1]]
         partial = partial + np.einsum("ij,ij->i", part, part)
         at += b.shape[1]
         allowed = far * (1 + 1e-9) if at == size else far * (at / size) * (1 + strength / np.sqrt(at)) ** 2
-        keep = partial <= allowed + 1e-12
+        keep = partial <= allowed + 1e-9
         alive, partial = alive[keep], partial[keep]
+        if not len(alive):
+            break
     if len(alive) > k:
         alive = alive[partial <= np.partition(partial, k - 1)[k - 1] * (1 + 1e-9) + 1e-9]
     return alive
 
 
+def probes_needed(sample: np.ndarray, lifted: np.ndarray, centroids: np.ndarray, k: int, n: int, target: float = TARGET) -> int:
+    """Lists to probe so that ``target`` of the sample's own neighbours lie in them; k is scaled to the sample's share of n rows."""
+    trials = min(TRIALS, len(sample))
+    own = max(1, min(len(sample) - 1, round(k * len(sample) / n)))
+    if len(sample) < 2:
+        return len(centroids)
+    score = sample[:trials] @ sample.T
+    score[np.arange(trials), np.arange(trials)] = -np.inf
+    near = np.argpartition(-score, own - 1, axis=1)[:, :own]
+    home = _distances(lifted, centroids).argmin(axis=1)
+    order = _distances(np.hstack((sample[:trials], np.zeros((trials, 1)))), centroids).argsort(axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centroids))[None], axis=1)
+    needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best of some candidates, best first, ties to the smaller id, without the query's own."""
+    other = ids != own
+    ids, score = ids[other], (x[other] * q).sum(axis=1)
+    first = np.lexsort((ids, -score))[:k]
+    return ids[first], score[first]
+
+
 def _searched(k: int, most2: float, turn: np.ndarray, columns: int, strength: float):
     def searched(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -110,17 +142,18 @@ def _searched(k: int, most2: float, turn: np.ndarray, columns: int, strength: fl
             ids = candidates.column("vec_id").to_numpy()
             x = _matrix(candidates.column("v").combine_chunks())
             qs, qx = queries.column("query_id").to_numpy(), _matrix(queries.column("v").combine_chunks())
+            bounds = queries.column("bound").to_numpy()
             lifted = lift(x, most2) @ turn
             blocks = [np.ascontiguousarray(lifted[:, a : a + columns]) for a in range(0, lifted.shape[1], columns)]
             turned = np.hstack((qx, np.zeros((len(qx), 1)))) @ turn
+            far = (qx * qx).sum(axis=1) + most2 - 2 * bounds
             for i, query in enumerate(qs):
-                left = adaptive_scan(turned[i], blocks, k + 1, strength)  # one more: the query's own row
-                left = left[ids[left] != query]
-                score = (x[left] * qx[i]).sum(axis=1)
-                first = np.lexsort((ids[left], -score))[:k]
-                out.append((np.full(len(first), query), ids[left][first], score[first]))
-        q, v, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+                left = adaptive_scan(turned[i], blocks, k + 1, far[i], strength)  # one more: the query's own row
+                if len(left):
+                    v, score = _best(qx[i], x[left], ids[left], k, query)
+                    out.append((np.full(len(v), query), v, score))
+        q, v, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+        return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], schema=_FOUND)
 
     return searched
 
@@ -131,7 +164,7 @@ def nearest(
     k: int = 20,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    probe_share: float = PROBE_SHARE,
+    target: float = TARGET,
     strength: float = STRENGTH,
     block: int = BLOCK,
     query_block: int = QUERY_BLOCK,
@@ -145,10 +178,12 @@ def nearest(
         return empty
     rows = rows.where(F.size("v") == width)
     n, most2 = rows.agg(F.count("*"), F.max(_norm2())).first()
-    lists = max(1, min(MAX_LISTS, round(n**0.5 / 2)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    centroids = kmeans(lift(_matrix(sample.column("v").combine_chunks()), most2), lists)
-    probes = min(len(centroids), MOST_PROBES, max(LEAST_PROBES, round(probe_share * len(centroids))))
+    lists = max(LEAST_LISTS, min(MAX_LISTS, round(n**0.5 / 4)))
+    table = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, max(256, n // SAMPLE_SHARE))).select("vec_id", "v").toArrow()
+    sample_ids, sample = table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks())
+    centroids = kmeans(lift(sample, most2), lists)
+    home = _distances(lift(sample, most2), centroids).argmin(axis=1)
+    probes = probes_needed(sample, lift(sample, most2), centroids, k, n, target)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,19 +197,25 @@ def nearest(
         sizes[r["list"]] = r["count"]
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("v"))
-            order = _distances(np.hstack((x, np.zeros((len(x), 1)))), centroids).argsort(axis=1, kind="stable")
-            before = np.cumsum(sizes[order], axis=1) - sizes[order]  # vectors in nearer lists; too few: probe on
-            taken = ((np.arange(len(centroids)) < probes) | (before <= 4 * k)) & (sizes[order] > 0)
-            row, at = np.nonzero(taken)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), pa.array(order[row, at], pa.int32())], ["query_id", "list"])
+        """The lists to probe, with a score that the query's k-th best in them reaches at least."""
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                x, own = _matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+                order = _distances(np.hstack((x, np.zeros((len(x), 1)))), centroids).argsort(axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]  # vectors in nearer lists; too few: probe on
+                taken = ((np.arange(len(centroids)) < probes) | (before <= 4 * k)) & (sizes[order] > 0)
+                row, at = np.nonzero(taken)
+                by_list = np.zeros_like(taken)
+                by_list[row, order[row, at]] = True
+                score = x @ sample.T
+                score[(sample_ids[None] == own[:, None]) | ~by_list[:, home]] = -np.inf
+                bound = np.partition(score, -k, axis=1)[:, -k] - 1e-9 if len(sample) >= k else np.full(len(x), -np.inf)
+                arrays = [pa.array(own[row]), pa.array(order[row, at], pa.int32()), pa.array(bound[row])]
+                yield pa.RecordBatch.from_arrays(arrays, ["query_id", "list", "bound"])
 
     queries = rows.where(is_query)
-    probing = cut(queries.mapInArrow(probed, "query_id long, list int"))
-    asked = {r["list"]: r["count"] for r in probing.groupBy("list").count().collect()}
+    probing = cut(queries.mapInArrow(probed, "query_id long, list int, bound double"))
+    asked = {r["list"]: r["count"] for r in probing.groupBy("list").count().collect()}  # at most MAX_LISTS rows
     parts = [(i, int(-(-sizes[i] // block)) or 1, -(-asked.get(i, 0) // query_block) or 1) for i in range(len(centroids))]
     cuts = F.broadcast(vectors.sparkSession.createDataFrame(parts, "list int, c_parts int, q_parts int"))  # at most MAX_LISTS rows
     c_part, q_part = F.pmod(F.xxhash64("vec_id"), "c_parts").cast("int"), F.pmod(F.xxhash64("query_id"), "q_parts").cast("int")
@@ -183,14 +224,15 @@ def nearest(
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
     left = members.join(cuts, "list").select("vec_id", "v", "list", c_part.alias("c"), every("q_parts").alias("q"))
-    dealt = probing.join(cuts, "list").select("query_id", "list", q_part.alias("q"), every("c_parts").alias("c"))
+    dealt = probing.join(cuts, "list").select("query_id", "list", "bound", q_part.alias("q"), every("c_parts").alias("c"))
     own = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
-    right = dealt.distinct().join(own, "query_id").select("query_id", "v", "list", "c", "q")
+    right = dealt.dropDuplicates(["query_id", "list", "q", "c"]).join(own, "query_id").select("query_id", "v", "bound", "list", "c", "q")
     key = ["list", "c", "q"]
     found = (
         left.groupBy(*key)
         .cogroup(right.groupBy(*key))
         .applyInArrow(_searched(k, most2, rotation(width + 1), COLUMNS, strength), "query_id long, vec_id long, score double")
     )
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
