@@ -34,7 +34,7 @@ def ranked(rows: DataFrame, groups: list[str], key: Column, ids: list[str]) -> D
 
 def balanced_sample(rows: DataFrame, group: str, k: int, ids: list[str], seed: int = 42, unknown: str | None = "unknown") -> DataFrame:
     """The k rows of each group with the smallest keys. Each partition keeps its own k before anything is shuffled."""
-    known = rows if unknown is None else rows.where(F.col(group) != unknown)
+    known = rows if unknown is None else rows.where(F.col(group).cast("string") != unknown)
     w = Window.partitionBy(group).orderBy(stable_hash(F.lit(seed), *map(F.col, ids)), *ids)
     return known.withColumn("__turn", F.row_number().over(w)).where(F.col("__turn") <= k).drop("__turn")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.functions.labels import app_from_path, direction, protocol_number
@@ -13,6 +13,11 @@ PACKET_COLUMNS = ("Time", "Source", "Destination", "Protocol", "Length")
 EXPORT_COLUMNS = ("APP", "CATEGORY", "DURATION", "BYTES", "BYTES_REV", "PACKETS", "PACKETS_REV", "PROTOCOL", "PPI")
 
 
+def _file() -> Column:
+    """The path of the row's file, as it was written."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
+
+
 def _text_schema(names: tuple[str, ...]) -> str:
     return ", ".join(f"`{n}` string" for n in names)
 
@@ -24,7 +29,7 @@ def headered_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> tu
     cells = F.transform(F.split(F.regexp_replace(F.lower("value"), '[﻿" ]', ""), ","), lambda x: x)
     for name in PACKET_COLUMNS:
         named = named & F.array_contains(cells, name.lower())
-    files = lines.select(F.col("_metadata.file_path").alias("file"), named.alias("named")).groupBy("file").agg(F.bool_or("named").alias("named"))
+    files = lines.select(_file(), named.alias("named")).groupBy("file").agg(F.bool_or("named").alias("named"))
     rows = sorted((r["file"], r["named"]) for r in files.collect())  # one row per file
     return [f for f, named in rows if named], [f for f, named in rows if not named]
 
@@ -35,7 +40,6 @@ def read_packets(spark: SparkSession, root: str, limit_files: int | None = None)
     if limit_files:
         kept = set(sorted(headered + bare)[:limit_files])
         headered, bare = [f for f in headered if f in kept], [f for f in bare if f in kept]
-    file = F.col("_metadata.file_path").alias("file")
     tables = []
     if headered:
         rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
@@ -46,10 +50,10 @@ def read_packets(spark: SparkSession, root: str, limit_files: int | None = None)
         for columns, paths in by_header.items():
             found = {c.strip("﻿ \"").lower(): c for c in columns}
             table = rows.schema(_text_schema(columns)).csv(paths)
-            tables.append(table.select(file, *[F.col(f"`{found[n.lower()]}`").alias(n.lower()) for n in PACKET_COLUMNS]))
+            tables.append(table.select(_file(), *[F.col(f"`{found[n.lower()]}`").alias(n.lower()) for n in PACKET_COLUMNS]))
     if bare:
         table = spark.read.option("sep", "\t").schema("time string, source string, destination string, length string").csv(bare)
-        tables.append(table.select(file, "time", "source", "destination", F.lit(None).cast("string").alias("protocol"), "length"))
+        tables.append(table.select(_file(), "time", "source", "destination", F.lit(None).cast("string").alias("protocol"), "length"))
     if not tables:
         return spark.createDataFrame([], "file string, time string, source string, destination string, protocol string, length string")
     out = tables[0]
