@@ -138,6 +138,13 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark, odd):
     assert kept.count() == groups
 
 
+def test_drop_near_duplicates_without_ids(spark):
+    words = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    rows = [(None, words[0], None, None), (None, words[0], "en", None), (7, words[1], None, None), (None, words[1].upper(), None, None), (8, words[1], None, None), (7, words[2], None, None)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.drop_near_duplicates(documents(spark, rows)).collect())
+    assert kept == sorted([(0, words[0]), (0, words[0]), (7, words[1]), (7, words[2])])  # equal rows stay together
+
+
 def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 

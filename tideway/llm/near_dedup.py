@@ -76,17 +76,17 @@ def simhash(data: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` holds the fingerprint's bits as a signed long."""
+    """``(doc_id, version, fp)`` for every row; ``version`` is a hash of the text, ``fp`` holds the fingerprint's bits as a signed long."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (texts,) = columns(batch, "text")
             prints = np.array([simhash(data) for data in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(prints)], ["doc_id", "version", "fp"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
-    return rows.mapInArrow(hashed, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), utf8(text).alias("text"))
+    return rows.mapInArrow(hashed, f"doc_id {kind}, version long, fp long")
 
 
 def _search(members: np.ndarray, linked) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,7 +222,7 @@ def link_fingerprints(prints: DataFrame, list_limit: int = LIST_LIMIT) -> DataFr
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", list_limit: int = LIST_LIMIT
 ) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row: the smallest id that links lead to, the row's own included."""
+    """``(doc_id, version, fp, component_id)`` for every row: the smallest id that links lead to, the row's own included."""
     prints = cut(fingerprints(docs, doc_id, text))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     links = link_fingerprints(nodes.select("fp"), list_limit).distinct()
@@ -233,7 +233,7 @@ def near_duplicates(
     )
     reached = components(named.where("a is not null and b is not null"))
     labels = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "version", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
@@ -241,7 +241,14 @@ def hex_fingerprint(column: str = "fp"):
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group, with all its columns."""
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Rows that share an id are one document. Where all ids of a fingerprint are null, it is a group of its own, and one of its
+    texts stays.
+    """
     found = near_duplicates(docs, doc_id, text)
-    ids = found.where("component_id = doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(ids, doc_id, "left_semi")
+    unnamed = found.where("component_id is null").groupBy("fp").agg(F.first("doc_id").alias("doc_id"), F.min("version").alias("version"))
+    kept = found.where("component_id = doc_id").select("doc_id", "version").union(unnamed.select("doc_id", "version"))
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
+    same = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__version"))
+    return docs.join(kept, same, "left_semi")
