@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster shares for checkpoints; a temporary one only where none is set."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{configured or tempfile.mkdtemp(prefix='tideway-')}/{name}-{uuid.uuid4().hex}"
+
+
 def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as packets of one file per user: ``(file, seq, ts, length, direction, protocol)``."""
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))

@@ -59,16 +59,23 @@ class FollowedTable:
     """
 
     def __init__(self, spark: SparkSession, folder: str, start: DataFrame):
-        self.spark, self.folder, self.start = spark, folder, start
+        self.spark, self.folder, self.start, self.reached = spark, folder, start, -1
 
     def version(self, batch: int) -> DataFrame:
         return self.start if batch < 0 else self.spark.read.parquet(f"{self.folder}/v={batch}")
 
+    def latest(self) -> DataFrame:
+        """The newest version written, or the start where no batch has run since this object was made."""
+        if self.reached < 0:
+            return self.start
+        return self.version(self.reached)
+
     def follow(self, stream: DataFrame, step, checkpoint: str) -> DataStreamWriter:
         """``step(table, batch)`` gives the next version of the table."""
 
         def write(batch: DataFrame, number: int) -> None:
             step(self.version(number - 1), batch).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+            self.reached = number
 
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
