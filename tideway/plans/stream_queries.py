@@ -142,11 +142,11 @@ def _stream(spark: SparkSession, rows: DataFrame, folder: str, order: str, files
 
 _STREAM_SQL = f"WITH packets AS ({EVENT_PACKETS})," + _GROUP_SQL.format(
     placed="SELECT *, floor(ts - 1.0::DOUBLE)::BIGINT AS window_id FROM packets", keys="file, window_id", order="ts, seq", duration="greatest(0.0, max(ts) - min(ts)) * 1000.0::DOUBLE",
-    shown="file, window_id", condition=sql_condition("iat_mean", "iat_std", "0.0")
+    shown="file, window_id, round(len_sum, 2) AS bytes", condition=sql_condition("iat_mean", "iat_std", "0.0")
 )
 
 
-@query(f"SELECT file, window_id, condition, total_packets, fwd, bwd, length_mean, iat_mean, protocol FROM ({_STREAM_SQL})")
+@query(f"SELECT file, window_id, condition, total_packets, fwd, bwd, bytes, iat_mean, protocol FROM ({_STREAM_SQL})")
 def t1_t2_t3_streamed_flows(spark, sf_dir):
     """Windows of a stream of files. A last packet, far in the future, moves the watermark past all windows; its own stays open."""
     folder = shared_folder(spark, "streamed-flows")
@@ -162,7 +162,7 @@ def t1_t2_t3_streamed_flows(spark, sf_dir):
     shown = spark.read.schema(found.schema).parquet(f"{folder}/out")
     return shown.select(
         "file", "window_id", "condition", "total_packets", F.col("total_fwd_packets").alias("fwd"), F.col("total_bwd_packets").alias("bwd"),
-        F.round("packet_length_mean", 3).alias("length_mean"), F.round("flow_iat_mean", 3).alias("iat_mean"), "protocol",
+        F.round(F.col("packet_length_mean") * F.col("total_packets"), 2).alias("bytes"), F.round("flow_iat_mean", 3).alias("iat_mean"), "protocol",
     )
 
 
