@@ -148,6 +148,37 @@ def test_knn_in_blocks_equals_one_block(spark, sf):
     assert sorted(small.collect()) == sorted(embeddings.knn(train, test).select("test_id", "train_id", "rank").collect())
 
 
+def _contrastive(rows, memory, temperature):
+    """The score by a loop over anchors."""
+    def unit(z):
+        z = np.array(z, dtype=float)
+        return z / max(np.linalg.norm(z), 1e-12)
+
+    scores = []
+    for r in rows:
+        others = [(x["label"], unit(x["z"])) for x in rows if x["block"] == r["block"] and x["id"] != r["id"]]
+        others += [(x["label"], unit(x["z"])) for x in memory]
+        v = np.array([unit(r["z"]) @ z for _, z in others]) / temperature
+        equal = np.array([label == r["label"] for label, _ in others], dtype=bool)
+        if equal.any():
+            scores.append(np.log(np.exp(v).sum()) - v[equal].mean())
+    return float(np.mean(scores)) if scores else 0.0
+
+
+@pytest.mark.parametrize("remembered, block", [(None, 64), (0, 64), (40, 7), (40, 2048)])
+def test_contrastive_score_against_a_loop(spark, sf, remembered, block):
+    # Blocks of one row have contrasts in the memory alone.
+    rows = labelled_vectors(spark, sf).where("id < 90").withColumn("block", F.when(F.col("id") < 80, F.col("block")).otherwise(F.col("id")))
+    kept = None if remembered is None else labelled_vectors(spark, sf).where("id >= 100").orderBy("id").limit(remembered)
+    found = embeddings.contrastive_score(rows, 0.07, kept, block=block).first()["score"]
+    assert found == pytest.approx(_contrastive(rows.collect(), kept.collect() if kept is not None else [], 0.07))
+
+
+def test_contrastive_score_without_positives(spark, sf):
+    rows = labelled_vectors(spark, sf).where("id < 20").withColumn("label", F.col("id"))
+    assert embeddings.contrastive_score(rows).first()["score"] == 0.0
+
+
 def test_trusted_updates_against_a_loop(spark, sf):
     rows = labelled_vectors(spark, sf)
     start = memory.bootstrap(rows.where("id % 10 = 0 and label <> 3"), spark.range(11).select(F.col("id").alias("label")))

@@ -57,6 +57,17 @@ def pair_similarity(rows: DataFrame) -> DataFrame:
     )
 
 
+def _grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_block: int, right_block: int):
+    """Both sides dealt by a hash of their ids into blocks of about the given numbers of rows, cogrouped for every pair of blocks."""
+    n_left, n_right = max(1, -(-left.count() // left_block)), max(1, -(-right.count() // right_block))
+
+    def dealt(rows: DataFrame, row_id: str, own: str, n: int, other: str, n_other: int):
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        return rows.withColumns({own: F.pmod(F.xxhash64(row_id), F.lit(n)).cast("int"), other: every}).groupBy("__left", "__right")
+
+    return dealt(left, left_id, "__left", n_left, "__right", n_right).cogroup(dealt(right, right_id, "__right", n_right, "__left", n_left))
+
+
 def _top(k: int):
     def top(key: tuple, train: pa.Table, test: pa.Table) -> pa.Table:
         out = []
@@ -79,13 +90,9 @@ def knn(train: DataFrame, test: DataFrame, k: int = 5, block_train: int = BLOCK_
 
     Both sides are dealt into blocks; each pair of blocks is one matrix product that returns k rows a test row.
     """
-    n_train, n_test = max(1, -(-train.count() // block_train)), max(1, -(-test.count() // block_test))
     a = train.select(F.col("id").cast("long"), F.col("label").cast("long"), unit(F.col("z")).alias("z"))
-    a = a.withColumns({"a": F.pmod(F.xxhash64("id"), F.lit(n_train)), "b": F.explode(F.sequence(F.lit(0), F.lit(n_test - 1)))})
     b = test.select(F.col("id").cast("long").alias("test_id"), unit(F.col("z")).alias("z"))
-    b = b.withColumns({"b": F.pmod(F.xxhash64("test_id"), F.lit(n_test)), "a": F.explode(F.sequence(F.lit(0), F.lit(n_train - 1)))})
-    a, b = (d.withColumns({c: F.col(c).cast("int") for c in ("a", "b")}) for d in (a, b))
-    found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(_top(k), "test_id long, train_id long, label long, sim double")
+    found = _grid(a, b, "id", "test_id", block_train, block_test).applyInArrow(_top(k), "test_id long, train_id long, label long, sim double")
     rank = F.row_number().over(Window.partitionBy("test_id").orderBy(F.desc("sim"), "train_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -204,13 +211,43 @@ def prototype_entropy(rows: DataFrame, protos: DataFrame, temperature: float = 0
     return scored.agg(F.avg(let(let(unit(F.col("z")), logits), entropy)).alias("score"))
 
 
-def contrastive_score(rows: DataFrame, temperature: float = 0.1) -> DataFrame:
-    """Supervised contrastive score within blocks: mean over anchors with a positive of -mean log-softmax over them: ``(score)``."""
+_TERMS = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("top", pa.float64()), ("own", pa.float64()), ("n", pa.int64()), ("e", pa.float64())])
+
+
+def _memory_terms(temperature: float):
+    def terms(key: tuple, anchors: pa.Table, memory: pa.Table) -> pa.Table:
+        if not anchors.num_rows or not memory.num_rows:
+            return _TERMS.empty_table()
+        x, m = (np.array(side.column("z").to_pylist()) for side in (anchors, memory))
+        v = x @ m.T / temperature
+        equal = anchors.column("label").to_numpy()[:, None] == memory.column("label").to_numpy()[None]
+        top = v.max(axis=1)
+        made = (top, np.where(equal, v, 0).sum(axis=1), equal.sum(axis=1), np.exp(v - top[:, None]).sum(axis=1))
+        return pa.table([anchors.column("block"), anchors.column("id"), *map(pa.array, made)], schema=_TERMS)
+
+    return terms
+
+
+def contrastive_score(
+    rows: DataFrame, temperature: float = 0.1, memory: DataFrame | None = None, memory_id: str = "id", block: int = BLOCK_TEST
+) -> DataFrame:
+    """Supervised contrastive score within blocks: mean over anchors with a positive of -mean log-softmax over them: ``(score)``.
+
+    Rows of ``memory`` ``(memory_id, label, z)`` are further contrasts of every anchor, and positives where labels agree; an anchor meets
+    them in blocks, as matrix products that return one row an anchor. Without a positive for any anchor the score is 0.
+    """
     pairs = _pairs(rows).withColumn("v", F.col("sim") / temperature)
-    anchors = pairs.groupBy("block", "id").agg(
-        F.max("v").alias("top"), F.sum(F.when(F.col("label") == F.col("other_label"), F.col("v"))).alias("own"), F.count_if(F.col("label") == F.col("other_label")).alias("n")
-    )
-    sums = pairs.join(anchors, ["block", "id"]).groupBy("block", "id").agg(
+    equal = F.col("label") == F.col("other_label")
+    anchors = pairs.groupBy("block", "id").agg(F.max("v").alias("top"), F.sum(F.when(equal, F.col("v")).otherwise(0.0)).alias("own"), F.count_if(equal).alias("n"))
+    terms = pairs.join(anchors, ["block", "id"]).groupBy("block", "id").agg(
         F.first("top").alias("top"), F.first("own").alias("own"), F.first("n").alias("n"), F.sum(F.exp(F.col("v") - F.col("top"))).alias("e")
     )
-    return sums.where("n > 0").agg(F.avg(F.log("e") + F.col("top") - F.col("own") / F.col("n")).alias("score"))
+    if memory is not None:
+        own = rows.select(F.col("block").cast("long"), F.col("id").cast("long"), F.col("label").cast("long"), unit(F.col("z")).alias("z"))
+        kept = memory.select(F.col(memory_id).alias("memory_id"), F.col("label").cast("long"), unit(F.col("z")).alias("z"))
+        more = _grid(own, kept, "id", "memory_id", block, block).applyInArrow(_memory_terms(temperature), "block long, id long, top double, own double, n long, e double")
+        highest = F.array_max(F.transform("parts", lambda p: p["top"]))
+        summed = let(highest, lambda top: F.struct(top.alias("top"), F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["e"] * F.exp(p["top"] - top)).alias("e")))
+        terms = terms.unionByName(more).groupBy("block", "id").agg(F.collect_list(F.struct("top", "e")).alias("parts"), F.sum("own").alias("own"), F.sum("n").alias("n"))
+        terms = terms.select("own", "n", summed.alias("all")).select("own", "n", "all.*")
+    return terms.where("n > 0").agg(F.coalesce(F.avg(F.log("e") + F.col("top") - F.col("own") / F.col("n")), F.lit(0.0)).alias("score"))

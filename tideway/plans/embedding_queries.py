@@ -129,6 +129,19 @@ def e13_contrastive_score(spark, sf_dir):
     return embeddings.contrastive_score(labelled_vectors(spark, sf_dir)).select(F.round("score", 6).alias("score"))
 
 
+_MEMORY = """memory AS (SELECT label, z FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS turn FROM vectors)
+ JOIN (SELECT label, min(seq) AS first FROM vectors GROUP BY label) USING (label) WHERE turn <= 20 ORDER BY first, seq LIMIT 90)"""
+
+
+@query(f"""WITH {_PAIRS}, {_MEMORY}, contrasts AS (SELECT block, id, label, other, sim FROM pairs UNION ALL SELECT v.block, v.id, v.label, m.label, list_inner_product(v.z, m.z) FROM vectors v, memory m)
+SELECT round(coalesce(avg(s), 0), 6) AS score FROM (SELECT block, id, ln(sum(exp(sim / 0.1::DOUBLE))) - avg(CASE WHEN label = other THEN sim / 0.1::DOUBLE END) AS s FROM contrasts GROUP BY block, id) WHERE s IS NOT NULL""")
+def e13_m2_contrastive_with_memory(spark, sf_dir):
+    rows = labelled_vectors(spark, sf_dir)
+    first = rows.groupBy("label").agg(F.min("seq").alias("first"))
+    kept = memory.sample_memory(memory.newest_per_class(rows, 20), first, 90)
+    return embeddings.contrastive_score(rows, memory=kept).select(F.round("score", 6).alias("score"))
+
+
 def _all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = sides(spark, sf_dir)
     near = embeddings.nearest_prototype(test, embeddings.prototypes(train))
