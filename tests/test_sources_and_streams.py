@@ -28,6 +28,13 @@ def test_packet_files(spark, tmp_path):
     assert files.read_packets(spark, str(tmp_path), limit_files=1).select("file").distinct().count() == 1
 
 
+def test_packet_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Length,"Time",Protocol,,Destination,Source,Time\n9,1.0,tcp,x,d,s,2.0\n')
+    (tmp_path / "b.csv").write_text("time,source,destination,protocol,length\n3.0,s,d,udp,7\n")
+    found = files.read_packets(spark, str(tmp_path)).orderBy("time").drop("file").collect()
+    assert [tuple(r) for r in found] == [("1.0", "s", "d", "tcp", "9"), ("3.0", "s", "d", "udp", "7")]
+
+
 def test_export_files(spark, tmp_path):
     with gzip.open(tmp_path / "flows-1.csv.gz", "wt") as out:
         out.write("X,APP,CATEGORY,DURATION,BYTES,BYTES_REV,PACKETS,PACKETS_REV,PROTOCOL,PPI\n")

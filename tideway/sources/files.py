@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideway.functions.labels import app_from_path, direction, protocol_number
 from tideway.functions.values import epoch_seconds
@@ -18,39 +21,40 @@ def _file() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
 
 
-def _text_schema(names: tuple[str, ...]) -> str:
-    return ", ".join(f"`{n}` string" for n in names)
+def headers_of_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> dict[str, str | None]:
+    """Paths under ``root``, sorted, with the line that names all packet columns, or None. One job, one row a file."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    cells = F.split(F.regexp_replace(F.lower("value"), '[\ufeff" ]', ""), ",")
+    names = F.array(*[F.lit(n.lower()) for n in PACKET_COLUMNS])
+    header = F.when(F.size(F.array_except(names, cells)) == 0, F.col("value"))
+    files = lines.select(_file(), header.alias("header")).groupBy("file").agg(F.min("header").alias("header"))
+    return dict(sorted((r["file"], r["header"]) for r in files.collect()))
 
 
-def headered_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> tuple[list[str], list[str]]:
-    """Paths under ``root``, sorted: those with a line that names all packet columns, and the others."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    named = F.lit(True)
-    cells = F.transform(F.split(F.regexp_replace(F.lower("value"), '[﻿" ]', ""), ","), lambda x: x)
-    for name in PACKET_COLUMNS:
-        named = named & F.array_contains(cells, name.lower())
-    files = lines.select(_file(), named.alias("named")).groupBy("file").agg(F.bool_or("named").alias("named"))
-    rows = sorted((r["file"], r["named"]) for r in files.collect())  # one row per file
-    return [f for f, named in rows if named], [f for f, named in rows if not named]
+def _header_columns(header: str) -> list[str]:
+    """Column names of a header line, lower case; a name that is empty or was there before is named by its place."""
+    names: list[str] = []
+    for place, name in enumerate(next(csv.reader([header.lstrip("\ufeff")]))):
+        name = name.strip(' "').lower()
+        names.append(name if name and name not in names else f"_{place}")
+    return names
 
 
 def read_packets(spark: SparkSession, root: str, limit_files: int | None = None) -> DataFrame:
-    """``(file, time, source, destination, protocol, length)`` as text, from headered CSV and headerless TSV files under ``root``."""
-    headered, bare = headered_files(spark, root)
-    if limit_files:
-        kept = set(sorted(headered + bare)[:limit_files])
-        headered, bare = [f for f in headered if f in kept], [f for f in bare if f in kept]
+    """``(file, time, source, destination, protocol, length)`` as text, from headered CSV and headerless TSV files under ``root``.
+
+    Files with the same header are read together.
+    """
+    found = headers_of_files(spark, root)
+    by_header: dict[str | None, list[str]] = {}
+    for path in list(found)[: limit_files or None]:
+        by_header.setdefault(found[path], []).append(path)
+    bare = by_header.pop(None, [])
     tables = []
-    if headered:
-        rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-        by_header: dict[tuple[str, ...], list[str]] = {}
-        for path in headered:
-            columns = tuple(spark.read.option("header", True).csv(path).columns)
-            by_header.setdefault(columns, []).append(path)
-        for columns, paths in by_header.items():
-            found = {c.strip("﻿ \"").lower(): c for c in columns}
-            table = rows.schema(_text_schema(columns)).csv(paths)
-            tables.append(table.select(_file(), *[F.col(f"`{found[n.lower()]}`").alias(n.lower()) for n in PACKET_COLUMNS]))
+    for header, paths in by_header.items():
+        text = T.StructType([T.StructField(n, T.StringType()) for n in _header_columns(header)])
+        table = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(text).csv(paths)
+        tables.append(table.select(_file(), *[n.lower() for n in PACKET_COLUMNS]))
     if bare:
         table = spark.read.option("sep", "\t").schema("time string, source string, destination string, length string").csv(bare)
         tables.append(table.select(_file(), "time", "source", "destination", F.lit(None).cast("string").alias("protocol"), "length"))
