@@ -14,6 +14,9 @@ from tideway.operators.features import unit
 
 BLOCK_TRAIN, BLOCK_TEST = 16_384, 2_048
 
+# The temperature of both softmax scores, and the margin score's target for equal pairs and bound for different ones.
+TEMPERATURE, PAIR_TARGET, PAIR_MARGIN = 0.07, 0.75, 0.20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -187,7 +190,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return near.select("a.block", "a.id", F.col("b.id").alias("other"), F.col("a.label").alias("label"), F.col("b.label").alias("other_label"), dot(F.col("a.z"), F.col("b.z")).alias("sim"))
 
 
-def margin_score(rows: DataFrame, target: float = 0.8, margin: float = 0.2) -> DataFrame:
+def margin_score(rows: DataFrame, target: float = PAIR_TARGET, margin: float = PAIR_MARGIN) -> DataFrame:
     """Mean squared shortfall of equal pairs plus mean squared excess of different pairs, within blocks: ``(score)``."""
     pairs = _pairs(rows)
     short, over = F.greatest(F.lit(0.0), target - F.col("sim")), F.greatest(F.lit(0.0), F.col("sim") - margin)
@@ -195,7 +198,7 @@ def margin_score(rows: DataFrame, target: float = 0.8, margin: float = 0.2) -> D
     return pairs.agg((F.coalesce(F.avg(F.when(equal, short * short)), F.lit(0.0)) + F.coalesce(F.avg(F.when(~equal, over * over)), F.lit(0.0))).alias("score"))
 
 
-def prototype_entropy(rows: DataFrame, protos: DataFrame, temperature: float = 0.1) -> DataFrame:
+def prototype_entropy(rows: DataFrame, protos: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """Mean cross-entropy of the softmax over cosines with the prototypes: ``(score)``."""
     table = protos.agg(F.collect_list(F.struct("label", "proto")).alias("protos"))  # one row: classes are a vocabulary
     scored = rows.join(F.broadcast(table), F.lit(True))
@@ -229,7 +232,7 @@ def _memory_terms(temperature: float):
 
 
 def contrastive_score(
-    rows: DataFrame, temperature: float = 0.1, memory: DataFrame | None = None, memory_id: str = "id", block: int = BLOCK_TEST
+    rows: DataFrame, temperature: float = TEMPERATURE, memory: DataFrame | None = None, memory_id: str = "id", block: int = BLOCK_TEST
 ) -> DataFrame:
     """Supervised contrastive score within blocks: mean over anchors with a positive of -mean log-softmax over them: ``(score)``.
 

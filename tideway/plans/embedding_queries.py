@@ -112,19 +112,19 @@ def e10_cross_covariance(spark, sf_dir):
 _PAIRS = f"{VECTORS}, pairs AS (SELECT a.block, a.id, a.label, b.label AS other, list_inner_product(a.z, b.z) AS sim FROM vectors a JOIN vectors b ON a.block = b.block AND a.id <> b.id)"
 
 
-@query(f"""WITH {_PAIRS} SELECT round(coalesce((SELECT avg(greatest(0, 0.8::DOUBLE - sim) ** 2) FROM pairs WHERE label = other), 0) + coalesce((SELECT avg(greatest(0, sim - 0.2::DOUBLE) ** 2) FROM pairs WHERE label <> other), 0), 6) AS score""")
+@query(f"""WITH {_PAIRS} SELECT round(coalesce((SELECT avg(greatest(0, 0.75::DOUBLE - sim) ** 2) FROM pairs WHERE label = other), 0) + coalesce((SELECT avg(greatest(0, sim - 0.2::DOUBLE) ** 2) FROM pairs WHERE label <> other), 0), 6) AS score""")
 def e11_margin_score(spark, sf_dir):
     return embeddings.margin_score(labelled_vectors(spark, sf_dir)).select(F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {SPLIT}, protos AS {_protos('train')}, logits AS (SELECT t.id, t.label, p.label AS class, list_inner_product(t.z, p.proto) / 0.1::DOUBLE AS v FROM test t, protos p)
+@query(f"""WITH {SPLIT}, protos AS {_protos('train')}, logits AS (SELECT t.id, t.label, p.label AS class, list_inner_product(t.z, p.proto) / 0.07::DOUBLE AS v FROM test t, protos p)
 SELECT round(avg(s), 6) AS score FROM (SELECT id, ln(sum(exp(v))) - max(CASE WHEN class = label THEN v END) AS s FROM logits GROUP BY id)""")
 def e12_prototype_entropy(spark, sf_dir):
     train, test = sides(spark, sf_dir)
     return embeddings.prototype_entropy(test, embeddings.prototypes(train)).select(F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_PAIRS} SELECT round(avg(s), 6) AS score FROM (SELECT block, id, ln(sum(exp(sim / 0.1::DOUBLE))) - avg(CASE WHEN label = other THEN sim / 0.1::DOUBLE END) AS s FROM pairs GROUP BY block, id) WHERE s IS NOT NULL""")
+@query(f"""WITH {_PAIRS} SELECT round(avg(s), 6) AS score FROM (SELECT block, id, ln(sum(exp(sim / 0.07::DOUBLE))) - avg(CASE WHEN label = other THEN sim / 0.07::DOUBLE END) AS s FROM pairs GROUP BY block, id) WHERE s IS NOT NULL""")
 def e13_contrastive_score(spark, sf_dir):
     return embeddings.contrastive_score(labelled_vectors(spark, sf_dir)).select(F.round("score", 6).alias("score"))
 
@@ -134,7 +134,7 @@ _MEMORY = """memory AS (SELECT label, z FROM (SELECT *, row_number() OVER (PARTI
 
 
 @query(f"""WITH {_PAIRS}, {_MEMORY}, contrasts AS (SELECT block, id, label, other, sim FROM pairs UNION ALL SELECT v.block, v.id, v.label, m.label, list_inner_product(v.z, m.z) FROM vectors v, memory m)
-SELECT round(coalesce(avg(s), 0), 6) AS score FROM (SELECT block, id, ln(sum(exp(sim / 0.1::DOUBLE))) - avg(CASE WHEN label = other THEN sim / 0.1::DOUBLE END) AS s FROM contrasts GROUP BY block, id) WHERE s IS NOT NULL""")
+SELECT round(coalesce(avg(s), 0), 6) AS score FROM (SELECT block, id, ln(sum(exp(sim / 0.07::DOUBLE))) - avg(CASE WHEN label = other THEN sim / 0.07::DOUBLE END) AS s FROM contrasts GROUP BY block, id) WHERE s IS NOT NULL""")
 def e13_m2_contrastive_with_memory(spark, sf_dir):
     rows = labelled_vectors(spark, sf_dir)
     first = rows.groupBy("label").agg(F.min("seq").alias("first"))
@@ -142,25 +142,34 @@ def e13_m2_contrastive_with_memory(spark, sf_dir):
     return embeddings.contrastive_score(rows, memory=kept).select(F.round("score", 6).alias("score"))
 
 
+def _scores(section: str, name: str, preds: DataFrame) -> DataFrame:
+    """Accuracy and macro F1 of predictions as long metrics."""
+    both = (metrics.accuracy(preds).withColumnRenamed("accuracy", f"{name}_accuracy"), metrics.macro_f1(preds).withColumnRenamed("macro_f1", f"{name}_macro_f1"))
+    return metrics.all_metrics(*[metrics.long_metrics(section, row) for row in both])
+
+
 def _all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = sides(spark, sf_dir)
+    rows = labelled_vectors(spark, sf_dir)
     near = embeddings.nearest_prototype(test, embeddings.prototypes(train))
-    left = embeddings.leave_one_group_out(labelled_vectors(spark, sf_dir))
     return metrics.all_metrics(
-        metrics.long_metrics("service_similarity", embeddings.pair_similarity(labelled_vectors(spark, sf_dir))),
-        metrics.long_metrics("classification", metrics.accuracy(e4_knn(spark, sf_dir)).withColumnRenamed("accuracy", "knn_accuracy")),
-        metrics.long_metrics("prototype_generalization", metrics.accuracy(near).withColumnRenamed("accuracy", "prototype_accuracy")),
-        metrics.long_metrics("leave_one_app_out", metrics.accuracy(left).withColumnRenamed("accuracy", "leave_one_app_accuracy")),
+        metrics.long_metrics("service_similarity", embeddings.pair_similarity(rows)),
+        metrics.long_metrics("app_similarity", embeddings.pair_similarity(rows.withColumn("label", F.col("app")))),
+        _scores("classification", "knn", e4_knn(spark, sf_dir)),
+        _scores("prototype_generalization", "prototype", near),
+        _scores("leave_one_app_out", "leave_one_app", embeddings.leave_one_group_out(rows)),
     )
 
 
 _METRICS = f"""{_KNN}, protos AS {_protos('train')}, hits AS (SELECT t.id, t.label, p.label AS pred, row_number() OVER (PARTITION BY t.id ORDER BY list_inner_product(t.z, p.proto) DESC, p.label) AS turn FROM test t, protos p),
  others AS (SELECT DISTINCT v.app AS held, w.id AS oid, w.label, w.z FROM vectors v, vectors w WHERE v.app <> w.app), held AS {_protos('others', 'held, label')},
  loo AS (SELECT v.id, v.label, h.label AS pred, row_number() OVER (PARTITION BY v.id ORDER BY list_inner_product(v.z, h.proto) DESC, h.label) AS turn FROM vectors v JOIN held h ON v.app = h.held),
- values_of AS (SELECT avg(CASE WHEN a.label = b.label THEN list_inner_product(a.z, b.z) END) AS intra, avg(CASE WHEN a.label <> b.label THEN list_inner_product(a.z, b.z) END) AS inter FROM vectors a JOIN vectors b ON a.id < b.id),
- metrics AS (SELECT 'service_similarity.intra' AS name, intra AS value FROM values_of UNION ALL SELECT 'service_similarity.inter', inter FROM values_of
-  UNION ALL SELECT 'classification.knn_accuracy', (SELECT avg((label = pred)::INT) FROM preds) UNION ALL SELECT 'prototype_generalization.prototype_accuracy', (SELECT avg((label = pred)::INT) FROM hits WHERE turn = 1)
-  UNION ALL SELECT 'leave_one_app_out.leave_one_app_accuracy', (SELECT avg((label = pred)::INT) FROM loo WHERE turn = 1))"""
+ by_proto AS (SELECT * FROM hits WHERE turn = 1), left_out AS (SELECT * FROM loo WHERE turn = 1), sims AS (SELECT a.label = b.label AS same_label, a.app = b.app AS same_app, list_inner_product(a.z, b.z) AS sim FROM vectors a JOIN vectors b ON a.id < b.id),
+ metrics AS (SELECT 'service_similarity.intra' AS name, (SELECT coalesce(avg(sim), 0) FROM sims WHERE same_label) AS value UNION ALL SELECT 'service_similarity.inter', (SELECT coalesce(avg(sim), 0) FROM sims WHERE NOT same_label)
+  UNION ALL SELECT 'app_similarity.intra', (SELECT coalesce(avg(sim), 0) FROM sims WHERE same_app) UNION ALL SELECT 'app_similarity.inter', (SELECT coalesce(avg(sim), 0) FROM sims WHERE NOT same_app)
+  UNION ALL SELECT 'classification.knn_accuracy', (SELECT avg((label = pred)::INT) FROM preds) UNION ALL SELECT 'classification.knn_macro_f1', {_sql_f1('preds')}
+  UNION ALL SELECT 'prototype_generalization.prototype_accuracy', (SELECT avg((label = pred)::INT) FROM by_proto) UNION ALL SELECT 'prototype_generalization.prototype_macro_f1', {_sql_f1('by_proto')}
+  UNION ALL SELECT 'leave_one_app_out.leave_one_app_accuracy', (SELECT avg((label = pred)::INT) FROM left_out) UNION ALL SELECT 'leave_one_app_out.leave_one_app_macro_f1', {_sql_f1('left_out')})"""
 
 
 @query(f"WITH {_METRICS} SELECT name, round(value, 6) AS value FROM metrics")
@@ -168,7 +177,7 @@ def e15_metrics(spark, sf_dir):
     return _all_metrics(spark, sf_dir).select("name", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {_METRICS} SELECT round(sum(value * CASE name WHEN 'service_similarity.intra' THEN 2.0::DOUBLE WHEN 'service_similarity.inter' THEN -1.5::DOUBLE ELSE 0.5::DOUBLE END), 6) AS total FROM metrics WHERE name NOT LIKE 'leave%'")
+@query(f"WITH {_METRICS} SELECT round(sum(value * CASE name WHEN 'service_similarity.intra' THEN 2.0::DOUBLE WHEN 'service_similarity.inter' THEN -1.5::DOUBLE ELSE 0.5::DOUBLE END), 6) AS total FROM metrics WHERE name IN ('service_similarity.intra', 'service_similarity.inter', 'classification.knn_accuracy', 'prototype_generalization.prototype_accuracy')")
 def e14_weighted_total(spark, sf_dir):
     weights = [("service_similarity.intra", 2.0), ("service_similarity.inter", -1.5), ("classification.knn_accuracy", 0.5), ("prototype_generalization.prototype_accuracy", 0.5), ("unused", 9.0)]
     found = metrics.weighted_total(_all_metrics(spark, sf_dir), spark.createDataFrame(weights, "name string, weight double"))
