@@ -122,8 +122,11 @@ def follow(spark, tmp_path, rows, start, step):
         rows.where(f"id % 3 = {part}").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     table = FollowedTable(spark, folder, start)
+    assert table.latest() is start
     table.follow(stream, step, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    return table.version(2)
+    # A table made anew over the same folder finds what an earlier run wrote.
+    assert ordered(FollowedTable(spark, folder, start).latest()) == ordered(table.version(2))
+    return table.latest()
 
 
 def test_followed_samples(spark, sf, tmp_path):

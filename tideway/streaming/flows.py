@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -59,23 +60,28 @@ class FollowedTable:
     """
 
     def __init__(self, spark: SparkSession, folder: str, start: DataFrame):
-        self.spark, self.folder, self.start, self.reached = spark, folder, start, -1
+        self.spark, self.folder, self.start = spark, folder, start
 
     def version(self, batch: int) -> DataFrame:
         return self.start if batch < 0 else self.spark.read.parquet(f"{self.folder}/v={batch}")
 
     def latest(self) -> DataFrame:
-        """The newest version written, or the start where no batch has run since this object was made."""
-        if self.reached < 0:
+        """The newest version written, by this run or an earlier one; the start where there is none."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        try:
+            paths = files.load(self.folder).select(F.regexp_extract("path", r"/v=(\d+)/[^/]*$", 1).try_cast("int").alias("v"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.start
-        return self.version(self.reached)
+        newest = paths.agg(F.max("v")).first()[0]
+        return self.version(-1 if newest is None else newest)
 
     def follow(self, stream: DataFrame, step, checkpoint: str) -> DataStreamWriter:
         """``step(table, batch)`` gives the next version of the table."""
 
         def write(batch: DataFrame, number: int) -> None:
             step(self.version(number - 1), batch).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
-            self.reached = number
 
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
