@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tideway.llm import chat, components, exact_dedup, html_extract, language, mixing, near_dedup, packing, queries, secret_scan, token_counts, vectors
-from tideway.llm.token_ids import encode
+from tideway.llm.token_ids import document_ids, encode
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp string, key string"
 
@@ -236,6 +236,23 @@ def test_token_ids_equal_the_json_vocabulary(spark):
         assert encode(text).tolist() == ids.ids
 
 
+def test_added_tokens_inside_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "end <|endoftext|> start", "a  <|endoftext|>\n<|endoftext|><|endoftext|>é", "<|endoftext| >", "<|<|endoftext|>|>", "x <|endoftext|> " * 300]
+    ids = [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+    assert ids[0] == [50256] and [document_ids(t).tolist() for t in texts] == ids
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = {(i, 0, len(x) + 1, zlib.crc32(np.array([*x, 2], dtype="<u4").tobytes())) for i, x in enumerate(ids[:5])}
+    got = packing.pack_documents(docs).collect()
+    assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] < 5} == want
+    assert sum(r["length"] for r in got if r["doc_id"] == 5) == len(ids[5]) + 1
+    counts = {r["length"]: r["n_docs"] for r in token_counts.length_histogram(docs).collect()}
+    assert counts == Counter(len(x) + 1 for x in ids)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

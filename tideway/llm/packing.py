@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.llm.runtime import columns, cut
-from tideway.llm.token_ids import BYTE_BPE, END_OF_DOCUMENT, encode
+from tideway.llm.token_ids import BYTE_BPE, END_OF_DOCUMENT, document_ids
 
 SEQUENCE = 1024
 SALTS = 1024
@@ -54,7 +54,7 @@ def token_pieces(
             rows: list[int] = []
             out: list[tuple[int, int, int, int]] = []
             for row, value in enumerate(texts):
-                ids = np.concatenate((encode(value or "", vocabulary), tail))
+                ids = np.concatenate((document_ids(value or "", vocabulary), tail))
                 for piece, (start, length) in enumerate(piece_spans(len(ids), most)):
                     rows.append(row)
                     out.append((piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.llm.runtime import columns, cut
-from tideway.llm.token_ids import BYTE_BPE, encode
+from tideway.llm.token_ids import BYTE_BPE, document_ids
 
 BLOCK = 256
 
@@ -30,7 +30,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = BYTE
         counts: Counter[int] = Counter()
         for batch in batches:
             (texts,) = columns(batch, "text")
-            counts.update(len(encode(x or "", vocabulary)) + 1 for x in texts)
+            counts.update(len(document_ids(x or "", vocabulary)) + 1 for x in texts)
         lengths = sorted(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lengths, pa.int64()), pa.array([counts[x] for x in lengths], pa.int64())], ["length", "n_docs"]

@@ -1,13 +1,16 @@
 """Token ids of the public byte-level BPE, as numpy arrays.
 
 The vocabulary file is the one in rank form: the same vocabulary and merges as the JSON file for ``tokenizers``,
-so the ids are equal (a test compares them), and whole texts encode several times faster.
+so the ids are equal (tests compare them), and whole texts encode several times faster. The rank form lacks the JSON file's added
+tokens; they are read from the JSON file, which lies beside it, and found inside texts as ``tokenizers`` finds them.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 
 import numpy as np
 
@@ -15,6 +18,19 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 2
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the JSON file beside a rank file; none where there is no such file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for token in tokens:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token with a context: {token}")
+    return {token["content"]: token["id"] for token in tokens}
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(vocabulary: str = BYTE_BPE):
     """The encoder of a vocabulary file; ``vocabulary`` is a public file's name or a path."""
@@ -24,9 +40,14 @@ def encoder(vocabulary: str = BYTE_BPE):
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
 def encode(text: str, vocabulary: str = BYTE_BPE) -> np.ndarray:
     """Ids of a whole text as little-endian unsigned 32-bit numbers; strings of special tokens are ordinary text."""
     return encoder(vocabulary).encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False)
+
+
+def document_ids(text: str, vocabulary: str = BYTE_BPE) -> np.ndarray:
+    """Ids of a whole document as :func:`encode` gives them, but each added token inside the text is its one id."""
+    return encoder(vocabulary).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
