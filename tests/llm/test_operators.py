@@ -409,6 +409,27 @@ def test_neighbours_of_odd_vectors(spark):
     assert vectors.nearest(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def check_all_found(spark, ids, x):
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in vectors.nearest(table, F.lit(True)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    distinct = set(ids.tolist())
+    assert set(got) == distinct
+    for query, found in got.items():
+        assert len(found) == len(set(found)) == min(20, len(distinct) - 1) and query not in found
+
+
+@pytest.mark.parametrize("n", [21, 256])
+def test_neighbours_are_k_where_there_are_k(spark, n):
+    check_all_found(spark, np.arange(n), np.random.default_rng(n).normal(size=(n, 64)))
+
+
+def test_neighbours_with_a_repeated_id(spark):
+    x = np.random.default_rng(2).normal(size=(150, 8))
+    check_all_found(spark, np.concatenate((np.arange(100), np.zeros(50, dtype=int))), np.concatenate((x[:100], x[100:] * 3)))
+
+
 def test_token_counts(spark, odd):
     lengths = [len(encode(r["text"] or "")) + 1 for r in odd.collect()]
     got = token_counts.token_counts(odd)

@@ -8,6 +8,9 @@ each block of columns a hypothesis test drops the candidates whose scaled partia
 they are farther than the k-th found so far. Survivors are scored exactly, in double precision on the original
 vectors.
 
+A query for which fewer than k come back (the test dropped too many, or repeated ids took the places) is searched once more, in all lists,
+without bound and test.
+
 Lists are dealt as blocks of at most ``block`` candidates by ``query_block`` queries, so a list with a third of all vectors is
 many tasks; each block returns k rows a query, and the k best are kept.
 
@@ -128,14 +131,17 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best of some candidates, best first, ties to the smaller id, without the query's own."""
+    """Distinct ids and exact scores of the k best of some candidates, best first, ties to the smaller id, without the query's own."""
     other = ids != own
     ids, score = ids[other], (x[other] * q).sum(axis=1)
-    first = np.lexsort((ids, -score))[:k]
+    order = np.lexsort((ids, -score))
+    first = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
     return ids[first], score[first]
 
 
-def _searched(k: int, most2: float, turn: np.ndarray, columns: int, strength: float):
+def _searched(k: int, most2: float, turn: np.ndarray, columns: int, strength: float | None):
+    """Search of a block of candidates for a block of queries; without ``strength`` every candidate is scored."""
+
     def searched(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if candidates.num_rows and queries.num_rows:
@@ -148,7 +154,10 @@ def _searched(k: int, most2: float, turn: np.ndarray, columns: int, strength: fl
             turned = np.hstack((qx, np.zeros((len(qx), 1)))) @ turn
             far = (qx * qx).sum(axis=1) + most2 - 2 * bounds
             for i, query in enumerate(qs):
-                left = adaptive_scan(turned[i], blocks, k + 1, far[i], strength)  # one more: the query's own row
+                if strength is None:
+                    left = np.arange(len(ids))
+                else:
+                    left = adaptive_scan(turned[i], blocks, k + 1, far[i], strength)  # one more: the query's own row
                 if len(left):
                     v, score = _best(qx[i], x[left], ids[left], k, query)
                     out.append((np.full(len(v), query), v, score))
@@ -215,24 +224,37 @@ def nearest(
 
     queries = rows.where(is_query)
     probing = cut(queries.mapInArrow(probed, "query_id long, list int, bound double"))
-    asked = {r["list"]: r["count"] for r in probing.groupBy("list").count().collect()}  # at most MAX_LISTS rows
-    parts = [(i, int(-(-sizes[i] // block)) or 1, -(-asked.get(i, 0) // query_block) or 1) for i in range(len(centroids))]
-    cuts = F.broadcast(vectors.sparkSession.createDataFrame(parts, "list int, c_parts int, q_parts int"))  # at most MAX_LISTS rows
-    c_part, q_part = F.pmod(F.xxhash64("vec_id"), "c_parts").cast("int"), F.pmod(F.xxhash64("query_id"), "q_parts").cast("int")
+    own = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
 
     def every(parts: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
-    left = members.join(cuts, "list").select("vec_id", "v", "list", c_part.alias("c"), every("q_parts").alias("q"))
-    dealt = probing.join(cuts, "list").select("query_id", "list", "bound", q_part.alias("q"), every("c_parts").alias("c"))
-    own = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
-    right = dealt.dropDuplicates(["query_id", "list", "q", "c"]).join(own, "query_id").select("query_id", "v", "bound", "list", "c", "q")
-    key = ["list", "c", "q"]
-    found = (
-        left.groupBy(*key)
-        .cogroup(right.groupBy(*key))
-        .applyInArrow(_searched(k, most2, rotation(width + 1), COLUMNS, strength), "query_id long, vec_id long, score double")
-    )
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(probing: DataFrame, asked: dict[int, int], strength: float | None) -> DataFrame:
+        """The k best of every query of ``probing`` (query_id, list, bound) in its lists."""
+        parts = [(i, int(-(-sizes[i] // block)) or 1, -(-asked.get(i, 0) // query_block) or 1) for i in range(len(centroids))]
+        cuts = F.broadcast(vectors.sparkSession.createDataFrame(parts, "list int, c_parts int, q_parts int"))  # at most MAX_LISTS rows
+        c_part, q_part = F.pmod(F.xxhash64("vec_id"), "c_parts").cast("int"), F.pmod(F.xxhash64("query_id"), "q_parts").cast("int")
+        left = members.join(cuts, "list").select("vec_id", "v", "list", c_part.alias("c"), every("q_parts").alias("q"))
+        dealt = probing.join(cuts, "list").select("query_id", "list", "bound", q_part.alias("q"), every("c_parts").alias("c"))
+        right = dealt.dropDuplicates(["query_id", "list", "q", "c"]).join(own, "query_id").select("query_id", "v", "bound", "list", "c", "q")
+        key = ["list", "c", "q"]
+        found = (
+            left.groupBy(*key)
+            .cogroup(right.groupBy(*key))
+            .applyInArrow(_searched(k, most2, rotation(width + 1), COLUMNS, strength), "query_id long, vec_id long, score double")
+        )
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = {r["list"]: r["count"] for r in probing.groupBy("list").count().collect()}  # at most MAX_LISTS rows
+    found = cut(searched(probing, asked, strength))
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = cut(own.select("query_id").join(full, "query_id", "left_anti"))
+    n_short = short.count()
+    if not n_short:
+        return found
+    filled = [int(i) for i in np.flatnonzero(sizes)]
+    everywhere = short.select("query_id", F.explode(F.array(*[F.lit(i) for i in filled])).alias("list"), F.lit(float("-inf")).alias("bound"))
+    again = searched(everywhere, dict.fromkeys(filled, n_short), None)
+    return found.join(short, "query_id", "left_anti").unionByName(again)
