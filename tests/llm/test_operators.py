@@ -271,6 +271,12 @@ def test_language_of_odd_texts(spark, odd):
     assert {r["lang_pred"] for r in language.identify_languages(unlabelled).collect()} == {"und"}
 
 
+def test_unlabelled_corpus_passes_the_language_stage(spark, odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = language.keep_known_languages(unlabelled)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 3
+
+
 def test_windows_cover_the_text():
     data = bytes(range(1, 256)) * 5
     rows = language.text_windows(data)

@@ -263,7 +263,7 @@ def keep_known_languages(
 ) -> DataFrame:
     """The rows of ``docs`` with a language, all columns; rejected are texts that are null or have no letters.
 
-    The prediction rides along with its row, so no text is shuffled.
+    Where no row has a label to learn from, the letters alone decide. The prediction rides along with its row, so no text is shuffled.
     """
     net = train_on(docs, doc_id, text, lang, per_language)
     names = docs.columns
@@ -272,7 +272,7 @@ def keep_known_languages(
         tables = net.tables() if net else None
         for batch in pieces(batches, 500):
             texts = [x.encode() if x is not None else None for x in columns(batch, text)[0]]
-            known = pa.array([name != UNKNOWN for name in predict(texts, net, tables)[0]])
-            yield batch.filter(known)
+            known = [name != UNKNOWN for name in predict(texts, net, tables)[0]] if net else [has_letters(x) for x in texts]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.select(*names).mapInArrow(kept, docs.schema)
