@@ -277,6 +277,17 @@ def test_unlabelled_corpus_passes_the_language_stage(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
 
 
+def test_language_sample_is_bounded_in_rows(spark, monkeypatch):
+    hot = 7  # not held out
+    rows = [(hot, f"repeated text {i}", "en", "s") for i in range(300)] + [(i, f"other text {i}", "en", "s") for i in range(1000, 1004)]
+    rows += [(i, f"ein Text {i}", "de", "s") for i in range(2000, 2020)] + [(3001, "un texte", "fr", "s"), (3002, "un texte", "fr", "s")]
+    taken = []
+    monkeypatch.setattr(language, "train", lambda texts, labels: taken.append(Counter(labels)))
+    language.train_on(documents(spark, rows), per_language=5)
+    language.train_on(documents(spark, rows), per_language=5, languages=2)
+    assert 1 <= taken[0]["en"] <= taken[0]["de"] == 5 and set(taken[0]) == {"en", "de", "fr"} and set(taken[1]) == {"en", "de"}
+
+
 def test_windows_cover_the_text():
     data = bytes(range(1, 256)) * 5
     rows = language.text_windows(data)

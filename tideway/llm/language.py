@@ -4,8 +4,8 @@ Texts are cut into windows of 256 bytes that cover all of them. Bytes fall into
 continuation bytes); filters of widths two, three and four run over the classes, the largest response of each filter goes
 through a rectifier and a softmax layer, and a document's probabilities are the mean over its windows.
 
-Training uses at most ``per_language`` labelled documents a language (taken by a hash of the id, of at most
-``MAX_LANGUAGES`` languages) and three windows of each, so its cost does not grow with the corpus; prediction
+Training uses at most ``per_language`` labelled documents a language (taken by a hash of the id, of the
+``languages`` most frequent labels; a rarer label is never predicted) and three windows of each, so its cost does not grow with the corpus; prediction
 covers every window of every text.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if no row has a label to learn from;
@@ -175,24 +175,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train_on(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> ByteNetwork | None:
-    """Train on labelled documents outside the held-out third. Ids are chosen without reading texts."""
+def train_on(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    per_language: int = PER_LANGUAGE,
+    languages: int = MAX_LANGUAGES,
+) -> ByteNetwork | None:
+    """Train on labelled documents outside the held-out third. Ids are chosen without reading texts.
+
+    Rows that share the id and the label are one document here, so at most ``per_language`` of each of ``languages`` labels are collected.
+    """
     key = F.xxhash64(F.col(doc_id).cast("string"))
     rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
     keyed = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), key.alias("key"))
-    common = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    ids = keyed.withColumn("turn", turn).where(F.col("turn") <= per_language).join(F.broadcast(common), "lang")
-    ids = ids.select("doc_id").distinct().limit(MAX_LANGUAGES * per_language)
+    common = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    ids = keyed.distinct().withColumn("turn", turn).where(F.col("turn") <= per_language).join(F.broadcast(common), "lang")
+    ids = ids.select("doc_id", "lang")
     chosen = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), utf8(text).alias("text"))
-    chosen = chosen.join(F.broadcast(ids), "doc_id", "left_semi")  # at most MAX_LANGUAGES * per_language ids
+    chosen = chosen.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most languages * per_language ids
     # Three windows of a document are all that training uses; only they travel.
     size = F.length("text")
     windows = [F.substring("text", 1, WINDOW)]
     for share in (0.5, 1.0):
         start = F.greatest(F.lit(1), F.floor((size - WINDOW) * share).cast("int") + 1)
         windows.append(F.when(size > WINDOW, F.col("text").substr(start, F.lit(WINDOW))))
-    found = chosen.select("doc_id", "lang", F.explode(F.array(*windows)).alias("text")).where(F.col("text").isNotNull()).collect()
+    each = chosen.select("doc_id", "lang", F.array(*windows).alias("windows")).groupBy("doc_id", "lang").agg(F.min("windows").alias("windows"))
+    found = each.select("doc_id", "lang", F.explode("windows").alias("text")).where(F.col("text").isNotNull()).collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["text"])))
     return train([bytes(r["text"]) for r in found], [r["lang"] for r in found])
 
@@ -241,10 +252,15 @@ def predict(texts: list[bytes | None], net: ByteNetwork | None, tables=None) ->
 
 
 def identify_languages(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    per_language: int = PER_LANGUAGE,
+    languages: int = MAX_LANGUAGES,
 ) -> DataFrame:
     """Every row of ``docs``: ``doc_id, held_out, lang_pred, score``."""
-    net = train_on(docs, doc_id, text, lang, per_language)
+    net = train_on(docs, doc_id, text, lang, per_language, languages)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,13 +275,18 @@ def identify_languages(
 
 
 def keep_known_languages(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    per_language: int = PER_LANGUAGE,
+    languages: int = MAX_LANGUAGES,
 ) -> DataFrame:
     """The rows of ``docs`` with a language, all columns; rejected are texts that are null or have no letters.
 
     Where no row has a label to learn from, the letters alone decide. The prediction rides along with its row, so no text is shuffled.
     """
-    net = train_on(docs, doc_id, text, lang, per_language)
+    net = train_on(docs, doc_id, text, lang, per_language, languages)
     names = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
