@@ -145,6 +145,22 @@ def test_drop_near_duplicates_without_ids(spark):
     assert kept == sorted([(0, words[0]), (0, words[0]), (7, words[1]), (7, words[2])])  # equal rows stay together
 
 
+def test_rows_without_ids_link_others(spark, monkeypatch):
+    prints = {"a": 0, "mid": 0b1111, "b": 0b11111111, "x": 0x0F0F0F0F00000000, "y": 0x0F0F0F0F0000000F, "far": -1}
+    rows = [(5, "a", None, None), (None, "mid", None, None), (6, "b", None, None), (None, "x", None, None), (None, "y", None, None), (9, "far", None, None)]
+
+    def fingerprints(docs, doc_id, text):
+        fp = F.create_map(*[F.lit(v) for kv in prints.items() for v in kv])[F.col(text)].cast("long")
+        return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), fp.alias("fp"))
+
+    monkeypatch.setattr(near_dedup, "fingerprints", fingerprints)
+    docs = documents(spark, rows)
+    got = {r["fp"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {prints["a"]: 5, prints["mid"]: 5, prints["b"]: 5, prints["x"]: None, prints["y"]: None, prints["far"]: 9}
+    kept = [r["text"] for r in near_dedup.drop_near_duplicates(docs).collect()]
+    assert len(kept) == 3 and {"a", "far"} < set(kept) < {"a", "far", "x", "y"}
+
+
 def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 

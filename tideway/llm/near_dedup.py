@@ -219,21 +219,28 @@ def link_fingerprints(prints: DataFrame, list_limit: int = LIST_LIMIT) -> DataFr
     return first.where("c < 0").select("a", "b").union(second.select("a", "b"))
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Every row: ``doc_id, version, fp``, its component's smallest fingerprint ``group`` and smallest id ``component_id``.
+
+    Components are those of fingerprints, so rows without an id link others too.
+    """
+    prints = cut(fingerprints(docs, doc_id, text))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    reached = components(link_fingerprints(nodes.select("fp"), list_limit)).withColumnRenamed("node", "fp")
+    groups = nodes.join(reached, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("group"))
+    least = groups.groupBy("group").agg(F.min("node").alias("component_id"))
+    labels = groups.join(least, "group").select("fp", "group", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "version", "fp", "group", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", list_limit: int = LIST_LIMIT
 ) -> DataFrame:
-    """``(doc_id, version, fp, component_id)`` for every row: the smallest id that links lead to, the row's own included."""
-    prints = cut(fingerprints(docs, doc_id, text))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = link_fingerprints(nodes.select("fp"), list_limit).distinct()
-    named = (
-        links.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a")
-        .join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    reached = components(named.where("a is not null and b is not null"))
-    labels = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "version", "fp", "component_id")
+    """``(doc_id, version, fp, component_id)`` for every row: the smallest id that links lead to, the row's own included.
+
+    It is null where no row that links lead to has an id.
+    """
+    return _grouped(docs, doc_id, text, list_limit).select("doc_id", "version", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
@@ -243,11 +250,10 @@ def hex_fingerprint(column: str = "fp"):
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
-    Rows that share an id are one document. Where all ids of a fingerprint are null, it is a group of its own, and one of its
-    texts stays.
+    Rows that share an id are one document. Where all ids of a group are null, one of its texts stays.
     """
-    found = near_duplicates(docs, doc_id, text)
-    unnamed = found.where("component_id is null").groupBy("fp").agg(F.first("doc_id").alias("doc_id"), F.min("version").alias("version"))
+    found = _grouped(docs, doc_id, text)
+    unnamed = found.where("component_id is null").groupBy("group").agg(F.first("doc_id").alias("doc_id"), F.min("version").alias("version"))
     kept = found.where("component_id = doc_id").select("doc_id", "version").union(unnamed.select("doc_id", "version"))
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
     same = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__version"))
