@@ -9,8 +9,9 @@ The trees are trained here, on pages made by ``layouts``: articles among menus,
 comments, in many arrangements and namings, of meaningless words. Nothing is learned from the pages given.
 
 Defined results: a null or empty page has an empty text; markup that is not closed is closed where its parent ends; scripts,
-styles, comments, templates and the head are never text; repeated rows give repeated results; an empty table gives an
-empty result; extra input columns are not read.
+styles, comments, templates and the head are never text; an opening tag whose quotes never close ends at its first ">", and so do all tags
+after it; very long pages are read whole, in time that grows with their length (also where they are broken); repeated rows give
+repeated results; there are no ties to settle; an empty table gives an empty result; extra input columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import html
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 from tideway.llm.boosting import BoostedTrees
 from tideway.llm.runtime import columns, pieces
 
+#: Comment, declaration, closing tag, opening tag with its quoted values, and any other opening tag. Names and values do not backtrack.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s>/]*)[^>]*>",
-    re.DOTALL,
+    r"(<!--)|<[!?][^>]*+>|</([a-zA-Z][^\s>/]*+)[^>]*+>|<([a-zA-Z][^\s>/]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s>/]*+)[^>]*+>"
 )
+#: The same where a quote stays open to the page's end: tags end at their first ">".
+LOOSE_MARKUP = re.compile(r"(<!--)|<[!?][^>]*+>|</([a-zA-Z][^\s>/]*+)[^>]*+>|<([a-zA-Z][^\s>/]*+)([^>]*+)>|((?!))")
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 PUNCTUATION = str.maketrans("", "", ".,;:!?")
@@ -41,7 +45,8 @@ PUNCTUATION = str.maketrans("", "", ".,;:!?")
 # HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title iframe svg object".split())
-RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in ("script", "style", "title", "iframe")}
+ENDING = {name: re.compile(rf"</{name}\b[^>]*+>", re.IGNORECASE) for name in HIDDEN}
+BODY = re.compile(r"<body\b", re.IGNORECASE)
 BLOCKS = frozenset(
     "html body article section div main nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody "
     "tfoot tr td th caption blockquote pre figure figcaption address details summary dialog menu button select option textarea label hgroup search center".split()
@@ -77,8 +82,13 @@ class Page:
         self.runs: list[tuple[int, str]] = []
         self.links: list[int] = [0]  # characters inside links
         stack: list[tuple[str, int]] = [("html", 0)]
+        depths: dict[str, list[int]] = defaultdict(list)  # of open elements, by tag
+        scopes = [0]  # depths of open elements that hold their own list items and cells
         buffer: list[str] = []
+        unclosed: set[str] = set()  # hidden elements whose closing tag does not come any more
+        pattern = MARKUP
         node, in_link, at, end = 0, 0, 0, len(markup)
+        last = markup.rfind(">") + 1  # no tag ends beyond
 
         def flush() -> None:
             if buffer:
@@ -90,13 +100,20 @@ class Page:
         def close_to(depth: int) -> None:
             nonlocal node, in_link
             flush()
+            for tag, _ in stack[depth:]:
+                depths[tag].pop()
             del stack[depth:]
+            while scopes[-1] >= depth:
+                scopes.pop()
             node = stack[-1][1]
             in_link = 0
 
         while at < end:
-            match = MARKUP.search(markup, at)
-            text = markup[at : match.start() if match else end]
+            match = pattern.search(markup, at, last)
+            stop = match.start() if match else end
+            if not match and (comment := markup.find("<!--", max(at, last))) >= 0:
+                stop = comment  # never closed
+            text = markup[at:stop]
             if text:
                 buffer.append(text)
                 if in_link:
@@ -104,31 +121,31 @@ class Page:
             if not match:
                 break
             at = match.end()
-            closing, opening, attributes, odd = match.groups()
-            if closing:
+            comment, closing, opening, attributes, odd = match.groups()
+            if comment:
+                close = markup.find("-->", at)
+                at = close + 3 if close >= 0 else end
+            elif closing:
                 tag = closing.lower()
                 if tag in BLOCKS:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == tag:
-                            close_to(depth)
-                            break
+                    if depths[tag]:
+                        close_to(depths[tag][-1])
                 elif tag == "a":
                     in_link = 0
             elif opening or odd:
+                if odd:
+                    pattern = LOOSE_MARKUP
                 tag = (opening or odd).lower()
                 if tag in BLOCKS:
-                    if tag == "html" or (tag == "body" and any(t == "body" for t, _ in stack)):
+                    if tag == "html" or (tag == "body" and depths["body"]):
                         continue
                     flush()
                     if tag in CLOSES_P and stack[-1][0] == "p":
                         close_to(len(stack) - 1)
                     if siblings := CLOSED_BY.get(tag):
-                        for depth in range(len(stack) - 1, 0, -1):
-                            if stack[depth][0] in siblings:
-                                close_to(depth)
-                                break
-                            if stack[depth][0] in SCOPES:
-                                break
+                        nearest = max((depths[t][-1] for t in siblings if depths[t]), default=0)
+                        if nearest > scopes[-1]:
+                            close_to(nearest)
                     self.parents.append(node)
                     self.tags.append(tag)
                     self.links.append(0)
@@ -136,15 +153,20 @@ class Page:
                     self.names.append(" ".join(found).lower() if found else "")
                     node = len(self.tags) - 1
                     in_link = 0
+                    depths[tag].append(len(stack))
+                    if tag in SCOPES:
+                        scopes.append(len(stack))
                     stack.append((tag, node))
                 elif tag in HIDDEN:
                     if attributes and attributes.endswith("/"):
                         continue
-                    close = RAW.get(tag) or re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE)
-                    ending = close.search(markup, at)
-                    if ending is None and tag == "head":
-                        ending = re.compile(r"(?=<body\b)", re.IGNORECASE).search(markup, at)
-                    at = ending.end() if ending else end
+                    ending = None if tag in unclosed else ENDING[tag].search(markup, at, last)
+                    if ending is None:
+                        unclosed.add(tag)
+                        body = BODY.search(markup, at) if tag == "head" else None
+                        at = body.start() if body else end
+                    else:
+                        at = ending.end()
                 elif tag == "br":
                     buffer.append(" ")
                 elif tag == "a":
