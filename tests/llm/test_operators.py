@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,7 +247,7 @@ def test_token_ids_equal_the_json_vocabulary(spark):
 
     other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     other.encode_special_tokens = True
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()]
     texts += ["<|endoftext|> a", "", "  \n\n x  ", "日本語 ٣ ½ 🎉🎉 é don't I'LL", "\x00\x7f​"]
     for text, ids in zip(texts, other.encode_batch(texts, add_special_tokens=False), strict=True):
         assert encode(text).tolist() == ids.ids
@@ -269,6 +270,21 @@ def test_added_tokens_inside_documents(spark):
     assert counts == Counter(len(x) + 1 for x in ids)
 
 
+def test_texts_that_the_fast_encoder_refuses(spark):
+    texts = [" " * 1_000_000, "a" + " " * 5_000_000 + "<|endoftext|>b", "word " * 1_000_000]
+    from tideway.llm.token_ids import json_encoder
+
+    ids = [json_encoder().encode(t, add_special_tokens=False).ids for t in texts]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = packing.pack_documents(docs).collect()
+    for i, want in enumerate(ids):
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i)
+        whole = np.array([*want, 2], dtype="<u4")
+        assert sum(n for _, n, _ in pieces) == len(whole)
+        assert all(zlib.crc32(whole[a : a + n].tobytes()) == crc for a, n, crc in pieces)
+    assert {r["length"] for r in token_counts.length_histogram(docs).collect()} == {len(x) + 1 for x in ids}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -402,6 +418,29 @@ def test_html_odd_pages(spark):
     assert len(got) == 7 and got[1]["text"] == got[2]["text"] == got[6]["text"] == "" and got[4]["text"] == "plain <text>"
 
 
+@pytest.mark.parametrize(
+    "markup",
+    ["<a" * 500_000, "<a " + "x" * 1_000_000, "<a \"x'>" * 100_000, "</head" * 150_000, "<!--" * 250_000, "<option></option>" * 50_000, "<li><div>" + "<h1>" * 50_000 + "<li></li>" * 50_000, "&amp" * 200_000],
+)
+def test_html_time_grows_with_the_length(markup):
+    began = time.time()
+    html_extract.extract(["<article><p>one two three.</p></article>" + markup], html_extract.trained())
+    assert time.time() - began < 20
+
+
+def test_html_broken_quotes_and_comments():
+    page = html_extract.Page("<p title='a>b'>one</p><p title=\"x>two</p><div id='c'>three</div><!-- > <b>four</b>")
+    assert [t for _, t in page.runs] == ["one", "two", "three"]
+    assert [t for _, t in html_extract.Page("a<!-- > --><b>b</b> < c <!-- d").runs] == ["ab < c"]
+
+
+def test_html_repeated_rows_and_clashing_columns(spark):
+    page = "<html><body><nav><a href='x'>menu</a></nav><article><p>Some words, and more words, that make up a text.</p></article></body></html>"
+    rows = spark.createDataFrame([(1, "u", page, "x", 1), (1, "u", page, "y", 2), (2, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
+    got = [tuple(r) for r in html_extract.extract_pages(rows).collect()]
+    assert sorted(got, key=repr) == sorted([got[0], got[0], (2, None, "", 0)], key=repr) and got[0][2]
+
+
 def test_hierarchical_decoding_is_consistent():
     rng = np.random.default_rng(1)
     for markup in html_extract.layouts(20, seed=3):
