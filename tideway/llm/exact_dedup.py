@@ -9,7 +9,8 @@ a partition once. The owners then receive rows sorted by length and hash: a subt
 and complete subtrees leave memory whenever the trie holds more than ``budget`` bytes.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest id stays (a null id only if
-all are null), of equal ids one row; an empty table gives an empty result; extra columns are not compared.
+all are null), of equal ids one row; very long texts are held and compared whole; repeated rows are rows each, of which
+one stays; an empty table gives an empty result; extra columns, whatever their names, are not compared.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tideway.llm.runtime import columns, pieces, utf8
+from tideway.llm.runtime import columns, cut, pieces, utf8
 
 TRIE_BUDGET = 32 << 20
+REPEATS = 100_000
 _ROWS = 2_000
 
 
@@ -99,32 +101,39 @@ def prefixed(text: bytes) -> bytes:
 
 
 def _better(a: tuple, b: tuple) -> tuple:
-    """Of two owners (id, rows, payload) the one with the larger id, with the rows of both."""
-    keep = a if b[0] is None or (a[0] is not None and a[0] >= b[0]) else b
-    return (keep[0], a[1] + b[1], keep[2])
+    """Of two owners (id, rows, ties, row) the one with the larger id, with the rows of both and the ties of equal ids."""
+    if a[0] == b[0]:
+        return (a[0], a[1] + b[1], a[2] + b[2], a[3])
+    keep = a if b[0] is None or (a[0] is not None and a[0] > b[0]) else b
+    return (keep[0], a[1] + b[1], keep[2], keep[3])
+
+
+MADE = {
+    "length": lambda key, owner: len(key) - 16,
+    "hash": lambda key, owner: struct.unpack(">q", key[8:16])[0],
+    "data": lambda key, owner: key[16:],
+    "id": lambda key, owner: owner[0],
+    "n": lambda key, owner: owner[1],
+    "ties": lambda key, owner: owner[2],
+    "sha256": lambda key, owner: hashlib.sha256(memoryview(key)[16:]).hexdigest(),
+}
 
 
 def _fold(schema: pa.Schema, final: bool, budget: int, rows: int = _ROWS):
-    """Fold rows into a trie and emit ``schema``: payload columns, then columns named ``__...`` made from the key and owner.
+    """Fold rows into a trie and emit ``schema``: columns of ``MADE`` and, if it is there, the struct ``row`` of the owner.
 
-    Input: the payload columns, ``__data`` (the text's bytes) and ``__id``; in the final pass ``__n`` and sorted rows too.
+    Input: ``id``, ``data`` (the text's bytes) and ``row`` if it is asked for; in the final pass ``n``, ``ties`` and sorted rows too.
     """
-    names = [n for n in schema.names if not n.startswith("__")]
-    made = {
-        "__text": lambda k, v: k[16:],
-        "__length": lambda k, v: len(k) - 16,
-        "__hash": lambda k, v: struct.unpack(">q", k[8:16])[0],
-        "__id": lambda k, v: v[0],
-        "__n": lambda k, v: v[1],
-        "__sha256": lambda k, v: hashlib.sha256(memoryview(k)[16:]).hexdigest(),
-    }
+    kind = schema.field("row").type if "row" in schema.names else None
+
+    def column(field: pa.Field, entries: list[tuple[bytes, tuple]]) -> pa.Array:
+        if field.name != "row":
+            return pa.array([MADE[field.name](k, v) for k, v in entries], field.type)
+        parts = [pa.array([v[3][i] for _, v in entries], f.type) for i, f in enumerate(kind)]
+        return pa.StructArray.from_arrays(parts, fields=list(kind))
 
     def out(entries: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
-        arrays = [pa.array([v[2][i] for _, v in entries], schema.field(n).type) for i, n in enumerate(names)]
-        for field in schema:
-            if field.name in made:
-                arrays.append(pa.array([made[field.name](k, v) for k, v in entries], field.type))
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        return pa.RecordBatch.from_arrays([column(field, entries) for field in schema], schema=schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, last = PatriciaTrie(), b""
@@ -147,12 +156,12 @@ def _fold(schema: pa.Schema, final: bool, budget: int, rows: int = _ROWS):
             trie = rest
 
         for batch in pieces(batches, rows):
-            payload = [batch.column(n).to_pylist() for n in names]
-            data, ids = columns(batch, "__data", "__id")
-            counts = columns(batch, "__n")[0] if final else [1] * len(ids)
+            row = [part.to_pylist() for part in batch.column("row").flatten()] if kind else []
+            data, ids = columns(batch, "data", "id")
+            counts, ties = columns(batch, "n", "ties") if final else ([1] * len(ids), [1] * len(ids))
             for i, text in enumerate(data):
                 key = prefixed(normalised(text))
-                trie.insert(key, (ids[i], counts[i], [p[i] for p in payload]), _better)
+                trie.insert(key, (ids[i], counts[i], ties[i], [part[i] for part in row]), _better)
                 if trie.held > budget and key[:16] != last[:16]:
                     yield from leave(key[:16] if final else None)
                 last = key
@@ -161,32 +170,33 @@ def _fold(schema: pa.Schema, final: bool, budget: int, rows: int = _ROWS):
     return fold
 
 
-def owners(docs: DataFrame, doc_id: str, text: str, payload: list[str], budget: int = TRIE_BUDGET) -> DataFrame:
-    """One row per distinct text: the payload columns of the row that stays, ``__id``, ``__n`` (rows) and ``__sha256``.
+def owners(docs: DataFrame, doc_id: str, text: str, whole: bool, budget: int = TRIE_BUDGET) -> DataFrame:
+    """One row per distinct text: ``id`` of the row that stays, ``n`` (rows), ``ties`` (rows of that id) and ``sha256``.
 
-    With the text in the payload the original text travels, else its normalised bytes.
+    With ``whole`` also ``row``, the row that stays as a struct; then original texts travel, else their normalised bytes.
     """
-    rows = docs.select(*payload, F.col(doc_id).alias("__id"), utf8(text).alias("__data"))
-    fields = [T.StructField(n, docs.schema[n].dataType) for n in payload]
-    owner = [T.StructField("__id", docs.schema[doc_id].dataType), T.StructField("__n", T.LongType())]
-    place = [T.StructField("__length", T.LongType()), T.StructField("__hash", T.LongType())]
-    carried = [] if text in payload else [T.StructField("__text", T.BinaryType())]
-    first = T.StructType([*fields, *owner, *place, *carried])
-    last = T.StructType([*fields, *owner, T.StructField("__sha256", T.StringType())])
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), utf8(text).alias("data"))
+    rows = rows if whole else rows.drop("row")
+    row = [T.StructField("row", rows.schema["row"].dataType)] if whole else []
+    owner = [T.StructField("id", docs.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("ties", T.LongType())]
+    place = [T.StructField("length", T.LongType()), T.StructField("hash", T.LongType())]
+    carried = [] if whole else [T.StructField("data", T.BinaryType())]
+    first = T.StructType([*row, *owner, *place, *carried])
+    last = T.StructType([*row, *owner, T.StructField("sha256", T.StringType())])
 
     dealt = (
         rows.mapInArrow(_fold(to_arrow_schema(first), False, budget), first)
-        .repartition("__length", "__hash")
-        .sortWithinPartitions("__length", "__hash")
-        .withColumn("__data", F.col("__text") if carried else utf8(text))
-        .drop("__length", "__hash", "__text")
+        .repartition("length", "hash")
+        .sortWithinPartitions("length", "hash")
+        .withColumn("data", F.col("row")[text].cast("binary") if whole else F.col("data"))
+        .drop("length", "hash")
     )
     return dealt.mapInArrow(_fold(to_arrow_schema(last), True, budget), last)
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; texts travel once."""
-    return owners(docs, doc_id, text, docs.columns).select(*docs.columns)
+    return owners(docs, doc_id, text, True).select("row.*")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,19 +206,29 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests], ["doc_id", "text_sha256"])
 
 
+def _numbered(tied: DataFrame) -> DataFrame:
+    """``turn`` 1 to ``ties`` for every row, dealt in blocks so that no task makes more than ``REPEATS`` of them."""
+    blocks = tied.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("ties") - 1) / REPEATS)))).repartition("text_sha256", "block")
+    upto = F.least("ties", (F.col("block") + 1) * REPEATS)
+    return blocks.withColumn("turn", F.explode(F.sequence(F.col("block") * REPEATS + 1, upto)))
+
+
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts go to their owners without the rows; rows then meet their owner by the text's digest, which is one to one with
-    texts. Both sides of that join are small, and a hot text is a skewed join of one row with many.
+    texts. That join is the last step of its branch and its right side has one small row a text, so a text that fills a third of all rows is
+    split over tasks by adaptive execution. Rows that share the owner's text and id differ in ``kept`` alone: they are made from
+    the owner's number of them.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    texts = owners(docs, doc_id, text, []).select(
-        F.col("__sha256").alias("text_sha256"), F.col("__id").alias("keep_id"), F.col("__n").alias("group_size")
+    texts = cut(
+        owners(docs, doc_id, text, False).select(F.col("sha256").alias("text_sha256"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"), "ties")
+    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("data")).mapInArrow(_digests, f"doc_id {kind}, text_sha256 string")
+    is_owner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    met = rows.join(texts, "text_sha256").where((F.col("ties") == 1) | ~is_owner)
+    same = _numbered(texts.where("ties > 1"))
+    return met.select("doc_id", "keep_id", "group_size", is_owner.alias("kept"), "text_sha256").union(
+        same.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.col("turn") == 1, "text_sha256")
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("data"))
-    rows = rows.mapInArrow(_digests, f"doc_id {kind}, text_sha256 string").join(texts, "text_sha256")
-    # Of rows that share the text and the id, one stays.
-    turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)
-    return rows.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
