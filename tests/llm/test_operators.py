@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -122,6 +123,17 @@ def test_links_connect_all_close_fingerprints(spark, limit):
     assert plain_components(prints, lambda a, b: (a, b) in pairs) == plain_components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
 
 
+def test_lists_over_the_limit_are_never_held():
+    rows = np.array([(1, 0, x) for x in range(3)] + [(5, 2, x) for x in range(1000)] + [(5, 3, x) for x in range(4)] + [(9, 1, x) for x in range(40)]).T
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["k", "c", "fp"]) for part in np.array_split(rows, 60, axis=1)]
+    got = list(near_dedup._runs(iter(batches), 50))
+    assert (np.concatenate([r for r, _ in got], axis=1) == rows).all()
+    assert {(int(r[0, 0]), int(r[1, 0])) for r, over in got if over} == {(5, 2)} and sum(r.shape[1] for r, over in got if over) == 1000
+    assert max(r.shape[1] for r, _ in got) <= 50 + 2 * 18
+    whole = [tuple(map(int, k)) for r, over in got if not over for k in np.unique(r[:2].T, axis=0)]
+    assert sorted(whole) == [(1, 0), (5, 3), (9, 1)]
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100)] + [(500 + rng.randrange(60), 500 + rng.randrange(60)) for _ in range(40)] + [(900, i) for i in range(901, 1000)] + [(7, 7)]
@@ -188,6 +200,55 @@ def test_exact_duplicates(spark, odd, budget, monkeypatch):
     assert sorted(stays, key=repr) == sorted(((max((i for i in ids if i is not None), default=None), t) for t, ids in groups.items()), key=repr)
 
 
+CLASHING = "__id __n __x __data __text row id n ties data length hash sha256 version kept node fp group component_id".split()
+
+
+def clashing(spark, rows):
+    """Documents with columns of names that operators use inside."""
+    return documents(spark, rows).drop("fp", "key", "keep_id").withColumns({c: F.lit(f"{c}!") for c in CLASHING})
+
+
+def test_dedup_stages_with_clashing_columns(spark):
+    rows = [(1, "A b c d e", "en", "s"), (2, "a B c d e", "en", "s"), (None, "a b c d e", None, None), (3, None, None, None), (4, "", "en", "t"), (5, "x" * 100_000, "en", "t")]
+    docs = clashing(spark, rows)
+    for stage, want in ((exact_dedup.drop_duplicates, [2, 4, 5]), (near_dedup.drop_near_duplicates, [1, 3, 5])):
+        kept = stage(docs)
+        assert kept.schema.simpleString() == docs.schema.simpleString()
+        got = kept.orderBy("doc_id").collect()
+        assert [r["doc_id"] for r in got] == want and all(r[c] == f"{c}!" for r in got for c in CLASHING)
+    assert exact_dedup.exact_duplicates(docs).count() == near_dedup.near_duplicates(docs).count() == 6
+
+
+def test_exact_duplicates_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "REPEATS", 7)
+    rows = [(9, "same", None, None)] * 50 + [(9, "Same", None, None)] * 3 + [(8, "same", None, None)] * 4 + [(None, "n", None, None)] * 3
+    got = Counter(map(tuple, exact_dedup.exact_duplicates(documents(spark, rows)).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert got == {(9, 9, 57, True): 1, (9, 9, 57, False): 52, (8, 9, 57, False): 4, (None, None, 3, True): 1, (None, None, 3, False): 2}
+
+
+def test_a_hot_text_is_split_over_tasks(spark):
+    options = {"skewJoin.skewedPartitionThresholdInBytes": "10k", "skewJoin.skewedPartitionFactor": "2", "advisoryPartitionSizeInBytes": "10k", "autoBroadcastJoinThreshold": "-1"}
+    options = {f"spark.sql.adaptive.{k}": v for k, v in options.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k, None) for k in options}
+
+    def split(df):
+        df.collect()
+        return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 30_000, 1, 8).select(F.xxhash64("id").alias("doc_id"), "id")
+        found = exact_dedup.exact_duplicates(rows.withColumn("text", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), "id"))))
+        assert found.where("kept").count() == 10_001 and split(found)
+        links = rows.select(F.least("id", F.lit(0)).alias("a"), (F.pmod("doc_id", F.lit(1 << 40)) + 1).alias("b"))
+        assert {tuple(r) for r in components.components(links).groupBy("component").count().collect()} == {(0, 30_001)}
+        assert split(components._met(links, links.groupBy("a").agg(F.min("b").alias("m"))))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_patricia_trie_is_a_map():
     rng = random.Random(2)
     keys = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(2000)]

@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from tideway.llm.runtime import cut
 
 
+def _met(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Each link with ``m`` of its node ``a``. A star's centre may be in a third of all links.
+
+    ``least`` is dealt by another key first: the join then has an exchange of its own on either side, and adaptive execution
+    can split a hot centre's links over tasks.
+    """
+    return links.join(least.repartition("m"), "a")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest of the node and all its neighbours."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _met(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = _met(down, least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

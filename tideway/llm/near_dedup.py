@@ -1,18 +1,20 @@
 """SimHash near-duplicates: an inverted index over byte positions, count filtering, then verification.
 
 A fingerprint has eight bytes. Two fingerprints at four or fewer differing bits differ in at most four bytes, so they share
-at least four positional bytes: that is the guaranteed minimum. The index therefore has one posting list for each choice of four
-positions and their bytes; whoever meets in a list has reached the count, and is verified on all 64 bits. Lists of single
-bytes would hold one 256th of the corpus each, so their tallies would grow with its square.
+at least four positional bytes: that is the guaranteed minimum. The index has one posting list for each choice of four
+positions and their bytes, since whoever reaches the minimum meets in such a list; lists of single bytes would hold one 256th of the corpus
+each. Where two fingerprints meet, the positional bytes that they share are tallied, pairs that reach the minimum are retained,
+and those are verified on all 64 bits.
 
 Lists hold distinct fingerprints. Within a list only the links that connect are kept (at most one fewer than
 its members), found by a search that leaves out whoever is already connected, so a large group of near copies
-costs about one comparison a member. A list of more than ``list_limit`` fingerprints is not held by one task: it is dealt
-anew by four of the eight half-bytes not yet fixed, after which a list has at most 65,536 possible members.
+costs about one comparison a member. A list of more than ``list_limit`` fingerprints is never held: its rows pass on as they
+come and are dealt anew by four of the eight half-bytes not yet fixed, after which a list has at most 65,536 possible members.
 
 Defined results: a null text or one without words has fingerprint zero, and zero links like any other; a text of
-one to three words is one shingle; repeated rows share a fingerprint and a component; rows whose id is null get the
-component of their fingerprint; an empty table gives an empty result; extra input columns are not read.
+one to three words is one shingle; very long texts are hashed whole, in stretches; a bit that half the shingles set (a tie) is 0;
+repeated rows share a fingerprint and a component; rows whose id is null get the component of their fingerprint; an empty
+table gives an empty result; extra input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from tideway.llm.runtime import columns, cut, utf8
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-LIST_LIMIT = 65_536
+LEAST_SHARED = 8 - MAX_BITS  # positional bytes
+LIST_LIMIT = 16_384
 _STRETCH = 100_000  # shingles hashed at a time
 
 POSITIONS = list(itertools.combinations(range(8), 4))
@@ -105,18 +108,29 @@ def _search(members: np.ndarray, linked) -> Iterator[tuple[int, np.ndarray]]:
                 yield int(at), reached
 
 
+def _tally(differing: np.ndarray) -> np.ndarray:
+    """How many positional bytes pairs share, from their exclusive-or."""
+    return (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def _linked(differing: np.ndarray, bits: int) -> np.ndarray:
+    """Pairs retained by their tally, then verified on all bits."""
+    found = _tally(differing) >= LEAST_SHARED
+    found[found] = np.bitwise_count(differing[found]) <= bits
+    return found
+
+
 def connect(members: np.ndarray, choice: int | None = None, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """Links that, with those of earlier choices, connect all members within ``bits`` of one another.
 
     ``members`` are distinct fingerprints of one list. With ``choice``, pairs that meet in an earlier choice of positions
     are taken as connected, for they are connected there.
     """
-    if len(members) == 2 and choice is None:
-        a, b = members
-        return [(int(a), int(b))] if np.bitwise_count(a ^ b) <= bits else []
+    if not _linked(members[:1] ^ members[1:], bits).any() and len(members) == 2:
+        return []
 
     def near(one, others):
-        return np.bitwise_count(one ^ others) <= bits
+        return _linked(one ^ others, bits)
 
     gaps = [] if choice is None else GAPS[choice]
     part = np.arange(len(members))
@@ -127,7 +141,8 @@ def connect(members: np.ndarray, choice: int | None = None, bits: int = MAX_BITS
             shared = np.zeros(len(others), dtype=bool)
             for gap in gaps:
                 shared |= (differing & gap) == 0
-            return shared & (np.bitwise_count(differing) <= bits)
+            shared[shared] = _linked(differing[shared], bits)
+            return shared
 
         start = 0
         for at, reached in _search(members, elsewhere):
@@ -155,25 +170,48 @@ def connect(members: np.ndarray, choice: int | None = None, bits: int = MAX_BITS
     return links
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(choices, fingerprints, last) of sorted rows, cut only where the key changes; rows alone under their key are left out."""
-    kept: list[np.ndarray] = []
+def _runs(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[np.ndarray, bool]]:
+    """(rows of whole lists, False) or (rows of one list over the limit, True), from rows sorted by list.
+
+    At most ``limit`` rows of a list, and a batch, are held.
+    """
+    kept, passing = np.zeros((3, 0), dtype=np.int64), None
     for batch in batches:
         now = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("k", "c", "fp")])
-        kept.append(now)
-        if now.shape[1] and kept[0][0, 0] == now[0, -1]:
-            continue  # one key so far
-        rows = np.concatenate(kept, axis=1)
-        cut_at = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-        kept = [rows[:, cut_at:]]
-        yield rows[:, :cut_at]
-    if kept:
-        yield np.concatenate(kept, axis=1)
+        if passing is not None and now.shape[1]:
+            others = np.flatnonzero((now[0] != passing[0]) | (now[1] != passing[1]))
+            until = int(others[0]) if len(others) else now.shape[1]
+            if until:
+                yield now[:, :until], True
+            passing, now = (None if len(others) else passing), now[:, until:]
+        if not now.shape[1]:
+            continue
+        rows = np.concatenate((kept, now), axis=1)
+        changes = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))
+        start = int(changes[-1]) + 1 if len(changes) else 0  # of the last list, which may go on
+        if start:
+            yield rows[:, :start], False
+        kept = rows[:, start:]
+        if limit is not None and kept.shape[1] > limit:
+            passing = (kept[0, 0], kept[1, 0])
+            yield kept, True
+            kept = kept[:, :0]
+    if kept.shape[1]:
+        yield kept, False
+
+
+def _batch(a, b, c) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], ["a", "b", "c"])
 
 
 def _links_of_lists(limit: int | None, use_choice: bool):
+    """Links (a, b, -1) within lists; fingerprints of lists over the limit as (fp, fp, choice)."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
+        for rows, over in _runs(batches, limit):
+            if over:
+                yield _batch(rows[2], rows[2], rows[1])
+                continue
             out: list[tuple[int, int, int]] = []
             if rows.shape[1] > 1:
                 k, c, fp = rows[0], rows[1], rows[2].view(np.uint64)
@@ -188,8 +226,7 @@ def _links_of_lists(limit: int | None, use_choice: bool):
                     else:
                         out += [(_signed(x), _signed(y), -1) for x, y in connect(members, choice if use_choice else None)]
             if out:
-                a, b, c = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([a, b, c], ["a", "b", "c"])
+                yield _batch(*zip(*out, strict=True))
 
     return linked
 
@@ -228,7 +265,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, list_limit: int = LIST_LIM
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     reached = components(link_fingerprints(nodes.select("fp"), list_limit)).withColumnRenamed("node", "fp")
     groups = nodes.join(reached, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("group"))
-    least = groups.groupBy("group").agg(F.min("node").alias("component_id"))
+    # Dealt once more, so that a group with a third of all fingerprints can be split where it meets its one row.
+    least = groups.groupBy("group").agg(F.min("node").alias("component_id")).repartition("component_id")
     labels = groups.join(least, "group").select("fp", "group", "component_id")
     return prints.join(labels, "fp").select("doc_id", "version", "fp", "group", "component_id")
 
@@ -255,6 +293,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     found = _grouped(docs, doc_id, text)
     unnamed = found.where("component_id is null").groupBy("group").agg(F.first("doc_id").alias("doc_id"), F.min("version").alias("version"))
     kept = found.where("component_id = doc_id").select("doc_id", "version").union(unnamed.select("doc_id", "version"))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
-    same = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__version"))
-    return docs.join(kept, same, "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"))
+    same = F.col("id").eqNullSafe(kept["doc_id"]) & (rows["version"] == kept["version"])
+    return rows.join(kept, same, "left_semi").select("row.*")
