@@ -11,10 +11,10 @@ from tideway.llm.runtime import cut
 def _met(links: DataFrame, least: DataFrame) -> DataFrame:
     """Each link with ``m`` of its node ``a``. A star's centre may be in a third of all links.
 
-    ``least`` is dealt by another key first: the join then has an exchange of its own on either side, and adaptive execution
+    ``least`` is dealt by a hash of its node first: the join then has an exchange of its own on either side, and adaptive execution
     can split a hot centre's links over tasks.
     """
-    return links.join(least.repartition("m"), "a")
+    return links.join(least.repartition(F.xxhash64("a")), "a")
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -266,7 +266,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, list_limit: int = LIST_LIM
     reached = components(link_fingerprints(nodes.select("fp"), list_limit)).withColumnRenamed("node", "fp")
     groups = nodes.join(reached, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("group"))
     # Dealt once more, so that a group with a third of all fingerprints can be split where it meets its one row.
-    least = groups.groupBy("group").agg(F.min("node").alias("component_id")).repartition("component_id")
+    least = groups.groupBy("group").agg(F.min("node").alias("component_id")).repartition(F.xxhash64("group"))
     labels = groups.join(least, "group").select("fp", "group", "component_id")
     return prints.join(labels, "fp").select("doc_id", "version", "fp", "group", "component_id")
 
