@@ -296,12 +296,33 @@ def check_packed(rows, total):
     assert len(sequences) == n
 
 
-def test_packing_without_broadcast(spark, odd):
+def test_packing_in_many_ranges(spark, odd):
     pieces = packing.token_pieces(odd)
-    got = packing.pack_pieces(pieces, salts=3, broadcast_runs=0).collect()
+    got = packing.pack_pieces(pieces, rows_per_task=9).collect()
     check_packed(got, sum(r["length"] for r in pieces.collect()))
 
 
+LENGTHS = {
+    "uniform": lambda r: r.integers(1, 1025, 4000),
+    "one length in a third of all": lambda r: np.concatenate((r.integers(1, 1025, 2000), np.full(1000, 300))),
+    "short": lambda r: r.integers(1, 60, 3000),
+    "long and short": lambda r: np.concatenate((np.full(600, 700), r.integers(20, 40, 5000))),
+    "ones": lambda r: np.ones(3000, dtype=int),
+    "whole": lambda r: np.full(50, 1024),
+    "one": lambda r: np.array([5]),
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+@pytest.mark.parametrize("rows_per_task", [100_000, 400])
+def test_packing_opens_as_few_sequences_as_one_at_a_time(spark, kind, rows_per_task):
+    lengths = LENGTHS[kind](np.random.default_rng(4)).tolist()
+    pieces = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "item long, length long, row string")
+    got = packing.pack_pieces(pieces, rows_per_task=rows_per_task).collect()
+    assert sorted(r["item"] for r in got) == list(range(len(lengths)))
+    check_packed(got, sum(lengths))
+
+
 def test_token_ids_equal_the_json_vocabulary(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

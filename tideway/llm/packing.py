@@ -1,25 +1,28 @@
-"""Best-fit packing of token pieces into sequences, in bulk rounds over length classes.
-
-Documents are encoded and cut where they lie. The pieces are range-sorted by length; since lengths are whole numbers up to the
-sequence's, both sorted sides of the match - pieces waiting and gaps open - have at most one class per length, and a
-sweep over the classes needs only their counts, however many pieces there are. A round takes the longest class still waiting and
-sweeps for its successor, the class of the smallest gaps that hold it. Conflicts are settled by rank: the
-first pieces of the class take the first gaps, each gap as many as it holds, and the rest go to the next successor or,
-where none is left, open new sequences. Then the gaps move to their new classes and the next round begins. What
-a round decides is a run of ranks and a run of sequences; pieces then find their run by their rank, distributed.
-
-This gives best-fit decreasing exactly. The plan's size depends on the sequence length alone (it is checked before it is
-broadcast; beyond the limit its runs are joined).
-
-Defined results: a null text counts as empty, an empty text is its end token alone; repeated rows are packed
-each; an empty table gives an empty result; extra input columns are not read.
+"""Bulk-synchronous best-fit packing of token pieces into sequences.
+
+Documents are encoded and cut where they lie. Pieces longer than half a sequence open one each; the rest wait, longest first. A
+round then works on all waiting pieces and all gaps at once:
+
+- both are range-sorted by size, gaps before pieces of the same size, and dealt to as many tasks as their number asks for;
+- each task sweeps its range from the largest size down: a gap goes on a stack, a piece takes the gap on top, its successor
+  (the smallest that is left among those that hold it), so larger pieces choose first;
+- what is left of every range, pieces and gaps, is matched across ranges by rank: the i-th piece of a range takes the i-th gap left
+  above it. The ranges' counts give these runs of ranks; a join carries them out;
+- gaps shrink by what they took, and the next round begins. A gap takes one piece a round, or as many of the longest as
+  it holds.
+
+When the longest piece fits no gap, the pieces of its class that fit none open sequences: classes are those of which the same number
+fits a sequence and, for short pieces, powers of two. The driver sees the number of pieces of each length and
+of every range, never rows. Each round ends in a checkpoint.
+
+Defined results: a null text counts as empty, an empty text is its end token alone; very long texts are encoded whole and cut;
+repeated rows are packed each; ties (pieces of one length) go by the pieces' running number; an empty table gives an empty result;
+extra input columns of documents, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,8 @@ from tideway.llm.runtime import columns, cut
 from tideway.llm.token_ids import BYTE_BPE, END_OF_DOCUMENT, document_ids
 
 SEQUENCE = 1024
-SALTS = 1024
-BROADCAST_RUNS = 1_000_000
+ROWS_PER_TASK = 100_000  # of pieces and gaps in a round
+HARMONIC = 8  # pieces longer than a sequence's eighth are classed by how many fit
 
 
 def piece_spans(length: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -68,93 +71,134 @@ def token_pieces(
     return rows.mapInArrow(cut_up, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan_rounds(waiting: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-    """Runs ``(length, first rank, pieces, first sequence, offset)`` from the number of pieces of each length.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range, largest size first. Adds ``seq``, the gap that a piece takes, and ranks of what is left.
 
-    The i-th piece of a run goes to the run's i-th sequence, at the offset.
+    A piece that is left has its ``place`` among those, longest first; a gap the place of its first slot, smallest gap first,
+    and the ``slots`` that it still has.
     """
-    gaps: dict[int, deque[tuple[int, int]]] = defaultdict(deque)  # by size: runs of sequences (first, number)
-    sizes: list[int] = []  # sizes that have gaps, ascending
-    runs: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def put(size: int, first: int, number: int) -> None:
-        if size and number:
-            if not gaps[size]:
-                bisect.insort(sizes, size)
-            gaps[size].append((first, number))
-
-    for length in sorted(waiting, reverse=True):
-        rank, left = 0, waiting[length]
-
-        def fill(size: int, first: int, number: int) -> None:
-            """As many pieces as each of the sequences holds, gap by gap; the last gets what is left."""
-            nonlocal rank, left
-            holds = size // length
-            full = min(number, left // holds)
-            for slot in range(holds if full else 0):
-                runs.append((length, rank, full, first, most - size + slot * length))
-                rank += full
-            left -= full * holds
-            put(size - holds * length, first, full)
-            if full < number and left:
-                for slot in range(left):
-                    runs.append((length, rank, 1, first + full, most - size + slot * length))
-                    rank += 1
-                put(size - left * length, first + full, 1)
-                left, full = 0, full + 1
-            put(size, first + full, number - full)
-
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, number = gaps[size].popleft()
-                if not gaps[size]:
-                    sizes.pop(at)
-                fill(size, first, number)
-            else:
-                number = -(-left // (most // length))
-                fill(most, opened, number)
-                opened += number
+    parts = [batch for batch in batches if batch.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    size, key, slots = (table.column(n).to_numpy() for n in ("size", "key", "slots"))
+    waiting = table.column("waiting").to_numpy(zero_copy_only=False)
+    took, left = np.full(len(size), -1), slots.copy()
+    stack: list[int] = []
+    for i in range(len(size)):
+        if not waiting[i]:
+            stack.append(i)
+        elif stack:
+            at = stack[-1]
+            took[i] = at
+            left[at] -= 1
+            if not left[at]:
+                stack.pop()
+    place = np.zeros(len(size), dtype=np.int64)
+    alone = waiting & (took < 0)
+    place[alone] = np.arange(alone.sum())
+    order = np.array(stack[::-1], dtype=np.intp)
+    place[order] = np.cumsum(left[order]) - left[order]
+    found = pa.array(np.where(took >= 0, key[took], 0), pa.int64(), mask=took < 0)
+    arrays = [table.column(n).combine_chunks() for n in ("part", "size", "key", "waiting")] + [pa.array(left), found, pa.array(place)]
+    yield pa.RecordBatch.from_arrays(arrays, ["part", "size", "key", "waiting", "slots", "seq", "place"])
+
+
+def _runs(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(range of pieces, first place, range of gaps, first slot, number) from (pieces left, slots left) of each range."""
+    stack: list[list[int]] = []  # (range, first slot, slots)
+    runs = []
+    for part in sorted(counts):
+        pieces, slots = counts[part]
+        done = 0
+        while done < pieces and stack:
+            top = stack[-1]
+            n = min(pieces - done, top[2])
+            runs.append((part, done, top[0], top[1], n))
+            done, top[1], top[2] = done + n, top[1] + n, top[2] - n
+            if not top[2]:
+                stack.pop()
+        if slots:
+            stack.append([part, 0, slots])
     return runs
 
 
-def _placed(runs: list[tuple[int, int, int, int, int]], names: list[str]):
-    table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
+def _across(swept: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """``(key, size, seq)``: pieces left by the sweeps with the gap of the same rank."""
+    rows = [(run, *r) for run, r in enumerate(runs)]  # at most twice the number of ranges
+    table = F.broadcast(swept.sparkSession.createDataFrame(rows, "run int, d_part int, d_from long, g_part int, g_from long, n long"))
+    pieces = swept.where("waiting and seq is null").join(table, F.expr("part = d_part and place >= d_from and place < d_from + n"))
+    pieces = pieces.select("run", (F.col("place") - F.col("d_from")).alias("i"), "key", "size")
+    gaps = swept.where("not waiting and slots > 0").join(table, F.expr("part = g_part and place < g_from + n and place + slots > g_from"))
+    last = F.least(F.col("place") + F.col("slots"), F.col("g_from") + F.col("n")) - 1
+    slots = gaps.select("run", F.col("key").alias("seq"), "g_from", F.explode(F.sequence(F.greatest("place", "g_from"), last)).alias("slot"))
+    return pieces.join(slots.select("run", (F.col("slot") - F.col("g_from")).alias("i"), "seq"), ["run", "i"]).select("key", "size", "seq")
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = (table[:, 0] << 44) | table[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("length", "rank"))
-            run = table[np.searchsorted(keys, (length << 44) | rank, side="right") - 1]
-            arrays = [batch.column(n) for n in names]
-            arrays += [pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "sequence_id", "offset"])
-
-    return placed
-
-
-def pack_pieces(pieces: DataFrame, most: int = SEQUENCE, salts: int = SALTS, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; needs ``length`` (1 to ``most``) and columns that tell rows apart."""
-    names = pieces.columns
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
-    salted = cut(salted)
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    waiting = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `most` rows
-    runs = plan_rounds(waiting, most)
-    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    turn = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*names))
-    ranked = salted.join(starts, ["length", "salt"]).withColumn("rank", F.col("first") + turn - 1).select(*names, "rank")
-    if len(runs) <= broadcast_runs:
-        fields = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-        return ranked.mapInArrow(_placed(runs, names), f"{fields}, sequence_id long, offset long")
-    spark = pieces.sparkSession
-    table = spark.createDataFrame(runs, "length long, from_rank long, n long, first_sequence long, offset long")
-    near = ranked.join(table, (ranked["length"] == table["length"]) & F.expr("rank >= from_rank and rank < from_rank + n"))
-    place = (F.col("first_sequence") + F.col("rank") - F.col("from_rank")).alias("sequence_id")
-    return near.select(*[ranked[n] for n in names], place, "offset")
+
+def _to_open(pieces: dict[int, int], longest: int, largest_gap: int, most: int) -> int:
+    """How many sequences open when the longest piece fits no gap: for the pieces of its class that fit none."""
+    fits = most // longest
+    least = max(most // (fits + 1) if fits < HARMONIC else longest // 2, largest_gap)
+    alone = {length: n for length, n in pieces.items() if length > least}
+    return -(-sum(alone.values()) // fits) if fits < HARMONIC else -(-sum(length * n for length, n in alone.items()) // most)
+
+
+def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``(item, seq)`` for every row ``(item, length)``; items are distinct numbers from 0, and ``seq`` tells sequences apart.
+
+    A sequence is named by the item that opened it or, if it was opened for many, by a number below 0.
+    """
+    spark = items.sparkSession
+    alone = F.col("length") > most // 2
+    placed = [items.where(alone).select("item", F.col("item").alias("seq"))]
+    pieces = items.where(~alone).select(F.col("item").alias("key"), F.col("length").cast("int").alias("size"))
+    gaps = items.where(alone & (F.col("length") < most)).select(F.col("item").alias("key"), (most - F.col("length")).cast("int").alias("size"))
+    opened = 0
+    while True:
+        sizes = pieces.select("size", F.lit(True).alias("waiting")).union(gaps.select("size", F.lit(False)))
+        counted = {(r["waiting"], r["size"]): r["n"] for r in sizes.groupBy("waiting", "size").agg(F.count("*").alias("n")).collect()}  # 2 * most rows at most
+        lengths = {size: n for (waiting, size), n in counted.items() if waiting}
+        if not lengths:
+            break
+        longest, shortest = max(lengths), min(lengths)
+        room = {size: n for (waiting, size), n in counted.items() if not waiting and size >= shortest}
+        if longest > max(room, default=0):
+            number = _to_open(lengths, longest, max(room, default=0), most)
+            new = spark.range(number).select((-F.col("id") - 1 - opened).alias("key"), F.lit(most).alias("size"))
+            gaps, opened = gaps.union(new), opened + number
+            room[most] = number
+        ranges = -(-(sum(lengths.values()) + sum(room.values())) // rows_per_task)
+        slots = F.greatest(F.lit(1), F.floor(F.col("size") / longest)).cast("long")
+        open_gaps = gaps.where(F.col("size") >= shortest).select("size", "key", F.lit(False).alias("waiting"), slots.alias("slots"))
+        both = pieces.select("size", "key", F.lit(True).alias("waiting"), F.lit(0).cast("long").alias("slots")).union(open_gaps)
+        order = [F.desc("size"), F.asc("waiting"), F.asc("key")]
+        ordered = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        swept = cut(ordered.mapInArrow(_sweep, "part int, size int, key long, waiting boolean, slots long, seq long, place long"))
+
+        left = swept.where("seq is null").groupBy("part").agg(F.count_if("waiting").alias("pieces"), F.sum("slots").alias("slots"))
+        runs = _runs({r["part"]: (r["pieces"], r["slots"]) for r in left.collect()})  # a row per range
+        matched = swept.where("seq is not null").select("key", "size", "seq")
+        pieces = swept.where("waiting and seq is null").select("key", "size")
+        if runs:
+            across = cut(_across(swept, runs))
+            matched = matched.union(across)
+            pieces = pieces.join(across.select("key"), "key", "left_anti")
+        placed.append(matched.select(F.col("key").alias("item"), "seq"))
+        changes = swept.where("not waiting").select("key", "size").union(matched.select(F.col("seq").alias("key"), -F.col("size")))
+        gaps = changes.groupBy("key").agg(F.sum("size").cast("int").alias("size")).where("size > 0")
+    found = placed[0]
+    for more in placed[1:]:
+        found = found.union(more)
+    return found
+
+
+def pack_pieces(pieces: DataFrame, most: int = SEQUENCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``; needs ``length`` (1 to ``most``). Within a sequence longer pieces come first."""
+    kept = cut(pieces.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("item")))
+    places = place_pieces(kept.select("item", "length"), most, rows_per_task)
+    before = Window.partitionBy("seq").orderBy(F.desc("length"), "item").rowsBetween(Window.unboundedPreceding, -1)  # at most `most` rows
+    found = kept.join(places, "item").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return found.select("row.*", F.col("seq").alias("sequence_id"), "offset")
 
 
 def pack_documents(
