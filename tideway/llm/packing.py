@@ -35,6 +35,7 @@ from tideway.llm.token_ids import BYTE_BPE, END_OF_DOCUMENT, document_ids
 
 SEQUENCE = 1024
 ROWS_PER_TASK = 100_000  # of pieces and gaps in a round
+MOST_RANGES = 20_000  # beyond, tasks get more rows
 HARMONIC = 8  # pieces longer than a sequence's eighth are classed by how many fit
 
 
@@ -123,7 +124,7 @@ def _runs(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int,
     return runs
 
 
-def _across(swept: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+def _across(swept: DataFrame, runs: list[tuple[int, int, int, int, int]], tasks: int) -> DataFrame:
     """``(key, size, seq)``: pieces left by the sweeps with the gap of the same rank."""
     rows = [(run, *r) for run, r in enumerate(runs)]  # at most twice the number of ranges
     table = F.broadcast(swept.sparkSession.createDataFrame(rows, "run int, d_part int, d_from long, g_part int, g_from long, n long"))
@@ -132,7 +133,8 @@ def _across(swept: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> Dat
     gaps = swept.where("not waiting and slots > 0").join(table, F.expr("part = g_part and place < g_from + n and place + slots > g_from"))
     last = F.least(F.col("place") + F.col("slots"), F.col("g_from") + F.col("n")) - 1
     slots = gaps.select("run", F.col("key").alias("seq"), "g_from", F.explode(F.sequence(F.greatest("place", "g_from"), last)).alias("slot"))
-    return pieces.join(slots.select("run", (F.col("slot") - F.col("g_from")).alias("i"), "seq"), ["run", "i"]).select("key", "size", "seq")
+    slots = slots.select("run", (F.col("slot") - F.col("g_from")).alias("i"), "seq").repartition(tasks, "run", "i")
+    return pieces.repartition(tasks, "run", "i").join(slots, ["run", "i"]).select("key", "size", "seq")
 
 
 def _to_open(pieces: dict[int, int], longest: int, largest_gap: int, most: int) -> int:
@@ -146,7 +148,8 @@ def _to_open(pieces: dict[int, int], longest: int, largest_gap: int, most: int)
 def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(item, seq)`` for every row ``(item, length)``; items are distinct numbers from 0, and ``seq`` tells sequences apart.
 
-    A sequence is named by the item that opened it or, if it was opened for many, by a number below 0.
+    A sequence is named by the item that opened it or, if it was opened for many, by a number below 0. A round's tables are dealt
+    to as many tasks as it has ranges, whatever the session's number of shuffle partitions, for late rounds are small.
     """
     spark = items.sparkSession
     alone = F.col("length") > most // 2
@@ -167,7 +170,7 @@ def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = RO
             new = spark.range(number).select((-F.col("id") - 1 - opened).alias("key"), F.lit(most).alias("size"))
             gaps, opened = gaps.union(new), opened + number
             room[most] = number
-        ranges = -(-(sum(lengths.values()) + sum(room.values())) // rows_per_task)
+        ranges = min(-(-(sum(lengths.values()) + sum(room.values())) // rows_per_task), MOST_RANGES)
         slots = F.greatest(F.lit(1), F.floor(F.col("size") / longest)).cast("long")
         open_gaps = gaps.where(F.col("size") >= shortest).select("size", "key", F.lit(False).alias("waiting"), slots.alias("slots"))
         both = pieces.select("size", "key", F.lit(True).alias("waiting"), F.lit(0).cast("long").alias("slots")).union(open_gaps)
@@ -180,12 +183,12 @@ def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = RO
         matched = swept.where("seq is not null").select("key", "size", "seq")
         pieces = swept.where("waiting and seq is null").select("key", "size")
         if runs:
-            across = cut(_across(swept, runs))
+            across = cut(_across(swept, runs, ranges))
             matched = matched.union(across)
-            pieces = pieces.join(across.select("key"), "key", "left_anti")
+            pieces = pieces.repartition(ranges, "key").join(across.select("key").repartition(ranges, "key"), "key", "left_anti")
         placed.append(matched.select(F.col("key").alias("item"), "seq"))
         changes = swept.where("not waiting").select("key", "size").union(matched.select(F.col("seq").alias("key"), -F.col("size")))
-        gaps = changes.groupBy("key").agg(F.sum("size").cast("int").alias("size")).where("size > 0")
+        gaps = changes.repartition(ranges, "key").groupBy("key").agg(F.sum("size").cast("int").alias("size")).where("size > 0")
     found = placed[0]
     for more in placed[1:]:
         found = found.union(more)
