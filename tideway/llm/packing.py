@@ -11,9 +11,9 @@ round then works on all waiting pieces and all gaps at once:
 - gaps shrink by what they took, and the next round begins. A gap takes one piece a round, or as many of the longest as
   it holds.
 
-When the longest piece fits no gap, the pieces of its class that fit none open sequences: classes are those of which the same number
-fits a sequence and, for short pieces, powers of two. The driver sees the number of pieces of each length and
-of every range, never rows. Each round ends in a checkpoint.
+Before a round, sequences open for those pieces of the longest's class that its sweeps will leave without a gap: classes are those of which
+the same number fits a sequence and, for short pieces, powers of two. The driver sees the number of pieces and gaps of each size and
+of what each range leaves, never rows. Each round ends in a checkpoint.
 
 Defined results: a null text counts as empty, an empty text is its end token alone; very long texts are encoded whole and cut;
 repeated rows are packed each; ties (pieces of one length) go by the pieces' running number; an empty table gives an empty result;
@@ -137,12 +137,22 @@ def _across(swept: DataFrame, runs: list[tuple[int, int, int, int, int]], tasks:
     return pieces.repartition(tasks, "run", "i").join(slots, ["run", "i"]).select("key", "size", "seq")
 
 
-def _to_open(pieces: dict[int, int], longest: int, largest_gap: int, most: int) -> int:
-    """How many sequences open when the longest piece fits no gap: for the pieces of its class that fit none."""
+def _to_open(lengths: dict[int, int], room: dict[int, int], most: int) -> int:
+    """How many sequences open before a round: for the pieces of the longest's class that its sweeps will leave, by the numbers of each size."""
+    longest = max(lengths)
     fits = most // longest
-    least = max(most // (fits + 1) if fits < HARMONIC else longest // 2, largest_gap)
-    alone = {length: n for length, n in pieces.items() if length > least}
-    return -(-sum(alone.values()) // fits) if fits < HARMONIC else -(-sum(length * n for length, n in alone.items()) // most)
+    least = most // (fits + 1) if fits < HARMONIC else longest // 2
+    slots = left = tokens = 0  # tokens: of the class's pieces beyond what the gaps have room for
+    for size in sorted({*lengths, *room}, reverse=True):
+        if size <= least:
+            break
+        gaps, pieces = room.get(size, 0), lengths.get(size, 0)
+        slots += gaps * max(1, size // longest)
+        taken = min(slots, pieces)
+        slots, left, tokens = slots - taken, left + pieces - taken, tokens + size * (pieces - gaps)
+    if fits < HARMONIC:
+        return -(-left // fits)
+    return max(tokens // most, 0 if longest <= max(room, default=0) else 1)
 
 
 def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -165,11 +175,9 @@ def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = RO
             break
         longest, shortest = max(lengths), min(lengths)
         room = {size: n for (waiting, size), n in counted.items() if not waiting and size >= shortest}
-        if longest > max(room, default=0):
-            number = _to_open(lengths, longest, max(room, default=0), most)
+        if number := _to_open(lengths, room, most):
             new = spark.range(number).select((-F.col("id") - 1 - opened).alias("key"), F.lit(most).alias("size"))
-            gaps, opened = gaps.union(new), opened + number
-            room[most] = number
+            gaps, opened, room[most] = gaps.union(new), opened + number, room.get(most, 0) + number
         ranges = min(-(-(sum(lengths.values()) + sum(room.values())) // rows_per_task), MOST_RANGES)
         slots = F.greatest(F.lit(1), F.floor(F.col("size") / longest)).cast("long")
         open_gaps = gaps.where(F.col("size") >= shortest).select("size", "key", F.lit(False).alias("waiting"), slots.alias("slots"))
