@@ -6,7 +6,8 @@ log-odds of holding main text. Decoding then chooses the best labelling in which
 kept and nothing kept lies below a rejected one: a dynamic programme over the tree.
 
 The trees are trained here, on pages made by ``layouts``: articles among menus, headers, footers, sidebars, notices, adverts, forms and
-comments, in many arrangements and namings, of meaningless words. Nothing is learned from the pages given.
+comments, in many arrangements and namings, of meaningless words. What an attribute's token (a word of a class, id, role or itemprop) says is learned
+there too, as the log-odds of main text in elements that bear it. Nothing is learned from the pages given.
 
 Defined results: a null or empty page has an empty text; markup that is not closed is closed where its parent ends; scripts,
 styles, comments, templates and the head are never text; an opening tag whose quotes never close ends at its first ">", and so do all tags
@@ -23,6 +24,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +57,6 @@ CLOSES_P = BLOCKS - {"label", "button", "select", "option", "textarea"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main aside nav header footer form body html select".split())
 
-# Tokens of class, id and role that name page parts.
-BOILERPLATE = frozenset(
-    "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner popup modal overlay nav navbar navigation menu breadcrumb "
-    "breadcrumbs header masthead logo footer foot bottom copyright sidebar side aside widget related recommended more share sharing social follow cookie "
-    "cookies consent gdpr notice alert warning newsletter subscribe signup login form search comment comments reply replies respond discussion disqus "
-    "pagination pager tags toolbar topbar skip paywall contentinfo complementary toc".split()
-)
-CONTENT = frozenset("article content post entry story text body main page articlebody paragraph prose read blog news".split())
 TAG_FLAGS = (
     {"article", "main"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"nav", "menu"}, {"header"}, {"footer"}, {"aside", "dialog"},
     {"form", "fieldset", "button", "select", "option", "textarea", "label", "search"}, {"ul", "ol", "li", "dl", "dt", "dd"},
@@ -174,8 +168,8 @@ class Page:
         flush()
 
 
-def node_features(page: Page) -> np.ndarray:
-    """One row per node; see the module's first lines."""
+def node_features(page: Page, odds: dict[str, float]) -> np.ndarray:
+    """One row per node; see the module's first lines. ``odds`` are those of attribute tokens; unknown ones say nothing."""
     n = len(page.tags)
     parents, tags = page.parents, page.tags
     own, punctuation, start = [0] * n, [0] * n, [0] * n
@@ -200,7 +194,7 @@ def node_features(page: Page) -> np.ndarray:
         child_chars[p] += chars[i]
     out = np.zeros((n, 24 + len(TAG_FLAGS)))
     depth, before, seen = [0] * n, 0, [0] * n
-    poor, good, outer, inner = [0] * n, [0] * n, [0] * n, [0] * n
+    poor, good, outer, inner = [0.0] * n, [0.0] * n, [0] * n, [0] * n
     position = 0
     runs = iter([*page.runs, (n, "")])
     at, text = next(runs)
@@ -211,7 +205,8 @@ def node_features(page: Page) -> np.ndarray:
             at, text = next(runs)
         p = parents[i]
         words = WORDS.findall(page.names[i]) if page.names[i] else ()
-        bad, fine = sum(w in BOILERPLATE for w in words), sum(w in CONTENT for w in words)
+        said = [odds[w] for w in words if w in odds]
+        bad, fine = -sum(x for x in said if x < 0), sum(x for x in said if x > 0)
         tag = tags[i]
         if p >= 0:
             depth[i] = depth[p] + 1
@@ -255,11 +250,18 @@ def decode(page: Page, odds: np.ndarray) -> list[bool]:
     return kept
 
 
-def extract(markups: list[str | None], trees: BoostedTrees) -> list[str]:
+class Extractor(NamedTuple):
+    """The trees, and the log-odds of attribute tokens that their features use."""
+
+    trees: BoostedTrees
+    odds: dict[str, float]
+
+
+def extract(markups: list[str | None], model: Extractor) -> list[str]:
     """Main texts of pages: kept blocks in page order, one to a line."""
     pages = [Page(m or "") for m in markups]
-    features = [node_features(p) for p in pages]
-    odds = trees.score(np.concatenate(features)) if features else np.zeros(0)
+    features = [node_features(p, model.odds) for p in pages]
+    odds = model.trees.score(np.concatenate(features)) if features else np.zeros(0)
     texts, at = [], 0
     for page in pages:
         kept = decode(page, odds[at : at + len(page.tags)])
@@ -297,41 +299,41 @@ def layouts(number: int, seed: int = 5) -> Iterator[str]:
 
     def menu() -> str:
         inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>"
-        return f"<nav>{inner}</nav>" if chance(0.6) else named(pick(("div", "ul", "nav")), "menu nav-bar navigation breadcrumbs topbar", inner)
+        return f"<nav>{inner}</nav>" if chance(0.6) else named(pick(("div", "ul", "nav")), "menu nav nav-bar navbar navigation breadcrumb breadcrumbs topbar toolbar toc pagination pager skip-links", inner)
 
     def advert() -> str:
         inner = words(3, 40) if chance(0.8) else f"<p>{words(5, 40)}</p>"
-        return named(pick(("div", "div", "aside", "section")), "ad ads advert sponsored promo banner ad-slot", inner)
+        return named(pick(("div", "div", "aside", "section")), "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner ad-slot", inner)
 
     def notice() -> str:
         inner = pick((f"<p>{words(8, 30)}</p>", words(8, 30))) + pick(("", f"<button>{words(1, 2)}</button>"))
-        return named(pick(("div", "section", "aside", "dialog")), "cookie-notice consent alert notice gdpr-banner newsletter paywall", inner)
+        return named(pick(("div", "section", "aside", "dialog")), "cookie-notice cookies consent alert warning notice gdpr gdpr-banner newsletter subscribe paywall popup modal overlay", inner)
 
     def form() -> str:
         inner = "".join(f"<label>{words(1, 4)}</label><input name='x'>" for _ in range(rng.randint(1, 3)))
         inner += pick(("", f"<p>{words(4, 20)}</p>", f"<select><option>{word()}</option><option>{word()}</option></select>"))
         form = f"<form>{inner}<button>{words(1, 2)}</button></form>"
-        return form if chance(0.6) else named("div", "signup newsletter search-box login contact-form", form)
+        return form if chance(0.6) else named("div", "signup newsletter subscribe search search-box login form contact-form", form)
 
     def sidebar() -> str:
         inner = pick((menu(), f"<h3>{words(1, 4)}</h3><p>{words(5, 40)}</p>", f"<h4>{words(1, 3)}</h4><ul>" + "".join(f"<li>{link()}</li>" for _ in range(5)) + "</ul>"))
-        return f"<aside>{inner}</aside>" if chance(0.5) else named("div", "sidebar side-column widget related recommended", inner)
+        return f"<aside>{inner}</aside>" if chance(0.5) else named("div", "sidebar side side-column aside widget related recommended more complementary", inner)
 
     def comments() -> str:
         inner = pick(("", f"<h3>{words(1, 3)}</h3>"))
         for _ in range(rng.randint(1, 6)):
             one = "".join(f"<p>{words(3, 60)}</p>" for _ in range(rng.randint(1, 2)))
             inner += pick((named("div", "comment reply comment-body", one), named("li", "comment reply", one), f"<article class='comment'>{one}</article>", one))
-        return named(pick(("section", "div", "div", "ol")), "comments replies discussion comment-list respond", inner)
+        return named(pick(("section", "div", "div", "ol")), "comments replies discussion comment-list respond disqus", inner)
 
     def footer() -> str:
         inner = pick((f"&copy; {word()}.example &middot; {words(3, 30)}", f"<p>&copy; {words(3, 30)}</p>", f"<p>{words(3, 20)}</p>" + menu()))
-        return f"<footer>{inner}</footer>" if chance(0.7) else named("div", "footer bottom copyright site-footer", inner)
+        return f"<footer>{inner}</footer>" if chance(0.7) else named("div", "footer foot bottom copyright site-footer contentinfo", inner)
 
     def header() -> str:
         inner = pick((f"<div class='logo'>{words(1, 3)}</div>", words(1, 4), f"<h1>{words(1, 3)}</h1>", f"<p>{words(2, 9)}</p>"))
         inner += pick(("", menu(), menu()))
-        return f"<header>{inner}</header>" if chance(0.6) else named("div", "header masthead site-header topbar", inner)
+        return f"<header>{inner}</header>" if chance(0.6) else named("div", "header masthead logo site-header topbar", inner)
 
     def paragraph() -> str:
         low, high = pick(((1, 6), (1, 3), (10, 40), (30, 120), (80, 250)))
@@ -356,7 +358,7 @@ def layouts(number: int, seed: int = 5) -> Iterator[str]:
         return f"<pre>{words(4, 30, MAIN)}</pre>"
 
     def share() -> str:
-        return named("div", "share social tags follow", "".join(link() for _ in range(rng.randint(2, 5))))
+        return named("div", "share sharing social tags follow", "".join(link() for _ in range(rng.randint(2, 5))))
 
     def article() -> str:
         parts = []
@@ -376,7 +378,7 @@ def layouts(number: int, seed: int = 5) -> Iterator[str]:
             return f"<main>{inner}</main>"
         if kind < 0.7:
             return f"<div>{inner}</div>"
-        return named(pick(("div", "section", "article", "div")), "content article-body post entry-content story main-text page-content post-body", inner)
+        return named(pick(("div", "section", "article", "div")), "content article article-body articlebody post entry entry-content story text main-text page-content post-body prose read blog news", inner)
 
     for _ in range(number):
         before = [f() for f, p in ((header, 0.4), (menu, 0.7), (notice, 0.2), (advert, 0.6), (form, 0.1), (sidebar, 0.2)) if chance(p)]
@@ -393,39 +395,48 @@ def layouts(number: int, seed: int = 5) -> Iterator[str]:
         yield f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{middle}{''.join(after)}{ending}"
 
 
-def training_rows(markups: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all nodes, and whether main text lies in them or below."""
-    x, y = [], []
-    for markup in markups:
-        page = Page(markup)
-        label = np.zeros(len(page.tags))
-        for node, text in page.runs:
-            if MAIN in text:
-                label[node] = 1
-        for i in range(len(label) - 1, 0, -1):
-            label[page.parents[i]] = max(label[page.parents[i]], label[i])
-        page.runs = [(node, text.replace(MAIN, "")) for node, text in page.runs]
-        x.append(node_features(page))
-        y.append(label)
-    return np.concatenate(x), np.concatenate(y)
+def labelled_page(markup: str) -> tuple[Page, np.ndarray]:
+    """A training page, and whether main text lies in each node or below."""
+    page = Page(markup)
+    label = np.zeros(len(page.tags))
+    for node, text in page.runs:
+        if MAIN in text:
+            label[node] = 1
+    for i in range(len(label) - 1, 0, -1):
+        label[page.parents[i]] = max(label[page.parents[i]], label[i])
+    page.runs = [(node, text.replace(MAIN, "")) for node, text in page.runs]
+    return page, label
+
+
+def token_odds(pages: list[tuple[Page, np.ndarray]], least: int = 3) -> dict[str, float]:
+    """Log-odds of main text in elements that bear a token, for tokens that occur ``least`` times."""
+    counts: dict[str, list[int]] = defaultdict(lambda: [1, 1])
+    for page, label in pages:
+        for names, kind in zip(page.names, label, strict=True):
+            for word in set(WORDS.findall(names)):
+                counts[word][int(kind)] += 1
+    return {word: math.log(kept / dropped) for word, (dropped, kept) in counts.items() if kept + dropped >= least + 2}
 
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 800
 
 
 @functools.lru_cache(maxsize=2)
-def trained(number: int = TRAINING_PAGES, seed: int = 5) -> BoostedTrees:
-    return BoostedTrees().fit(*training_rows(layouts(number, seed)))
+def trained(number: int = TRAINING_PAGES, seed: int = 5) -> Extractor:
+    pages = [labelled_page(markup) for markup in layouts(number, seed)]
+    odds = token_odds(pages)
+    features = np.concatenate([node_features(page, odds) for page, _ in pages])
+    return Extractor(BoostedTrees().fit(features, np.concatenate([label for _, label in pages])), odds)
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", trees: BoostedTrees | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", model: Extractor | None = None) -> DataFrame:
     """Every row of ``pages``: ``page_id, url, text, n_chars``."""
     kind = pages.schema[page_id].dataType.simpleString()
-    trees = trees or trained()
+    model = model or trained()
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 200):
-            texts = extract(columns(batch, "html")[0], trees)
+            texts = extract(columns(batch, "html")[0], model)
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
