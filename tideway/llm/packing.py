@@ -5,15 +5,15 @@ round then works on all waiting pieces and all gaps at once:
 
 - both are range-sorted by size, gaps before pieces of the same size, and dealt to as many tasks as their number asks for;
 - each task sweeps its range from the largest size down: a gap goes on a stack, a piece takes the gap on top, its successor
-  (the smallest that is left among those that hold it), so larger pieces choose first;
-- what is left of every range, pieces and gaps, is matched across ranges by rank: the i-th piece of a range takes the i-th gap left
-  above it. The ranges' counts give these runs of ranks; a join carries them out;
-- gaps shrink by what they took, and the next round begins. A gap takes one piece a round, or as many of the longest as
-  it holds.
+  (the smallest that is left among those that hold it), so larger pieces choose first. What is left of the gap returns to the sweep at its new size.
+  In the first range a piece without a gap has none anywhere, and opens a sequence;
+- what is left of every range, pieces and gaps, is matched across ranges by rank: the i-th piece of a range takes the i-th place
+  left above it. The ranges' counts give these runs of ranks; a join carries them out;
+- gaps shrink by what they took, and the next round begins.
 
-Before a round, sequences open for those pieces of the longest's class that its sweeps will leave without a gap: classes are those of which
-the same number fits a sequence and, for short pieces, powers of two. The driver sees the number of pieces and gaps of each size and
-of what each range leaves, never rows. Each round ends in a checkpoint.
+Where there are several ranges, sequences open before a round for those pieces of the longest's class that its sweeps will leave without a gap: classes
+are those of which the same number fits a sequence and, for short pieces, powers of two. The driver sees the number of pieces and gaps of
+each size and of what each range leaves, never rows. Each round ends in a checkpoint.
 
 Defined results: a null text counts as empty, an empty text is its end token alone; very long texts are encoded whole and cut;
 repeated rows are packed each; ties (pieces of one length) go by the pieces' running number; an empty table gives an empty result;
@@ -22,6 +22,7 @@ extra input columns of documents, whatever their names, are not read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from tideway.llm.runtime import columns, cut
 from tideway.llm.token_ids import BYTE_BPE, END_OF_DOCUMENT, document_ids
 
 SEQUENCE = 1024
-ROWS_PER_TASK = 100_000  # of pieces and gaps in a round
+ROWS_PER_TASK = 50_000  # of pieces and gaps in a round
 MOST_RANGES = 20_000  # beyond, tasks get more rows
 HARMONIC = 8  # pieces longer than a sequence's eighth are classed by how many fit
 
@@ -72,37 +73,64 @@ def token_pieces(
     return rows.mapInArrow(cut_up, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range, largest size first. Adds ``seq``, the gap that a piece takes, and ranks of what is left.
+def _sweep(most: int, longest: int):
+    """Sweep of one range (part, size, key, waiting), largest size first.
 
-    A piece that is left has its ``place`` among those, longest first; a gap the place of its first slot, smallest gap first,
-    and the ``slots`` that it still has.
+    Gives pieces with ``seq``, the sequence that each takes, or ``place``, its rank among those left, longest first; and gaps with their new
+    size, the ``slots`` that they still offer to lower ranges, and the place of the first of these, smallest gap first.
     """
-    parts = [batch for batch in batches if batch.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    size, key, slots = (table.column(n).to_numpy() for n in ("size", "key", "slots"))
-    waiting = table.column("waiting").to_numpy(zero_copy_only=False)
-    took, left = np.full(len(size), -1), slots.copy()
-    stack: list[int] = []
-    for i in range(len(size)):
-        if not waiting[i]:
-            stack.append(i)
-        elif stack:
-            at = stack[-1]
-            took[i] = at
-            left[at] -= 1
-            if not left[at]:
-                stack.pop()
-    place = np.zeros(len(size), dtype=np.int64)
-    alone = waiting & (took < 0)
-    place[alone] = np.arange(alone.sum())
-    order = np.array(stack[::-1], dtype=np.intp)
-    place[order] = np.cumsum(left[order]) - left[order]
-    found = pa.array(np.where(took >= 0, key[took], 0), pa.int64(), mask=took < 0)
-    arrays = [table.column(n).combine_chunks() for n in ("part", "size", "key", "waiting")] + [pa.array(left), found, pa.array(place)]
-    yield pa.RecordBatch.from_arrays(arrays, ["part", "size", "key", "waiting", "slots", "seq", "place"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        part, size, key, waiting = (table.column(n).to_pylist() for n in ("part", "size", "key", "waiting"))
+        first, lowest = part[0] == 0, size[-1]
+        names, room = [], []  # of gaps
+        stack: list[int] = []  # gaps of at least the sweep's size, the smallest on top
+        later: list[tuple[int, int]] = []  # gaps that the sweep has yet to come down to
+        pieces: list[tuple[int, int, int | None, int]] = []
+        alone = 0
+        for now, name, waits in zip(size, key, waiting, strict=True):
+            while later and -later[0][0] >= now:
+                stack.append(heapq.heappop(later)[1])
+            if not waits:
+                names.append(name)
+                room.append(now)
+                stack.append(len(room) - 1)
+                continue
+            if stack:
+                at = stack.pop()
+            elif first:
+                at = len(room)
+                names.append(name)
+                room.append(most)
+            else:
+                pieces.append((now, name, None, alone))
+                alone += 1
+                continue
+            pieces.append((now, name, names[at], 0))
+            room[at] -= now
+            if room[at] >= now:
+                stack.append(at)
+            elif room[at]:
+                heapq.heappush(later, (-room[at], at))
+        while later and -later[0][0] >= lowest:
+            stack.append(heapq.heappop(later)[1])
+        places, total = {}, 0
+        for at in reversed(stack):
+            places[at] = total
+            total += max(1, room[at] // longest)
+        rows = [(now, name, True, 0, seq, place) for now, name, seq, place in pieces]
+        rows += [(left, name, False, max(1, left // longest) if at in places else 0, None, places.get(at, 0)) for at, (left, name) in enumerate(zip(room, names, strict=True)) if left]
+        arrays = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(_SWEPT)[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([part[0]] * len(rows), pa.int32()), *arrays], schema=_SWEPT)
+
+    return sweep
+
+
+_SWEPT = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("waiting", pa.bool_()), ("slots", pa.int64()), ("seq", pa.int64()), ("place", pa.int64())])
 
 
 def _runs(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -158,7 +186,7 @@ def _to_open(lengths: dict[int, int], room: dict[int, int], most: int) -> int:
 def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(item, seq)`` for every row ``(item, length)``; items are distinct numbers from 0, and ``seq`` tells sequences apart.
 
-    A sequence is named by the item that opened it or, if it was opened for many, by a number below 0. A round's tables are dealt
+    A sequence is named by the item that opened it or, if it was opened before a round, by a number below 0. A round's tables are dealt
     to as many tasks as it has ranges, whatever the session's number of shuffle partitions, for late rounds are small.
     """
     spark = items.sparkSession
@@ -175,28 +203,26 @@ def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = RO
             break
         longest, shortest = max(lengths), min(lengths)
         room = {size: n for (waiting, size), n in counted.items() if not waiting and size >= shortest}
-        if number := _to_open(lengths, room, most):
-            new = spark.range(number).select((-F.col("id") - 1 - opened).alias("key"), F.lit(most).alias("size"))
-            gaps, opened, room[most] = gaps.union(new), opened + number, room.get(most, 0) + number
         ranges = min(-(-(sum(lengths.values()) + sum(room.values())) // rows_per_task), MOST_RANGES)
-        slots = F.greatest(F.lit(1), F.floor(F.col("size") / longest)).cast("long")
-        open_gaps = gaps.where(F.col("size") >= shortest).select("size", "key", F.lit(False).alias("waiting"), slots.alias("slots"))
-        both = pieces.select("size", "key", F.lit(True).alias("waiting"), F.lit(0).cast("long").alias("slots")).union(open_gaps)
+        if ranges > 1 and (number := _to_open(lengths, room, most)):
+            new = spark.range(number).select((-F.col("id") - 1 - opened).alias("key"), F.lit(most).alias("size"))
+            gaps, opened = gaps.union(new), opened + number
+        both = pieces.select("size", "key", F.lit(True).alias("waiting")).union(gaps.where(F.col("size") >= shortest).select("size", "key", F.lit(False)))
         order = [F.desc("size"), F.asc("waiting"), F.asc("key")]
         ordered = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-        swept = cut(ordered.mapInArrow(_sweep, "part int, size int, key long, waiting boolean, slots long, seq long, place long"))
+        swept = cut(ordered.mapInArrow(_sweep(most, longest), "part int, size int, key long, waiting boolean, slots long, seq long, place long"))
 
         left = swept.where("seq is null").groupBy("part").agg(F.count_if("waiting").alias("pieces"), F.sum("slots").alias("slots"))
         runs = _runs({r["part"]: (r["pieces"], r["slots"]) for r in left.collect()})  # a row per range
-        matched = swept.where("seq is not null").select("key", "size", "seq")
+        placed.append(swept.where("seq is not null").select(F.col("key").alias("item"), "seq"))
         pieces = swept.where("waiting and seq is null").select("key", "size")
+        gaps = swept.where("not waiting").select("key", "size")
         if runs:
             across = cut(_across(swept, runs, ranges))
-            matched = matched.union(across)
+            placed.append(across.select(F.col("key").alias("item"), "seq"))
             pieces = pieces.repartition(ranges, "key").join(across.select("key").repartition(ranges, "key"), "key", "left_anti")
-        placed.append(matched.select(F.col("key").alias("item"), "seq"))
-        changes = swept.where("not waiting").select("key", "size").union(matched.select(F.col("seq").alias("key"), -F.col("size")))
-        gaps = changes.repartition(ranges, "key").groupBy("key").agg(F.sum("size").cast("int").alias("size")).where("size > 0")
+            changes = gaps.union(across.select(F.col("seq").alias("key"), -F.col("size")))
+            gaps = changes.repartition(ranges, "key").groupBy("key").agg(F.sum("size").cast("int").alias("size"))
     found = placed[0]
     for more in placed[1:]:
         found = found.union(more)
