@@ -179,6 +179,36 @@ def test_contrastive_score_without_positives(spark, sf):
     assert embeddings.contrastive_score(rows).first()["score"] == 0.0
 
 
+def test_more_prototypes_than_are_broadcast(spark, sf):
+    rows = labelled_vectors(spark, sf)
+    protos = embeddings.prototypes(rows.where("id % 3 = 0"))
+    few, many = (embeddings.nearest_prototype(rows, protos, most=most).select("id", "pred", F.round("sim", 9)).orderBy("id").collect() for most in (100, 2))
+    assert few == many and len(few) == rows.count()
+    whole, parts = (embeddings.prototype_entropy(rows, protos, most=most, block=block).first()["score"] for most, block in ((100, 2048), (2, 3)))
+    assert whole == pytest.approx(parts)
+
+
+def test_scores_in_parts_of_blocks(spark, sf):
+    rows = labelled_vectors(spark, sf)
+    assert embeddings.margin_score(rows).first()["score"] == pytest.approx(embeddings.margin_score(rows, most=5).first()["score"])
+
+
+def test_leave_one_group_out_against_a_loop(spark, sf):
+    rows = labelled_vectors(spark, sf).withColumn("app", F.when(F.col("id") < 60, 1).otherwise(F.col("app")))
+    data = rows.collect()
+    z = {r["id"]: np.array(r["z"], dtype=float) / np.linalg.norm(r["z"]) for r in data}
+    found = {r["id"]: r["pred"] for r in embeddings.leave_one_group_out(rows).collect()}
+    assert set(found) == {r["id"] for r in data}
+    for app in {r["app"] for r in data}:
+        protos = {}
+        for label in sorted({r["label"] for r in data if r["app"] != app}):
+            mean = np.mean([z[r["id"]] for r in data if r["app"] != app and r["label"] == label], axis=0)
+            protos[label] = mean / np.linalg.norm(mean)
+        for r in data:
+            if r["app"] == app:
+                assert found[r["id"]] == max(protos, key=lambda k: (protos[k] @ z[r["id"]], -k))
+
+
 def test_trusted_updates_against_a_loop(spark, sf):
     rows = labelled_vectors(spark, sf)
     start = memory.bootstrap(rows.where("id % 10 = 0 and label <> 3"), spark.range(11).select(F.col("id").alias("label")))

@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 SERVICES = ("streaming", "gaming", "conferencing", "bulk_transfer", "browsing", "xr_interactive", "iot_security", "unknown")
 CONDITIONS = ("good", "moderate", "degraded", "bad", "unknown")
 APPS_OF_SERVICE = {
-    "streaming": "youtube youtube_live netflix prime_video primevideo amazon_prime twitch naver_now afreecatv crave video_streaming streaming",
-    "gaming": "valorant val league_of_legends lol teamfight_tactics tft roblox minecraft battleground geforce_now kt_gamebox fortnite "
-    "forza_horizon_5 mortal_kombat_11 cloud_gaming gaming",
-    "conferencing": "zoom teams google_meet discord voip conferencing",
-    "bulk_transfer": "download file_download ftp bulk bulk_transfer",
-    "browsing": "web web_browsing browsing",
-    "xr_interactive": "vr ar xr metaverse zepeto cloud_vr vr_video xr_interactive",
-    "iot_security": "benign ddos dos recon web_attack bruteforce brute_force spoofing mirai",
-}
+    "streaming": (
+        "youtube", "youtube_live", "netflix", "prime_video", "primevideo", "amazon_prime", "twitch", "naver_now", "afreecatv", "crave", "video_streaming", "streaming",
+    ),
+    "gaming": (
+        "valorant", "val", "league_of_legends", "lol", "teamfight_tactics", "tft", "roblox", "minecraft", "battleground", "geforce_now", "kt_gamebox", "fortnite",
+        "forza_horizon_5", "mortal_kombat_11", "cloud_gaming", "gaming",
+    ),
+    "conferencing": ("zoom", "teams", "google_meet", "discord", "voip", "conferencing"),
+    "bulk_transfer": ("download", "file_download", "ftp", "bulk", "bulk_transfer"),
+    "browsing": ("web", "web_browsing", "browsing"),
+    "xr_interactive": ("vr", "ar", "xr", "metaverse", "zepeto", "cloud_vr", "vr_video", "xr_interactive"),
+    "iot_security": ("benign", "ddos", "dos", "recon", "web_attack", "bruteforce", "brute_force", "spoofing", "mirai"),
+}
 ALIASES = {
     "yt": "youtube",
     "prime": "prime_video",
@@ -35,22 +39,29 @@ SERVICE_OF_CATEGORY = {
     "games": "gaming",
     "videoconferencing": "conferencing",
     "file_sharing": "bulk_transfer",
-    **dict.fromkeys(
-        "search social blogs_news e_commerce mail advertising authentication_services analytics_telemetry information_systems "
-        "instant_messaging other_services_and_apis antivirus".split(),
-        "browsing",
-    ),
+    "search": "browsing",
+    "social": "browsing",
+    "blogs_news": "browsing",
+    "e_commerce": "browsing",
+    "mail": "browsing",
+    "advertising": "browsing",
+    "authentication_services": "browsing",
+    "analytics_telemetry": "browsing",
+    "information_systems": "browsing",
+    "instant_messaging": "browsing",
+    "other_services_and_apis": "browsing",
+    "antivirus": "browsing",
 }
 PATH_TOKENS = (
-    "youtube_live youtube netflix amazon_prime zoom ms_teams google_meet roblox zepeto battleground teamfight_tactics geforce_now "
-    "kt_gamebox naver_now afreecatv"
-).split()
+    "youtube_live", "youtube", "netflix", "amazon_prime", "zoom", "ms_teams", "google_meet", "roblox", "zepeto", "battleground", "teamfight_tactics", "geforce_now",
+    "kt_gamebox", "naver_now", "afreecatv",
+)
 UDP_NAMES, TCP_NAMES = ("udp", "quic", "dns", "rtp", "17"), ("tcp", "tls", "ssl", "http", "https", "6")
 UDP, TCP = 17, 6
 PRIVATE_PREFIXES = ("10.", "192.168.", "172.16.", "172.17.", "172.18.", "172.19.", "172.2", "172.30.", "172.31.")
 RTT_LIMITS, JITTER_LIMITS, LOSS_LIMITS = (80.0, 180.0), (25.0,), (0.01, 0.04)
 
-SERVICE_OF_APP = {app: service for service, apps in APPS_OF_SERVICE.items() for app in apps.split()}
+SERVICE_OF_APP = {app: service for service, apps in APPS_OF_SERVICE.items() for app in apps}
 
 
 def _column(c: Column | str) -> Column:

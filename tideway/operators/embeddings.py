@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tideway.functions.labels import let
 from tideway.operators.features import unit
+from tideway.storage import kept
 
+MOST_BROADCAST = 4_096  # prototypes
 BLOCK_TRAIN, BLOCK_TEST = 16_384, 2_048
 
 # The temperature of both softmax scores, and the margin score's target for equal pairs and bound for different ones.
@@ -93,8 +95,8 @@ def knn(train: DataFrame, test: DataFrame, k: int = 5, block_train: int = BLOCK_
 
     Both sides are dealt into blocks; each pair of blocks is one matrix product that returns k rows a test row.
     """
-    a = train.select(F.col("id").cast("long"), F.col("label").cast("long"), unit(F.col("z")).alias("z"))
-    b = test.select(F.col("id").cast("long").alias("test_id"), unit(F.col("z")).alias("z"))
+    a = kept(train.select(F.col("id").cast("long"), F.col("label").cast("long"), unit(F.col("z")).alias("z")))
+    b = kept(test.select(F.col("id").cast("long").alias("test_id"), unit(F.col("z")).alias("z")))
     found = _grid(a, b, "id", "test_id", block_train, block_test).applyInArrow(_top(k), "test_id long, train_id long, label long, sim double")
     rank = F.row_number().over(Window.partitionBy("test_id").orderBy(F.desc("sim"), "train_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -113,11 +115,26 @@ def prototypes(rows: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame
     return found.select(*keys, unit(F.transform("a", lambda p: p["x"])).alias("proto"), "n")
 
 
-def nearest_prototype(rows: DataFrame, protos: DataFrame) -> DataFrame:
-    """Adds ``pred`` and ``sim``: the most similar prototype (one row per class), ties to the smallest label."""
-    table = protos.agg(F.collect_list(F.struct("label", "proto")).alias("protos"))  # one row: classes are a vocabulary
-    scored = rows.join(F.broadcast(table), F.lit(True)).withColumn("__best", _best())
-    return scored.withColumns({"pred": -F.col("__best")["minus"], "sim": F.col("__best")["sim"]}).drop("protos", "__best")
+def _one_row(protos: DataFrame, most: int) -> DataFrame | None:
+    """All prototypes in one row, to be broadcast; None if there are more than ``most``."""
+    few = protos.limit(most + 1).count() <= most
+    return F.broadcast(protos.agg(F.collect_list(F.struct("label", "proto")).alias("protos"))) if few else None
+
+
+def nearest_prototype(rows: DataFrame, protos: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Adds ``pred`` and ``sim``: the most similar prototype (one row per class), ties to the smallest label.
+
+    Up to ``most`` classes are broadcast; more are met in blocks, as matrix products.
+    """
+    protos = kept(protos.select(F.col("label").cast("long").alias("label"), "proto"))
+    table = _one_row(protos, most)
+    if table is not None:
+        scored = rows.join(table, F.lit(True)).withColumn("__best", _best())
+        return scored.withColumns({"pred": -F.col("__best")["minus"], "sim": F.col("__best")["sim"]}).drop("protos", "__best")
+    numbered = kept(rows.withColumn("__row", F.monotonically_increasing_id()))
+    near = knn(protos.select(F.col("label").alias("id"), "label", F.col("proto").alias("z")), numbered.select(F.col("__row").alias("id"), "z"), 1)
+    near = near.select(F.col("test_id").alias("__row"), F.col("label").alias("pred"), "sim")
+    return numbered.join(near, "__row", "left").drop("__row")
 
 
 def _best() -> Column:
@@ -129,21 +146,35 @@ def _best() -> Column:
     return let(unit(F.col("z")), among)
 
 
-def leave_one_group_out(rows: DataFrame, group: str = "app") -> DataFrame:
+def leave_one_group_out(rows: DataFrame, group: str = "app", most: int = MOST_BROADCAST) -> DataFrame:
     """``(id, label, group, pred)``: each row's nearest prototype of all other groups' rows.
 
-    One pass: the sums of a class less those of the class within the held-out group. Rows that no prototype serves are left out.
+    The sums of a class are one array; a group subtracts its own from them, in its one row. Rows that no prototype serves are left out.
     """
     inside = component_sums(rows, [group, "label"])
-    total = inside.groupBy("label", "pos").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    groups = rows.select(group).distinct()
-    every = total.join(groups, F.lit(True))  # a row per class, component and group
-    left = every.join(inside, [group, "label", "pos"], "left").withColumns(
-        {"s": F.col("ts") - F.coalesce("s", F.lit(0.0)), "n": F.col("tn") - F.coalesce("n", F.lit(0))}
-    )
-    protos = left.where("n > 0").groupBy(group, "label").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("x")))).alias("a"))
-    protos = protos.select(group, "label", unit(F.transform("a", lambda p: p["x"])).alias("proto"))
-    table = protos.groupBy(group).agg(F.collect_list(F.struct("label", "proto")).alias("protos"))
+    total = inside.groupBy("label", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+    def arrays(sums: DataFrame, *keys: str) -> DataFrame:
+        whole = F.array_sort(F.collect_list(F.struct("pos", "s")))
+        return sums.groupBy(*keys).agg(F.transform(whole, lambda p: p["s"]).alias("s"), F.max("n").alias("n"))
+
+    totals = kept(arrays(total, "label"))
+    few = totals.limit(most + 1).count() <= most
+    every = totals.agg(F.collect_list(F.struct("label", "s", "n")).alias("totals"))  # one row
+    own = arrays(inside, group, "label").groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("s", "n")))).alias("own"))
+    joined = own.join(F.broadcast(every) if few else every, F.lit(True))
+
+    def less(t: Column) -> Column:
+        def without(o: Column) -> Column:
+            n = t["n"] - F.coalesce(o["n"], F.lit(0))
+            s = F.when(o.isNull(), t["s"]).otherwise(F.zip_with(t["s"], o["s"], lambda x, y: x - y))
+            return F.when(n > 0, F.struct(t["label"].alias("label"), unit(F.transform(s, lambda x: x / n)).alias("proto")))
+
+        return let(F.try_element_at("own", t["label"]), without)
+
+    protos = joined.select(group, F.filter(F.transform("totals", less), lambda p: p.isNotNull()).alias("protos")).where(F.size("protos") > 0)
+    # Dealt by another key first, so that the join has exchanges of its own and a large group can be split.
+    table = protos.repartition(F.xxhash64(group))
     return rows.join(table, group).select("id", "label", group, (-_best()["minus"]).alias("pred"))
 
 
@@ -182,26 +213,64 @@ def cross_covariance_score(rows: DataFrame, a: str = "a", b: str = "b") -> DataF
     return xy.join(x, "i").join(y, "j").join(F.broadcast(n), F.lit(True)).agg(F.avg(covariance * covariance).alias("score"))  # n is one row
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Ordered pairs of different rows within a block, with their cosine; blocks bound their number."""
-    z = rows.select("block", "id", "label", unit(F.col("z")).alias("z"))
-    a, b = z.alias("a"), z.alias("b")
-    near = a.join(b, F.expr("a.block = b.block and a.id <> b.id"))
-    return near.select("a.block", "a.id", F.col("b.id").alias("other"), F.col("a.label").alias("label"), F.col("b.label").alias("other_label"), dot(F.col("a.z"), F.col("b.z")).alias("sim"))
+def _in_blocks(rows: DataFrame, function: Callable, schema: str, most: int) -> DataFrame:
+    """``function(key, left, right)`` for every pair of parts of at most about ``most`` rows of every block of ``rows``."""
+    z = kept(rows.select(F.col("block").cast("long").alias("block"), F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), unit(F.col("z")).alias("z")))
+    sizes = z.groupBy("block").agg(F.ceil(F.count("*") / most).alias("parts")).repartition(F.xxhash64("block"))
+    dealt = z.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+
+    def side(own: str, other: str):
+        renewed = [F.col(c).alias(c) for c in ("block", "id", "label", "z")]  # both sides come from one table
+        return dealt.select(*renewed, F.col("own").alias(own), every.alias(other)).groupBy("block", "l", "r")
+
+    left, right = side("l", "r"), side("r", "l")
+    return left.cogroup(right).applyInArrow(function, schema)
+
+
+def _product(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines of all pairs, whether their labels agree, and whether they are different rows."""
+    x, y = (np.array(side.column("z").to_pylist()) for side in (left, right))
+
+    def compared(name: str) -> np.ndarray:
+        return left.column(name).to_numpy()[:, None] == right.column(name).to_numpy()[None]
 
+    return x @ y.T, compared("label"), ~compared("id")
 
-def margin_score(rows: DataFrame, target: float = PAIR_TARGET, margin: float = PAIR_MARGIN) -> DataFrame:
+
+def margin_score(rows: DataFrame, target: float = PAIR_TARGET, margin: float = PAIR_MARGIN, most: int = BLOCK_TEST) -> DataFrame:
     """Mean squared shortfall of equal pairs plus mean squared excess of different pairs, within blocks: ``(score)``."""
-    pairs = _pairs(rows)
-    short, over = F.greatest(F.lit(0.0), target - F.col("sim")), F.greatest(F.lit(0.0), F.col("sim") - margin)
-    equal = F.col("label") == F.col("other_label")
-    return pairs.agg((F.coalesce(F.avg(F.when(equal, short * short)), F.lit(0.0)) + F.coalesce(F.avg(F.when(~equal, over * over)), F.lit(0.0))).alias("score"))
 
+    def sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["short", "n_short", "over", "n_over"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.float64())] * 4, names=names)
+        sim, equal, other = _product(left, right)
+        short, over = np.maximum(0.0, target - sim[equal & other]), np.maximum(0.0, sim[~equal & other] - margin)
+        found = ((short * short).sum(), len(short), (over * over).sum(), len(over))
+        return pa.table([pa.array([float(x)]) for x in found], names=names)
+
+    parts = _in_blocks(rows, sums, "short double, n_short double, over double, n_over double", most)
+
+    def mean(total: str, n: str) -> Column:
+        return F.coalesce(F.try_divide(F.sum(total), F.sum(n)), F.lit(0.0))
+
+    return parts.agg((mean("short", "n_short") + mean("over", "n_over")).alias("score"))
 
-def prototype_entropy(rows: DataFrame, protos: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
-    """Mean cross-entropy of the softmax over cosines with the prototypes: ``(score)``."""
-    table = protos.agg(F.collect_list(F.struct("label", "proto")).alias("protos"))  # one row: classes are a vocabulary
-    scored = rows.join(F.broadcast(table), F.lit(True))
+
+def prototype_entropy(rows: DataFrame, protos: DataFrame, temperature: float = TEMPERATURE, most: int = MOST_BROADCAST, block: int = BLOCK_TEST) -> DataFrame:
+    """Mean cross-entropy of the softmax over cosines with the prototypes: ``(score)``.
+
+    Up to ``most`` prototypes are broadcast; more are met in blocks, as matrix products.
+    """
+    protos = kept(protos.select(F.col("label").cast("long").alias("label"), "proto"))
+    table = _one_row(protos, most)
+    if table is None:
+        anchors = kept(rows.select(F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("label").cast("long").alias("label"), unit(F.col("z")).alias("z")))
+        classes = protos.select(F.col("label").alias("memory_id"), "label", F.col("proto").alias("z"))
+        terms = _merged(_grid(anchors, classes, "id", "memory_id", block, block).applyInArrow(_memory_terms(temperature), _TERM_FIELDS))
+        return terms.agg(F.avg(F.log("e") + F.col("top") - F.when(F.col("n") > 0, F.col("own"))).alias("score"))
+    scored = rows.join(table, F.lit(True))
 
     def logits(z: Column) -> Column:
         return F.transform("protos", lambda p: F.struct(p["label"].alias("label"), (dot(z, p["proto"]) / temperature).alias("v")))
@@ -215,6 +284,18 @@ def prototype_entropy(rows: DataFrame, protos: DataFrame, temperature: float = T
 
 
 _TERMS = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("top", pa.float64()), ("own", pa.float64()), ("n", pa.int64()), ("e", pa.float64())])
+_TERM_FIELDS = "block long, id long, top double, own double, n long, e double"
+
+
+def _terms(anchors: pa.Table, v: np.ndarray, equal: np.ndarray, other: np.ndarray) -> pa.Table:
+    """For each anchor with contrasts: the largest logit, the sum and number of those of its label, and the sum of exponentials below the largest."""
+    v = np.where(other, v, -np.inf)
+    some = other.any(axis=1)
+    v, equal = v[some], (equal & other)[some]
+    top = v.max(axis=1, initial=-np.inf)
+    made = (top, np.where(equal, v, 0).sum(axis=1), equal.sum(axis=1), np.exp(v - top[:, None]).sum(axis=1))
+    mask = pa.array(some)
+    return pa.table([anchors.column("block").filter(mask), anchors.column("id").filter(mask), *map(pa.array, made)], schema=_TERMS)
 
 
 def _memory_terms(temperature: float):
@@ -222,35 +303,39 @@ def _memory_terms(temperature: float):
         if not anchors.num_rows or not memory.num_rows:
             return _TERMS.empty_table()
         x, m = (np.array(side.column("z").to_pylist()) for side in (anchors, memory))
-        v = x @ m.T / temperature
         equal = anchors.column("label").to_numpy()[:, None] == memory.column("label").to_numpy()[None]
-        top = v.max(axis=1)
-        made = (top, np.where(equal, v, 0).sum(axis=1), equal.sum(axis=1), np.exp(v - top[:, None]).sum(axis=1))
-        return pa.table([anchors.column("block"), anchors.column("id"), *map(pa.array, made)], schema=_TERMS)
+        return _terms(anchors, x @ m.T / temperature, equal, np.ones_like(equal))
 
     return terms
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    """One row an anchor from its terms of all blocks."""
+    highest = F.array_max(F.transform("parts", lambda p: p["top"]))
+    summed = let(highest, lambda top: F.struct(top.alias("top"), F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["e"] * F.exp(p["top"] - top)).alias("e")))
+    terms = parts.groupBy("block", "id").agg(F.collect_list(F.struct("top", "e")).alias("parts"), F.sum("own").alias("own"), F.sum("n").alias("n"))
+    return terms.select("own", "n", summed.alias("all")).select("own", "n", "all.*")
+
+
 def contrastive_score(
     rows: DataFrame, temperature: float = TEMPERATURE, memory: DataFrame | None = None, memory_id: str = "id", block: int = BLOCK_TEST
 ) -> DataFrame:
     """Supervised contrastive score within blocks: mean over anchors with a positive of -mean log-softmax over them: ``(score)``.
 
-    Rows of ``memory`` ``(memory_id, label, z)`` are further contrasts of every anchor, and positives where labels agree; an anchor meets
-    them in blocks, as matrix products that return one row an anchor. Without a positive for any anchor the score is 0.
+    Rows of ``memory`` ``(memory_id, label, z)`` are further contrasts of every anchor, and positives where labels agree. Anchors meet
+    all contrasts in blocks, as matrix products that return one row an anchor. Without a positive for any anchor the score is 0.
     """
-    pairs = _pairs(rows).withColumn("v", F.col("sim") / temperature)
-    equal = F.col("label") == F.col("other_label")
-    anchors = pairs.groupBy("block", "id").agg(F.max("v").alias("top"), F.sum(F.when(equal, F.col("v")).otherwise(0.0)).alias("own"), F.count_if(equal).alias("n"))
-    terms = pairs.join(anchors, ["block", "id"]).groupBy("block", "id").agg(
-        F.first("top").alias("top"), F.first("own").alias("own"), F.first("n").alias("n"), F.sum(F.exp(F.col("v") - F.col("top"))).alias("e")
-    )
+
+    def within(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _TERMS.empty_table()
+        sim, equal, other = _product(left, right)
+        return _terms(left, sim / temperature, equal, other)
+
+    parts = _in_blocks(rows, within, _TERM_FIELDS, block)
     if memory is not None:
-        own = rows.select(F.col("block").cast("long"), F.col("id").cast("long"), F.col("label").cast("long"), unit(F.col("z")).alias("z"))
-        kept = memory.select(F.col(memory_id).alias("memory_id"), F.col("label").cast("long"), unit(F.col("z")).alias("z"))
-        more = _grid(own, kept, "id", "memory_id", block, block).applyInArrow(_memory_terms(temperature), "block long, id long, top double, own double, n long, e double")
-        highest = F.array_max(F.transform("parts", lambda p: p["top"]))
-        summed = let(highest, lambda top: F.struct(top.alias("top"), F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["e"] * F.exp(p["top"] - top)).alias("e")))
-        terms = terms.unionByName(more).groupBy("block", "id").agg(F.collect_list(F.struct("top", "e")).alias("parts"), F.sum("own").alias("own"), F.sum("n").alias("n"))
-        terms = terms.select("own", "n", summed.alias("all")).select("own", "n", "all.*")
+        own = kept(rows.select(F.col("block").cast("long"), F.col("id").cast("long"), F.col("label").cast("long"), unit(F.col("z")).alias("z")))
+        held = kept(memory.select(F.col(memory_id).alias("memory_id"), F.col("label").cast("long"), unit(F.col("z")).alias("z")))
+        parts = parts.unionByName(_grid(own, held, "id", "memory_id", block, block).applyInArrow(_memory_terms(temperature), _TERM_FIELDS))
+    terms = _merged(parts)
     return terms.where("n > 0").agg(F.coalesce(F.avg(F.log("e") + F.col("top") - F.col("own") / F.col("n")), F.lit(0.0)).alias("score"))

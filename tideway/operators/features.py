@@ -46,9 +46,9 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
-def _column_sum(rows: Column, j: int, power: int = 1) -> Column:
-    """The sum of one column of an array of rows, or of its squares."""
-    return F.aggregate(rows, F.lit(0.0), lambda s, r: s + (r[j] if power == 1 else r[j] * r[j]))
+def _column_sum(rows: Column, j: int) -> Column:
+    """The sum of one column of an array of rows."""
+    return F.aggregate(rows, F.lit(0.0), lambda s, r: s + r[j])
 
 
 def _clip(x: Column, low: float, high: float) -> Column:
@@ -220,16 +220,20 @@ def flow_records(rows: DataFrame, row_id: str, noise: float = 0.03) -> DataFrame
 def pooled_vector(sequence: Column, series: Column, width: int = PACKET_WIDTH, conditions: int = NETWORK_WIDTH) -> Column:
     """Means and deviations of packet features and means of the network series, at unit length: an encoder without training."""
 
-    def moments(rows: Column, count: int, spread: bool) -> list[Column]:
+    def means(rows: Column, count: int) -> Column:
         n = F.greatest(F.size(rows), F.lit(1)).cast("double")
-        means = [_column_sum(rows, j) / n for j in range(count)]
-        if not spread:
-            return means
-        return means + [F.sqrt(F.greatest(_column_sum(rows, j, 2) / n - m * m, F.lit(0.0))) for j, m in enumerate(means)]
-
-    packets = let(sequence, lambda rows: F.array(*moments(rows, width, True)))
-    network = let(series, lambda rows: F.array(*moments(rows, conditions, False)))
-    return unit(F.concat(packets, network))
+        return F.array(*[_column_sum(rows, j) / n for j in range(count)])
+
+    def moments(rows: Column) -> Column:
+        n = F.greatest(F.size(rows), F.lit(1)).cast("double")
+
+        def with_spreads(m: Column) -> Column:
+            far = [F.aggregate(rows, F.lit(0.0), lambda s, r: s + (r[j] - m[j]) * (r[j] - m[j])) for j in range(width)]
+            return F.concat(m, F.array(*[F.sqrt(x / n) for x in far]))
+
+        return let(means(rows, width), with_spreads)
+
+    return unit(F.concat(let(sequence, moments), let(series, lambda rows: means(rows, conditions))))
 
 
 def unit(v: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideway.functions.labels import infer_condition, infer_service, normalize_label, service_from_category
-from tideway.functions.values import number_of, numeric, parse_ppi, text_of
+from tideway.functions.values import number_of, numeric, parse_ppi
+from tideway.operators.features import NAMES
 
 LABEL_COLUMNS = ["service", "app", "application", "traffic_type", "label", "Label", "class", "category"]
 MOST_IAT = 1_000_000.0
@@ -97,23 +98,18 @@ def detect_label_column(columns: list[str]) -> str:
     raise ValueError(f"no label column among {columns}")
 
 
-def resolve_labels(rows: DataFrame, label: str | None = None, app: str | None = None, service: str | None = None, condition: str | None = None) -> DataFrame:
-    """Adds ``app``, ``service`` and ``condition``: from their columns where given, else derived."""
+def resolve_labels(rows: DataFrame, label: str | None = None, app: str | None = None, service: str | None = None, condition: str = "condition") -> DataFrame:
+    """Adds ``app``, ``service`` and ``condition``: from their columns where given, else derived.
+
+    A column named ``condition`` is taken, normalised like other labels, where the table has it; rows without a value there get the derived one.
+    """
     app_label = normalize_label(F.col(f"`{app or label or detect_label_column(rows.columns)}`").cast("string"))
     own = normalize_label(F.col(f"`{service}`").cast("string")) if service else F.lit("unknown")
-    derived = infer_condition(
-        number_of(rows, ["rtt_ms", "rtt", "mean_rtt", "flow iat mean"], 35.0),
-        number_of(rows, ["jitter_ms", "jitter", "flow iat std"], 5.0),
-        number_of(rows, ["loss_rate", "packet_loss", "loss"], 0.0),
-    )
-    given = text_of(rows, [condition]) if condition else F.lit(None).cast("string")
-    return rows.withColumns(
-        {
-            "app": app_label,
-            "service": F.when(own == "unknown", infer_service(app_label)).otherwise(own),
-            "condition": F.coalesce(F.lower(F.trim(given)), derived),
-        }
-    )
+    derived = infer_condition(*(number_of(rows, *NAMES[n]) for n in ("rtt", "jitter", "loss")))
+    if condition in rows.columns:
+        given = F.col(f"`{condition}`").cast("string")
+        derived = F.when(given.isNotNull(), normalize_label(given)).otherwise(derived)
+    return rows.withColumns({"app": app_label, "service": F.when(own == "unknown", infer_service(app_label)).otherwise(own), "condition": derived})
 
 
 def run_summary(flows: DataFrame, labels: tuple[str, ...] = ("app", "service", "condition"), limit: int = 30) -> DataFrame:

@@ -38,26 +38,44 @@ def nearest(rows: DataFrame, protos: DataFrame) -> DataFrame:
     return found.withColumns({"pred": F.coalesce("pred", F.lit(0)), "sim": F.coalesce("sim", F.lit(0.0))})
 
 
+_MOVED = pa.schema([("label", pa.int64()), ("proto", pa.list_(pa.float64())), ("n", pa.int64()), ("updates", pa.int64())])
+
+
 def _fold(momentum: float):
+    def moved(proto: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The prototype after all rows, in order. Each step scales to length one, so steps do not commute."""
+        for z in rows:
+            proto = momentum * proto + (1 - momentum) * z
+            proto /= max(np.sqrt(proto @ proto), 1e-12)
+        return proto
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by label and order; holds one class's prototype at a time."""
-        label, proto, n, updates, done = None, None, 0, 0, []
+        """Rows sorted by label and order; holds one class's prototype and a batch at a time."""
+        label, proto, n, updates = None, None, 0, 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((label, proto.tolist(), n, updates), _MOVED, strict=True)], schema=_MOVED)
+
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["label"] != label:
+            if not batch.num_rows:
+                continue
+            labels = batch.column("label").to_numpy()
+            z = batch.column("z").flatten().to_numpy().reshape(batch.num_rows, -1)
+            starts = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+            for start, end in zip(starts, [*starts[1:], len(labels)], strict=True):
+                rows = z[start:end]
+                if labels[start] != label:
                     if label is not None:
-                        done.append((label, proto.tolist(), n, updates))
-                    label, n, updates = row["label"], row["n"], 0
-                    proto = np.array(row["proto"]) if row["proto"] else None
-                z = np.array(row["z"])
-                mixed = z if proto is None else momentum * proto + (1 - momentum) * z
-                proto = mixed / max(np.linalg.norm(mixed), 1e-12)
-                n, updates = n + 1, updates + 1
+                        yield row()
+                    label, n, updates = int(labels[start]), batch.column("n")[int(start)].as_py(), 0
+                    known = batch.column("proto")[int(start)].as_py()
+                    proto = np.array(known) if known else None
+                n, updates = n + len(rows), updates + len(rows)
+                if proto is None:
+                    proto, rows = rows[0] / max(np.linalg.norm(rows[0]), 1e-12), rows[1:]
+                proto = moved(proto, rows)
         if label is not None:
-            done.append((label, proto.tolist(), n, updates))
-        if done:
-            types = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], ["label", "proto", "n", "updates"])
+            yield row()
 
     return fold
 
@@ -66,7 +84,8 @@ def update_trusted(rows: DataFrame, protos: DataFrame, trust: float = TRUST, mom
     """``(label, proto, n, updates)`` after a batch of rows ``(label, seq, z)``.
 
     Nearest prototypes are those before the batch. A row moves its class's prototype if they agree at a similarity of ``trust``;
-    the first row of an empty class becomes its prototype, and the class's other rows wait for the next batch.
+    the first row of an empty class becomes its prototype, and the class's other rows wait for the next batch. A class's updates
+    follow one another, each from the last, so a class is one task; it holds one prototype, whatever the number of rows.
     """
     protos = protos.select(F.col("label").cast("long").alias("label"), "proto", F.col("n").cast("long").alias("n"))
     scored = nearest(rows.select(F.col("label").cast("long").alias("label"), F.col(order).alias("seq"), unit(F.col("z")).alias("z")), protos)

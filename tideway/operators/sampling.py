@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideway.functions.labels import stable_hash
+from tideway.storage import kept
 
 _STRETCHES = 12  # bits: the hash order of a group is dealt to this many tasks, as a power of two
 
@@ -59,11 +60,11 @@ def hash_split(rows: DataFrame, fraction: float, ids: list[str], seed: int = 42)
 
 def stratified_cap(rows: DataFrame, label: str, limit: int, ids: list[str], seed: int = 42) -> DataFrame:
     """At most ``limit`` rows: an equal number per label, topped up at random from the rest, cut in label order."""
-    by_label = ranked(rows, [label], stable_hash(F.lit(seed), *map(F.col, ids)), ids)
     sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
     total, labels = sizes.agg(F.sum("n"), F.count("*")).first()
     if not total or total <= limit:
         return rows
+    by_label = kept(ranked(rows, [label], stable_hash(F.lit(seed), *map(F.col, ids)), ids))  # read twice
     each = max(1, limit // labels)
     first = by_label.where(F.col("rank") <= each)
     missing = limit - (sizes.agg(F.sum(F.least("n", F.lit(each)))).first()[0] or 0)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.functions.labels import protocol_number
@@ -17,12 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares for checkpoints; a temporary one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{configured or tempfile.mkdtemp(prefix='tideway-')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as packets of one file per user: ``(file, seq, ts, length, direction, protocol)``."""
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
@@ -58,14 +49,28 @@ def line_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as exported flows, whose series are their lines; orders without lines have an empty one."""
+def order_category() -> Column:
+    """The category of an order's flow, by its priority."""
+    kinds = {"1-URGENT": "Streaming Media", "2-HIGH": "games", "3-MEDIUM": "videoconferencing", "4-NOT SPECIFIED": "file-sharing", "5-LOW": "search"}
+    category = F.lit(None).cast("string")
+    for priority, name in kinds.items():
+        category = F.when(F.col("o_orderpriority") == priority, name).otherwise(category)
+    return category
+
+
+def order_exports(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Orders as exported flows, whose series are their lines; orders without lines have an empty one.
+
+    ``chosen`` holds some of the orders, few enough to be broadcast: then only their lines are grouped.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         F.struct(
             F.col("l_shipdate").cast("timestamp").alias("day"), "l_linenumber", "l_partkey", "l_quantity", F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("way")
         ).alias("line"),
     )
+    if chosen is not None:
+        lines = lines.join(F.broadcast(chosen.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")
     grouped = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
     def days(line):
@@ -79,15 +84,12 @@ def order_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ppi = F.concat(F.lit("["), F.concat_ws(",", joined(gaps), joined(ways), joined(sizes)), F.lit("]"))
     series = grouped.select("l_orderkey", ppi.alias("PPI"))
-    kinds = {"1-URGENT": "Streaming Media", "2-HIGH": "games", "3-MEDIUM": "videoconferencing", "4-NOT SPECIFIED": "file-sharing", "5-LOW": "search"}
-    category = F.lit(None).cast("string")
-    for priority, name in kinds.items():
-        category = F.when(F.col("o_orderpriority") == priority, name).otherwise(category)
-    orders = table(spark, sf_dir, "orders").join(series, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf_dir, "orders") if chosen is None else chosen
+    orders = orders.join(series, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return orders.select(
         "o_orderkey",
         F.col("o_orderstatus").alias("APP"),
-        category.alias("CATEGORY"),
+        order_category().alias("CATEGORY"),
         (F.col("o_totalprice") / 1e5).cast("string").alias("DURATION"),
         F.col("o_custkey").cast("string").alias("BYTES"),
         F.lit("x").alias("BYTES_REV"),

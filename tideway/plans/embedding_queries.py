@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.operators import embeddings, features, memory, metrics, sampling, windows
 from tideway.plans.adapters import event_packets, labelled_vectors, table
-from tideway.plans.flow_queries import FLOWS_SQL, sql_key
+from tideway.plans.flow_queries import FLOWS_SQL, sql_condition, sql_key
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -102,10 +103,10 @@ def e8_j3_leave_one_app_out(spark, sf_dir):
     return embeddings.leave_one_group_out(labelled_vectors(spark, sf_dir))
 
 
-@query("""WITH parts AS (SELECT vec_id, i, j, embedding[i]::DOUBLE AS x, embedding[32 + j]::DOUBLE AS y FROM embeddings, range(1, 9) a(i), range(1, 9) b(j))
+@query("""WITH parts AS (SELECT vec_id, i, j, embedding[i]::DOUBLE AS x, embedding[32 + j]::DOUBLE AS y FROM embeddings, range(1, 33) a(i), range(1, 33) b(j))
 SELECT round(avg(c * c) * 1e6, 6) AS score FROM (SELECT i, j, covar_samp(x, y) AS c FROM parts GROUP BY i, j)""")
 def e10_cross_covariance(spark, sf_dir):
-    rows = labelled_vectors(spark, sf_dir).select(F.slice("z", 1, 8).alias("a"), F.slice("z", 33, 8).alias("b"))
+    rows = labelled_vectors(spark, sf_dir).select(F.slice("z", 1, 32).alias("a"), F.slice("z", 33, 32).alias("b"))
     return embeddings.cross_covariance_score(rows).select(F.round(F.col("score") * 1e6, 6).alias("score"))
 
 
@@ -207,40 +208,69 @@ def m2_sample_memory(spark, sf_dir):
     return memory.sample_memory(memory.newest_per_class(rows, 20), first, 90).select("id", "label")
 
 
-@query(None)
+def sql_update(name: str, batch: str, protos: str, trust: float) -> str:
+    """Tables ``<name>_fold`` (a row per label and update) and ``<name>`` (label, proto, n, updates) after a batch (label, seq, z)."""
+    mixed = "list_transform(list_zip(f.proto, m.z), lambda p: 0.95::DOUBLE * p[1] + 0.05::DOUBLE * p[2])"
+    return f"""
+ {name}_near AS (SELECT b.label, b.seq, b.z, p.label AS pred, list_inner_product(b.z, p.proto) AS sim, row_number() OVER (PARTITION BY b.label, b.seq ORDER BY list_inner_product(b.z, p.proto) DESC, p.label) AS turn
+  FROM {batch} b, {protos} p WHERE p.n > 0),
+ {name}_moves AS (SELECT b.label, b.seq, b.z, row_number() OVER (PARTITION BY b.label ORDER BY b.seq) AS rn FROM {batch} b JOIN {protos} p USING (label) LEFT JOIN {name}_near s ON s.turn = 1 AND s.label = b.label AND s.seq = b.seq
+  WHERE (p.n > 0 AND s.pred = b.label AND s.sim >= {trust}) OR (p.n = 0 AND b.seq = (SELECT min(seq) FROM {batch} x WHERE x.label = b.label))),
+ {name}_fold AS (SELECT label, 0::BIGINT AS k, proto, n FROM {protos} UNION ALL SELECT f.label, m.rn, CASE WHEN f.n = 0 THEN m.z ELSE {_unit(mixed)} END, f.n + 1 FROM {name}_fold f JOIN {name}_moves m ON m.label = f.label AND m.rn = f.k + 1),
+ {name} AS (SELECT label, arg_max(proto, k) AS proto, max(n)::BIGINT AS n, max(k)::BIGINT AS updates FROM {name}_fold GROUP BY label)"""
+
+
+_SHOWN = "label, n, updates, round(list_sum(proto), 6) AS total, round(proto[1], 6) AS first"
+
+
+def _shown_protos(table: DataFrame) -> DataFrame:
+    total = F.when(F.col("proto").isNotNull(), F.aggregate("proto", F.lit(0.0), lambda s, x: s + x))
+    return table.select("label", "n", "updates", F.round(total, 6).alias("total"), F.round(F.get("proto", F.lit(0)), 6).alias("first"))
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, known AS {_protos("(SELECT * FROM vectors WHERE id % 10 = 0 AND label <> 3)")}, start AS (SELECT r.label, k.proto, coalesce(k.n, 0) AS n FROM (SELECT unnest(range(12)) AS label) r LEFT JOIN known k USING (label)),
+ batch AS (SELECT label, seq, z FROM vectors WHERE id % 10 <> 0), {sql_update('moved', 'batch', 'start', 0.3)} SELECT {_SHOWN} FROM moved""")
 def m5_update_trusted(spark, sf_dir):
     rows = labelled_vectors(spark, sf_dir)
     names = spark.range(12).select(F.col("id").alias("label"))
     start = memory.bootstrap(rows.where("id % 10 = 0 and label <> 3"), names)
-    return memory.update_trusted(rows.where("id % 10 <> 0"), start, trust=0.3)
+    return _shown_protos(memory.update_trusted(rows.where("id % 10 <> 0"), start, trust=0.3))
 
 
 @query(None)
 def e6_linear_svm(spark, sf_dir):
-    """One-against-rest linear machines; the solver's loss differs from the reference's, so only rows are compared."""
+    """One-against-rest linear machines at C = 1 and up to 5,000 iterations; the solver's loss differs from the reference's, so only rows are compared."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
     from pyspark.ml.functions import array_to_vector
 
-    train, test = (d.select("id", "label", array_to_vector(features.unit(F.col("z"))).alias("features")) for d in sides(spark, sf_dir))
-    model = OneVsRest(classifier=LinearSVC(maxIter=8, regParam=1e-3), parallelism=8).fit(train.withColumn("label", F.col("label").cast("double")))
-    return model.transform(test.withColumn("label", F.col("label").cast("double"))).select("id", F.col("label").cast("long"), F.col("prediction").cast("long").alias("pred"))
+    train, test = (d.select("id", F.col("label").cast("double"), array_to_vector(features.unit(F.col("z"))).alias("features")) for d in sides(spark, sf_dir))
+    train = train.cache()
+    machine = LinearSVC(maxIter=5000, tol=1e-4, regParam=1.0 / max(1, train.count()))  # the mean loss beside the sum of the usual C = 1
+    model = OneVsRest(classifier=machine, parallelism=8).fit(train)
+    train.unpersist()
+    return model.transform(test).select("id", F.col("label").cast("long"), F.col("prediction").cast("long").alias("pred"))
 
 
 def _event_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = windows.flows_by_file(event_packets(spark, sf_dir), 1.0, 5)
+    found = windows.flows_by_file(event_packets(spark, sf_dir), 1.0)
     return found.select("*", F.concat_ws(":", "file", "window_id").alias("row_id"), F.lit("a").alias("app"), F.lit("gaming").alias("service"), F.lit("events").alias("source"))
 
 
-_COLUMNS = ", ".join(f"round(sum(f{j}::DOUBLE), 3) AS f{j}" for j in range(16))
-_FLOW_ARRAYS = FLOWS_SQL.replace("string_agg(CASE WHEN rn <= 5 THEN round(length * 10)::BIGINT::VARCHAR END, ',' ORDER BY rn) AS lengths", "list(length ORDER BY rn) FILTER (rn <= 5) AS lens, list(iat ORDER BY rn) FILTER (rn <= 5) AS iats, list(direction ORDER BY rn) FILTER (rn <= 5) AS dirs").replace(
-    "protocol, lengths, ways FROM stats", "protocol, lens, iats, dirs, ways, duration AS raw_duration, len_sum / greatest(duration / 1000.0::DOUBLE, 0.001::DOUBLE) AS bps, n / greatest(duration / 1000.0::DOUBLE, 0.001::DOUBLE) AS pps FROM stats")
+_COLUMNS = ", ".join(f"round(sum(f{j}), 3) AS f{j}" for j in range(16))
+_FLOW_ARRAYS = FLOWS_SQL.replace("string_agg(CASE WHEN rn <= 128 THEN round(length * 10)::BIGINT::VARCHAR END, ',' ORDER BY rn) AS lengths", "list(length ORDER BY rn) FILTER (rn <= 128) AS lens, list(iat ORDER BY rn) FILTER (rn <= 128) AS iats, list(direction ORDER BY rn) FILTER (rn <= 128) AS dirs").replace(
+    "protocol, lengths, ways FROM stats", "protocol, lens, iats, dirs, ways, duration AS raw_duration, stats.iat_mean AS raw_mean, stats.iat_std AS raw_std, len_sum / greatest(duration / 1000.0::DOUBLE, 0.001::DOUBLE) AS bps, n / greatest(duration / 1000.0::DOUBLE, 0.001::DOUBLE) AS pps FROM stats")
+
+
+_CELLS = (
+    "len / 1500", "ln(1 + iat) / 10", "dir", "ln(1 + pps) / 10", "ln(1 + bps) / 20", "len(list_filter(dirs, lambda d: d > 0)) / len(dirs)::DOUBLE",
+    "1 - len(list_filter(dirs, lambda d: d > 0)) / len(dirs)::DOUBLE", "(protocol = 6)::INT", "(protocol = 17)::INT", "(protocol = 17)::INT", "0", "0", "0", "ln(1 + raw_duration) / 20",
+    "least(floor(list_sum(iats[1:i]) / greatest(list_sum(iats), 1.0::DOUBLE) * 8) / 8, 1)", "(i - 1) / greatest(len(lens) - 1, 1)::DOUBLE",
+)
+_FEATURES = f"""flows AS ({_FLOW_ARRAYS}), cells AS (SELECT file || ':' || window_id AS row_id, *, generate_subscripts(lens, 1) AS i, unnest(lens) AS len, unnest(iats) AS iat, unnest(dirs) AS dir FROM flows),
+ features AS (SELECT row_id, i, {', '.join(f"({c})::FLOAT::DOUBLE AS f{j}" for j, c in enumerate(_CELLS))} FROM cells)"""
 
 
-@query(f"""WITH flows AS ({_FLOW_ARRAYS}), cells AS (SELECT file || ':' || window_id AS row_id, *, generate_subscripts(lens, 1) AS i, unnest(lens) AS len, unnest(iats) AS iat, unnest(dirs) AS dir FROM flows),
- features AS (SELECT row_id, i, len / 1500 AS f0, ln(1 + iat) / 10 AS f1, dir AS f2, ln(1 + pps) / 10 AS f3, ln(1 + bps) / 20 AS f4, len(list_filter(dirs, lambda d: d > 0)) / len(dirs)::DOUBLE AS f5, 1 - len(list_filter(dirs, lambda d: d > 0)) / len(dirs)::DOUBLE AS f6,
-  (protocol = 6)::INT AS f7, (protocol = 17)::INT AS f8, (protocol = 17)::INT AS f9, 0 AS f10, 0 AS f11, 0 AS f12, ln(1 + raw_duration) / 20 AS f13,
-  least(floor(list_sum(iats[1:i]) / greatest(list_sum(iats), 1.0::DOUBLE) * 8) / 8, 1) AS f14, (i - 1) / greatest(len(lens) - 1, 1)::DOUBLE AS f15 FROM cells)
-SELECT count(*) AS packets, count(DISTINCT row_id) AS flows, {_COLUMNS} FROM features""")
+@query(f"WITH {_FEATURES} SELECT count(*) AS packets, count(DISTINCT row_id) AS flows, {_COLUMNS} FROM features")
 def f1_f9_packet_features(spark, sf_dir):
     rows = features.packet_matrix(_event_flows(spark, sf_dir), "row_id")
     cells = rows.select("row_id", F.explode("packet_seq").alias("p"))
@@ -260,43 +290,133 @@ def _records(spark: SparkSession, sf_dir: str, noise: float = 0.0) -> DataFrame:
     return features.flow_records(_event_flows(spark, sf_dir), "row_id", noise=noise)
 
 
-@query(f"""WITH flows AS ({FLOWS_SQL}) SELECT 'events' AS source, count(*) AS n FROM flows UNION ALL SELECT 'events_aug', 2 * count(*) FROM flows""")
+def sql_gaussian(*parts: str) -> str:
+    u, v = (f"({sql_key(repr(name), *parts)} / 4503599627370496.0::DOUBLE)" for name in "uv")
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u})) * cos(6.283185307179586::DOUBLE * {v}))"
+
+
+def _sql_pick(tag: str, own: str, copy: str, values: tuple[float, ...]) -> str:
+    return f"[{', '.join(f'{v}::DOUBLE' for v in values)}][(floor({sql_key(repr(tag), own, copy)} / 4503599627370496.0::DOUBLE * {len(values)}) + 1)::INT]"
+
+
+def _sql_twins(noise: float) -> str:
+    """``networks`` (row_id, n0..n7), and ``twins`` of flows: a row per flow and copy (0 is the flow itself) with its conditions; ``moved`` has its packets."""
+    moved = f"least(greatest(f1 * scale{f' + {noise}::DOUBLE * ' + sql_gaussian(repr('aug'), 'row_id', 'copy::VARCHAR', '(i - 1)::VARCHAR') if noise else ''}, 0), 10)::FLOAT::DOUBLE"
+    means = ("exp(n0 * 8) - 1", "exp(n1 * 6) - 1", "n2")
+    return f"""networks AS (SELECT file || ':' || window_id AS row_id, condition, (ln(1 + raw_mean) / 8)::FLOAT::DOUBLE AS n0, (ln(1 + raw_std) / 6)::FLOAT::DOUBLE AS n1, 0.0::DOUBLE AS n2, 0.0::DOUBLE AS n3,
+  (ln(1 + bps) / 16)::FLOAT::DOUBLE AS n4, 0.5::DOUBLE AS n5, (ln(1 + greatest(0.4 * raw_std, 1)) / 6)::FLOAT::DOUBLE AS n6, (CASE condition WHEN 'good' THEN 0 WHEN 'moderate' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END / 3.0::DOUBLE)::FLOAT::DOUBLE AS n7 FROM flows),
+ picks AS (SELECT *, {_sql_pick('rtt', 'row_id', 'copy::VARCHAR', (0.7, 1.0, 1.8, 3.2))} AS scale, {_sql_pick('jit', 'row_id', 'copy::VARCHAR', (0.0, 0.1, 0.25, 0.55))} AS jitter, {_sql_pick('loss', 'row_id', 'copy::VARCHAR', (0.0, 0.005, 0.02, 0.06))} AS loss
+  FROM networks CROSS JOIN (SELECT unnest([1, 2]) AS copy)),
+ changed AS (SELECT * REPLACE (least(n0 * scale, 5)::FLOAT::DOUBLE AS n0, least(n1 + jitter, 5)::FLOAT::DOUBLE AS n1, least(n2 + loss, 1)::FLOAT::DOUBLE AS n2) FROM picks),
+ twins AS (SELECT row_id, 0 AS copy, condition, 1.0::DOUBLE AS scale, n0, n1, n2, n3, n4, n5, n6, n7 FROM networks UNION ALL SELECT row_id, copy, {sql_condition(*means)}, scale, n0, n1, n2, n3, n4, n5, n6, n7 FROM changed),
+ moved AS (SELECT features.* REPLACE (CASE WHEN copy = 0 THEN f1 ELSE {moved} END AS f1), copy FROM features JOIN twins USING (row_id))"""
+
+
+@query(f"""WITH {_FEATURES}, {_sql_twins(0.0)}, packets AS (SELECT row_id, copy, sum(f1) AS f1, sum(f0) AS f0 FROM moved GROUP BY ALL)
+SELECT CASE WHEN copy = 0 THEN 'events' ELSE 'events_aug' END AS source, condition, count(*) AS n, round(sum(f0), 3) AS f0, round(sum(f1), 3) AS f1, round(sum(24 * n0), 2) AS n0, round(sum(24 * n1), 2) AS n1, round(sum(24 * n2), 3) AS n2, round(sum(24 * n4), 2) AS n4
+ FROM twins JOIN packets USING (row_id, copy) GROUP BY ALL""")
 def f13_f14_f15_augmented(spark, sf_dir):
-    return features.with_augmented(_records(spark, sf_dir), "id", 2).groupBy("source").agg(F.count("*").alias("n"))
+    """Flows and two augmented twins of each: gaps, round trips, jitter, loss and the conditions that follow from them."""
+    rows = features.with_augmented(_records(spark, sf_dir), "id", 2, noise=0.0)
+
+    def total(c: str, j: int):
+        return F.aggregate(c, F.lit(0.0), lambda s, r: s + r[j])
+
+    rows = rows.select("source", "condition", *[total("packet_seq", j).alias(f"f{j}") for j in (0, 1)], *[total("network_seq", j).alias(f"n{j}") for j in (0, 1, 2, 4)])
+    places = {"f0": 3, "f1": 3, "n0": 2, "n1": 2, "n2": 3, "n4": 2}
+    return rows.groupBy("source", "condition").agg(F.count("*").alias("n"), *[F.round(F.sum(c), d).alias(c) for c, d in places.items()])
 
 
-@query(f"WITH flows AS ({FLOWS_SQL}) SELECT sum(128 - least(total_packets, 5))::BIGINT AS masked, count(*) * 128 AS rows FROM flows")
+_DRAWN = f"""rows AS (SELECT p_partkey AS id, p_size::DOUBLE AS fwd, CASE WHEN p_size % 4 = 0 THEN 16 ELSE p_size % 7 END::DOUBLE AS bwd, CASE WHEN p_size % 5 = 0 THEN p_size * 20 END AS whole, p_retailprice AS length_mean,
+  CASE WHEN p_size % 3 = 0 THEN 50 ELSE p_size * 4 END::DOUBLE AS length_std, (p_size % 30)::DOUBLE AS iat_mean, CASE WHEN p_size % 2 = 0 THEN 3.0::DOUBLE ELSE greatest((p_size % 30)::DOUBLE * 0.2::DOUBLE, 1.0::DOUBLE) END AS iat_std FROM part),
+ packets AS (SELECT *, unnest(range(1, greatest(4, least(128, coalesce(whole, fwd + bwd)))::BIGINT + 1)) AS i FROM rows),
+ drawn AS (SELECT id, least(greatest(length_mean + greatest(length_std, 1) * {sql_gaussian("'len'", 'id::VARCHAR', 'i::VARCHAR')}, 40), 1500) AS len, greatest(iat_mean + greatest(iat_std, 1) * {sql_gaussian("'iat'", 'id::VARCHAR', 'i::VARCHAR')}, 0) AS gap,
+  CASE WHEN {sql_key("'dir'", 'id::VARCHAR', 'i::VARCHAR')} / 4503599627370496.0::DOUBLE < least(greatest(fwd / (fwd + bwd), 0.05::DOUBLE), 0.95::DOUBLE) THEN 1 ELSE -1 END AS way FROM packets)"""
+
+
+@query(f"WITH {_DRAWN} SELECT id, count(*) AS n, round(sum(len), 3) AS lengths, round(sum(gap), 3) AS gaps, sum(way)::BIGINT AS ways FROM drawn GROUP BY id")
+def f1_to_f4_drawn_series(spark, sf_dir):
+    """Flows without series get theirs drawn from their means, by hash."""
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), size.alias("Total Fwd Packets"), F.when(size % 4 != 0, size % 7).alias("bwd_pkt_count"), F.when(size % 5 == 0, size * 20).alias("Total Packets"),
+        F.col("p_retailprice").alias("packet length mean"), F.when(size % 3 == 0, 2500.0).otherwise(size * 4.0).alias("Pkt Len Std"), (size % 30).alias("IAT Mean"), F.when(size % 2 == 0, 3.0).alias("iat std"),
+    )
+    drawn = features.packet_series(rows, "id")
+    sums = [F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 3).alias(n) for c, n in (("lens", "lengths"), ("gaps", "gaps"))]
+    return drawn.select("id", F.size("lens").cast("long").alias("n"), *sums, F.aggregate("ways", F.lit(0.0), lambda s, x: s + x).cast("long").alias("ways"))
+
+
+_NOISY = f"""base AS (SELECT p_partkey AS id, [ln(1 + p_size * 4.0::DOUBLE) / 8, ln(1 + (p_size % 40)::DOUBLE) / 6, (p_size % 9) / 100.0::DOUBLE, 0.0::DOUBLE, ln(1 + p_retailprice) / 16, 0.5::DOUBLE, ln(1 + greatest((p_size % 40) * 0.4::DOUBLE, 1.0::DOUBLE)) / 6,
+  (CASE {sql_condition('p_size * 4.0', '(p_size % 40)', '((p_size % 9) / 100.0::DOUBLE)')} WHEN 'good' THEN 0 WHEN 'moderate' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END) / 3.0::DOUBLE] AS v FROM part),
+ cells AS (SELECT id, j, least(greatest(v[j + 1] + 0.03::DOUBLE * {sql_gaussian("'net'", 'id::VARCHAR', 't::VARCHAR', 'j::VARCHAR')} * (0.5::DOUBLE + t / 23.0::DOUBLE), -5), 5)::FLOAT::DOUBLE AS x FROM base, range(24) a(t), range(8) b(j))"""
+
+
+@query(f"WITH {_NOISY} SELECT id, {', '.join(f'round(sum(x) FILTER (j = {j}), 4) AS n{j}' for j in range(8))} FROM cells GROUP BY id")
+def f11_f12_drifting_network(spark, sf_dir):
+    """Network series with their drift of noise, by hash."""
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (size * 4.0).alias("rtt"), (size % 40).alias("jitter"), (size % 9 / 100.0).alias("loss"), F.col("p_retailprice").alias("throughput"))
+    drifted = features.network_series(rows, "id")
+    return drifted.select("id", *[F.round(F.aggregate("network_seq", F.lit(0.0), lambda s, r: s + r[j]), 4).alias(f"n{j}") for j in range(8)])
+
+
+@query(f"WITH flows AS ({FLOWS_SQL}) SELECT sum(128 - least(total_packets, 128))::BIGINT AS masked, count(*) * 128 AS rows FROM flows")
 def f9_f10_padding_mask(spark, sf_dir):
     seq = _records(spark, sf_dir).select(features.padded(F.col("packet_seq")).alias("p"))
     masks = seq.select(F.size("p").alias("n"), F.size(F.filter(features.padding_mask(F.col("p")), lambda x: x)).alias("masked"))
     return masks.agg(F.sum("masked").alias("masked"), F.sum("n").alias("rows"))
 
 
+def _pooled_sql(noise: float) -> str:
+    """``pooled`` (row_id, copy, z): means and deviations of packet features and the network conditions, at unit length."""
+    parts = [f"avg(f{j})" for j in range(16)] + [f"stddev_pop(f{j})" for j in range(16)] + [f"any_value(n{j})" for j in range(8)]
+    return f"""{_FEATURES}, {_sql_twins(noise)}, raw AS (SELECT row_id, copy, [{', '.join(parts)}] AS v FROM moved JOIN twins USING (row_id, copy) GROUP BY row_id, copy), pooled AS (SELECT row_id, copy, {_unit('v')} AS z FROM raw)"""
+
+
 def pooled_encoder(batch: pa.RecordBatch) -> np.ndarray:
-    """Means and deviations of packet features and means of the network series, at unit length, in batches."""
-    out = []
-    for packets, network in zip(batch.column("packet_seq").to_pylist(), batch.column("network_seq").to_pylist(), strict=True):
-        p = np.array(packets, dtype=np.float64)
-        v = np.concatenate((p.mean(axis=0), p.std(axis=0), np.mean(network, axis=0)))
-        out.append(v / max(np.linalg.norm(v), 1e-12))
-    return np.array(out)
+    """Means and deviations of packet features and means of the network series, at unit length, for a whole batch at once."""
 
+    def cells(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All rows of all sequences, where each sequence begins, and how long it is."""
+        sequences = batch.column(name)
+        sizes = pc.list_value_length(sequences).to_numpy()
+        flat = sequences.flatten()
+        return flat.flatten().to_numpy().astype(np.float64).reshape(len(flat), -1), np.cumsum(sizes) - sizes, sizes[:, None]
 
-@query(None)
+    def means(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, starts, axis=0) / sizes
+
+    packets, starts, sizes = cells("packet_seq")
+    mean = means(packets, starts, sizes)
+    centred = packets - np.repeat(mean, sizes[:, 0], axis=0)
+    v = np.hstack((mean, np.sqrt(means(centred * centred, starts, sizes)), means(*cells("network_seq"))))
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+@query(f"WITH {_pooled_sql(0.0)} SELECT row_id AS id, 'gaming' AS service, round(list_sum(z), 6) AS total FROM pooled WHERE copy = 0")
 def e1_embed(spark, sf_dir):
+    """Batches scored by an encoder that is handed in."""
     found = embeddings.embed(_records(spark, sf_dir).where(F.size("packet_seq") > 0), pooled_encoder, ["id", "service"])
     return found.select("id", "service", F.round(F.aggregate("z", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query(None)
-def e9_f16_invariance(spark, sf_dir):
-    """Embeddings of flows and of their augmented twins, by the pooled encoder in native columns."""
+@query(f"WITH {_pooled_sql(0.0)} SELECT row_id AS id, round(list_sum(z), 6) AS total, round(z[1], 6) AS first, round(z[18], 6) AS spread FROM pooled WHERE copy = 0")
+def f16_pooled_vectors(spark, sf_dir):
+    rows = _records(spark, sf_dir).select("id", features.pooled_vector(F.col("packet_seq"), F.col("network_seq")).alias("z"))
+    return rows.select("id", F.round(F.aggregate("z", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.col("z")[0], 6).alias("first"), F.round(F.col("z")[17], 6).alias("spread"))
+
+
+@query(f"""WITH {_pooled_sql(0.015)}, chosen AS (SELECT row_id FROM networks ORDER BY {sql_key("'42'", 'row_id')}, row_id LIMIT 256)
+SELECT round(avg(list_inner_product(a.z, b.z)), 6) AS score FROM pooled a JOIN pooled b USING (row_id) WHERE a.copy = 0 AND b.copy = 1 AND row_id IN (SELECT row_id FROM chosen)""")
+def e9_f13_f16_invariance(spark, sf_dir):
+    """Embeddings of flows and of their augmented twins, noise included, by the pooled encoder in native columns."""
     rows = sampling.uniform_sample(_records(spark, sf_dir), 256, ["id"])
 
     def encoded(d: DataFrame) -> DataFrame:
         return d.select("id", features.pooled_vector(F.col("packet_seq"), F.col("network_seq")).alias("z"))
 
-    return embeddings.invariance(encoded(rows), encoded(features.augmented(rows, "id"))).select(F.round("score", 4).alias("score"))
+    return embeddings.invariance(encoded(rows), encoded(features.augmented(rows, "id"))).select(F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {VECTORS} SELECT round(avg(list_inner_product(a.z, b.z)), 6) AS score FROM vectors a JOIN (SELECT id, {_unit('list_reverse(z)')} AS z FROM vectors) b USING (id)""")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tideway.functions import labels, values
 from tideway.operators import flows, metrics, sampling, windows
-from tideway.plans.adapters import event_packets, line_packets, order_exports, table
+from tideway.plans.adapters import event_packets, line_packets, order_category, order_exports, table
 from tideway.sources import capture
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -29,26 +29,53 @@ def query(sql: str | None):
 # --- SQL building blocks --------------------------------------------------------------------------------------
 
 
-def _case(key: str, pairs: dict[str, str], otherwise: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {otherwise} END"
+# The label rules once more, written out, so that a wrong entry in the operators' tables shows.
+_SQL_SERVICES = "('streaming','gaming','conferencing','bulk_transfer','browsing','xr_interactive','iot_security','unknown')"
+_SQL_APPS = (
+    ("streaming", ("youtube", "youtube_live", "netflix", "prime_video", "primevideo", "amazon_prime", "twitch", "naver_now", "afreecatv", "crave", "video_streaming", "streaming")),
+    ("gaming", ("valorant", "val", "league_of_legends", "lol", "teamfight_tactics", "tft", "roblox", "minecraft", "battleground", "geforce_now", "kt_gamebox", "fortnite")),
+    ("gaming", ("forza_horizon_5", "mortal_kombat_11", "cloud_gaming", "gaming")),
+    ("conferencing", ("zoom", "teams", "google_meet", "discord", "voip", "conferencing")),
+    ("bulk_transfer", ("download", "file_download", "ftp", "bulk", "bulk_transfer")),
+    ("browsing", ("web", "web_browsing", "browsing")),
+    ("xr_interactive", ("vr", "ar", "xr", "metaverse", "zepeto", "cloud_vr", "vr_video", "xr_interactive")),
+    ("iot_security", ("benign", "ddos", "dos", "recon", "web_attack", "bruteforce", "brute_force", "spoofing", "mirai")),
+)
+_SQL_ALIASES = (
+    "WHEN 'yt' THEN 'youtube' WHEN 'prime' THEN 'prime_video' WHEN 'lol' THEN 'league_of_legends' WHEN 'tft' THEN 'teamfight_tactics' "
+    "WHEN 'meet' THEN 'google_meet' WHEN 'http_download' THEN 'file_download' WHEN 'cloudvr' THEN 'cloud_vr'"
+)
+_SQL_BROWSING = (
+    "('search','social','blogs_news','e_commerce','mail','advertising','authentication_services','analytics_telemetry','information_systems',"
+    "'instant_messaging','other_services_and_apis','antivirus')"
+)
+_SQL_PATHS = (
+    "youtube_live", "youtube", "netflix", "amazon_prime", "zoom", "ms_teams", "google_meet", "roblox", "zepeto", "battleground", "teamfight_tactics", "geforce_now", "kt_gamebox", "naver_now", "afreecatv",
+)
+_SQL_PRIVATE = ("10.", "192.168.", "172.16.", "172.17.", "172.18.", "172.19.", "172.2", "172.30.", "172.31.")
 
 
 def sql_norm(c: str) -> str:
     text = f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'unknown' ELSE {c} END"
     text = f"replace(translate(lower(regexp_replace({text}, '^\\s+|\\s+$', '', 'g')), '/- ', '___'), '__', '_')"
-    return f"({_case(text, labels.ALIASES, text)})"
+    return f"(CASE {text} {_SQL_ALIASES} ELSE {text} END)"
 
 
 def sql_service(c: str) -> str:
     token = sql_norm(c)
-    contains = " ".join(f"WHEN contains({token}, '{k}') THEN '{v}'" for k, v in labels.SERVICE_OF_APP.items())
-    known = ", ".join(f"'{s}'" for s in labels.SERVICES)
-    exact = _case(token, labels.SERVICE_OF_APP, f"CASE {contains} ELSE 'unknown' END")
-    return f"(CASE WHEN {token} IN ({known}) THEN {token} ELSE {exact} END)"
+    exact = " ".join(f"WHEN '{app}' THEN '{service}'" for service, apps in _SQL_APPS for app in apps)
+    contains = " ".join(f"WHEN contains({token}, '{app}') THEN '{service}'" for service, apps in _SQL_APPS for app in apps)
+    return f"(CASE WHEN {token} IN {_SQL_SERVICES} THEN {token} ELSE CASE {token} {exact} ELSE CASE {contains} ELSE 'unknown' END END END)"
+
+
+def sql_category(c: str) -> str:
+    token = sql_norm(c)
+    return f"""(CASE WHEN {token} IN ('streaming_media', 'music') THEN 'streaming' WHEN {token} = 'games' THEN 'gaming' WHEN {token} = 'videoconferencing' THEN 'conferencing'
+ WHEN {token} = 'file_sharing' THEN 'bulk_transfer' WHEN {token} IN {_SQL_BROWSING} THEN 'browsing' ELSE {sql_service(token)} END)"""
 
 
 def sql_condition(rtt: str, jitter: str, loss: str) -> str:
-    score = " + ".join(f"CASE WHEN {v} > {limit} THEN 1 ELSE 0 END" for v, limits in ((rtt, labels.RTT_LIMITS), (jitter, labels.JITTER_LIMITS), (loss, labels.LOSS_LIMITS)) for limit in limits)
+    score = " + ".join(f"CASE WHEN {v} > {limit} THEN 1 ELSE 0 END" for v, limit in ((rtt, 80), (rtt, 180), (jitter, 25), (loss, 0.01), (loss, 0.04)))
     return f"(CASE WHEN {score} <= 0 THEN 'good' WHEN {score} <= 2 THEN 'moderate' WHEN {score} <= 4 THEN 'degraded' ELSE 'bad' END)"
 
 
@@ -67,13 +94,13 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_LABELS.replace("FROM part", "FROM tideway_part"))
 
 
-@query(f"SELECT id, {sql_norm('raw')} AS label, {sql_service('raw')} AS service, {_case(sql_norm('raw'), labels.SERVICE_OF_CATEGORY, sql_service(sql_norm('raw')))} AS category_service FROM ({RAW_LABELS})")
+@query(f"SELECT id, {sql_norm('raw')} AS label, {sql_service('raw')} AS service, {sql_category('raw')} AS category_service FROM ({RAW_LABELS})")
 def p1_p2_p3_labels(spark, sf_dir):
     rows = raw_labels(spark, sf_dir)
     return rows.select("id", labels.normalize_label("raw").alias("label"), labels.infer_service("raw").alias("service"), labels.service_from_category("raw").alias("category_service"))
 
 
-_TOKEN_CASE = " ".join(f"WHEN contains(lower(path), '{t}') THEN '{t}'" for t in labels.PATH_TOKENS)
+_TOKEN_CASE = " ".join(f"WHEN contains(lower(path), '{t}') THEN '{t}'" for t in _SQL_PATHS)
 _PATHS = "SELECT id, '/in/' || coalesce(raw, 'none') || '/' || CASE id % 3 WHEN 0 THEN 'youtube_live' WHEN 1 THEN 'GeForce_Now x' ELSE 'part' END || '.csv' AS path FROM ({})"
 
 
@@ -101,7 +128,7 @@ _ADDRESS = """SELECT l_orderkey, l_linenumber, CASE l_suppkey % 6 WHEN 0 THEN '1
 
 
 def _sql_private(c: str) -> str:
-    return "coalesce(" + " OR ".join(f"starts_with({c}, '{p}')" for p in labels.PRIVATE_PREFIXES) + ", false)"
+    return "coalesce(" + " OR ".join(f"starts_with({c}, '{p}')" for p in _SQL_PRIVATE) + ", false)"
 
 
 @query(f"SELECT src, dst, {_sql_private('src')} AS src_private, {_sql_private('dst')} AS dst_private, CASE WHEN NOT {_sql_private('src')} AND {_sql_private('dst')} THEN -1 ELSE 1 END AS direction, count(*) AS n FROM ({_ADDRESS}) GROUP BY ALL")
@@ -144,7 +171,7 @@ modes AS (SELECT {keys}, protocol, row_number() OVER (PARTITION BY {keys} ORDER
 stats AS (SELECT {keys}, count(*) AS n, count(*) FILTER (direction > 0) AS fwd, count(*) FILTER (direction <= 0) AS bwd, sum(length) AS len_sum, sum(length) / count(*) AS len_mean,
   sqrt(greatest(0.0::DOUBLE, sum(length * length) / count(*) - (sum(length) / count(*)) * (sum(length) / count(*)))) AS len_std, sum(iat) / count(*) AS iat_mean,
   sqrt(greatest(0.0::DOUBLE, sum(iat * iat) / count(*) - (sum(iat) / count(*)) * (sum(iat) / count(*)))) AS iat_std, {duration} AS duration,
-  string_agg(CASE WHEN rn <= 5 THEN round(length * 10)::BIGINT::VARCHAR END, ',' ORDER BY rn) AS lengths, sum(CASE WHEN rn <= 5 THEN rn * direction END)::BIGINT AS ways
+  string_agg(CASE WHEN rn <= 128 THEN round(length * 10)::BIGINT::VARCHAR END, ',' ORDER BY rn) AS lengths, sum(CASE WHEN rn <= 128 THEN rn * direction END)::BIGINT AS ways
   FROM gaps GROUP BY {keys})
 SELECT {shown}, {condition} AS condition, n AS total_packets, fwd, bwd, round(len_mean, 3) AS length_mean, round(len_std, 3) AS length_std, round(iat_mean, 3) AS iat_mean, round(iat_std, 2) AS iat_std,
   round(duration, 3) AS duration, round(len_sum / greatest(duration / 1000.0::DOUBLE, 0.001::DOUBLE), 2) AS bytes_s, round(n / greatest(duration / 1000.0::DOUBLE, 0.001::DOUBLE), 3) AS packets_s,
@@ -180,13 +207,20 @@ FLOWS_SQL = f"WITH packets AS ({EVENT_PACKETS})," + _GROUP_SQL.format(
 
 @query(FLOWS_SQL)
 def w1_to_w8_flows_by_file(spark, sf_dir):
-    return _shown(windows.flows_by_file(event_packets(spark, sf_dir), 1.0, 5), ["file", "window_id"])
+    return _shown(windows.flows_by_file(event_packets(spark, sf_dir), 1.0), ["file", "window_id"])
+
+
+@query(f"SELECT file, window_id, total_packets, lengths, ways FROM ({FLOWS_SQL.replace('rn <= 128', 'rn <= 2')})")
+def w6_series_cut_at_the_bound(spark, sf_dir):
+    """Windows with more packets than the bound: counts go over all of them, series hold the first."""
+    found = _shown(windows.flows_by_file(event_packets(spark, sf_dir), 1.0, max_packets=2), ["file", "window_id"])
+    return found.select("file", "window_id", "total_packets", "lengths", "ways")
 
 
 @query(f"SELECT condition, count(*) AS n, sum(total_packets)::BIGINT AS packets FROM ({FLOWS_SQL}) GROUP BY condition")
 def flow_conditions(spark, sf_dir):
     """The flagship: packets to windows to conditions."""
-    return windows.flows_by_file(event_packets(spark, sf_dir), 1.0, 5).groupBy("condition").agg(F.count("*").alias("n"), F.sum("total_packets").alias("packets"))
+    return windows.flows_by_file(event_packets(spark, sf_dir), 1.0).groupBy("condition").agg(F.count("*").alias("n"), F.sum("total_packets").alias("packets"))
 
 
 _SECONDS = 366 * 86400.0
@@ -201,7 +235,7 @@ _BY_ENDS = f"""SELECT *, round(((ts - origin) - pmod) / {_SECONDS}::DOUBLE)::BIG
     placed=_BY_ENDS, keys="trace, window_id, proto, a, b", order="record_no", duration="greatest(0.0, arg_max(ts, record_no) - arg_min(ts, record_no)) * 1000.0::DOUBLE", shown="trace, window_id, proto, a, b",
     condition=sql_condition("iat_mean", "iat_std", "0.0")))
 def w3_p34_flows_by_endpoints(spark, sf_dir):
-    found = windows.flows_by_endpoints(line_packets(spark, sf_dir), _SECONDS, 5)
+    found = windows.flows_by_endpoints(line_packets(spark, sf_dir), _SECONDS)
     return _shown(found, ["trace", "window_id", "proto", F.col("ep_a.ip").alias("a"), F.col("ep_b.ip").alias("b")])
 
 
@@ -242,10 +276,10 @@ _ORDER_KEY = sql_key("'42'", "o_orderkey::VARCHAR")
 @query(f"""WITH ranked AS (SELECT o_orderkey, {_CATEGORY} AS service, row_number() OVER (PARTITION BY {_CATEGORY} ORDER BY {_ORDER_KEY}, o_orderkey) AS turn FROM orders)
 SELECT o_orderkey, service FROM ranked WHERE turn <= 100 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
 def d1_d2_balanced_exports(spark, sf_dir):
-    """Sampled before any series is parsed; what does not parse goes afterwards."""
-    rows = order_exports(spark, sf_dir).withColumn("service", labels.service_from_category("CATEGORY"))
-    sampled = sampling.balanced_sample(rows, "service", 100, ["o_orderkey"])
-    return flows.exported_flows(sampled.drop("service")).select("o_orderkey", "service")
+    """Sampled before any series is built or parsed (at most 100 orders a service go on); what does not parse goes afterwards."""
+    orders = table(spark, sf_dir, "orders").withColumn("service", labels.service_from_category(order_category()))
+    sampled = sampling.balanced_sample(orders, "service", 100, ["o_orderkey"]).drop("service")
+    return flows.exported_flows(order_exports(spark, sf_dir, sampled)).select("o_orderkey", "service")
 
 
 @query(EXPORTS_SQL + f"SELECT app, service, {sql_condition('iat_mean', 'iat_std', '0.0')} AS condition, count(*) AS n FROM rows GROUP BY ALL ORDER BY n DESC, app, service, condition LIMIT 30")
@@ -257,7 +291,7 @@ def s11_a1_run_summary(spark, sf_dir):
 SELECT service, count(*) AS n_rows, sum(CASE WHEN service = 'unknown' THEN 0 ELSE n END)::BIGINT AS labelled_series FROM united GROUP BY service""")
 def s9_w12_labelled_set(spark, sf_dir):
     exported = flows.exported_flows(order_exports(spark, sf_dir))
-    captured = flows.background(windows.flows_by_file(event_packets(spark, sf_dir), 1.0, 5))
+    captured = flows.background(windows.flows_by_file(event_packets(spark, sf_dir), 1.0))
     known, rest = flows.labelled_set(exported, captured)
     both = known.select("service", F.size("packet_lengths").alias("n")).unionByName(rest.select("service", F.lit(0).alias("n")))
     return both.groupBy("service").agg(F.count("*").alias("n_rows"), F.sum("n").cast("long").alias("labelled_series"))
@@ -307,6 +341,18 @@ def p20_p21_resolve_labels(spark, sf_dir):
     return flows.resolve_labels(rows).select("id", "app", "service", "condition")
 
 
+_GIVEN = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Bad' WHEN 1 THEN ' moderate ' WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN 'very-bad' ELSE 'good' END AS condition,
+ (p_partkey % 300)::DOUBLE AS rtt, p_type AS label FROM part"""
+
+
+@query(f"SELECT id, {sql_norm('label')} AS app, CASE WHEN condition IS NULL THEN {sql_condition('rtt', '5.0', '0.0')} ELSE {sql_norm('condition')} END AS condition FROM ({_GIVEN})")
+def p21_given_conditions(spark, sf_dir):
+    """A table that names its conditions keeps them, whatever its round-trip times say."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("tideway_part")
+    rows = spark.sql(_GIVEN.replace("FROM part", "FROM tideway_part").replace("::DOUBLE", "")).withColumn("rtt", F.col("rtt").cast("double"))
+    return flows.resolve_labels(rows).select("id", "app", "condition")
+
+
 @query(f"WITH packets AS ({LINE_PACKETS}), ends AS (SELECT src, dst FROM packets) SELECT least(src, dst) AS a, greatest(src, dst) AS b, CASE WHEN src <= dst THEN 1 ELSE -1 END AS direction, count(*) AS n FROM ends GROUP BY ALL")
 def p34_canonical_keys(spark, sf_dir):
     low, high, way = windows.canonical_key(F.col("src"), F.col("dst"))
@@ -332,7 +378,7 @@ def a4_j1_label_lookup(spark, sf_dir):
 
 @query(f"WITH packets AS ({EVENT_PACKETS}), rows AS ({FLOWS_SQL}) SELECT round(avg(duration), 2) AS mean, round(quantile_cont(duration, 0.5), 2) AS p50, round(quantile_cont(duration, 0.95), 2) AS p95, round(quantile_cont(duration, 0.99), 2) AS p99 FROM rows")
 def a8_percentiles(spark, sf_dir):
-    found = metrics.summary_percentiles(windows.flows_by_file(event_packets(spark, sf_dir), 1.0, 5), "flow_duration")
+    found = metrics.summary_percentiles(windows.flows_by_file(event_packets(spark, sf_dir), 1.0), "flow_duration")
     return found.select(*[F.round(c, 2).alias(c) for c in found.columns])
 
 

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tideway.operators import embeddings, features, flows, memory, windows
-from tideway.plans.adapters import event_packets, labelled_vectors, order_exports, shared_folder, table
-from tideway.plans.embedding_queries import VECTORS
-from tideway.plans.flow_queries import _EVENT_KEY, _GROUP_SQL, EVENT_PACKETS, EXPORTS_SQL, FLOWS_SQL, sql_condition
+from tideway.plans.adapters import event_packets, labelled_vectors, order_exports, table
+from tideway.plans.embedding_queries import VECTORS, _protos, sql_update
+from tideway.plans.flow_queries import _EVENT_KEY, _GROUP_SQL, EVENT_PACKETS, EXPORTS_SQL, FLOWS_SQL, _shown, sql_condition
 from tideway.sources import capture, files
-from tideway.streaming.flows import FollowedTable, balanced_step, newest_step, prototype_step, windowed_flows
+from tideway.storage import shared_folder
+from tideway.streaming.flows import FollowedTable, balanced_step, bounded_windowed_flows, newest_step, prototype_step, windowed_flows
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -65,11 +67,11 @@ def s4_export_files(spark, sf_dir):
     return found.groupBy("app", "service", "condition").agg(F.count("*").alias("n"), F.sum(F.size("packet_lengths")).alias("packets"))
 
 
-@query(f"SELECT condition, count(*) AS n, sum(total_packets)::BIGINT AS packets, sum(least(total_packets, 5))::BIGINT AS series FROM ({FLOWS_SQL}) GROUP BY condition")
+@query(f"SELECT condition, count(*) AS n, sum(total_packets)::BIGINT AS packets, sum(least(total_packets, 128))::BIGINT AS series FROM ({FLOWS_SQL}) GROUP BY condition")
 def s7_s8_canonical_files(spark, sf_dir):
     """Canonical rows in CSV with series as text, read back by their column names."""
     root = shared_folder(spark, "canonical")
-    found = windows.flows_by_file(event_packets(spark, sf_dir), 1.0, 5).withColumns({"app": F.lit("zoom"), "service": F.lit("conferencing")})
+    found = windows.flows_by_file(event_packets(spark, sf_dir), 1.0).withColumns({"app": F.lit("zoom"), "service": F.lit("conferencing")})
     files.write_flows(found, root, csv=True)
     back = flows.resolve_labels(files.read_flows(spark, root))
     sizes = F.size(F.split("packet_lengths", ";"))
@@ -131,6 +133,26 @@ def p30_p31_p32_p33_frames(spark, sf_dir):
     return rows.groupBy("trace", "proto", "source", "accepted").agg(F.count("*").alias("n"), F.sum("port").alias("ports"))
 
 
+@query("""WITH rows AS (SELECT l_returnflag AS trace, l_linenumber AS kind, CASE WHEN l_linestatus = 'O' THEN 17 WHEN l_suppkey % 3 = 0 THEN 1 ELSE 6 END AS proto, l_suppkey % 65536 AS host, l_partkey % 65536 AS port, epoch(l_shipdate)::BIGINT AS ts,
+  row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey * 8 + l_linenumber) - 1 AS place FROM lineitem), decoded AS (SELECT *, kind <= 4 AND proto <> 1 AS good FROM rows)
+SELECT trace, good AS accepted, count(*) AS n, sum(ts)::BIGINT AS times, sum(CASE WHEN good THEN port END)::BIGINT AS ports, max(place)::BIGINT AS last_record,
+ min(ts) FILTER (place >= 100)::BIGINT AS after_first, count(*) FILTER (place < 100) AS n_first FROM decoded GROUP BY ALL""")
+def s5_s6_capture_files(spark, sf_dir):
+    """Frames written as capture files, a file per trace, read back record by record; the first hundred records of each are looked at by themselves."""
+    spark.dataSource.register(capture.CaptureSource)
+    root = shared_folder(spark, "captures")
+    frames = line_frames(spark, sf_dir).repartition("trace").sortWithinPartitions("trace", "ts", "record_no")
+    frames.write.format("capture").mode("append").save(root)
+    back = spark.read.format("capture").load(root).withColumn("trace", F.regexp_extract("trace", "^(.*)-[0-9]+[.]pcap$", 1))
+    decoded = capture.decode_frames(back)
+    found = decoded.groupBy("trace", "accepted").agg(
+        F.count("*").alias("n"), F.sum(F.col("ts").cast("long")).alias("times"), F.sum("src.port").cast("long").alias("ports"), F.max("record_no").alias("last_record"),
+        F.min(F.when(F.col("record_no") >= 100, F.col("ts").cast("long"))).alias("after_first"),
+    )
+    first = capture.decode_frames(capture.first_records(back, 100)).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
+    return found.join(first, ["trace", "accepted"], "left").withColumn("n_first", F.coalesce("n_first", F.lit(0)))
+
+
 # --- streams --------------------------------------------------------------------------------------------------
 
 
@@ -156,7 +178,7 @@ def t1_t2_t3_streamed_flows(spark, sf_dir):
     last.select(F.lit("end").alias("file"), "seq", (F.col("ts") + 1e6).alias("ts"), "length", "direction", "protocol").write.mode("append").parquet(f"{folder}/in")
     # Files of one table arrive in any order, so packets may be as late as the table is long.
     span = packets.agg(F.ceil(F.max("ts") - F.min("ts"))).first()[0] or 0
-    found = windowed_flows(windows.valid_packets(stream), 1.0, 1.0, int(span) + 2, 5)
+    found = windowed_flows(windows.valid_packets(stream), 1.0, 1.0, int(span) + 2)
     written = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     written.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     shown = spark.read.schema(found.schema).parquet(f"{folder}/out")
@@ -166,6 +188,45 @@ def t1_t2_t3_streamed_flows(spark, sf_dir):
     )
 
 
+def _drained(writer: DataStreamWriter) -> int:
+    """Run a stream to the end of what is there; gives the number of rows that came too late."""
+    running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+    return sum(o.numRowsDroppedByWatermark for p in running.recentProgress for o in p.stateOperators)
+
+
+_LATE = "floor((ts - 1.0::DOUBLE) / (span / 3))"
+_ARRIVALS = f"""packets AS ({EVENT_PACKETS}), extent AS (SELECT max(ts) - 1.0::DOUBLE + 1e-6::DOUBLE AS span FROM packets), arriving AS (SELECT packets.*, {_LATE} = 0 AND seq % 50 = 7 AND ts < span / 3 - 3 AS late FROM packets, extent)"""
+_IN_ORDER_SQL = f"WITH {_ARRIVALS}," + _GROUP_SQL.format(
+    placed="SELECT *, floor(ts - 1.0::DOUBLE)::BIGINT AS window_id FROM arriving WHERE NOT late", keys="file, window_id", order="ts, seq", duration="greatest(0.0, max(ts) - min(ts)) * 1000.0::DOUBLE",
+    shown="file, window_id, round(len_sum, 2) AS bytes", condition=sql_condition("iat_mean", "iat_std", "0.0")
+)
+
+
+@query(f"SELECT file, window_id, condition, total_packets, fwd, bwd, bytes, length_std, iat_mean, iat_std, duration, protocol, lengths, ways, (SELECT count(*) FROM (WITH {_ARRIVALS} SELECT * FROM arriving) WHERE late) AS dropped FROM ({_IN_ORDER_SQL})")
+def t2_t3_w9_late_packets(spark, sf_dir):
+    """Packets arrive by thirds of the time that they span; one in fifty of the first third comes with the last, long after its window closed.
+
+    Windows stay open for two more windows and hold sums and bounded series. ``dropped`` is the number of packets that came too late.
+    """
+    folder = shared_folder(spark, "late-packets")
+    packets = windows.valid_packets(event_packets(spark, sf_dir))
+    span = packets.agg(F.max("ts") - 1.0 + 1e-6).first()[0]
+    third = F.floor((F.col("ts") - 1.0) / (span / 3))
+    late = (third == 0) & (F.col("seq") % 50 == 7) & (F.col("ts") < span / 3 - 3)
+    arriving = packets.withColumn("batch", F.when(late, 2).otherwise(F.least(third, F.lit(2))))
+    end = spark.range(1).select(F.lit("end").alias("file"), F.lit(0).cast("long").alias("seq"), F.lit(1e6).alias("ts"), F.lit(1.0).alias("length"), F.lit(1).alias("direction"), F.lit(6).alias("protocol"), F.lit(3).alias("batch"))
+    dropped = 0
+    for batch in range(4):
+        rows = arriving.where(F.col("batch") == batch) if batch < 3 else end.select(*arriving.columns)
+        rows.drop("batch").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(packets.schema).parquet(f"{folder}/in")
+        found = bounded_windowed_flows(stream, 1.0, 1.0)
+        dropped += _drained(found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append"))
+    shown = _shown(spark.read.schema(found.schema).parquet(f"{folder}/out"), ["file", "window_id", F.round(F.col("packet_length_mean") * F.col("total_packets"), 2).alias("bytes")])
+    return shown.drop("length_mean", "bytes_s", "packets_s").withColumn("dropped", F.lit(dropped).cast("long"))
+
+
 def _followed(spark: SparkSession, rows: DataFrame, name: str, order: str, start: DataFrame, step) -> DataFrame:
     folder = shared_folder(spark, name)
     kept = FollowedTable(spark, f"{folder}/table", start)
@@ -180,13 +241,24 @@ def t4_m6_streamed_memory(spark, sf_dir):
     return _followed(spark, rows, "memory", "seq", rows.limit(0), newest_step(20)).select("label", "id", F.round(F.col("z")[0], 6).alias("first"))
 
 
-@query(None)
+_BATCHES = ", ".join(f"{sql_update(f'moved{b}', f'(SELECT label, seq, z FROM vectors WHERE id % 10 <> 0 AND id % 3 = {b})', 'start' if b == 0 else f'moved{b - 1}', 0.3)}" for b in range(3))
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, known AS {_protos("(SELECT * FROM vectors WHERE id % 10 = 0)")}, start AS (SELECT r.label, k.proto, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT label FROM vectors) r LEFT JOIN known k USING (label)), {_BATCHES}
+ SELECT label, n, round(list_sum(proto), 6) AS total, round(proto[1], 6) AS first FROM moved2""")
 def t5_m6_streamed_prototypes(spark, sf_dir):
-    """Prototypes that follow the trusted rows of a stream; the order of batches matters, so SQL has no twin."""
+    """Prototypes that follow the trusted rows of a stream of three batches, each run of the stream taking what has come since the last."""
     rows = labelled_vectors(spark, sf_dir).select("id", "z", "label", "seq")
     start = memory.bootstrap(rows.where("id % 10 = 0"), rows.select("label").distinct())
-    found = _followed(spark, rows.where("id % 10 <> 0"), "prototypes", "seq", start, prototype_step(trust=0.3))
-    return found.select("label", "n", F.round(F.aggregate("proto", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    folder = shared_folder(spark, "prototypes")
+    kept = FollowedTable(spark, f"{folder}/table", start)
+    for batch in range(3):
+        rows.where((F.col("id") % 10 != 0) & (F.col("id") % 3 == batch)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        _drained(kept.follow(stream, prototype_step(trust=0.3), f"{folder}/state"))
+    found = kept.latest()
+    total = F.when(F.col("proto").isNotNull(), F.aggregate("proto", F.lit(0.0), lambda s, x: s + x))
+    return found.select("label", "n", F.round(total, 6).alias("total"), F.round(F.get("proto", F.lit(0)), 6).alias("first"))
 
 
 @query(f"SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_EVENT_KEY}, event_id) AS turn FROM events) WHERE turn <= 100")

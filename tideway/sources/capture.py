@@ -1,14 +1,15 @@
-"""Packet captures: a data source with one partition per trace file, and frame decoding in batches."""
+"""Packet captures: a data source that reads and writes trace files, one a task, and frame decoding in native columns."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FRAMES = "trace string, record_no long, ts double, incl_len int, orig_len int, data binary"
 _BATCH = 4096
@@ -16,7 +17,7 @@ _BATCH = 4096
 # The capture format's magic numbers, EtherTypes, extension headers and protocols.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
 IPV4, IPV6, VLAN = 0x0800, 0x86DD, (0x8100, 0x88A8)
-EXTENSIONS, FRAGMENT, TRANSPORTS = (0, 43, 60), 44, (6, 17)
+EXTENSIONS, TRANSPORTS = (0, 43, 60), (6, 17)
 
 
 class _Trace(InputPartition):
@@ -24,6 +25,15 @@ class _Trace(InputPartition):
         self.path = path
 
 
+def _system(path: str):
+    """The file system of a path or address, and the path in it."""
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
 class CaptureReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -31,7 +41,7 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[_Trace]:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        system, root = _system(self.path)
         if system.get_file_info(root).type == fs.FileType.File:
             return [_Trace(self.path)]
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
@@ -39,10 +49,8 @@ class CaptureReader(DataSourceReader):
         return [_Trace(prefix + f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".pcap", ".cap"))]
 
     def read(self, partition: _Trace) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         path = partition.path
-        system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system, name = _system(path)
         with system.open_input_stream(name, buffer_size=1 << 20) as stream:
             header = stream.read(24)
             if len(header) < 24 or header[:4] not in MAGIC:
@@ -69,10 +77,34 @@ def _frames(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+class CaptureWriter(DataSourceArrowWriter):
+    """A file ``<trace>-<task>.pcap`` for each trace of a task, in the order of its rows; a task that runs again writes the same files."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, root = _system(self.path)
+        system.create_dir(root, recursive=True)
+        task, files = TaskContext.get().partitionId(), {}
+        try:
+            for batch in batches:
+                for trace, ts, whole, data in zip(*(batch.column(n).to_pylist() for n in ("trace", "ts", "orig_len", "data")), strict=True):
+                    if trace not in files:
+                        files[trace] = system.open_output_stream(f"{root}/{trace}-{task}.pcap")
+                        files[trace].write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+                    micros = round(ts * 1_000_000)
+                    files[trace].write(struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(data), whole) + data)
+        finally:
+            for file in files.values():
+                file.close()
+        return WriterCommitMessage()
+
+
 class CaptureSource(DataSource):
     """``spark.dataSource.register(CaptureSource)``, then ``spark.read.format("capture").load(path)`` gives frames.
 
-    A file whose records end early gives the records before the break. One trace file is one task.
+    ``frames.write.format("capture").mode("append").save(path)`` writes them. A file whose records end early gives the records before the break. One trace file is one task.
     """
 
     @classmethod
@@ -85,47 +117,65 @@ class CaptureSource(DataSource):
     def reader(self, schema) -> CaptureReader:
         return CaptureReader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> CaptureWriter:
+        return CaptureWriter(self.options["path"])
+
+
+def _slice(at: Column, size: int, data: str = "data") -> Column:
+    """``size`` bytes from place ``at`` (from 0)."""
+    return F.col(data).substr(at + 1, F.lit(size))
+
+
+def _number(at: Column, size: int) -> Column:
+    """Big-endian number of ``size`` bytes from place ``at``."""
+    return F.conv(F.hex(_slice(at, size)), 16, 10).cast("int")
 
-def decode_frame(data: bytes) -> tuple[int, bytes, int, bytes, int] | None:
-    """(protocol, source, port, destination, port) of an Ethernet frame with TCP or UDP, else None."""
-    kind, at = int.from_bytes(data[12:14], "big"), 14
-    if len(data) < at:
-        return None
-    while kind in VLAN and len(data) >= at + 4:
-        kind, at = int.from_bytes(data[at + 2 : at + 4], "big"), at + 4
-    if kind == IPV4 and len(data) >= at + 20:
-        protocol, src, dst = data[at + 9], data[at + 12 : at + 16], data[at + 16 : at + 20]
-        at += (data[at] & 15) * 4
-    elif kind == IPV6 and len(data) >= at + 40:
-        protocol, src, dst = data[at + 6], data[at + 8 : at + 24], data[at + 24 : at + 40]
-        at += 40
-        while protocol in EXTENSIONS and len(data) >= at + 8:
-            protocol, at = data[at], at + (data[at + 1] + 1) * 8
-        if protocol == FRAGMENT:
-            return None
-    else:
-        return None
-    if protocol not in TRANSPORTS or len(data) < at + 4:
-        return None
-    return protocol, src, int.from_bytes(data[at : at + 2], "big"), dst, int.from_bytes(data[at + 2 : at + 4], "big")
-
-
-_END = pa.struct([("ip", pa.binary()), ("port", pa.int32())])
+
+def _repeated(start: Column, goes_on: Callable[[Column, Column], Column], step: Callable[[Column], tuple[Column, Column]], least: int) -> Column:
+    """``(kind, at)`` from ``start``, moved by ``step`` as long as ``goes_on``; a step is at least ``least`` bytes long."""
+    turns = F.when(goes_on(start["kind"], start["at"]), F.sequence(F.lit(1), F.floor(F.octet_length("data") / least).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def move(state: Column, _: Column) -> Column:
+        kind, at = step(state["at"])
+        return F.when(goes_on(state["kind"], state["at"]), F.struct(kind.alias("kind"), at.alias("at"))).otherwise(state)
+
+    return F.aggregate(turns, start, move)
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """``(trace, record_no, ts, proto, src, dst, length, accepted)``; frames that do not decode stay, not accepted."""
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [decode_frame(data) for data in batch.column("data").to_pylist()]
-            ends = [[x and {"ip": x[i], "port": x[i + 1]} for x in found] for i in (1, 3)]
-            arrays = [batch.column(n) for n in ("trace", "record_no", "ts")] + [pa.array([x and x[0] for x in found], pa.int32())]
-            arrays += [pa.array(e, _END) for e in ends] + [batch.column("orig_len"), pa.array([x is not None for x in found])]
-            yield pa.RecordBatch.from_arrays(arrays, ["trace", "record_no", "ts", "proto", "src", "dst", "length", "accepted"])
-
-    end = "struct<ip:binary,port:int>"
-    return frames.mapInArrow(decoded, f"trace string, record_no long, ts double, proto int, src {end}, dst {end}, length int, accepted boolean")
+    """``(trace, record_no, ts, proto, src, dst, length, accepted)``; frames that do not decode stay, not accepted.
+
+    Ethernet with any number of tags, IPv4, IPv6 with extension headers (not fragments), TCP and UDP. A projection a layer.
+    """
+    size = F.octet_length("data")
+
+    def tagged(kind: Column, at: Column) -> Column:
+        return kind.isin(*VLAN) & (size >= at + 4)
+
+    def extended(kind: Column, at: Column) -> Column:
+        return kind.isin(*EXTENSIONS) & (size >= at + 8)
+
+    ethernet = F.struct(_number(F.lit(12), 2).alias("kind"), F.lit(14).alias("at"))
+    rows = frames.withColumn("link", F.when(size >= 14, _repeated(ethernet, tagged, lambda at: (_number(at + 2, 2), at + 4), 4)))
+    kind, at = F.col("link.kind"), F.col("link.at")
+    four, six = (kind == IPV4) & (size >= at + 20), (kind == IPV6) & (size >= at + 40)
+    rows = rows.withColumns({"v": F.when(four, 4).when(six, 6), "at": at})
+    v, at = F.col("v"), F.col("at")
+    first = F.when(v == 4, F.struct(_number(at + 9, 1).alias("kind"), (at + _number(at, 1).bitwiseAND(F.lit(15)) * 4).alias("at"))).when(
+        v == 6, F.struct(_number(at + 6, 1).alias("kind"), (at + 40).alias("at"))
+    )
+    ips = {"from_ip": F.when(v == 4, _slice(at + 12, 4)).when(v == 6, _slice(at + 8, 16)), "to_ip": F.when(v == 4, _slice(at + 16, 4)).when(v == 6, _slice(at + 24, 16))}
+    rows = rows.withColumns({"first": first, **ips})
+    last = F.when(v == 6, _repeated(F.col("first"), extended, lambda at: (_number(at, 1), at + (_number(at + 1, 1) + 1) * 8), 8)).otherwise(F.col("first"))
+    rows = rows.withColumn("last", last)
+    kind, at = F.col("last.kind"), F.col("last.at")
+    rows = rows.withColumn("accepted", F.coalesce(kind.isin(*TRANSPORTS) & (size >= at + 4), F.lit(False)))
+
+    def end(ip: str, place: Column) -> Column:
+        return F.when(F.col("accepted"), F.struct(F.col(ip).alias("ip"), _number(place, 2).alias("port")))
+
+    shown = [F.when(F.col("accepted"), kind).alias("proto"), end("from_ip", at).alias("src"), end("to_ip", at + 2).alias("dst"), F.col("orig_len").alias("length")]
+    return rows.select("trace", "record_no", "ts", *shown, "accepted")
 
 
 def first_records(frames: DataFrame, n: int) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideway.operators.memory import newest_per_class, update_trusted
 from tideway.operators.sampling import balanced_sample
@@ -22,7 +27,7 @@ def windowed_flows(packets: DataFrame, seconds: float, origin: float = 0.0, late
     """Canonical flow rows of a stream ``(file, seq, ts, length, direction, protocol)``; also runs on a batch.
 
     Windows start at ``origin`` and close ``late_windows`` windows after their end; later packets are dropped (and counted by Spark).
-    State holds the packets of open windows; arrival order does not matter.
+    State holds the packets of open windows; arrival order does not matter. For a stream in order, :func:`bounded_windowed_flows` holds sums.
     """
     width, start = f"{seconds} seconds", f"{origin % seconds} seconds"
     timed = packets.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
@@ -53,6 +58,70 @@ def windowed_flows(packets: DataFrame, seconds: float, origin: float = 0.0, late
     return canonical_flows(stats, ["file", "window_id"])
 
 
+# What a window's state holds: counts and sums, the last time, protocols with their counts, and the first packets.
+_STATE = (
+    "n long, fwd long, length double, length2 double, iat double, iat2 double, first double, last double, "
+    "protocols array<int>, protocol_counts array<long>, lens array<double>, gaps array<double>, ways array<int>"
+)
+_STATS = (
+    "file string, window_id long, total_packets long, total_fwd_packets long, total_bwd_packets long, length_sum double, packet_length_mean double, "
+    "packet_length_std double, flow_iat_mean double, flow_iat_std double, flow_duration double, protocol int, lens array<double>, gaps array<double>, ways array<int>"
+)
+
+
+def _absorb(state: tuple | None, packets: pd.DataFrame, max_packets: int) -> tuple:
+    """The state after a batch's packets of one window, taken by time and number."""
+    packets = packets.sort_values(["ts", "seq"], kind="stable")
+    ts, length, way = (packets[c].to_numpy() for c in ("ts", "length", "direction"))
+    n, fwd, length1, length2, iat1, iat2, first, last, protocols, counts, lens, gaps, ways = state or (0, 0, 0.0, 0.0, 0.0, 0.0, float(ts[0]), float(ts[0]), [], [], [], [], [])
+    gap = np.maximum(0.0, np.diff(ts, prepend=last) * 1000.0)
+    seen = dict(zip(protocols, counts, strict=True))
+    for value, number in packets["protocol"].value_counts().items():
+        seen[int(value)] = seen.get(int(value), 0) + int(number)
+    room = max(0, max_packets - len(lens))
+    sums = (length1 + float(length.sum()), length2 + float((length * length).sum()), iat1 + float(gap.sum()), iat2 + float((gap * gap).sum()))
+    series = ([*lens, *length[:room].tolist()], [*gaps, *gap[:room].tolist()], [*ways, *way[:room].tolist()])
+    return (n + len(ts), fwd + int((way > 0).sum()), *sums, first, float(ts[-1]), list(seen), list(seen.values()), *series)
+
+
+def _closed(file: str, window: int, state: tuple) -> pd.DataFrame:
+    n, fwd, length1, length2, iat1, iat2, first, last, protocols, counts, lens, gaps, ways = state
+    protocol = min(zip([-c for c in counts], protocols, strict=True))[1]
+
+    def spread(total: float, squares: float) -> float:
+        return max(0.0, squares / n - (total / n) ** 2) ** 0.5
+
+    row = (file, window, n, fwd, n - fwd, length1, length1 / n, spread(length1, length2), iat1 / n, spread(iat1, iat2), max(0.0, last - first) * 1000.0, protocol, list(lens), list(gaps), list(ways))
+    return pd.DataFrame([row], columns=[field.split()[0] for field in _STATS.split(", ")])
+
+
+def bounded_windowed_flows(packets: DataFrame, seconds: float, origin: float = 0.0, late_windows: int = 2, max_packets: int = MAX_PACKETS) -> DataFrame:
+    """:func:`windowed_flows` of a stream in order of time, with state of bounded size: sums and the first ``max_packets`` packets of a window.
+
+    A window closes when a packet more than ``late_windows`` windows later has come; packets of closed windows are dropped and counted by Spark. Gaps
+    follow the order of arrival: by time within a batch, and never below 0 between batches.
+    """
+    placed = packets.withColumn("window_id", F.floor((F.col("ts") - origin) / seconds).cast("long"))
+    ends = placed.withColumn("window_end", F.timestamp_micros(((origin + (F.col("window_id") + 1) * seconds) * 1e6).cast("long")))
+    ends = ends.withWatermark("window_end", f"{late_windows * seconds} seconds")
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        file, window, end = key
+        if state.hasTimedOut:
+            yield _closed(file, window, state.get)
+            state.remove()
+            return
+        now = _absorb(state.get if state.exists else None, pd.concat(list(batches)), max_packets)
+        state.update(now)
+        state.setTimeoutTimestamp(int(end.timestamp() * 1000) if end.tzinfo else int(pd.Timestamp(end, tz="UTC").timestamp() * 1000))
+
+    rows = ends.select("file", "window_id", "window_end", "seq", "ts", "length", "direction", "protocol").groupBy("file", "window_id", "window_end")
+    stats = rows.applyInPandasWithState(update, _STATS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    item = F.arrays_zip("lens", "gaps", "ways")
+    series = F.transform(item, lambda x, i: F.struct((i + 1).alias("rn"), x["lens"].alias("length"), x["gaps"].alias("iat"), x["ways"].alias("direction")))
+    return canonical_flows(stats.withColumn("series", series).drop("lens", "gaps", "ways"), ["file", "window_id"])
+
+
 class FollowedTable:
     """A small table that a stream keeps up to date: each batch writes a new version, named by the batch.
 
