@@ -10,8 +10,9 @@ Template, by segment: ``<|turn|>role<|text|>`` + content + ``<|end|>`` + a line
 string, so that none is left; ``unescape`` takes them away again.
 
 Defined results: a null text counts as empty, a null role as the empty role; rows of a conversation with the same turn follow
-by role and text; rows with a null conversation form one; a turn without parts is an empty text; an empty table gives an empty
-result; extra input columns are not read.
+by role and text; rows with a null conversation form one; a turn without parts is an empty text; very long texts are one
+segment each, and a long conversation is digested segment by segment; repeated rows are turns each; an empty table gives an empty
+result; extra input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

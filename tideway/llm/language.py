@@ -9,7 +9,9 @@ Training uses at most ``per_language`` labelled documents a language (taken by a
 covers every window of every text.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if no row has a label to learn from;
-repeated rows are predicted alike; an empty table gives an empty result; extra input columns are not read.
+very long texts are read in all their windows, some thousand at a time; of equally likely languages the first by name is predicted;
+repeated rows are predicted alike, and rows that share an id and a label are one to learn from; an empty table gives an empty
+result; extra input columns, whatever their names, are not read, and the stage hands them on.
 """
 
 from __future__ import annotations

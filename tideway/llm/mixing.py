@@ -13,8 +13,9 @@ stops at ``max_epochs`` times its source's size, and the excess is shared anew b
 ``least(max_epochs * size, weight * level)`` equals the budget.
 
 Defined results: a null text has size 0; a null source is a source; a null id is hashed as the empty string; rows with the
-same id and source are taken together; an empty table gives an empty result; extra input columns are not read. The queue
-is cut at the last row that still fits the budget whole.
+same id and source are taken together; very long texts are counted by one expression and stay where they are; equal finish times go by
+source, hash and id; an empty table gives an empty result; extra input columns, whatever their names, are not read, and the stage hands them
+on. The queue is cut at the last row that still fits the budget whole.
 """
 
 from __future__ import annotations

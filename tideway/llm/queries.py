@@ -58,7 +58,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ WITH docs AS (
   SELECT source, max(struct_pack(epoch := epoch, r := r, doc_id := doc_id)) AS last FROM merged
   WHERE running <= (SELECT sum(size) FROM docs) GROUP BY source
 )
-SELECT q.doc_id, q.size, q.source_size, round(q.target, 6) AS target,
+SELECT q.doc_id, q.size, q.source_size, q.target AS target,
   (q.size * coalesce(l.last.epoch - 1 + CASE WHEN (q.r, q.doc_id) <= (l.last.r, l.last.doc_id) THEN 1 ELSE 0 END, 0))::BIGINT AS taken
 FROM queued q LEFT JOIN last l ON q.source IS NOT DISTINCT FROM l.source
 """

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideway.storage import kept
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once, in the folder the cluster shares for checkpoints.
 
-    ``spark.checkpoint.dir`` is read from the session; only where neither it nor a checkpoint folder
-    is set (local tests) is a temporary folder taken. What is cut survives a lost executor.
+    What is cut survives a lost executor. See ``tideway.storage`` for the folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tideway-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return kept(df)
 
 
 def utf8(text: str = "text") -> Column:

@@ -5,8 +5,9 @@ is the rule's expression tried, anchored. Runs of hexadecimal digits have no key
 byte to its class and searches for 24 hexadecimal digits in a row. Tokens that carry a CRC-32 of themselves are
 kept only if that checksum holds.
 
-Defined results: a null text counts as empty, an empty text has no findings, repeated rows are scanned each on its own,
-an empty table gives an empty result, extra input columns are not read.
+Defined results: a null text counts as empty, an empty text has no findings, very long texts are scanned whole (an expression is tried at hits
+alone, so time grows with the length), findings that begin together follow in the order of ``KINDS``, repeated rows are scanned each on its
+own, an empty table gives an empty result, extra input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Documents are encoded where they lie and leave a partition as one count per leng
 occurs; running and suffix sums over it, in two levels so that no single task holds it, then answer for each limit
 how many documents fit, how many tokens are kept if longer ones are cut there, and at which quantile it lies.
 
-Defined results: a null text counts as empty; a document's length includes its end token; repeated rows
-count each; an empty table gives an empty result; extra input columns are not read.
+Defined results: a null text counts as empty; a document's length includes its end token; very long texts are encoded whole;
+documents of one length share a row, so there are no ties; repeated rows count each; an empty table gives an empty
+result; extra input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ many tasks; each block returns k rows a query, and the k best are kept.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 a repeated id is found once, with its best score, and no row is a candidate for a query of its id; ties go to the smaller id; with k or
-fewer candidates all are found; an empty table gives an empty result; extra input columns are not read.
+fewer candidates all are found; an empty table gives an empty result; extra input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
