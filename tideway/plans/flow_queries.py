@@ -61,17 +61,18 @@ def sql_norm(c: str) -> str:
     return f"(CASE {text} {_SQL_ALIASES} ELSE {text} END)"
 
 
-def sql_service(c: str) -> str:
-    token = sql_norm(c)
+def sql_service(token: str) -> str:
+    """The service of a label that is normalised already."""
     exact = " ".join(f"WHEN '{app}' THEN '{service}'" for service, apps in _SQL_APPS for app in apps)
-    contains = " ".join(f"WHEN contains({token}, '{app}') THEN '{service}'" for service, apps in _SQL_APPS for app in apps)
-    return f"(CASE WHEN {token} IN {_SQL_SERVICES} THEN {token} ELSE CASE {token} {exact} ELSE CASE {contains} ELSE 'unknown' END END END)"
+    pairs = ", ".join(f"{{'app': '{app}', 'service': '{service}'}}" for service, apps in _SQL_APPS for app in apps)
+    contained = f"list_filter([{pairs}], lambda x: contains({token}, x.app))[1].service"
+    return f"coalesce(CASE WHEN {token} IN {_SQL_SERVICES} THEN {token} END, CASE {token} {exact} END, {contained}, 'unknown')"
 
 
-def sql_category(c: str) -> str:
-    token = sql_norm(c)
+def sql_category(token: str, again: str) -> str:
+    """The service of a category that is normalised already; ``again`` is it normalised once more."""
     return f"""(CASE WHEN {token} IN ('streaming_media', 'music') THEN 'streaming' WHEN {token} = 'games' THEN 'gaming' WHEN {token} = 'videoconferencing' THEN 'conferencing'
- WHEN {token} = 'file_sharing' THEN 'bulk_transfer' WHEN {token} IN {_SQL_BROWSING} THEN 'browsing' ELSE {sql_service(token)} END)"""
+ WHEN {token} = 'file_sharing' THEN 'bulk_transfer' WHEN {token} IN {_SQL_BROWSING} THEN 'browsing' ELSE {sql_service(again)} END)"""
 
 
 def sql_condition(rtt: str, jitter: str, loss: str) -> str:
@@ -94,7 +95,10 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_LABELS.replace("FROM part", "FROM tideway_part"))
 
 
-@query(f"SELECT id, {sql_norm('raw')} AS label, {sql_service('raw')} AS service, {sql_category('raw')} AS category_service FROM ({RAW_LABELS})")
+_TWICE = f"(SELECT *, {sql_norm('label')} AS again FROM (SELECT id, {sql_norm('raw')} AS label FROM ({RAW_LABELS})))"
+
+
+@query(f"SELECT id, label, {sql_service('label')} AS service, {sql_category('label', 'again')} AS category_service FROM {_TWICE}")
 def p1_p2_p3_labels(spark, sf_dir):
     rows = raw_labels(spark, sf_dir)
     return rows.select("id", labels.normalize_label("raw").alias("label"), labels.infer_service("raw").alias("service"), labels.service_from_category("raw").alias("category_service"))
@@ -335,7 +339,7 @@ def p13_p14_p15_foreign_columns(spark, sf_dir):
     return rows.select("o_orderkey", values.number_of(rows, names, 32.0).alias("fwd"), values.text_of(rows, names).alias("text"), values.numeric(F.col("`FWD PACKETS`"), 7.0).alias("number"))
 
 
-@query(f"""SELECT id, {sql_norm('raw')} AS app, {sql_service(sql_norm('raw'))} AS service, {sql_condition('(id % 300)::DOUBLE', '5.0', '0.0')} AS condition FROM ({RAW_LABELS})""")
+@query(f"SELECT id, label AS app, {sql_service('again')} AS service, {sql_condition('(id % 300)::DOUBLE', '5.0', '0.0')} AS condition FROM {_TWICE}")
 def p20_p21_resolve_labels(spark, sf_dir):
     rows = raw_labels(spark, sf_dir).withColumnRenamed("raw", "Label").withColumn("RTT", (F.col("id") % 300).cast("double"))
     return flows.resolve_labels(rows).select("id", "app", "service", "condition")
