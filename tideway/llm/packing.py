@@ -3,7 +3,8 @@
 Documents are encoded and cut where they lie. Pieces longer than half a sequence open one each; the rest wait, longest first. A
 round then works on all waiting pieces and all gaps at once:
 
-- both are range-sorted by size, gaps before pieces of the same size, and dealt to as many tasks as their number asks for;
+- both are range-sorted by size, gaps before pieces of the same size, and dealt to as many tasks as their number asks for. The number of
+  rows of each size gives the ranges; a size with more rows than a task should have is several ranges, by hash;
 - each task sweeps its range from the largest size down: a gap goes on a stack, a piece takes the gap on top, its successor
   (the smallest that is left among those that hold it), so larger pieces choose first. What is left of the gap returns to the sweep at its new size.
   In the first range a piece without a gap has none anywhere, and opens a sequence;
@@ -74,17 +75,26 @@ def token_pieces(
 
 
 def _sweep(most: int, longest: int):
-    """Sweep of one range (part, size, key, waiting), largest size first.
+    """Sweeps of ranges (part, size, key, waiting), sorted by range and then from the largest size down.
 
     Gives pieces with ``seq``, the sequence that each takes, or ``place``, its rank among those left, longest first; and gaps with their new
     size, the ``slots`` that they still offer to lower ranges, and the place of the first of these, smallest gap first.
     """
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [batch for batch in batches if batch.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
+    def sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the range that may go on
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+            for start, end in zip(edges, edges[1:]):
+                if held and held[0].column("part")[0].as_py() != part[start]:
+                    yield sweep(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield sweep(pa.Table.from_batches(held))
+
+    def sweep(table: pa.Table) -> pa.RecordBatch:
         part, size, key, waiting = (table.column(n).to_pylist() for n in ("part", "size", "key", "waiting"))
         first, lowest = part[0] == 0, size[-1]
         names, room = [], []  # of gaps
@@ -125,9 +135,9 @@ def _sweep(most: int, longest: int):
         rows = [(now, name, True, 0, seq, place) for now, name, seq, place in pieces]
         rows += [(left, name, False, max(1, left // longest) if at in places else 0, None, places.get(at, 0)) for at, (left, name) in enumerate(zip(room, names, strict=True)) if left]
         arrays = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(_SWEPT)[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([part[0]] * len(rows), pa.int32()), *arrays], schema=_SWEPT)
+        return pa.RecordBatch.from_arrays([pa.array([part[0]] * len(rows), pa.int32()), *arrays], schema=_SWEPT)
 
-    return sweep
+    return sweeps
 
 
 _SWEPT = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("waiting", pa.bool_()), ("slots", pa.int64()), ("seq", pa.int64()), ("place", pa.int64())])
@@ -162,7 +172,7 @@ def _across(swept: DataFrame, runs: list[tuple[int, int, int, int, int]], tasks:
     last = F.least(F.col("place") + F.col("slots"), F.col("g_from") + F.col("n")) - 1
     slots = gaps.select("run", F.col("key").alias("seq"), "g_from", F.explode(F.sequence(F.greatest("place", "g_from"), last)).alias("slot"))
     slots = slots.select("run", (F.col("slot") - F.col("g_from")).alias("i"), "seq").repartition(tasks, "run", "i")
-    return pieces.repartition(tasks, "run", "i").join(slots, ["run", "i"]).select("key", "size", "seq")
+    return pieces.repartition(tasks, "run", "i").join(slots, ["run", "i"]).select("key", "size", "seq").coalesce(tasks)
 
 
 def _to_open(lengths: dict[int, int], room: dict[int, int], most: int) -> int:
@@ -183,6 +193,19 @@ def _to_open(lengths: dict[int, int], room: dict[int, int], most: int) -> int:
     return max(tokens // most, 0 if longest <= max(room, default=0) else 1)
 
 
+def _ranges(counts: dict[tuple[bool, int], int], rows_per_task: int) -> list[tuple[bool, int, int, int]]:
+    """(waiting, size, first range, ranges) in the order of a sweep: ranges of about ``rows_per_task`` rows, from the largest size down."""
+    found, at, filled = [], 0, 0
+    for waiting, size in sorted(counts, key=lambda c: (-c[1], c[0])):
+        n = counts[waiting, size]
+        if filled and filled + n > rows_per_task:
+            at, filled = at + 1, 0
+        number = max(1, -(-n // rows_per_task))
+        found.append((waiting, size, at, number))
+        at, filled = at + number - 1, n if number == 1 and not filled else filled + n
+    return found
+
+
 def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(item, seq)`` for every row ``(item, length)``; items are distinct numbers from 0, and ``seq`` tells sequences apart.
 
@@ -203,13 +226,18 @@ def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = RO
             break
         longest, shortest = max(lengths), min(lengths)
         room = {size: n for (waiting, size), n in counted.items() if not waiting and size >= shortest}
-        ranges = min(-(-(sum(lengths.values()) + sum(room.values())) // rows_per_task), MOST_RANGES)
-        if ranges > 1 and (number := _to_open(lengths, room, most)):
+        total = sum(lengths.values()) + sum(room.values())
+        if total > rows_per_task and (number := _to_open(lengths, room, most)):
             new = spark.range(number).select((-F.col("id") - 1 - opened).alias("key"), F.lit(most).alias("size"))
-            gaps, opened = gaps.union(new), opened + number
-        both = pieces.select("size", "key", F.lit(True).alias("waiting")).union(gaps.where(F.col("size") >= shortest).select("size", "key", F.lit(False)))
-        order = [F.desc("size"), F.asc("waiting"), F.asc("key")]
-        ordered = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+            gaps, opened, room[most] = gaps.union(new), opened + number, room.get(most, 0) + number
+        dealt = {(True, size): n for size, n in lengths.items()} | {(False, size): n for size, n in room.items()}
+        dealt = _ranges(dealt, max(rows_per_task, total // MOST_RANGES))
+        ranges = dealt[-1][2] + dealt[-1][3]
+        table = F.broadcast(spark.createDataFrame(dealt, "waiting boolean, size int, first int, ranges int"))  # 2 * most rows at most
+        both = pieces.select("size", "key", F.lit(True).alias("waiting")).union(gaps.select("size", "key", F.lit(False)))
+        part = (F.col("first") + F.pmod(F.xxhash64("key"), "ranges")).cast("int")
+        both = both.join(table, ["waiting", "size"]).select(part.alias("part"), "size", "key", "waiting")
+        ordered = both.repartition(ranges, "part").coalesce(ranges).sortWithinPartitions("part", F.desc("size"), "waiting", "key")
         swept = cut(ordered.mapInArrow(_sweep(most, longest), "part int, size int, key long, waiting boolean, slots long, seq long, place long"))
 
         left = swept.where("seq is null").groupBy("part").agg(F.count_if("waiting").alias("pieces"), F.sum("slots").alias("slots"))
@@ -220,9 +248,9 @@ def place_pieces(items: DataFrame, most: int = SEQUENCE, rows_per_task: int = RO
         if runs:
             across = cut(_across(swept, runs, ranges))
             placed.append(across.select(F.col("key").alias("item"), "seq"))
-            pieces = pieces.repartition(ranges, "key").join(across.select("key").repartition(ranges, "key"), "key", "left_anti")
+            pieces = pieces.repartition(ranges, "key").join(across.select("key").repartition(ranges, "key"), "key", "left_anti").coalesce(ranges)
             changes = gaps.union(across.select(F.col("seq").alias("key"), -F.col("size")))
-            gaps = changes.repartition(ranges, "key").groupBy("key").agg(F.sum("size").cast("int").alias("size"))
+            gaps = changes.repartition(ranges, "key").groupBy("key").agg(F.sum("size").cast("int").alias("size")).coalesce(ranges)
     found = placed[0]
     for more in placed[1:]:
         found = found.union(more)
