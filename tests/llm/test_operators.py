@@ -450,6 +450,18 @@ def test_mixing(spark, odd):
     assert {r[0]: r[1] for r in rows if r[1]} == {s or "?": n for s, n in taken.items() if n}
 
 
+def test_mixing_rows_without_ids(spark):
+    rows = [(None, f"text {i} " + "w " * (i % 5), "en", "ab"[i % 2]) for i in range(60)] + [(None, None, None, "b")] * 2
+    docs = documents(spark, rows)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 62 and sum(r["taken"] for r in got) <= sum(r["size"] for r in got)
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * max(r["size"] for r in got)
+    taken = mixing.mixed_documents(docs)
+    assert taken.columns == docs.columns and taken.agg(F.sum(mixing.word_count())).first()[0] == sum(r["taken"] for r in got)
+
+
 def test_chat_escapes_are_reversible():
     rng = random.Random(4)
     parts = ["\\", "<", "|", "<|end|>\n", "<|loss|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "s>", "x", "\n", "é", "[", "<|turn|>user<|text|>"]

@@ -12,8 +12,8 @@ Targets: sources by code point (null last) weigh ``weights`` in turn and share t
 stops at ``max_epochs`` times its source's size, and the excess is shared anew by weight. That is the level at which the sum of
 ``least(max_epochs * size, weight * level)`` equals the budget.
 
-Defined results: a null text has size 0; a null source is a source; a null id is hashed as the empty string; rows with the
-same id and source are taken together; very long texts are counted by one expression and stay where they are; equal finish times go by
+Defined results: a null text has size 0; a null source is a source; rows without an id queue by their text, null as empty; rows with the
+same id and source, or without an id and with the same text, are taken together; very long texts are counted by one expression and stay where they are; equal finish times go by
 source, hash and id; an empty table gives an empty result; extra input columns, whatever their names, are not read, and the stage hands them
 on. The queue is cut at the last row that still fits the budget whole.
 """
@@ -37,9 +37,9 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def shuffle_key(doc_id: str = "doc_id", seed: str = SEED) -> Column:
-    """A 60-bit key in which the documents of a source queue."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def shuffle_key(doc_id: str = "doc_id", text: str = "text", seed: str = SEED) -> Column:
+    """A 60-bit key in which the documents of a source queue: by id, or by text where there is no id."""
+    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("binary")), F.lit("")))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
@@ -52,25 +52,36 @@ def _source(key: str = "key") -> Column:
     return F.when(F.col(key) != "2", F.substring(F.col(key), 2, 1 << 30))
 
 
+def _ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows dealt by ranges of ``order``, numbered by ``part``; cut, so that whoever reads them sees the same ranges."""
+    return cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def _sums_before(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``before_x``, the sum of x over all rows before in ``order``, and ``all_x``. Two-level: within ranges, and over the ranges' sums."""
+    parts = rows.groupBy("part").agg(*[F.sum(c).alias(c) for c in columns])  # a row per range
+    earlier, everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    starts = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"start_{c}") for c in columns]
+    parts = parts.select("part", *starts, *[F.sum(c).over(everything).alias(f"all_{c}") for c in columns])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(parts, "part")
+    return found.withColumns({f"before_{c}": F.col(f"start_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns})
+
+
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``(key, source_size, target)`` from rows ``(key, size)``; one row per source."""
-    by_source = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy("key"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int"))
-    filling = Window.orderBy("ratio", "key")
-    before, after = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+    """``(key, source_size, target)`` from rows ``(key, size)``; one row per source. Sources may be many: they are dealt by ranges."""
+    by_source = rows.groupBy("key").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    placed = _sums_before(_ranges(by_source, "key"), ["key"], ["one"])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("before_one"), F.lit(len(weights))) + 1).cast("int"))
+    shares = placed.select("key", "source_size", weight.alias("weight"), (F.col("source_size") * float(max_epochs)).alias("most"))
+    shares = _ranges(shares.withColumn("ratio", F.col("most") / F.col("weight")), "ratio", "key")
+    filling = _sums_before(shares, ["ratio", "key"], ["most", "weight", "source_size"])
+    level = (F.col("all_source_size") - F.col("before_most")) / (F.col("all_weight") - F.col("before_weight"))
     # The first source, by the level at which it is full, that the rest of the budget does not fill sets the level.
-    unfilled = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "key", "level"))
-    return (
-        by_source.withColumn("weight", weight)
-        .withColumn("most", F.col("source_size") * float(max_epochs))
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("level", level)
-        .withColumn("level", F.min(unfilled).over(everything)["level"])
-        .select("key", "source_size", F.least("most", F.coalesce(F.col("weight") * F.col("level"), "most")).alias("target"))
-    )
+    unfilled = filling.withColumn("level", level).where(F.col("level") <= F.col("ratio"))
+    reached = unfilled.agg(F.min(F.struct("ratio", "key", "level"))["level"].alias("level"))
+    target = F.least("most", F.coalesce(F.col("weight") * F.col("level"), "most"))
+    return shares.join(F.broadcast(reached), F.lit(True)).select("key", "source_size", target.alias("target"))  # one row
 
 
 def queue(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -114,7 +125,7 @@ def copies() -> Column:
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
-    ids = (_source_key(source).alias("key"), F.col(doc_id).alias("doc_id"), shuffle_key(doc_id, seed).alias("r"))
+    ids = (_source_key(source).alias("key"), F.col(doc_id).alias("doc_id"), shuffle_key(doc_id, text, seed).alias("r"))
     return docs.select(*ids, word_count(text).alias("size"))
 
 
@@ -156,7 +167,7 @@ def mixed_documents(
     """
     rows = cut(_rows(docs, doc_id, text, source, seed))
     queued = cut(queue(rows, source_targets(rows, weights, max_epochs)))
-    ids = (_source_key(source).alias("key"), F.col(doc_id).alias("doc_id"), shuffle_key(doc_id, seed).alias("r"))
+    ids = (_source_key(source).alias("key"), F.col(doc_id).alias("doc_id"), shuffle_key(doc_id, text, seed).alias("r"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *ids)
     found = keyed.join(_checked(last_taken(queued, max_epochs)), "key")
     return found.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select("row.*")
