@@ -310,6 +310,20 @@ def test_packing_in_many_ranges(spark, odd):
     check_packed(got, sum(r["length"] for r in pieces.collect()))
 
 
+def test_ranges_follow_the_sizes():
+    rng = random.Random(8)
+    for _ in range(50):
+        counts = {(rng.random() < 0.5, rng.randint(1, 60)): rng.choice([1, 5, 40, 900]) for _ in range(rng.randint(1, 60))}
+        dealt, rows, last = packing._ranges(counts, 100), Counter(), (0, 0)
+        assert [(w, s) for w, s, _, _ in dealt] == sorted(counts, key=lambda c: (-c[1], c[0]))
+        for waiting, size, first, number in dealt:
+            assert last[1] <= first <= last[1] + 1 or not rows
+            for i in range(number):
+                rows[first + i] += counts[waiting, size] / number
+            last = (first, first + number - 1)
+        assert set(rows) == set(range(last[1] + 1)) and max(rows.values()) <= 200
+
+
 LENGTHS = {
     "uniform": lambda r: r.integers(1, 1025, 4000),
     "one length in a third of all": lambda r: np.concatenate((r.integers(1, 1025, 2000), np.full(1000, 300))),

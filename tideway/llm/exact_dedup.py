@@ -28,9 +28,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideway.llm.runtime import columns, cut, pieces, utf8
 
-TRIE_BUDGET = 32 << 20
+TRIE_BUDGET = 16 << 20
 REPEATS = 100_000
-_ROWS = 2_000
+_ROWS = 1_000
 
 
 class Node:

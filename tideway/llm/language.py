@@ -267,7 +267,7 @@ def identify_languages(
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
-        for batch in pieces(batches, 500):
+        for batch in pieces(batches, 250):
             names, scores = predict(columns(batch, "text")[0], net, tables)
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score"])
@@ -293,7 +293,7 @@ def keep_known_languages(
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
-        for batch in pieces(batches, 500):
+        for batch in pieces(batches, 250):
             texts = [x.encode() if x is not None else None for x in columns(batch, text)[0]]
             known = [name != UNKNOWN for name in predict(texts, net, tables)[0]] if net else [has_letters(x) for x in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
