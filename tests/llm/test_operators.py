@@ -652,7 +652,7 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     clashing(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     found = {r["doc_id"] for r in got}
-    assert found <= {None, 7, 8, 11, 12} and 8 in found
+    assert found <= {None, 7, 8, 11, 12} and {11, 12} <= found  # the mix has no room for a text that is longer than all others together
     check_packed(got, sum(r["length"] for r in got))
     spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
