@@ -33,6 +33,7 @@ FILTERS = 16
 PER_LANGUAGE = 250
 MAX_LANGUAGES = 200
 WINDOWS_EACH = 3
+PARTS = 16
 EPOCHS = 10
 UNKNOWN = "und"
 _CHUNK = 512  # windows evaluated at a time
@@ -191,10 +192,14 @@ def train_on(
     """
     key = F.xxhash64(F.col(doc_id).cast("string"))
     rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    # The first ids by hash, of each part of a language and then of all its parts, so that no task sees all ids of a language.
+    part = F.pmod("key", F.lit(PARTS))
+    first = F.row_number().over(Window.partitionBy("lang", part).orderBy("key", "doc_id"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
     keyed = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), key.alias("key"))
     common = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    ids = keyed.distinct().withColumn("turn", turn).where(F.col("turn") <= per_language).join(F.broadcast(common), "lang")
+    ids = keyed.distinct().withColumn("turn", first).where(F.col("turn") <= per_language)
+    ids = ids.withColumn("turn", turn).where(F.col("turn") <= per_language).join(F.broadcast(common), "lang")
     ids = ids.select("doc_id", "lang")
     chosen = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), utf8(text).alias("text"))
     chosen = chosen.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most languages * per_language ids
