@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm import chat, exact_dedup, html_extract, language, mixing, near_dedup, packing, secret_scan, token_counts, vectors
+from tideway.llm import chat, exact_dedup, hard_negatives, html_extract, language, mixing, near_dedup, packing, secret_scan, token_counts, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_secret_scan, op2_simhash, op3_packing, op4_language, op5_chat, op6_html, op7_exact_dedup, op8_mixing, op9_neighbours,
-        op10_token_counts, pipeline,
+        op10_token_counts, op11_hard_negatives, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -146,6 +152,28 @@ SELECT q.doc_id, q.size, q.source_size, q.target AS target,
 FROM queued q LEFT JOIN last l ON q.source IS NOT DISTINCT FROM l.source
 """
 
+OP11_SQL = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+), components AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM whole
+), met AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, sum(a.x * c.x)::BIGINT AS score
+  FROM components a JOIN components c ON a.place = c.place AND a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN met USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op5_chat": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL}
