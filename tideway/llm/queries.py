@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm import chat, exact_dedup, hard_negatives, html_extract, language, mixing, near_dedup, packing, secret_scan, token_counts, vectors
+from tideway.llm import chat, conversation_repair, exact_dedup, hard_negatives, html_extract, language, mixing, near_dedup, packing, secret_scan, token_counts, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,23 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text, lost)``: conversations with faults by a checksum of conversation and turn; nulls are one space."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    fault = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    changed = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1)))
+    named = F.when(fault == 4, "user").otherwise(role).alias("role")
+    return turns.select("conv_id", "turn", named, changed.alias("text"), (fault == 0).alias("lost"), copies.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, turns = conversation_repair.repair_conversations(damaged(_table(spark, sf_dir, "conversations")), "lost")
+    digests = conversation_repair.digests(turns).withColumnRenamed("conv_id", "c")
+    joined = found.join(digests, found["conv_id"].eqNullSafe(digests["c"]), "left").drop("c")
+    return joined.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_secret_scan, op2_simhash, op3_packing, op4_language, op5_chat, op6_html, op7_exact_dedup, op8_mixing, op9_neighbours,
-        op10_token_counts, op11_hard_negatives, pipeline,
+        op10_token_counts, op11_hard_negatives, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -174,6 +191,56 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
 QUALIFY rank <= 3
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS bytes
+  FROM conversations
+), summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS fault FROM spaced
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM summed, range(2) copies(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)
+), ordered AS (
+  SELECT *, substr(role, 1, 1) AS initial, rtrim(text, E' \t\n\x0b\x0c\r') AS trimmed, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS rn FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+    WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial AS pair, count(*) OVER (PARTITION BY conv_id) AS n FROM ordered
+), steps(last, inserted, prior, price) AS (
+  VALUES ('', '', '', 0), ('s', '', 's', 0), ('u', '', 'u', 0), ('a', '', 'a', 0), ('', 'I', 'u', 2), ('s', 'I', 'u', 2), ('u', 'I', 'a', 2), ('a', 'I', 'u', 2), ('s', 'II', 'a', 4)
+), prefixes AS (
+  SELECT conv_id, 0::BIGINT AS rn, '' AS last, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM (SELECT DISTINCT conv_id FROM faulty)
+  UNION ALL
+  SELECT conv_id, rn, last, min(struct_pack(cost := cost, audit := audit)).cost, min(struct_pack(cost := cost, audit := audit)).audit,
+    arg_min(said, struct_pack(cost := cost, audit := audit))
+  FROM (
+    SELECT p.conv_id, f.rn, CASE e WHEN 'D' THEN s.prior WHEN 'K' THEN f.initial WHEN 'R' THEN CASE s.prior WHEN 'u' THEN 'a' ELSE 'u' END END AS last,
+      p.cost + s.price + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+      p.audit || s.inserted || e AS audit,
+      p.said || CASE WHEN s.inserted = '' THEN [] WHEN s.inserted = 'II' THEN ['user:', 'assistant:'] WHEN s.prior = 'u' THEN ['user:'] ELSE ['assistant:'] END
+        || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE s.prior WHEN 'u' THEN 'assistant' ELSE 'user' END || ':' || f.text] END AS said
+    FROM prefixes p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.rn = p.rn + 1 JOIN steps s ON s.last = p.last, (VALUES ('D'), ('K'), ('R')) edits(e)
+    WHERE e = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR f.initial = CASE s.prior WHEN 'u' THEN 'a' ELSE 'u' END OR (s.prior = '' AND f.initial = 's')))
+  ) GROUP BY conv_id, rn, last
+), ended AS (
+  SELECT p.conv_id, min(struct_pack(cost := p.cost + s.price, audit := p.audit || s.inserted)) AS best,
+    arg_min(p.said || CASE WHEN s.inserted = '' THEN [] WHEN s.inserted = 'II' THEN ['user:', 'assistant:'] ELSE ['assistant:'] END,
+      struct_pack(cost := p.cost + s.price, audit := p.audit || s.inserted)) AS said
+  FROM prefixes p JOIN (SELECT conv_id, max(rn) AS n FROM faulty GROUP BY conv_id) f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND p.rn = f.n
+    JOIN steps s ON s.last = p.last WHERE s.prior IN ('', 'a') GROUP BY p.conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op5_chat": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_conversation_repair": OP13_SQL}
