@@ -77,7 +77,7 @@ class CommittedWriter(DataSourceArrowWriter):
                             files.pop(next(iter(files)))[0].close()
                         final, first = self.opened(name, f"{task}-{len(done)}")
                         done.append((f"{root}/_{attempt}-{len(done)}", f"{root}/{final}"))
-                        file = [system.open_output_stream(done[-1][0]), len(first)]
+                        file = [system.open_output_stream(done[-1][0], compression=None), len(first)]
                         file[0].write(first)
                     files[name] = file
                     file[0].write(data)
