@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm import chat, conversation_repair, exact_dedup, hard_negatives, html_extract, language, mixing, near_dedup, packing, secret_scan, token_counts, vectors
+from tideway.llm import archives, chat, conversation_repair, exact_dedup, hard_negatives, html_extract, language, mixing, near_dedup, packing, secret_scan, token_counts, vectors
+from tideway.storage import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs, warcs = shared_folder(spark, "arc"), shared_folder(spark, "warc")
+    messages = archives.page_messages(_table(spark, sf_dir, "pages"))
+    archives.write_arc(messages, arcs)
+    archives.convert_archives(spark, arcs, warcs)
+    return archives.page_records(spark, warcs)
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, text, lost)``: conversations with faults by a checksum of conversation and turn; nulls are one space."""
     conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
@@ -101,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_secret_scan, op2_simhash, op3_packing, op4_language, op5_chat, op6_html, op7_exact_dedup, op8_mixing, op9_neighbours,
-        op10_token_counts, op11_hard_negatives, op13_conversation_repair, pipeline,
+        op10_token_counts, op11_hard_negatives, op12_warc, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -191,6 +200,21 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
 QUALIFY rank <= 3
 """
 
+OP12_SQL = r"""
+WITH records AS (
+  SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS turn,
+    first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS first
+  FROM records
+)
+SELECT page_id, url, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN turn = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN turn > 1 THEN first END AS refers_to, true AS intact
+FROM ranked
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE spaced AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
@@ -243,4 +267,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts f ON f.conv
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_conversation_repair": OP13_SQL}
+    return {"op5_chat": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_warc": OP12_SQL, "op13_conversation_repair": OP13_SQL}
