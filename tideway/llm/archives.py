@@ -388,7 +388,7 @@ def convert_archives(spark: SparkSession, arc_folder: str, warc_folder: str, lea
     named = {file_name(path): path for path in paths}  # a name and a path for each file
     if len(named) < len(paths):
         raise ValueError(f"two archives below {arc_folder} have the same name")
-    decisions = revisit_decisions(payload_digests(spark, arc_folder, order_header), least)
+    decisions = revisit_decisions(cut(payload_digests(spark, arc_folder, order_header)), least)
     # Each archive's version block makes a row too, so that archives without records are converted.
     starts = spark.createDataFrame([(name, -1, None) for name in named], decisions.schema)
     rows = starts.union(decisions).repartition(max(1, len(paths)), "archive").sortWithinPartitions("archive", "offset")
