@@ -209,6 +209,26 @@ def test_leave_one_group_out_against_a_loop(spark, sf):
                 assert found[r["id"]] == max(protos, key=lambda k: (protos[k] @ z[r["id"]], -k))
 
 
+def test_leave_one_group_out_in_small_blocks_with_hot_and_lonely_groups(spark):
+    """A group with half of all rows, groups that own a label, a label that only one group has, equal prototypes, and a group of everything."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 7)), int(i % 12) if i % 2 else 50, rng.normal(size=5).tolist()) for i in range(400)]
+    rows += [(1000 + i, 90 + i, 60 + i, rng.normal(size=5).tolist()) for i in range(5)] + [(2000, 20, 70, [1.0, 0.0, 0.0, 0.0, 0.0]), (2001, 21, 71, [2.0, 0.0, 0.0, 0.0, 0.0]), (2002, 5, 72, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "id long, label int, app long, z array<double>")
+    found = embeddings.leave_one_group_out(table, block=3)
+    # No table of groups times classes: every pair of sides meets on a key.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    found = {r["id"]: (r["app"], r["pred"]) for r in found.collect()}
+    unit = {i: np.array(z) / np.linalg.norm(z) for i, _, _, z in rows}
+    for i, _, app, _ in rows:
+        protos = {label: np.mean([unit[j] for j, k, other, _ in rows if other != app and k == label], axis=0) for label in {k for _, k, other, _ in rows if other != app}}
+        want = max(protos, key=lambda k: (round(float(protos[k] @ unit[i] / np.linalg.norm(protos[k])), 12), -k))
+        assert found[i] == (app, want), i
+    alone = spark.createDataFrame([(1, 1, 1, [1.0]), (2, 2, 1, [1.0])], "id long, label int, app long, z array<double>")
+    assert embeddings.leave_one_group_out(alone).collect() == []
+
+
 def test_trusted_updates_against_a_loop(spark, sf):
     rows = labelled_vectors(spark, sf)
     start = memory.bootstrap(rows.where("id % 10 = 0 and label <> 3"), spark.range(11).select(F.col("id").alias("label")))

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 import struct
 
 import pytest
@@ -95,6 +96,41 @@ def test_captures(spark, tmp_path, order, scale):
     assert both["total_packets"] == 2 and both["directions"] == [1, -1] and bytes(both["ep_a"]["ip"]) == bytes(A)
 
 
+def _record(order, seconds, fraction, data, whole=None):
+    return struct.pack(order + "IIII", seconds, fraction, len(data), len(data) if whole is None else whole) + data
+
+
+@pytest.mark.parametrize("order, scale", [("<", 10**6), (">", 10**9)])
+def test_traces_in_ranges_equal_whole_traces(spark, tmp_path, order, scale):
+    """Payloads that are captures themselves, records longer than a range, one cut off at the end, an empty trace; ranges from a few bytes to the whole."""
+    rng = random.Random(2)
+    magic = next(m for m, v in capture.MAGIC.items() if v == (order, float(scale))) + bytes(20)
+    fake = b"".join(_record(order, 1000 + i, i, bytes([i]) * 20) for i in range(30))
+    records = [_record(order, 1000 + i, i, rng.randbytes(rng.randrange(1, 90)) if i % 5 else fake[: rng.randrange(1, len(fake))], 7) for i in range(60)]
+    records += [_record(order, 1200, 0, b""), _record(order, 1201, 0, rng.randbytes(5000)), _record(order, 10**9, 1, b"late")]
+    for name, body in (("a", b"".join(records)), ("b", b"".join(records[::-1]) + fake[:-5]), ("none", b""), ("cut", records[0][:-1])):
+        (tmp_path / f"{name}.pcap").write_bytes(magic + body)
+    spark.dataSource.register(capture.CaptureSource)
+    whole = sorted(map(tuple, spark.read.format("capture").load(str(tmp_path)).collect()))
+    assert len(whole) == 2 * len(records) + 29
+    for split in (700, 1 << 20):
+        assert sorted(map(tuple, capture.read_captures(spark, str(tmp_path), split).collect())) == whole, split
+    frames = capture.read_captures(spark, str(tmp_path), 2000)
+    assert frames.rdd.getNumPartitions() >= 8  # a task a range
+    first = capture.read_captures(spark, f"file:{tmp_path}", 2000, first=10)
+    assert sorted(map(tuple, first.collect())) == [r for r in whole if r[1] < 10] and first.rdd.getNumPartitions() <= 4
+
+
+def test_headers_are_found_in_the_first_bytes(spark, tmp_path, monkeypatch):
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "sub dir" / "a+b%20.csv").write_text("\n\nTime,Source,Destination,Protocol,Length\n" + "1,a,b,tcp,5\n" * 50_000)
+    (tmp_path / "bare.csv").write_text("1\ta\tb\t5\n" * 50_000 + "Time,Source,Destination,Protocol,Length\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = files.headers_of_files(spark, str(tmp_path))
+    assert {k.rsplit("/", 1)[-1]: v for k, v in found.items()} == {"a+b%20.csv": "Time,Source,Destination,Protocol,Length", "bare.csv": None}
+    assert files.HEAD == 65_536 and files.read_packets(spark, str(tmp_path)).groupBy("protocol").count().where("protocol = 'tcp'").first()["count"] == 50_000
+
+
 def ordered(df):
     return sorted([tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in df.collect()])
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,12 @@ def pair_similarity(rows: DataFrame) -> DataFrame:
     )
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists of doubles as a matrix."""
+    flat = column.combine_chunks().flatten().to_numpy()
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
 def _grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_block: int, right_block: int):
     """Both sides dealt by a hash of their ids into blocks of about the given numbers of rows, cogrouped for every pair of blocks."""
     n_left, n_right = max(1, -(-left.count() // left_block)), max(1, -(-right.count() // right_block))
@@ -75,15 +82,18 @@ def _grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_b
 
 def _top(k: int):
     def top(key: tuple, train: pa.Table, test: pa.Table) -> pa.Table:
-        out = []
+        parts = []
         if train.num_rows and test.num_rows:
-            ids, labels = train.column("id").to_numpy(), train.column("label").to_numpy()
-            x = np.array(train.column("z").to_pylist())
-            sims = np.array(test.column("z").to_pylist()) @ x.T
-            for i, test_id in enumerate(test.column("test_id").to_numpy()):
-                near = np.lexsort((ids, -sims[i]))[:k]
-                out += [(int(test_id), int(ids[j]), int(labels[j]), float(sims[i, j])) for j in near]
-        columns = zip(*out, strict=True) if out else ([], [], [], [])
+            ids, labels, tests = (t.column(n).to_numpy() for t, n in ((train, "id"), (train, "label"), (test, "test_id")))
+            order = np.argsort(ids, kind="stable")  # so that the first of equal ones has the smaller id
+            ids, labels = ids[order], labels[order]
+            sims = matrix(test.column("z")) @ matrix(train.column("z"))[order].T
+            last = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(tests), -np.inf)
+            for i, test_id in enumerate(tests):
+                near = np.flatnonzero(sims[i] >= last[i])
+                near = near[np.argsort(-sims[i, near], kind="stable")[:k]]
+                parts.append((np.full(len(near), test_id), ids[near], labels[near], sims[i, near]))
+        columns = map(np.concatenate, zip(*parts, strict=True)) if parts else ([], [], [], [])
         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("test_id", "train_id", "label", "sim"), columns, types, strict=True)})
 
@@ -146,36 +156,57 @@ def _best() -> Column:
     return let(unit(F.col("z")), among)
 
 
-def leave_one_group_out(rows: DataFrame, group: str = "app", most: int = MOST_BROADCAST) -> DataFrame:
-    """``(id, label, group, pred)``: each row's nearest prototype of all other groups' rows.
-
-    The sums of a class are one array; a group subtracts its own from them, in its one row. Rows that no prototype serves are left out.
+def _untouched(key: tuple, rows: pa.Table, classes: pa.Table) -> pa.Table:
+    """Each row's most similar class of a block among those that its group has no rows of; the smallest label wins ties."""
+    names, types = ["row", "label", "sim"], [pa.int64(), pa.int64(), pa.float64()]
+    if not rows.num_rows or not classes.num_rows:
+        return pa.table([pa.array([], t) for t in types], names=names)
+    order = np.argsort(classes.column("label").to_numpy(), kind="stable")
+    labels = classes.column("label").to_numpy()[order]
+    sims = matrix(rows.column("z")) @ matrix(classes.column("z"))[order].T
+    own = rows.column("own").combine_chunks()
+    owner, held = np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy()), own.flatten().to_numpy()
+    place = np.minimum(np.searchsorted(labels, held), len(labels) - 1)
+    here = labels[place] == held
+    sims[owner[here], place[here]] = -np.inf
+    best = sims.argmax(axis=1)
+    top = sims[np.arange(len(sims)), best]
+    some = top > -np.inf
+    return pa.table([rows.column("row").to_numpy()[some], labels[best[some]], top[some]], names=names)
+
+
+def leave_one_group_out(rows: DataFrame, group: str = "app", block: int = BLOCK_TEST) -> DataFrame:
+    """``(id, label, group, pred)``: each row's nearest prototype of all other groups' rows, ties to the smallest label.
+
+    Leaving a group out changes the prototypes of its own labels alone. So there is one prototype a class, met in blocks as matrix products, where a row passes over
+    the labels of its group; and one corrected prototype for each group and label that occur together, which the group's rows meet in a join. The better of
+    the two wins. Rows that no prototype serves are left out.
     """
-    inside = component_sums(rows, [group, "label"])
-    total = inside.groupBy("label", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    inside = kept(component_sums(rows, [group, "label"]))
 
     def arrays(sums: DataFrame, *keys: str) -> DataFrame:
         whole = F.array_sort(F.collect_list(F.struct("pos", "s")))
         return sums.groupBy(*keys).agg(F.transform(whole, lambda p: p["s"]).alias("s"), F.max("n").alias("n"))
 
-    totals = kept(arrays(total, "label"))
-    few = totals.limit(most + 1).count() <= most
-    every = totals.agg(F.collect_list(F.struct("label", "s", "n")).alias("totals"))  # one row
-    own = arrays(inside, group, "label").groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("s", "n")))).alias("own"))
-    joined = own.join(F.broadcast(every) if few else every, F.lit(True))
+    def mean(s: Column, n: Column) -> Column:
+        return unit(F.transform(s, lambda x: x / n))
 
-    def less(t: Column) -> Column:
-        def without(o: Column) -> Column:
-            n = t["n"] - F.coalesce(o["n"], F.lit(0))
-            s = F.when(o.isNull(), t["s"]).otherwise(F.zip_with(t["s"], o["s"], lambda x, y: x - y))
-            return F.when(n > 0, F.struct(t["label"].alias("label"), unit(F.transform(s, lambda x: x / n)).alias("proto")))
-
-        return let(F.try_element_at("own", t["label"]), without)
-
-    protos = joined.select(group, F.filter(F.transform("totals", less), lambda p: p.isNotNull()).alias("protos")).where(F.size("protos") > 0)
-    # Dealt by another key first, so that the join has exchanges of its own and a large group can be split.
-    table = protos.repartition(F.xxhash64(group))
-    return rows.join(table, group).select("id", "label", group, (-_best()["minus"]).alias("pred"))
+    total = inside.groupBy("label", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    totals = kept(arrays(total, "label").select(F.col("label").cast("long").alias("label"), "s", "n"))
+    own = arrays(inside, group, "label").select(group, F.col("label").cast("long").alias("label"), F.col("s").alias("own_s"), F.col("n").alias("own_n"))
+    # What many rows meet one of is dealt by another key first, so that the join has exchanges of its own and a hot key can be split.
+    met = own.join(totals.repartition(F.xxhash64("label")), "label").where("n > own_n")
+    left = F.zip_with("s", "own_s", lambda x, y: x - y)
+    corrected = met.select(group, "label", mean(left, F.col("n") - F.col("own_n")).alias("proto")).repartition(F.xxhash64(group))
+    labels = own.groupBy(group).agg(F.sort_array(F.collect_list("label")).alias("own")).repartition(F.xxhash64(group))
+    numbered = rows.select("id", "label", group, unit(F.col("z")).alias("z"), F.monotonically_increasing_id().alias("row"))
+    numbered = kept(numbered.join(labels, group))
+
+    classes = totals.select("label", mean(F.col("s"), F.col("n")).alias("z"))
+    elsewhere = _grid(numbered.select("row", "z", "own"), classes, "row", "label", block, block).applyInArrow(_untouched, "row long, label long, sim double")
+    at_home = numbered.select("row", "z", group).join(corrected, group).select("row", "label", dot(F.col("z"), F.col("proto")).alias("sim"))
+    best = elsewhere.union(at_home).groupBy("row").agg(F.max(F.struct("sim", (-F.col("label")).alias("minus"))).alias("best"))
+    return numbered.select("row", "id", "label", group).join(best, "row").select("id", "label", group, (-F.col("best.minus")).alias("pred"))
 
 
 def invariance(base: DataFrame, twin: DataFrame) -> DataFrame:

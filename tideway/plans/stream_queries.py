@@ -133,23 +133,29 @@ def p30_p31_p32_p33_frames(spark, sf_dir):
     return rows.groupBy("trace", "proto", "source", "accepted").agg(F.count("*").alias("n"), F.sum("port").alias("ports"))
 
 
+_CAPTURE_SPLIT = 1 << 20
+
+
 @query("""WITH rows AS (SELECT l_returnflag AS trace, l_linenumber AS kind, CASE WHEN l_linestatus = 'O' THEN 17 WHEN l_suppkey % 3 = 0 THEN 1 ELSE 6 END AS proto, l_suppkey % 65536 AS host, l_partkey % 65536 AS port, epoch(l_shipdate)::BIGINT AS ts,
   row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey * 8 + l_linenumber) - 1 AS place FROM lineitem), decoded AS (SELECT *, kind <= 4 AND proto <> 1 AS good FROM rows)
 SELECT trace, good AS accepted, count(*) AS n, sum(ts)::BIGINT AS times, sum(CASE WHEN good THEN port END)::BIGINT AS ports, max(place)::BIGINT AS last_record,
  min(ts) FILTER (place >= 100)::BIGINT AS after_first, count(*) FILTER (place < 100) AS n_first FROM decoded GROUP BY ALL""")
 def s5_s6_capture_files(spark, sf_dir):
-    """Frames written as capture files, a file per trace, read back record by record; the first hundred records of each are looked at by themselves."""
+    """Frames written as capture files, a file per trace, read back in ranges, so that a trace is many tasks; the first hundred records of each are read by themselves."""
     spark.dataSource.register(capture.CaptureSource)
     root = shared_folder(spark, "captures")
     frames = line_frames(spark, sf_dir).repartition("trace").sortWithinPartitions("trace", "ts", "record_no")
     frames.write.format("capture").mode("append").save(root)
-    back = spark.read.format("capture").load(root).withColumn("trace", F.regexp_extract("trace", "^(.*)-[0-9]+[.]pcap$", 1))
-    decoded = capture.decode_frames(back)
+
+    def named(frames: DataFrame) -> DataFrame:
+        return frames.withColumn("trace", F.regexp_extract("trace", "^(.*)-[0-9]+-[0-9]+[.]pcap$", 1))
+
+    decoded = capture.decode_frames(named(capture.read_captures(spark, root, _CAPTURE_SPLIT)))
     found = decoded.groupBy("trace", "accepted").agg(
         F.count("*").alias("n"), F.sum(F.col("ts").cast("long")).alias("times"), F.sum("src.port").cast("long").alias("ports"), F.max("record_no").alias("last_record"),
         F.min(F.when(F.col("record_no") >= 100, F.col("ts").cast("long"))).alias("after_first"),
     )
-    first = capture.decode_frames(capture.first_records(back, 100)).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
+    first = capture.decode_frames(named(capture.read_captures(spark, root, _CAPTURE_SPLIT, first=100))).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
     return found.join(first, ["trace", "accepted"], "left").withColumn("n_first", F.coalesce("n_first", F.lit(0)))
 
 

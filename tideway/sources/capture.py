@@ -1,15 +1,26 @@
-"""Packet captures: a data source that reads and writes trace files, one a task, and frame decoding in native columns."""
+"""Packet captures: trace files read over many tasks, a data source that reads and writes whole ones, and frame decoding in native columns.
+
+A capture's records have no marks, only lengths, so a record is found from the one before it. To read a file in ranges, each range guesses its first record: the first place
+from which a chain of plausible record headers goes on. It walks from there and notes where it left the range. The walks are joined to one chain: the first range starts behind the
+file's header, and each next one where the one before it was left. Where a range was not walked from that place (a payload may look like records), it is walked again. That
+is exact, as each round proves at least one more range of every file; usually the first round proves all.
+"""
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from tideway.sources.record_files import CommittedWriter, batched, file_system, files_under
+from tideway.storage import kept
 
 FRAMES = "trace string, record_no long, ts double, incl_len int, orig_len int, data binary"
 _BATCH = 4096
@@ -25,13 +36,44 @@ class _Trace(InputPartition):
         self.path = path
 
 
-def _system(path: str):
-    """The file system of a path or address, and the path in it."""
-    from pyarrow import fs
+def _opened(path: str) -> tuple[BinaryIO, struct.Struct, float]:
+    """A trace behind its file header, the form of its record headers, and parts of a second."""
+    system, name = file_system(path)
+    stream = io.BufferedReader(system.open_input_file(name), 1 << 20)
+    header = stream.read(24)
+    if len(header) < 24 or header[:4] not in MAGIC:
+        raise ValueError(f"{path} is not a packet capture")
+    order, scale = MAGIC[header[:4]]
+    return stream, struct.Struct(order + "IIII"), scale
+
+
+def _records(stream: BinaryIO, record: struct.Struct, at: int, stop: int) -> Iterator[tuple[int, tuple[int, int, int, int], bytes]]:
+    """``(place, header, data)`` of the records that start from ``at`` on and before ``stop``; ends where a record is cut."""
+    stream.seek(at)
+    while at < stop and len(head := stream.read(16)) == 16:
+        fields = record.unpack(head)
+        data = stream.read(fields[2])
+        if len(data) < fields[2]:
+            return
+        yield at, fields, data
+        at += 16 + fields[2]
+
+
+def _frame_batches(path: str, start: int, stop: int, number: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Frames of a part of a trace, numbered from ``number``, up to number ``most``."""
+    stream, record, scale = _opened(path)
+    name = path.rsplit("/", 1)[-1]
+    with stream:
+        found = enumerate(_records(stream, record, start, stop), number)
+        rows = ((name, n, h[0] + h[1] / scale, h[2], h[3], data) for n, (_, h, data) in found)
+        yield from batched(rows if most is None else _until(rows, most), _frames, lambda r: len(r[5]), _BATCH)
+
 
-    if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+def _until(rows: Iterator[tuple], most: int) -> Iterator[tuple]:
+    for row in rows:
+        if row[1] >= most:
+            return
+        yield row
 
 
 class CaptureReader(DataSourceReader):
@@ -39,36 +81,10 @@ class CaptureReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_Trace]:
-        from pyarrow import fs
-
-        system, root = _system(self.path)
-        if system.get_file_info(root).type == fs.FileType.File:
-            return [_Trace(self.path)]
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        prefix = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
-        return [_Trace(prefix + f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".pcap", ".cap"))]
+        return [_Trace(path) for path, _ in files_under(self.path, ENDINGS)]
 
     def read(self, partition: _Trace) -> Iterator[pa.RecordBatch]:
-        path = partition.path
-        system, name = _system(path)
-        with system.open_input_stream(name, buffer_size=1 << 20) as stream:
-            header = stream.read(24)
-            if len(header) < 24 or header[:4] not in MAGIC:
-                raise ValueError(f"{path} is not a packet capture")
-            order, scale = MAGIC[header[:4]]
-            record, rows, number = struct.Struct(order + "IIII"), [], 0
-            while len(head := stream.read(16)) == 16:
-                seconds, fraction, size, whole = record.unpack(head)
-                data = stream.read(size)
-                if len(data) < size:
-                    break
-                rows.append((name.rsplit("/", 1)[-1], number, seconds + fraction / scale, size, whole, bytes(data)))
-                number += 1
-                if len(rows) == _BATCH:
-                    yield _frames(rows)
-                    rows = []
-            if rows:
-                yield _frames(rows)
+        yield from _frame_batches(partition.path, 24, 1 << 62, 0)
 
 
 def _frames(rows: list[tuple]) -> pa.RecordBatch:
@@ -77,34 +93,26 @@ def _frames(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-class CaptureWriter(DataSourceArrowWriter):
-    """A file ``<trace>-<task>.pcap`` for each trace of a task, in the order of its rows; a task that runs again writes the same files."""
+class CaptureWriter(CommittedWriter):
+    """A file ``<trace>-<task>-<n>.pcap`` for each trace of a task, in the order of its rows; there when the job has succeeded."""
 
     def __init__(self, path: str):
-        self.path = path
+        super().__init__(path, None)
+
+    def opened(self, name: str, number: str) -> tuple[str, bytes]:
+        return f"{name}-{number}.pcap", struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, root = _system(self.path)
-        system.create_dir(root, recursive=True)
-        task, files = TaskContext.get().partitionId(), {}
-        try:
-            for batch in batches:
-                for trace, ts, whole, data in zip(*(batch.column(n).to_pylist() for n in ("trace", "ts", "orig_len", "data")), strict=True):
-                    if trace not in files:
-                        files[trace] = system.open_output_stream(f"{root}/{trace}-{task}.pcap")
-                        files[trace].write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
-                    micros = round(ts * 1_000_000)
-                    files[trace].write(struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(data), whole) + data)
-        finally:
-            for file in files.values():
-                file.close()
-        return WriterCommitMessage()
+    def records(self, batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        for trace, ts, whole, data in zip(*(batch.column(n).to_pylist() for n in ("trace", "ts", "orig_len", "data")), strict=True):
+            micros = round(ts * 1_000_000)
+            yield trace, struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(data), whole) + data
 
 
 class CaptureSource(DataSource):
     """``spark.dataSource.register(CaptureSource)``, then ``spark.read.format("capture").load(path)`` gives frames.
 
-    ``frames.write.format("capture").mode("append").save(path)`` writes them. A file whose records end early gives the records before the break. One trace file is one task.
+    ``frames.write.format("capture").mode("append").save(path)`` writes them. A file whose records end early gives the records before the break. One trace file is one task;
+    :func:`read_captures` reads large files in ranges.
     """
 
     @classmethod
@@ -121,6 +129,135 @@ class CaptureSource(DataSource):
         return CaptureWriter(self.options["path"])
 
 
+SPLIT = 64 << 20  # bytes of a range
+CHAIN, LONGEST, APART = 6, 1 << 18, 86_400  # headers that make a guess, data of one record, seconds between records that follow one another
+ENDINGS = (".pcap", ".cap")
+
+
+def _plausible(fields: tuple[int, int, int, int], scale: float) -> bool:
+    return fields[1] < scale and 0 < fields[2] <= LONGEST and fields[3] < 1 << 31
+
+
+def guessed_start(data: bytes, record: struct.Struct, scale: float, ended: bool) -> int | None:
+    """The first place in ``data`` from which ``CHAIN`` plausible records follow one another, or all there are if the file ``ended``."""
+    if len(data) < 16:
+        return None
+    four = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 4)
+    words = np.ascontiguousarray(four).view("<u4" if record.format[0] == "<" else ">u4")[:, 0]
+    starts = np.flatnonzero((words[4:-8] < scale) & (words[8:-4] > 0) & (words[8:-4] <= LONGEST) & (words[12:] < 1 << 31))
+    for start in starts.tolist():
+        at, seconds, length = start, None, 0
+        while length < CHAIN and at + 16 <= len(data):
+            fields = record.unpack_from(data, at)
+            if not _plausible(fields, scale) or (seconds is not None and abs(fields[0] - seconds) > APART):
+                break
+            seconds, at, length = fields[0], at + 16 + fields[2], length + 1
+        if length == CHAIN or (ended and length and at == len(data)):
+            return start
+    return None
+
+
+_WALKS = "array<struct<entry: long, leaves: long, n: long>>"
+_RANGES = f"path string, part int, start long, stop long, entry long, walks {_WALKS}"
+
+
+def _walked(rows: Iterator[dict]) -> Iterator[dict]:
+    """Each range with a further walk: from its ``entry``, or from a guess where that is null."""
+    for row in rows:
+        stream, record, scale = _opened(row["path"])
+        with stream:
+            size, entry, guess = stream.seek(0, io.SEEK_END), row["entry"], row["entry"] is None
+            if guess:
+                stream.seek(row["start"])
+                data = stream.read((LONGEST + 16) * 2)
+                found = guessed_start(data, record, scale, row["start"] + len(data) == size)
+                entry = None if found is None else row["start"] + found
+            if entry is not None:
+                at, n, good = entry, 0, True
+                for place, fields, _ in _records(stream, record, entry, row["stop"]):
+                    good = good and (not guess or _plausible(fields, scale))
+                    n, at = n + 1, place + 16 + fields[2]
+                if at < row["stop"]:  # a record is cut: nothing follows
+                    good, at = good and (not guess or row["stop"] == size), size
+                if good:
+                    row["walks"] = [*row["walks"], {"entry": entry, "leaves": at, "n": n}]
+            yield row
+
+
+def _chained(rows: Iterator[dict]) -> Iterator[dict]:
+    """Ranges in order, each with the place where its first record is due, its number and how many there are; ``known`` is false where a walk from there is missing.
+
+    Past a missing walk the range's guess is taken to end where the right walk will, so that all walks missing by that are found at once.
+    """
+    path, at, number = None, None, 0
+    for row in rows:
+        if row["path"] != path:
+            path, at, number = row["path"], 24, 0
+        walks = {w["entry"]: w for w in row["walks"]}
+        guess = row["walks"][0] if row["walks"] else None
+        if at is None and guess is not None:
+            at = guess["entry"]
+        known, n = True, 0
+        if at is None or at < row["stop"]:
+            known = at in walks
+            taken = walks.get(at, guess)
+            n = taken["n"] if taken else 0
+            entry, at = at, taken["leaves"] if taken else None
+        else:
+            entry = at
+        yield {k: row[k] for k in ("path", "part", "start", "stop", "walks")} | {"entry": entry, "n": n, "number": number, "known": known}
+        number += n
+
+
+def _each(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``function`` over the rows of a partition, as they come; the rows are descriptions of ranges."""
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = pa.list_(pa.struct([("entry", pa.int64()), ("leaves", pa.int64()), ("n", pa.int64())]))
+        kinds = {"path": pa.string(), "part": pa.int32(), "walks": walks, "known": pa.bool_()}
+        names = [field.split()[0] for field in schema.replace(_WALKS, "x").split(", ")]
+        fields = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
+        rows = (row for batch in batches for row in batch.to_pylist())
+        yield from batched(function(rows), lambda found: pa.RecordBatch.from_pylist(found, fields), lambda row: 1)
+
+    return rows.mapInArrow(applied, schema)
+
+
+def capture_ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """``(path, part, start, stop, walks, entry, n, number, known)``: the ranges of all trace files, where the first record of each is, how many start in it, and the number of the first."""
+    sized = spark.createDataFrame(files_under(path, ENDINGS), "path string, size long")
+    parts = sized.select("path", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / split).cast("int"))).alias("part"))
+    start = F.col("part").cast("long") * split
+    ranges = parts.select("path", "part", start.alias("start"), F.least(start + split, "size").alias("stop"), F.when(F.col("part") == 0, 24).cast("long").alias("entry"), F.array().cast(_WALKS).alias("walks"))
+    ranges = ranges.where("start < stop")
+    tasks = max(1, min(10_000, ranges.count()))
+    missing, done = ranges, None
+    while True:
+        walked = _each(missing.repartition(tasks), _walked, _RANGES)
+        ranges = walked if done is None else walked.unionByName(done.select(*missing.columns))
+        ordered = ranges.repartition("path").sortWithinPartitions("path", "part")
+        chained = kept(_each(ordered, _chained, f"{_RANGES}, n long, number long, known boolean"))
+        missing = chained.where("not known and entry is not null").select("path", "part", "start", "stop", "entry", "walks")
+        if missing.isEmpty():
+            return chained
+        done = chained.join(missing.select("path", "part"), ["path", "part"], "left_anti")
+
+
+def read_captures(spark: SparkSession, path: str, split: int = SPLIT, first: int | None = None) -> DataFrame:
+    """The frames of all traces under ``path``, as many tasks as they have ranges of ``split`` bytes; with ``first``, of each trace only so many records, and no more is read for them."""
+    ranges = capture_ranges(spark, path, split).where("n > 0")
+    if first is not None:
+        ranges = ranges.where(F.col("number") < first)
+    tasks = max(1, min(10_000, ranges.count()))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _frame_batches(row["path"], row["entry"], row["stop"], row["number"], first)
+
+    return ranges.select("path", "entry", "stop", "number").repartition(tasks).mapInArrow(frames, FRAMES)
+
+
 def _slice(at: Column, size: int, data: str = "data") -> Column:
     """``size`` bytes from place ``at`` (from 0)."""
     return F.col(data).substr(at + 1, F.lit(size))

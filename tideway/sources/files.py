@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from tideway.functions.labels import app_from_path, direction, protocol_number
 from tideway.functions.values import epoch_seconds
 from tideway.operators.windows import CANONICAL, csv_rows, numeric_time_files
+from tideway.sources.record_files import file_system
 
 PACKET_COLUMNS = ("Time", "Source", "Destination", "Protocol", "Length")
 EXPORT_COLUMNS = ("APP", "CATEGORY", "DURATION", "BYTES", "BYTES_REV", "PACKETS", "PACKETS_REV", "PROTOCOL", "PPI")
@@ -21,14 +24,33 @@ def _file() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
 
 
+HEAD = 64 << 10  # bytes of a file that are read to find its header
+
+
+def first_line(path: str) -> str:
+    """The first line of a file that is not blank, of its first ``HEAD`` bytes."""
+    system, name = file_system(path)
+    with system.open_input_file(name) as stream:
+        text = stream.read(HEAD).decode("utf-8", "replace")
+    return next((line for line in text.splitlines() if line.strip("\ufeff \t")), "")
+
+
 def headers_of_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> dict[str, str | None]:
-    """Paths under ``root``, sorted, with the line that names all packet columns, or None. One job, one row a file."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    cells = F.split(F.regexp_replace(F.lower("value"), '[\ufeff" ]', ""), ",")
+    """Paths under ``root``, sorted, with the first line if it names all packet columns, or None.
+
+    Spark lists the files; tasks read the first bytes of each. The driver gets a path and a line a file, which it has to hand to the reader.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select(_file())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array([first_line(p) for p in batch.column("file").to_pylist()], pa.string())], ["file", "line"])
+
+    lines = listed.mapInArrow(read, "file string, line string")
+    cells = F.split(F.regexp_replace(F.lower("line"), '[\ufeff" ]', ""), ",")
     names = F.array(*[F.lit(n.lower()) for n in PACKET_COLUMNS])
-    header = F.when(F.size(F.array_except(names, cells)) == 0, F.col("value"))
-    files = lines.select(_file(), header.alias("header")).groupBy("file").agg(F.min("header").alias("header"))
-    return dict(sorted((r["file"], r["header"]) for r in files.collect()))
+    header = F.when(F.size(F.array_except(names, cells)) == 0, F.col("line"))
+    return dict(sorted((r["file"], r["header"]) for r in lines.select("file", header.alias("header")).collect()))
 
 
 def _header_columns(header: str) -> list[str]:
