@@ -150,12 +150,13 @@ def s5_s6_capture_files(spark, sf_dir):
     def named(frames: DataFrame) -> DataFrame:
         return frames.withColumn("trace", F.regexp_extract("trace", "^(.*)-[0-9]+-[0-9]+[.]pcap$", 1))
 
-    decoded = capture.decode_frames(named(capture.read_captures(spark, root, _CAPTURE_SPLIT)))
+    ranges = capture.capture_ranges(spark, root, _CAPTURE_SPLIT)
+    decoded = capture.decode_frames(named(capture.read_captures(spark, root, ranges=ranges)))
     found = decoded.groupBy("trace", "accepted").agg(
         F.count("*").alias("n"), F.sum(F.col("ts").cast("long")).alias("times"), F.sum("src.port").cast("long").alias("ports"), F.max("record_no").alias("last_record"),
         F.min(F.when(F.col("record_no") >= 100, F.col("ts").cast("long"))).alias("after_first"),
     )
-    first = capture.decode_frames(named(capture.read_captures(spark, root, _CAPTURE_SPLIT, first=100))).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
+    first = capture.decode_frames(named(capture.read_captures(spark, root, first=100, ranges=ranges))).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
     return found.join(first, ["trace", "accepted"], "left").withColumn("n_first", F.coalesce("n_first", F.lit(0)))
 
 

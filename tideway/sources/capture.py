@@ -243,9 +243,12 @@ def capture_ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFr
         done = chained.join(missing.select("path", "part"), ["path", "part"], "left_anti")
 
 
-def read_captures(spark: SparkSession, path: str, split: int = SPLIT, first: int | None = None) -> DataFrame:
-    """The frames of all traces under ``path``, as many tasks as they have ranges of ``split`` bytes; with ``first``, of each trace only so many records, and no more is read for them."""
-    ranges = capture_ranges(spark, path, split).where("n > 0")
+def read_captures(spark: SparkSession, path: str, split: int = SPLIT, first: int | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """The frames of all traces under ``path``, as many tasks as they have ranges of ``split`` bytes; with ``first``, of each trace only so many records, and no more is read for them.
+
+    ``ranges`` that are known from :func:`capture_ranges` are not looked for again.
+    """
+    ranges = (capture_ranges(spark, path, split) if ranges is None else ranges).where("n > 0")
     if first is not None:
         ranges = ranges.where(F.col("number") < first)
     tasks = max(1, min(10_000, ranges.count()))
