@@ -8,7 +8,8 @@ Training uses at most ``per_language`` labelled documents a language (taken by a
 ``languages`` most frequent labels; a rarer label is never predicted) and three windows of each, so its cost does not grow with the corpus; prediction
 covers every window of every text.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if no row has a label to learn from;
+Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if no row has a label to learn from; ``und`` may also be a label
+that is learned and predicted like any other;
 very long texts are read in all their windows, some thousand at a time; of equally likely languages the first by name is predicted;
 repeated rows are predicted alike, and rows that share an id and a label are one to learn from; an empty table gives an empty
 result; extra input columns, whatever their names, are not read, and the stage hands them on.
@@ -288,19 +289,31 @@ def keep_known_languages(
     lang: str = "lang",
     per_language: int = PER_LANGUAGE,
     languages: int = MAX_LANGUAGES,
+    wanted: tuple[str, ...] | None = None,
+    least_score: float = 0.0,
 ) -> DataFrame:
-    """The rows of ``docs`` with a language, all columns; rejected are texts that are null or have no letters.
+    """The rows of ``docs`` with a language, all columns. A row without a label gets the one that is predicted; a given label stays, whatever it is.
 
-    Where no row has a label to learn from, the letters alone decide. The prediction rides along with its row, so no text is shuffled.
+    Rejected are texts that are null or have no letters, and, where asked for, those whose prediction is not among the ``wanted`` languages or has
+    a score below ``least_score``. Texts are scored where the prediction is used: all of them if it decides, else those without a label. Where no row has a label to learn
+    from, nothing is predicted: the letters alone decide, labels stay null, and ``wanted`` or ``least_score`` reject all rows. The prediction rides along with
+    its row, so no text is shuffled.
     """
     net = train_on(docs, doc_id, text, lang, per_language, languages)
-    names = docs.columns
+    names, decides = docs.columns, wanted is not None or least_score > 0
+    place = names.index(lang)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for batch in pieces(batches, 250):
             texts = [x.encode() if x is not None else None for x in columns(batch, text)[0]]
-            known = [name != UNKNOWN for name in predict(texts, net, tables)[0]] if net else [has_letters(x) for x in texts]
-            yield batch.filter(pa.array(known, pa.bool_()))
+            labels = batch.column(place).to_pylist()
+            keep = [has_letters(x) for x in texts]
+            asked = [i for i, good in enumerate(keep) if good and (decides or labels[i] is None)] if net or decides else []
+            for i, name, score in zip(asked, *predict([texts[i] for i in asked], net, tables), strict=True):
+                keep[i] = net is not None and (wanted is None or name in wanted) and score >= least_score
+                labels[i] = name if labels[i] is None else labels[i]
+            batch = batch.set_column(place, batch.schema.field(place), pa.array(labels, batch.schema.field(place).type))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.select(*names).mapInArrow(kept, docs.schema)

@@ -288,11 +288,12 @@ def hex_fingerprint(column: str = "fp"):
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
-    Rows that share an id are one document. Where all ids of a group are null, one of its texts stays.
+    Of a group's rows with that id the text with the smallest hash stays; rows that share id and text are one document, and stay together. Rows without an id come
+    last, so where all ids of a group are null one of its texts stays.
     """
     found = _grouped(docs, doc_id, text)
-    unnamed = found.where("component_id is null").groupBy("group").agg(F.first("doc_id").alias("doc_id"), F.min("version").alias("version"))
-    kept = found.where("component_id = doc_id").select("doc_id", "version").union(unnamed.select("doc_id", "version"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("first")
+    kept = found.groupBy("group").agg(first).select("first.doc_id", "first.version")
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"))
     same = F.col("id").eqNullSafe(kept["doc_id"]) & (rows["version"] == kept["version"])
     return rows.join(kept, same, "left_semi").select("row.*")

@@ -2,7 +2,7 @@
 
 Largest inner product is made nearest distance by one more dimension, ``sqrt(M^2 - |x|^2)`` with M the largest norm. Centroids
 come from a bounded sample; every vector goes to the list of its nearest centroid, and a query probes the nearest lists, as many as
-it takes on the sample to reach ``TARGET`` of the true neighbours there. The k-th best of those sample vectors that lie in the lists
+it takes to reach ``TARGET`` of the true neighbours of some hundred queries, which are compared with all vectors for it. The k-th best of those sample vectors that lie in the lists
 probed bounds what any list need return. Within a list, vectors are rotated at random, so that any block of columns is an unbiased sample of a distance: after
 each block of columns a hypothesis test drops the candidates whose scaled partial distance says, at the given strength, that
 they are farther than the k-th found so far. Survivors are scored exactly, in double precision on the original
@@ -15,7 +15,8 @@ Lists are dealt as blocks of at most ``block`` candidates by ``query_block`` que
 many tasks; each block returns k rows a query, and the k best are kept.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-a repeated id is found once, with its best score, and no row is a candidate for a query of its id; ties go to the smaller id; with k or
+a repeated id is found once, with its best score, and no row is a candidate for a query of its id; of several vectors under
+one query's id the smallest is asked for (component by component); ties go to the smaller id; with k or
 fewer candidates all are found; an empty table gives an empty result; extra input columns, whatever their names, are not read.
 """
 
@@ -33,8 +34,8 @@ from tideway.llm.runtime import cut
 SAMPLE, SAMPLE_SHARE = 20_000, 8  # vectors at most, and at most one in so many (but 256)
 MAX_LISTS = 1024
 LEAST_LISTS = 16
-TARGET = 0.95  # of the neighbours among the sample, for the number of lists probed
-TRIALS = 400  # sample vectors that the number is found on
+TARGET = 0.97  # of the true neighbours of the trial queries, for the number of lists probed
+TRIALS = 256  # queries that the number is found on
 COLUMNS = 16
 STRENGTH = 1.5  # of the test, in standard deviations of a partial distance
 BLOCK, QUERY_BLOCK = 8192, 1024
@@ -110,23 +111,39 @@ def adaptive_scan(q: np.ndarray, blocks: list[np.ndarray], k: int, far: float =
     return alive
 
 
-def probes_needed(sample: np.ndarray, lifted: np.ndarray, centroids: np.ndarray, k: int, n: int, target: float = TARGET) -> int:
-    """Lists to probe so that ``target`` of the sample's own neighbours lie in them; k is scaled to the sample's share of n rows."""
-    trials = min(TRIALS, len(sample))
-    own = max(1, min(len(sample) - 1, round(k * len(sample) / n)))
-    if len(sample) < 2:
+def probes_needed(trials: np.ndarray, centroids: np.ndarray, asked: np.ndarray, lists: np.ndarray, target: float = TARGET) -> int:
+    """Lists to probe so that ``target`` of the trials' true neighbours lie in them: neighbours are pairs of a trial's place and a list."""
+    if not len(asked):
         return len(centroids)
-    score = sample[:trials] @ sample.T
-    score[np.arange(trials), np.arange(trials)] = -np.inf
-    near = np.argpartition(-score, own - 1, axis=1)[:, :own]
-    home = _distances(lifted, centroids).argmin(axis=1)
-    order = _distances(np.hstack((sample[:trials], np.zeros((trials, 1)))), centroids).argsort(axis=1, kind="stable")
+    order = _distances(np.hstack((trials, np.zeros((len(trials), 1)))), centroids).argsort(axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(centroids))[None], axis=1)
-    needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
+    needed = np.sort(place[asked, lists])
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
 
 
+def true_neighbours(members: DataFrame, ids: np.ndarray, trials: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of all ``members`` for each trial, as the trial's place and the neighbour's list. A task returns k rows a trial."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, list_ = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int32)
+        for batch in batches:
+            for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+                now = trials @ _matrix(part.column("v")).T
+                now[ids[:, None] == part.column("vec_id").to_numpy()[None]] = -np.inf
+                both = np.hstack((score, now))
+                held = np.hstack((list_, np.broadcast_to(part.column("list").to_numpy(), now.shape)))
+                near = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                score, list_ = np.take_along_axis(both, near, axis=1), np.take_along_axis(held, near, axis=1)
+        place, at = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(list_[place, at]), pa.array(score[place, at])], ["trial", "list", "score"])
+
+    rows = members.mapInArrow(best, "trial long, list int, score double")
+    turn = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score")))
+    table = rows.withColumn("turn", turn).where(F.col("turn") <= k).select("trial", "list").toArrow()  # TRIALS * k rows
+    return table.column("trial").to_numpy(), table.column("list").to_numpy()
+
+
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -192,7 +209,6 @@ def nearest(
     sample_ids, sample = table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks())
     centroids = kmeans(lift(sample, most2), lists)
     home = _distances(lift(sample, most2), centroids).argmin(axis=1)
-    probes = probes_needed(sample, lift(sample, most2), centroids, k, n, target)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +221,11 @@ def nearest(
     for r in members.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]
 
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    some = queries.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(TRIALS).toArrow()
+    trials = _matrix(some.column("v").combine_chunks())
+    probes = probes_needed(trials, centroids, *true_neighbours(members, some.column("vec_id").to_numpy(), trials, k), target)
+
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The lists to probe, with a score that the query's k-th best in them reaches at least."""
         for whole in batches:
@@ -222,9 +243,8 @@ def nearest(
                 arrays = [pa.array(own[row]), pa.array(order[row, at], pa.int32()), pa.array(bound[row])]
                 yield pa.RecordBatch.from_arrays(arrays, ["query_id", "list", "bound"])
 
-    queries = rows.where(is_query)
     probing = cut(queries.mapInArrow(probed, "query_id long, list int, bound double"))
-    own = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    own = queries.withColumnRenamed("vec_id", "query_id")
 
     def every(parts: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
