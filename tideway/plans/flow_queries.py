@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.functions import labels, values
-from tideway.operators import flows, metrics, sampling, windows
+from tideway.operators import flows, metrics, sampling, sketches, windows
 from tideway.plans.adapters import event_packets, line_packets, order_category, order_exports, table
 from tideway.sources import capture
 
@@ -386,6 +386,38 @@ def a8_percentiles(spark, sf_dir):
     return found.select(*[F.round(c, 2).alias(c) for c in found.columns])
 
 
+@query("""SELECT 'users' AS name, count(DISTINCT user_id) AS exact, true AS within FROM events UNION ALL SELECT 'events', count(DISTINCT event_id), true FROM events
+ UNION ALL SELECT 'value p' || p, count(*) FILTER (isfinite(value)), true FROM events, (VALUES (50), (95), (99)) ranks(p) GROUP BY p""")
+def a2_a8_sketches_by_day(spark, sf_dir):
+    """Distinct values and percentiles from sketches stored by day and merged, held against exact rows: whether each is within its bound."""
+    events = table(spark, sf_dir, "events").withColumns({"day": F.to_date("ts"), "value": F.when(F.abs("value") < float("inf"), F.col("value"))})
+    found = sketches.estimates(sketches.merged(sketches.sketched(events, ["day"], ["user_id", "event_id"], ["value"])))
+    exact = events.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_id").alias("events"), F.count("value").alias("n"))
+    at = [F.get("p_value", F.lit(i)) for i in range(3)]
+    ranks = events.join(F.broadcast(found.select("p_value")), F.lit(True)).agg(  # one row
+        *[F.array(F.count_if(F.col("value") < v), F.count_if(F.col("value") <= v)).alias(f"r{i}") for i, v in enumerate(at)]
+    )
+    one = found.join(exact, F.lit(True)).join(ranks, F.lit(True))  # a row each
+
+    def close(estimate: str, truth: str):
+        return F.abs(F.col(estimate) - F.col(truth)) <= sketches.DISTINCT_ERROR * F.col(truth)
+
+    shown = [F.struct(F.lit(n).alias("name"), F.col(n).alias("exact"), close(e, n).alias("within")) for n, e in (("users", "n_user_id"), ("events", "n_event_id"))]
+    for i, p in enumerate((50, 95, 99)):
+        low, high = (F.get(f"r{i}", F.lit(j)) / F.col("n") for j in (0, 1))
+        within = (low - sketches.QUANTILE_ERROR <= p / 100) & (high + sketches.QUANTILE_ERROR >= p / 100)
+        shown.append(F.struct(F.lit(f"value p{p}").alias("name"), F.col("n").alias("exact"), within.alias("within")))
+    return one.select(F.explode(F.array(*shown)).alias("x")).select("x.*")
+
+
+@query("SELECT event_type AS name, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def s11_frequencies_by_day(spark, sf_dir):
+    """How often each kind of event occurs, from a sketch stored by day; so few kinds share no cell in all lines, so the bound is the number."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("name"))
+    sketch = sketches.frequency_sketch(events, ["day"], "name")
+    return sketches.frequencies(sketch, events.where("name is not null"), "name").select("name", F.col("most").alias("n"))
+
+
 @query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events) WHERE turn <= 25")
 def a9_a10_top_per_group(spark, sf_dir):
     from pyspark.sql import Window
