@@ -5,6 +5,8 @@ import json
 import random
 import struct
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tideway.operators import memory, sampling, windows
 from tideway.operators.flows import exported_flows
 from tideway.plans.adapters import event_packets, labelled_vectors
 from tideway.sources import capture, files
+from tideway.streaming import flows as stream_flows
 from tideway.streaming.flows import FollowedTable, balanced_step, bounded_windowed_flows, newest_step, prototype_step, windowed_flows
 
 
@@ -175,6 +178,27 @@ def test_bounded_state_and_late_packets(spark, tmp_path):
     assert first["packet_length_std"] == pytest.approx((200 / 3) ** 0.5) and found["f", 6]["total_packets"] == 2
 
 
+def test_bounded_state_in_any_order_equals_all_packets():
+    """The state after batches in any order, against one pass over sorted packets; with few packets held, where the rest comes in order."""
+    rng = np.random.default_rng(7)
+    for n, held, shuffled in ((1, 4, True), (90, 128, True), (128, 128, True), (300, 40, False), (5, 1, False)):
+        ts = np.round(1 + np.sort(rng.random(n)), 3)
+        rows = pd.DataFrame({"ts": ts, "seq": np.arange(n), "length": rng.integers(40, 1500, n).astype(float), "direction": rng.choice([-1, 1], n), "protocol": rng.choice([6, 17, 1], n)})
+        order = rng.permutation(n) if shuffled else np.arange(n)
+        state = None
+        for part in np.array_split(order, min(n, 4)):
+            state = stream_flows._with_packets(state, rows.iloc[part], held)
+            assert len(state[11]) <= held
+        found = stream_flows._flow_row("f", 3, state).iloc[0]
+        gaps = 1000 * np.diff(ts, prepend=ts[0])
+        assert found["total_packets"] == n and found["total_fwd_packets"] == (rows["direction"] > 0).sum()
+        assert found["flow_duration"] == pytest.approx(1000 * (ts[-1] - ts[0])) and found["flow_iat_mean"] == pytest.approx(gaps.mean())
+        assert found["flow_iat_std"] == pytest.approx(gaps.std(), abs=1e-6) and found["packet_length_std"] == pytest.approx(rows["length"].std(ddof=0), abs=1e-6)
+        assert found["lens"] == rows["length"][:held].tolist() and found["gaps"] == pytest.approx(gaps[:held].tolist()) and found["ways"] == rows["direction"][:held].tolist()
+        counts = rows["protocol"].value_counts()
+        assert found["protocol"] == min(counts.index[counts == counts.max()])
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Session:
         class sparkContext:

@@ -58,48 +58,55 @@ def windowed_flows(packets: DataFrame, seconds: float, origin: float = 0.0, late
     return canonical_flows(stats, ["file", "window_id"])
 
 
-# What a window's state holds: counts and sums, the last time, protocols with their counts, and the first packets.
+# What a window's state holds: counts and sums that no order of arrival changes, protocols with their counts, its first packets by time, and what came after them.
 _STATE = (
-    "n long, fwd long, length double, length2 double, iat double, iat2 double, first double, last double, "
-    "protocols array<int>, protocol_counts array<long>, lens array<double>, gaps array<double>, ways array<int>"
+    "n long, fwd long, length double, length2 double, first double, last double, rest_first double, rest_last double, rest_gap2 double, "
+    "protocols array<int>, protocol_counts array<long>, times array<double>, seqs array<long>, lens array<double>, ways array<int>"
 )
 _STATS = (
     "file string, window_id long, total_packets long, total_fwd_packets long, total_bwd_packets long, length_sum double, packet_length_mean double, "
     "packet_length_std double, flow_iat_mean double, flow_iat_std double, flow_duration double, protocol int, lens array<double>, gaps array<double>, ways array<int>"
 )
+_EMPTY = (0, 0, 0.0, 0.0, np.inf, -np.inf, np.inf, -np.inf, 0.0, (), (), (), (), (), ())
 
 
-def _absorb(state: tuple | None, packets: pd.DataFrame, max_packets: int) -> tuple:
-    """The state after a batch's packets of one window, taken by time and number."""
-    packets = packets.sort_values(["ts", "seq"], kind="stable")
-    ts, length, way = (packets[c].to_numpy() for c in ("ts", "length", "direction"))
-    n, fwd, length1, length2, iat1, iat2, first, last, protocols, counts, lens, gaps, ways = state or (0, 0, 0.0, 0.0, 0.0, 0.0, float(ts[0]), float(ts[0]), [], [], [], [], [])
-    gap = np.maximum(0.0, np.diff(ts, prepend=last) * 1000.0)
-    seen = dict(zip(protocols, counts, strict=True))
-    for value, number in packets["protocol"].value_counts().items():
-        seen[int(value)] = seen.get(int(value), 0) + int(number)
-    room = max(0, max_packets - len(lens))
-    sums = (length1 + float(length.sum()), length2 + float((length * length).sum()), iat1 + float(gap.sum()), iat2 + float((gap * gap).sum()))
-    series = ([*lens, *length[:room].tolist()], [*gaps, *gap[:room].tolist()], [*ways, *way[:room].tolist()])
-    return (n + len(ts), fwd + int((way > 0).sum()), *sums, first, float(ts[-1]), list(seen), list(seen.values()), *series)
+def _with_packets(state: tuple | None, packets: pd.DataFrame, max_packets: int) -> tuple:
+    """The state of a window once a batch's packets have come, whatever their order.
 
-
-def _closed(file: str, window: int, state: tuple) -> pd.DataFrame:
-    n, fwd, length1, length2, iat1, iat2, first, last, protocols, counts, lens, gaps, ways = state
+    The ``max_packets`` first by time are held. The others leave their number, their span and the squares of the gaps between them, in the order in which they leave.
+    """
+    n, fwd, length, length2, first, last, rest_first, rest_last, rest_gap2, protocols, counts, *held = state or _EMPTY
+    ts, size = packets["ts"].to_numpy(), packets["length"].to_numpy()
+    all_protocols = pd.Series(counts, index=list(protocols), dtype="int64").add(packets["protocol"].value_counts(), fill_value=0)
+    columns = [np.concatenate((np.asarray(old, dtype=packets[c].dtype), packets[c].to_numpy())) for old, c in zip(held, ("ts", "seq", "length", "direction"), strict=True)]
+    order = np.lexsort((columns[1], columns[0]))
+    rest = columns[0][order[max_packets:]]
+    if len(rest):
+        steps = np.diff(rest, prepend=rest_last) if np.isfinite(rest_last) else np.diff(rest)
+        rest_gap2 += float((np.maximum(steps, 0.0) ** 2).sum())
+        rest_first, rest_last = min(rest_first, float(rest[0])), max(rest_last, float(rest[-1]))
+    sums = (n + len(ts), fwd + int((packets["direction"] > 0).sum()), length + float(size.sum()), length2 + float(size @ size))
+    span = (min(first, float(ts.min())), max(last, float(ts.max())), rest_first, rest_last, rest_gap2)
+    return (*sums, *span, [int(p) for p in all_protocols.index], [int(c) for c in all_protocols], *(c[order[:max_packets]].tolist() for c in columns))
+
+
+def _flow_row(file: str, window: int, state: tuple) -> pd.DataFrame:
+    """A closed window. The sum of its gaps is its span; their squares are those between held packets, from these to the rest, and within the rest."""
+    n, fwd, length, length2, first, last, rest_first, _, rest_gap2, protocols, counts, times, _, lens, ways = state
+    gaps = np.diff(times, prepend=times[0])
+    gap2 = float(gaps @ gaps) + rest_gap2 + ((rest_first - times[-1]) ** 2 if n > len(times) else 0.0)
     protocol = min(zip([-c for c in counts], protocols, strict=True))[1]
-
-    def spread(total: float, squares: float) -> float:
-        return max(0.0, squares / n - (total / n) ** 2) ** 0.5
-
-    row = (file, window, n, fwd, n - fwd, length1, length1 / n, spread(length1, length2), iat1 / n, spread(iat1, iat2), max(0.0, last - first) * 1000.0, protocol, list(lens), list(gaps), list(ways))
+    means = [length / n, 1000.0 * (last - first) / n]
+    spreads = [max(0.0, squares / n - mean * mean) ** 0.5 for squares, mean in zip((length2, 1e6 * gap2), means, strict=True)]
+    row = (file, window, n, fwd, n - fwd, length, means[0], spreads[0], means[1], spreads[1], 1000.0 * (last - first), protocol, list(lens), (1000.0 * gaps).tolist(), list(ways))
     return pd.DataFrame([row], columns=[field.split()[0] for field in _STATS.split(", ")])
 
 
 def bounded_windowed_flows(packets: DataFrame, seconds: float, origin: float = 0.0, late_windows: int = 2, max_packets: int = MAX_PACKETS) -> DataFrame:
-    """:func:`windowed_flows` of a stream in order of time, with state of bounded size: sums and the first ``max_packets`` packets of a window.
+    """:func:`windowed_flows` with state of bounded size: sums and the first ``max_packets`` packets of a window, by time.
 
-    A window closes when a packet more than ``late_windows`` windows later has come; packets of closed windows are dropped and counted by Spark. Gaps
-    follow the order of arrival: by time within a batch, and never below 0 between batches.
+    A window closes when a packet more than ``late_windows`` windows later has come; packets of closed windows are dropped and counted by Spark. Packets may come in any
+    order. All columns are exact but one: the deviation of gaps, in windows of more than ``max_packets`` packets, needs those past the first in order of time.
     """
     placed = packets.withColumn("window_id", F.floor((F.col("ts") - origin) / seconds).cast("long"))
     ends = placed.withColumn("window_end", F.timestamp_micros(((origin + (F.col("window_id") + 1) * seconds) * 1e6).cast("long")))
@@ -108,10 +115,10 @@ def bounded_windowed_flows(packets: DataFrame, seconds: float, origin: float = 0
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         file, window, end = key
         if state.hasTimedOut:
-            yield _closed(file, window, state.get)
+            yield _flow_row(file, window, state.get)
             state.remove()
             return
-        now = _absorb(state.get if state.exists else None, pd.concat(list(batches)), max_packets)
+        now = _with_packets(state.get if state.exists else None, pd.concat(list(batches)), max_packets)
         state.update(now)
         state.setTimeoutTimestamp(int(end.timestamp() * 1000) if end.tzinfo else int(pd.Timestamp(end, tz="UTC").timestamp() * 1000))
 
