@@ -14,7 +14,7 @@ from tideway.functions.labels import let
 from tideway.operators.features import unit
 from tideway.storage import kept
 
-MOST_BROADCAST = 4_096  # prototypes
+MOST_BROADCAST = 64  # prototypes that a row is compared with one by one; more are met in block products
 BLOCK_TRAIN, BLOCK_TEST = 16_384, 2_048
 
 # The temperature of both softmax scores, and the margin score's target for equal pairs and bound for different ones.
@@ -261,7 +261,7 @@ def _in_blocks(rows: DataFrame, function: Callable, schema: str, most: int) -> D
 
 def _product(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cosines of all pairs, whether their labels agree, and whether they are different rows."""
-    x, y = (np.array(side.column("z").to_pylist()) for side in (left, right))
+    x, y = (matrix(side.column("z")) for side in (left, right))
 
     def compared(name: str) -> np.ndarray:
         return left.column(name).to_numpy()[:, None] == right.column(name).to_numpy()[None]
@@ -333,7 +333,7 @@ def _memory_terms(temperature: float):
     def terms(key: tuple, anchors: pa.Table, memory: pa.Table) -> pa.Table:
         if not anchors.num_rows or not memory.num_rows:
             return _TERMS.empty_table()
-        x, m = (np.array(side.column("z").to_pylist()) for side in (anchors, memory))
+        x, m = (matrix(side.column("z")) for side in (anchors, memory))
         equal = anchors.column("label").to_numpy()[:, None] == memory.column("label").to_numpy()[None]
         return _terms(anchors, x @ m.T / temperature, equal, np.ones_like(equal))
 
