@@ -178,6 +178,25 @@ def test_bounded_state_and_late_packets(spark, tmp_path):
     assert first["packet_length_std"] == pytest.approx((200 / 3) ** 0.5) and found["f", 6]["total_packets"] == 2
 
 
+def test_late_packets_are_rows_of_their_own(spark, tmp_path):
+    """Two windows kept open, fragments taken for twenty seconds more: (batch, file, seq, ts)."""
+    arrivals = [(0, "f", 1, 1.1), (0, "f", 2, 2.4), (1, "f", 3, 9.0), (2, "f", 4, 1.5), (2, "f", 5, 1.2), (2, "g", 6, 2.0), (2, "f", 7, 9.5), (3, "f", 8, 1.7), (4, "f", 9, 50.0), (5, "f", 10, 1.3), (5, "f", 11, 40.0)]
+    schema, dropped = "file string, seq long, ts double, length double, direction int, protocol int", 0
+    for batch in range(6):
+        spark.createDataFrame([(f, n, t, 10.0 * n, 1, 6) for b, f, n, t in arrivals if b == batch], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        found = bounded_windowed_flows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 1.0, 1.0, 2, fragments_for=20.0)
+        out = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        run = out.outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+        dropped += sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators)
+        held = [o.numRowsTotal for p in run.recentProgress for o in p.stateOperators][-1]
+    rows = [(r["file"], r["window_id"], r["fragment"], r["packet_lengths"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(rows) == [
+        ("f", 0, False, [10.0]), ("f", 0, True, [50.0, 40.0]), ("f", 0, True, [80.0]), ("f", 1, False, [20.0]), ("f", 8, False, [30.0, 70.0]), ("f", 39, True, [110.0]), ("g", 1, True, [60.0])
+    ]
+    assert dropped == 1 and held == 1  # the last window is open; closed ones and fragments hold nothing
+
+
 def test_bounded_state_in_any_order_equals_all_packets():
     """The state after batches in any order, against one pass over sorted packets; with few packets held, where the rest comes in order."""
     rng = np.random.default_rng(7)

@@ -216,7 +216,26 @@ def t2_t3_w9_late_packets(spark, sf_dir):
 
     Windows stay open for two more windows and hold sums and bounded series. ``dropped`` is the number of packets that came too late.
     """
-    folder = shared_folder(spark, "late-packets")
+    shown, dropped = _arrived(spark, sf_dir, "late-packets", None)
+    return shown.withColumn("dropped", F.lit(dropped).cast("long"))
+
+
+_FRAGMENTS_SQL = f"WITH {_ARRIVALS}," + _GROUP_SQL.format(
+    placed="SELECT *, floor(ts - 1.0::DOUBLE)::BIGINT AS window_id FROM arriving", keys="file, window_id, late", order="ts, seq", duration="greatest(0.0, max(ts) - min(ts)) * 1000.0::DOUBLE",
+    shown="file, window_id, late AS fragment, round(len_sum, 2) AS bytes", condition=sql_condition("iat_mean", "iat_std", "0.0")
+)
+
+
+@query(f"SELECT file, window_id, fragment, condition, total_packets, fwd, bwd, bytes, length_std, iat_mean, iat_std, duration, protocol, lengths, ways, 0::BIGINT AS dropped FROM ({_FRAGMENTS_SQL})")
+def t2_w9_late_fragments(spark, sf_dir):
+    """The same arrivals; packets that come after their window was closed are rows of their own, and none is dropped."""
+    shown, dropped = _arrived(spark, sf_dir, "late-fragments", 1e6)
+    return shown.withColumn("dropped", F.lit(dropped).cast("long"))
+
+
+def _arrived(spark: SparkSession, sf_dir: str, name: str, fragments_for: float | None) -> tuple[DataFrame, int]:
+    """Flow rows of the late arrivals, and how many packets were dropped."""
+    folder = shared_folder(spark, name)
     packets = windows.valid_packets(event_packets(spark, sf_dir))
     span = packets.agg(F.max("ts") - 1.0 + 1e-6).first()[0]
     third = F.floor((F.col("ts") - 1.0) / (span / 3))
@@ -228,10 +247,11 @@ def t2_t3_w9_late_packets(spark, sf_dir):
         rows = arriving.where(F.col("batch") == batch) if batch < 3 else end.select(*arriving.columns)
         rows.drop("batch").write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(packets.schema).parquet(f"{folder}/in")
-        found = bounded_windowed_flows(stream, 1.0, 1.0)
+        found = bounded_windowed_flows(stream, 1.0, 1.0, fragments_for=fragments_for)
         dropped += _drained(found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append"))
-    shown = _shown(spark.read.schema(found.schema).parquet(f"{folder}/out"), ["file", "window_id", F.round(F.col("packet_length_mean") * F.col("total_packets"), 2).alias("bytes")])
-    return shown.drop("length_mean", "bytes_s", "packets_s").withColumn("dropped", F.lit(dropped).cast("long"))
+    keys = ["file", "window_id"] if fragments_for is None else ["file", "window_id", "fragment"]
+    shown = _shown(spark.read.schema(found.schema).parquet(f"{folder}/out"), [*keys, F.round(F.col("packet_length_mean") * F.col("total_packets"), 2).alias("bytes")])
+    return shown.drop("length_mean", "bytes_s", "packets_s"), dropped
 
 
 def _followed(spark: SparkSession, rows: DataFrame, name: str, order: str, start: DataFrame, step) -> DataFrame:

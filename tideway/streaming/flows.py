@@ -65,7 +65,7 @@ _STATE = (
 )
 _STATS = (
     "file string, window_id long, total_packets long, total_fwd_packets long, total_bwd_packets long, length_sum double, packet_length_mean double, "
-    "packet_length_std double, flow_iat_mean double, flow_iat_std double, flow_duration double, protocol int, lens array<double>, gaps array<double>, ways array<int>"
+    "packet_length_std double, flow_iat_mean double, flow_iat_std double, flow_duration double, protocol int, lens array<double>, gaps array<double>, ways array<int>, fragment boolean"
 )
 _EMPTY = (0, 0, 0.0, 0.0, np.inf, -np.inf, np.inf, -np.inf, 0.0, (), (), (), (), (), ())
 
@@ -90,7 +90,7 @@ def _with_packets(state: tuple | None, packets: pd.DataFrame, max_packets: int)
     return (*sums, *span, [int(p) for p in all_protocols.index], [int(c) for c in all_protocols], *(c[order[:max_packets]].tolist() for c in columns))
 
 
-def _flow_row(file: str, window: int, state: tuple) -> pd.DataFrame:
+def _flow_row(file: str, window: int, state: tuple, fragment: bool = False) -> pd.DataFrame:
     """A closed window. The sum of its gaps is its span; their squares are those between held packets, from these to the rest, and within the rest."""
     n, fwd, length, length2, first, last, rest_first, _, rest_gap2, protocols, counts, times, _, lens, ways = state
     gaps = np.diff(times, prepend=times[0])
@@ -98,35 +98,50 @@ def _flow_row(file: str, window: int, state: tuple) -> pd.DataFrame:
     protocol = min(zip([-c for c in counts], protocols, strict=True))[1]
     means = [length / n, 1000.0 * (last - first) / n]
     spreads = [max(0.0, squares / n - mean * mean) ** 0.5 for squares, mean in zip((length2, 1e6 * gap2), means, strict=True)]
-    row = (file, window, n, fwd, n - fwd, length, means[0], spreads[0], means[1], spreads[1], 1000.0 * (last - first), protocol, list(lens), (1000.0 * gaps).tolist(), list(ways))
+    row = (file, window, n, fwd, n - fwd, length, means[0], spreads[0], means[1], spreads[1], 1000.0 * (last - first), protocol, list(lens), (1000.0 * gaps).tolist(), list(ways), fragment)
     return pd.DataFrame([row], columns=[field.split()[0] for field in _STATS.split(", ")])
 
 
-def bounded_windowed_flows(packets: DataFrame, seconds: float, origin: float = 0.0, late_windows: int = 2, max_packets: int = MAX_PACKETS) -> DataFrame:
+def bounded_windowed_flows(
+    packets: DataFrame, seconds: float, origin: float = 0.0, late_windows: int = 2, max_packets: int = MAX_PACKETS, fragments_for: float | None = None
+) -> DataFrame:
     """:func:`windowed_flows` with state of bounded size: sums and the first ``max_packets`` packets of a window, by time.
 
     A window closes when a packet more than ``late_windows`` windows later has come; packets of closed windows are dropped and counted by Spark. Packets may come in any
     order. All columns are exact but one: the deviation of gaps, in windows of more than ``max_packets`` packets, needs those past the first in order of time.
+
+    With ``fragments_for``, packets that come up to so many seconds later than that are kept: those of one window and batch are a row of their own, whose column ``fragment`` is
+    true. A closed window leaves nothing behind, as the watermark alone says that it is closed; so the time for which fragments are taken costs no state.
     """
     placed = packets.withColumn("window_id", F.floor((F.col("ts") - origin) / seconds).cast("long"))
-    ends = placed.withColumn("window_end", F.timestamp_micros(((origin + (F.col("window_id") + 1) * seconds) * 1e6).cast("long")))
-    ends = ends.withWatermark("window_end", f"{late_windows * seconds} seconds")
+    # Event time runs ahead of the window's end by the time for fragments, and the watermark behind event time: it passes ends as it would without, and drops rows so much later.
+    kept_for, end = fragments_for or 0.0, origin + (F.col("window_id") + 1) * seconds
+    ends = placed.withColumn("dropped_at", F.timestamp_micros(((end + kept_for) * 1e6).cast("long"))).withColumn("closed_at", F.ceil(end * 1000.0).cast("long"))
+    ends = ends.withWatermark("dropped_at", f"{late_windows * seconds + kept_for} seconds")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        file, window, end = key
+        file, window, closed_at, _ = key
         if state.hasTimedOut:
             yield _flow_row(file, window, state.get)
             state.remove()
             return
-        now = _with_packets(state.get if state.exists else None, pd.concat(list(batches)), max_packets)
-        state.update(now)
-        state.setTimeoutTimestamp(int(end.timestamp() * 1000) if end.tzinfo else int(pd.Timestamp(end, tz="UTC").timestamp() * 1000))
+        coming = pd.concat(list(batches))
+        if fragments_for is not None and closed_at <= state.getCurrentWatermarkMs():
+            if state.exists:
+                yield _flow_row(file, window, state.get)
+                state.remove()
+            yield _flow_row(file, window, _with_packets(None, coming, max_packets), fragment=True)
+            return
+        state.update(_with_packets(state.get if state.exists else None, coming, max_packets))
+        state.setTimeoutTimestamp(int(closed_at))
 
-    rows = ends.select("file", "window_id", "window_end", "seq", "ts", "length", "direction", "protocol").groupBy("file", "window_id", "window_end")
+    keys = ("file", "window_id", "closed_at", "dropped_at")
+    rows = ends.select(*keys, "seq", "ts", "length", "direction", "protocol").groupBy(*keys)
     stats = rows.applyInPandasWithState(update, _STATS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     item = F.arrays_zip("lens", "gaps", "ways")
     series = F.transform(item, lambda x, i: F.struct((i + 1).alias("rn"), x["lens"].alias("length"), x["gaps"].alias("iat"), x["ways"].alias("direction")))
-    return canonical_flows(stats.withColumn("series", series).drop("lens", "gaps", "ways"), ["file", "window_id"])
+    shown = ["file", "window_id"] if fragments_for is None else ["file", "window_id", "fragment"]
+    return canonical_flows(stats.withColumn("series", series).drop("lens", "gaps", "ways"), shown)
 
 
 class FollowedTable:
