@@ -14,9 +14,9 @@ from tideway import storage
 from tideway.operators import memory, sampling, windows
 from tideway.operators.flows import exported_flows
 from tideway.plans.adapters import event_packets, labelled_vectors
-from tideway.sources import capture, files
+from tideway.sources import capture, clustered, files
 from tideway.streaming import flows as stream_flows
-from tideway.streaming.flows import FollowedTable, balanced_step, bounded_windowed_flows, newest_step, prototype_step, windowed_flows
+from tideway.streaming.flows import FollowedTable, MergedTable, balanced_step, bounded_windowed_flows, newest_step, prototype_step, windowed_flows
 
 
 def test_packet_files(spark, tmp_path):
@@ -124,6 +124,55 @@ def test_traces_in_ranges_equal_whole_traces(spark, tmp_path, order, scale):
     assert sorted(map(tuple, first.collect())) == [r for r in whole if r[1] < 10] and first.rdd.getNumPartitions() <= 4
 
 
+def _traces(folder, sizes):
+    for name, n in sizes.items():
+        records = (_record("<", 1000 + i, i, bytes(12) + b"\x08\x00" + bytes(9) + (b"\x06" if i % 2 else b"\x01") + bytes(20)) for i in range(n))
+        (folder / f"{name}.pcap").write_bytes(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(records))
+
+
+def test_first_records_of_each_trace(spark, tmp_path):
+    _traces(tmp_path, {"a": 50, "b": 7, "c": 9000})
+    for most, want in ((8, [8, 7, 8]), (0, [0, 0, 0]), (None, [50, 7, 9000]), (5000, [50, 7, 5000])):
+        reader = capture.CaptureReader(str(tmp_path), most)
+        assert [sum(batch.num_rows for batch in reader.read(p)) for p in reader.partitions()] == want  # no more is decoded
+    spark.dataSource.register(capture.CaptureSource)
+    whole = spark.read.format("capture").load(str(tmp_path))
+    few = spark.read.format("capture").option("records", 8).load(str(tmp_path))
+    for frames in (few, capture.first_records(whole, 8)):
+        assert {r["trace"]: r["count"] for r in frames.groupBy("trace").count().collect()} == {"a.pcap": 8, "b.pcap": 7, "c.pcap": 8}
+    assert whole.where("record_no < 3 or trace = 'b.pcap'").count() == 13 and whole.unionByName(few).count() == 9057 + 23
+
+
+def test_counters_come_with_the_pass(spark, tmp_path):
+    _traces(tmp_path, {"a": 5, "b": 7})
+    spark.dataSource.register(capture.CaptureSource)
+    packets, seen = capture.counted(capture.decode_frames(spark.read.format("capture").load(str(tmp_path))))
+    packets.where("record_no > 100").write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"scanned": 12, "accepted": 5}
+
+
+def test_clustered_tables_are_read_without_an_exchange(spark, sf, tmp_path):
+    packets = windows.with_origin(windows.valid_packets(event_packets(spark, sf)), "file").withColumn("window_id", windows.window_id(F.col("ts"), F.col("origin"), 1.0))
+    flat = windows.flows_by_file(event_packets(spark, sf), 1.0)
+    labelled = flat.withColumn("service", F.when(F.col("file").cast("int") % 3 == 0, "unknown").when(F.col("file").cast("int") % 3 == 1, "voip"))
+    stored = clustered.write_clustered(packets, "clustered_packets", buckets=8, order=("ts", "seq"), path=str(tmp_path / "packets"))
+    known, rest = clustered.write_labelled_set(labelled.withColumn("app", F.lit("a")), "clustered_flows", buckets=8, path=str(tmp_path / "flows"))
+    keys = list(clustered.WINDOW)
+    again = windows.canonical_flows(windows.flow_statistics(windows.with_gaps(stored, keys, ["ts", "seq"]), keys), keys)
+    both = known.hint("merge").join(again.select(*keys, F.col("total_packets").alias("counted")), keys)
+    for found in (again, both):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert ordered(again) == ordered(flat)
+    voip = labelled.where("service = 'voip'")
+    assert both.where("counted = total_packets").count() == both.count() == voip.count() > 0
+    assert ordered(known.select(*keys, "total_packets")) == ordered(voip.select(*keys, "total_packets")) and known.count() + rest.count() == flat.count()
+    assert "PartitionFilters: [isnotnull(background" in known._jdf.queryExecution().executedPlan().toString()
+    assert len(list((tmp_path / "packets").glob("part-*"))) <= 8 and len(list((tmp_path / "flows").glob("*/part-*"))) <= 16  # a file a bucket
+    for name in ("clustered_packets", "clustered_flows"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_headers_are_found_in_the_first_bytes(spark, tmp_path, monkeypatch):
     (tmp_path / "sub dir").mkdir()
     (tmp_path / "sub dir" / "a+b%20.csv").write_text("\n\nTime,Source,Destination,Protocol,Length\n" + "1,a,b,tcp,5\n" * 50_000)
@@ -264,6 +313,23 @@ def test_followed_samples(spark, sf, tmp_path):
     assert sorted(r["id"] for r in newest.collect()) == sorted(r["id"] for r in memory.newest_per_class(rows, 5).collect())
 
 
+def test_merged_table_writes_what_a_batch_brings(spark, tmp_path):
+    """Eleven batches of a table that grows to 300 rows: all versions are right, also when a batch runs again, and most batches write few rows."""
+    rows = spark.range(330).select((F.col("id") % 3).alias("label"), F.col("id").alias("seq"), F.array(F.lit(3.0), F.lit(4.0)).alias("z"))
+    table = MergedTable(spark, str(tmp_path / "t"), rows.limit(0), newest_step(100))
+    assert table.latest().count() == 0
+    written = []
+    for number in range(11):
+        for _ in range(1 + (number in (3, 4))):
+            table.write(rows.where(f"seq div 30 = {number}"), number)
+        written.append(spark.read.parquet(table.piece(number)).count())
+        want = {r["seq"] for r in rows.where(f"seq < {30 * (number + 1)} and seq >= {30 * (number + 1) - 300}").collect()}
+        found = table.version(number).collect()
+        assert {r["seq"] for r in found} == want and len(found) == len(want) and found[0]["z"] == pytest.approx([0.6, 0.8])
+    assert written == [30, 60, 30, 120, 30, 60, 30, 240, 30, 60, 30]
+    assert {r["seq"] for r in MergedTable(spark, str(tmp_path / "t"), rows.limit(0), newest_step(100)).latest().collect()} == set(range(30, 330))
+
+
 def test_followed_prototypes(spark, sf, tmp_path):
     rows = labelled_vectors(spark, sf).select("id", "z", "label", "seq")
     start = memory.bootstrap(rows.where("id % 10 = 0"), spark.range(10).select(F.col("id").alias("label")))

@@ -12,9 +12,9 @@ from tideway.operators import embeddings, features, flows, memory, windows
 from tideway.plans.adapters import event_packets, labelled_vectors, order_exports, table
 from tideway.plans.embedding_queries import VECTORS, _protos, sql_update
 from tideway.plans.flow_queries import _EVENT_KEY, _GROUP_SQL, EVENT_PACKETS, EXPORTS_SQL, FLOWS_SQL, _shown, sql_condition
-from tideway.sources import capture, files
+from tideway.sources import capture, clustered, files
 from tideway.storage import shared_folder
-from tideway.streaming.flows import FollowedTable, balanced_step, bounded_windowed_flows, newest_step, prototype_step, windowed_flows
+from tideway.streaming.flows import FollowedTable, MergedTable, balanced_step, bounded_windowed_flows, newest_step, prototype_step, windowed_flows
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -87,6 +87,22 @@ def s10_metrics_files(spark, sf_dir):
     return files.read_metrics(spark, root).select("name", F.round("value", 6).alias("value"))
 
 
+@query(f"""SELECT condition, count(*) AS n, sum(total_packets)::BIGINT AS packets, sum(total_packets)::BIGINT AS counted, sum(fwd)::BIGINT AS fwd FROM ({FLOWS_SQL}) WHERE file::BIGINT % 3 <> 0 GROUP BY condition""")
+def s8_s9_clustered_flows(spark, sf_dir):
+    """Packets and labelled flows in tables clustered by window; windows and the join with the known flows need no exchange, and the background is not read."""
+    keys, folder = list(clustered.WINDOW), shared_folder(spark, "clustered")
+    name = folder.rsplit("-", 1)[-1]
+    packets = windows.with_origin(windows.valid_packets(event_packets(spark, sf_dir)), "file")
+    packets = packets.withColumn("window_id", windows.window_id(F.col("ts"), F.col("origin"), 1.0)).drop("origin")
+    found = windows.flows_by_file(event_packets(spark, sf_dir), 1.0)
+    labelled = found.withColumn("service", F.when(F.col("file").cast("long") % 3 == 0, "unknown").otherwise("conferencing"))
+    stored = clustered.write_clustered(packets, f"packets_{name}", buckets=8, order=("ts", "seq"), path=f"{folder}/packets")
+    known, _ = clustered.write_labelled_set(labelled, f"flows_{name}", buckets=8, path=f"{folder}/flows")
+    counts = stored.groupBy(*keys).agg(F.count("*").alias("counted"), F.count_if(F.col("direction") > 0).alias("fwd"))
+    both = known.select(*keys, "condition", "total_packets").join(counts, keys)
+    return both.groupBy("condition").agg(F.count("*").alias("n"), F.sum("total_packets").alias("packets"), F.sum("counted").alias("counted"), F.sum("fwd").alias("fwd"))
+
+
 # --- frames ---------------------------------------------------------------------------------------------------
 
 
@@ -141,7 +157,7 @@ _CAPTURE_SPLIT = 1 << 20
 SELECT trace, good AS accepted, count(*) AS n, sum(ts)::BIGINT AS times, sum(CASE WHEN good THEN port END)::BIGINT AS ports, max(place)::BIGINT AS last_record,
  min(ts) FILTER (place >= 100)::BIGINT AS after_first, count(*) FILTER (place < 100) AS n_first FROM decoded GROUP BY ALL""")
 def s5_s6_capture_files(spark, sf_dir):
-    """Frames written as capture files, a file per trace, read back in ranges, so that a trace is many tasks; the first hundred records of each are read by themselves."""
+    """Frames written as capture files, a file per trace, read back in ranges, so that a trace is many tasks; the first hundred records of each are read by themselves, and no others for them."""
     spark.dataSource.register(capture.CaptureSource)
     root = shared_folder(spark, "captures")
     frames = line_frames(spark, sf_dir).repartition("trace").sortWithinPartitions("trace", "ts", "record_no")
@@ -156,7 +172,7 @@ def s5_s6_capture_files(spark, sf_dir):
         F.count("*").alias("n"), F.sum(F.col("ts").cast("long")).alias("times"), F.sum("src.port").cast("long").alias("ports"), F.max("record_no").alias("last_record"),
         F.min(F.when(F.col("record_no") >= 100, F.col("ts").cast("long"))).alias("after_first"),
     )
-    first = capture.decode_frames(named(capture.read_captures(spark, root, first=100, ranges=ranges))).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
+    first = capture.decode_frames(named(spark.read.format("capture").option("records", 100).load(root))).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
     return found.join(first, ["trace", "accepted"], "left").withColumn("n_first", F.coalesce("n_first", F.lit(0)))
 
 
@@ -263,9 +279,12 @@ def _followed(spark: SparkSession, rows: DataFrame, name: str, order: str, start
 
 @query(f"WITH {VECTORS} SELECT label, id, round(z[1], 6) AS first FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq DESC) AS turn FROM vectors) WHERE turn <= 20")
 def t4_m6_streamed_memory(spark, sf_dir):
-    """The newest vectors of each class, kept while a stream of vectors runs."""
+    """The newest vectors of each class, kept in pieces while a stream of vectors runs: a batch writes what it brings, not the table."""
     rows = labelled_vectors(spark, sf_dir).select("id", "label", "seq", features.unit(F.col("z")).alias("z"))
-    return _followed(spark, rows, "memory", "seq", rows.limit(0), newest_step(20)).select("label", "id", F.round(F.col("z")[0], 6).alias("first"))
+    folder = shared_folder(spark, "memory")
+    kept = MergedTable(spark, f"{folder}/table", rows.limit(0), newest_step(20))
+    kept.follow(_stream(spark, rows, folder, "seq"), f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return kept.latest().select("label", "id", F.round(F.col("z")[0], 6).alias("first"))
 
 
 _BATCHES = ", ".join(f"{sql_update(f'moved{b}', f'(SELECT label, seq, z FROM vectors WHERE id % 10 <> 0 AND id % 3 = {b})', 'start' if b == 0 else f'moved{b - 1}', 0.3)}" for b in range(3))

@@ -11,11 +11,12 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -66,25 +67,18 @@ def _frame_batches(path: str, start: int, stop: int, number: int, most: int | No
     with stream:
         found = enumerate(_records(stream, record, start, stop), number)
         rows = ((name, n, h[0] + h[1] / scale, h[2], h[3], data) for n, (_, h, data) in found)
-        yield from batched(rows if most is None else _until(rows, most), _frames, lambda r: len(r[5]), _BATCH)
-
-
-def _until(rows: Iterator[tuple], most: int) -> Iterator[tuple]:
-    for row in rows:
-        if row[1] >= most:
-            return
-        yield row
+        yield from batched(rows if most is None else islice(rows, max(0, most - number)), _frames, lambda r: len(r[5]), _BATCH)
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, records: int | None = None):
+        self.path, self.records = path, records
 
     def partitions(self) -> list[_Trace]:
         return [_Trace(path) for path, _ in files_under(self.path, ENDINGS)]
 
     def read(self, partition: _Trace) -> Iterator[pa.RecordBatch]:
-        yield from _frame_batches(partition.path, 24, 1 << 62, 0)
+        yield from _frame_batches(partition.path, 24, 1 << 62, 0, self.records)
 
 
 def _frames(rows: list[tuple]) -> pa.RecordBatch:
@@ -112,7 +106,8 @@ class CaptureSource(DataSource):
     """``spark.dataSource.register(CaptureSource)``, then ``spark.read.format("capture").load(path)`` gives frames.
 
     ``frames.write.format("capture").mode("append").save(path)`` writes them. A file whose records end early gives the records before the break. One trace file is one task;
-    :func:`read_captures` reads large files in ranges.
+    :func:`read_captures` reads large files in ranges. The option ``records`` gives the first so many records of each trace, and no more is decoded. (A filter on ``record_no`` is
+    not pushed into the reader: in Spark 4.1 a reader keeps the filters of one query for the next one of the same table.)
     """
 
     @classmethod
@@ -123,7 +118,8 @@ class CaptureSource(DataSource):
         return FRAMES
 
     def reader(self, schema) -> CaptureReader:
-        return CaptureReader(self.options["path"])
+        most = self.options.get("records")
+        return CaptureReader(self.options["path"], None if most is None else int(most))
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(self.options["path"])
@@ -326,3 +322,9 @@ def first_records(frames: DataFrame, n: int) -> DataFrame:
 def scan_counters(packets: DataFrame) -> DataFrame:
     """``(trace, scanned, accepted)``."""
     return packets.groupBy("trace").agg(F.count("*").alias("scanned"), F.count_if("accepted").alias("accepted"))
+
+
+def counted(packets: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """The packets as they are, and an observation whose ``scanned`` and ``accepted`` are known once an action has read them, without a pass of their own."""
+    seen = Observation(name)
+    return packets.observe(seen, F.count(F.lit(1)).alias("scanned"), F.count_if(F.coalesce("accepted", F.lit(False))).alias("accepted")), seen

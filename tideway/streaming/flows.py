@@ -158,15 +158,19 @@ class FollowedTable:
 
     def latest(self) -> DataFrame:
         """The newest version written, by this run or an earlier one; the start where there is none."""
+        newest = self.newest(r"/v=(\d+)/[^/]*$")
+        return self.version(-1 if newest is None else newest)
+
+    def newest(self, form: str) -> int | None:
+        """The largest number in the names of finished files; ``form`` finds it."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
         try:
-            paths = files.load(self.folder).select(F.regexp_extract("path", r"/v=(\d+)/[^/]*$", 1).try_cast("int").alias("v"))
+            paths = files.load(self.folder).select(F.regexp_extract("path", form, 1).try_cast("int").alias("v"))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.start
-        newest = paths.agg(F.max("v")).first()[0]
-        return self.version(-1 if newest is None else newest)
+            return None
+        return paths.agg(F.max("v")).first()[0]
 
     def follow(self, stream: DataFrame, step, checkpoint: str) -> DataStreamWriter:
         """``step(table, batch)`` gives the next version of the table."""
@@ -177,6 +181,44 @@ class FollowedTable:
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+class MergedTable(FollowedTable):
+    """A table followed in pieces, for steps that give the same for all rows at once and for what they kept of parts (the newest rows, bottom-k).
+
+    A piece covers the batches from one number to another; batch b writes one that covers as many as the largest power of two that divides b + 1, merged from the pieces
+    there. So a row is written at most once for each power of two, a batch writes what about so many batches bring rather than the table, and a version is read from at
+    most as many pieces as b + 1 has bits. Names follow from the batch's number alone, so a batch that runs again writes the same piece.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, start: DataFrame, step):
+        super().__init__(spark, folder, start)
+        self.step = step
+
+    def piece(self, batch: int) -> str:
+        return f"{self.folder}/{batch + 1 - (batch + 1 & -(batch + 1))}-{batch + 1}"
+
+    def _pieces(self, end: int, first: int = 0) -> DataFrame:
+        """What the pieces kept of batches ``first`` to ``end``, without ``end``."""
+        rows = self.start.limit(0)
+        while end > first:
+            rows = rows.unionByName(self.spark.read.parquet(self.piece(end - 1)))
+            end &= end - 1
+        return rows
+
+    def version(self, batch: int) -> DataFrame:
+        return self.start if batch < 0 else self.step(self.start, self._pieces(batch + 1))
+
+    def latest(self) -> DataFrame:
+        newest = self.newest(r"/\d+-(\d+)/[^/]*$")
+        return self.version(-1 if newest is None else newest - 1)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        end = number + 1
+        self.step(self._pieces(number, end & number), batch).write.mode("overwrite").parquet(self.piece(number))
+
+    def follow(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
+        return stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint)
+
+
 def newest_step(n: int):
     """Keeps the newest n rows per label: what was kept and the batch, cut again."""
     return lambda table, batch: newest_per_class(table.unionByName(batch.select(*table.columns)), n)
