@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.operators import embeddings, features, linear_machine, memory, metrics, sampling, windows
+from tideway.operators import embeddings, features, linear_machine, memory, metrics, near_blocks, sampling, windows
 from tideway.plans.adapters import event_packets, labelled_vectors, table
 from tideway.plans.flow_queries import FLOWS_SQL, sql_condition, sql_key
 
@@ -78,6 +78,13 @@ def e4_knn(spark, sf_dir):
     return test.join(votes, F.col("id") == F.col("test_id")).select("id", "label", "pred")
 
 
+@query(f"WITH {_KNN} SELECT test_id, label, round(sim, 6) AS sim, turn AS rank FROM near")
+def e4_pruned_neighbours(spark, sf_dir):
+    """The neighbours themselves, from blocks around pivots; blocks that a bound excludes are not compared."""
+    found, _ = near_blocks.knn_pruned(*sides(spark, sf_dir))
+    return found.select("test_id", "label", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_KNN} SELECT round((SELECT avg((label = pred)::INT) FROM preds), 6) AS accuracy, round({_sql_f1('preds')}, 6) AS macro_f1")
 def e5_a6_a7_classification(spark, sf_dir):
     preds = e4_knn(spark, sf_dir)
