@@ -38,6 +38,7 @@ IAT_STDS = ["flow iat std", "iat std", "flow_iat_std"]
 DURATIONS = ["flow duration", "duration", "flow_duration"]
 BYTES_S = ["flow bytes/s", "flow bytes per s", "bytes_per_second", "flow_bytes_s"]
 PACKETS_S = ["flow packets/s", "flow packets per s", "packets_per_second", "flow_packets_s"]
+_DEALT = 4  # tasks a core, where rows are dealt out
 QUEUES = ["queue_delay_ms", "queue_delay", "buffer_delay"]
 RTT_SCALES, JITTER_ADDS, LOSS_ADDS = (0.7, 1.0, 1.8, 3.2), (0.0, 0.1, 0.25, 0.55), (0.0, 0.005, 0.02, 0.06)
 
@@ -57,10 +58,31 @@ def _clip(x: Column, low: float, high: float) -> Column:
 
 def gaussian(*parts: Column) -> Column:
     """A standard normal number that depends on the parts alone (Box-Muller on two keys)."""
-    u, v = stable_key(F.lit("u"), *parts), stable_key(F.lit("v"), *parts)
+    return _normal(*[stable_key(F.lit(x), *parts) for x in "uv"])
+
+
+def _normal(u: Column, v: Column) -> Column:
     return F.sqrt(-2.0 * F.log(F.lit(1.0) - u)) * F.cos(2.0 * math.pi * v)
 
 
+def _begun(names: str | list[str], *parts: Column) -> Column:
+    """What the texts of many keys of a row begin with, a field for each name; see :func:`_key_after`."""
+    return F.struct(*[F.concat_ws("|", F.lit(name), *parts, F.lit("")).alias(name) for name in names])
+
+
+def _key_after(start: Column, end: Column) -> Column:
+    """:func:`stable_key` of the parts of both texts, where the first was joined once for the row."""
+    return stable_key(F.concat(start, end))
+
+
+def spread_out(rows: DataFrame, row_id: str) -> DataFrame:
+    """Rows dealt over all cores by their id, for tables whose series are to be drawn.
+
+    That takes about a millisecond a row, so a few megabytes are work for every core, though Spark reads them in one task.
+    """
+    return rows.repartition(_DEALT * rows.sparkSession.sparkContext.defaultParallelism, row_id)
+
+
 def _series(rows: DataFrame, names: list[str], whole: bool = False) -> Column:
     """The first of the named series: arrays as they are, text parsed."""
     kinds = dict(rows.dtypes)
@@ -72,7 +94,7 @@ def _series(rows: DataFrame, names: list[str], whole: bool = False) -> Column:
 
 
 def packet_series(rows: DataFrame, row_id: str, max_packets: int = MAX_PACKETS) -> DataFrame:
-    """Adds ``lens``, ``gaps`` and ``ways`` of equal length; missing series are drawn from the flow's means."""
+    """Adds ``lens``, ``gaps`` and ``ways`` of equal length; missing series are drawn from the flow's means (:func:`spread_out` first, if most are)."""
     value = {n: number_of(rows, *NAMES[n]) for n in ("fwd", "bwd", "length_mean", "length_std", "iat_mean")}
     total = number_of(rows, COUNTS, value["fwd"] + value["bwd"])
     count = F.greatest(F.lit(4), F.least(F.lit(max_packets), total)).cast("int")
@@ -81,15 +103,26 @@ def packet_series(rows: DataFrame, row_id: str, max_packets: int = MAX_PACKETS)
     share = F.coalesce(F.try_divide(value["fwd"], value["fwd"] + value["bwd"]), F.lit(0.5))
     own = F.col(row_id).cast("string")
 
-    def drawn(n: Column, mean: Column, std: Column, tag: str) -> Column:
-        return F.transform(F.sequence(F.lit(1), n), lambda i: mean + F.greatest(std, F.lit(1.0)) * gaussian(F.lit(tag), own, i))
+    def drawn(n: Column, mean: Column, std: Column, tag: str, shown) -> Column:
+        def series(flow: Column) -> Column:
+            def number(i: Column) -> Column:
+                return shown(flow["mean"] + flow["std"] * _normal(*[_key_after(flow["start"][x], i.cast("string")) for x in "uv"]))
 
-    lens = F.transform(drawn(count, value["length_mean"], length_std, "len"), lambda x: _clip(x, 40, 1500))
+            return F.transform(F.sequence(F.lit(1), flow["n"]), number)
+
+        start = _begun("uv", F.lit(tag), own)
+        return let(F.struct(n.alias("n"), mean.alias("mean"), F.greatest(std, F.lit(1.0)).alias("std"), start.alias("start")), series)
+
+    lens = drawn(count, value["length_mean"], length_std, "len", lambda x: _clip(x, 40, 1500))
     rows = rows.withColumn("lens", F.coalesce(_series(rows, LENGTHS), lens))
     n = F.greatest(F.size("lens"), F.lit(1))
-    gaps = F.transform(drawn(n, value["iat_mean"], iat_std, "iat"), lambda x: F.greatest(x, F.lit(0.0)))
+    gaps = drawn(n, value["iat_mean"], iat_std, "iat", lambda x: F.greatest(x, F.lit(0.0)))
     rows = rows.withColumn("gaps", F.coalesce(_series(rows, IATS), gaps))
-    ways = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(stable_key(F.lit("dir"), own, i) < _clip(share, 0.05, 0.95), 1.0).otherwise(-1.0))
+
+    def directions(flow: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), flow["n"]), lambda i: F.when(_key_after(flow["start"]["dir"], i.cast("string")) < flow["share"], 1.0).otherwise(-1.0))
+
+    ways = let(F.struct(n.alias("n"), _clip(share, 0.05, 0.95).alias("share"), _begun(["dir"], own).alias("start")), directions)
     rows = rows.withColumn("ways", F.coalesce(_series(rows, DIRECTIONS, True), ways))
     kept = F.least(F.lit(max_packets), *[F.size(c) for c in ("lens", "gaps", "ways")])
     return rows.withColumn("__kept", kept).withColumns({c: F.slice(c, F.lit(1), F.col("__kept")) for c in ("lens", "gaps", "ways")}).drop("__kept")
@@ -160,18 +193,26 @@ def network_series(rows: DataFrame, row_id: str, steps: int = STEPS, noise: floa
         scaled(value["rtt"], 8.0), scaled(value["jitter"], 6.0), _clip(value["loss"], 0, 1), scaled(value["retrans"], 8.0),
         scaled(value["throughput"], 16.0), _clip(value["uplink"], 0, 1), scaled(queue, 6.0), hint / 3.0,
     )
-    own = F.col(row_id).cast("string")
 
-    def series(base: Column) -> Column:
+    def series(flow: Column) -> Column:
         def step(t: Column) -> Column:
             if not noise:
-                return F.transform(base, lambda x: _clip(x, -5, 5).cast("float"))
-            grown = 0.5 + t / max(steps - 1, 1)
-            return F.transform(base, lambda x, j: _clip(x + noise * gaussian(F.lit("net"), own, t, j) * grown, -5, 5).cast("float"))
+                return F.transform(flow["base"], lambda x: _clip(x, -5, 5).cast("float"))
+
+            def noisy(at: Column) -> Column:
+                def cell(x: Column, j: Column) -> Column:
+                    drift = noise * _normal(*[_key_after(at[k], j.cast("string")) for k in "uv"]) * at["grown"]
+                    return _clip(x + drift, -5, 5).cast("float")
+
+                return F.transform(flow["base"], cell)
+
+            starts = [F.concat(flow["start"][k], t.cast("string"), F.lit("|")).alias(k) for k in "uv"]
+            return let(F.struct(*starts, (0.5 + t / max(steps - 1, 1)).alias("grown")), noisy)
 
         return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), step)
 
-    return rows.withColumn("network_seq", let(base, series))
+    start = _begun("uv", F.lit("net"), F.col(row_id).cast("string"))
+    return rows.withColumn("network_seq", let(F.struct(base.alias("base"), start.alias("start")), series))
 
 
 def augmented(rows: DataFrame, row_id: str, copy: Column | None = None, noise: float = 0.015) -> DataFrame:
