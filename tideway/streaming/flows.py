@@ -58,54 +58,94 @@ def windowed_flows(packets: DataFrame, seconds: float, origin: float = 0.0, late
     return canonical_flows(stats, ["file", "window_id"])
 
 
-# What a window's state holds: counts and sums that no order of arrival changes, protocols with their counts, its first packets by time, and what came after them.
+# What the state of a window holds for a number of files: for each file counts and sums that no order of arrival changes; its protocols with their counts and its first packets
+# by time, each with the place of its file; and what came after these packets.
 _STATE = (
-    "n long, fwd long, length double, length2 double, first double, last double, rest_first double, rest_last double, rest_gap2 double, "
-    "protocols array<int>, protocol_counts array<long>, times array<double>, seqs array<long>, lens array<double>, ways array<int>"
+    "n array<long>, fwd array<long>, length array<double>, length2 array<double>, first array<double>, last array<double>, rest_first array<double>, rest_last array<double>, "
+    "rest_gap2 array<double>, protocols array<int>, protocol_counts array<long>, times array<double>, seqs array<long>, lens array<double>, ways array<int>, "
+    "files array<string>, protocol_of array<int>, packet_of array<int>"
 )
 _STATS = (
     "file string, window_id long, total_packets long, total_fwd_packets long, total_bwd_packets long, length_sum double, packet_length_mean double, "
     "packet_length_std double, flow_iat_mean double, flow_iat_std double, flow_duration double, protocol int, lens array<double>, gaps array<double>, ways array<int>, fragment boolean"
 )
-_EMPTY = (0, 0, 0.0, 0.0, np.inf, -np.inf, np.inf, -np.inf, 0.0, (), (), (), (), (), ())
+_TYPES = [{"long": np.int64, "double": np.float64, "int": np.int32, "string": object}[field.split("<")[1].rstrip(">")] for field in _STATE.split(", ")]
+BUCKETS = 64
+
+
+def _arrays(state: tuple | None) -> list[np.ndarray]:
+    return [np.asarray(column, t) for column, t in zip(state or [()] * len(_TYPES), _TYPES, strict=True)]
 
 
 def _with_packets(state: tuple | None, packets: pd.DataFrame, max_packets: int) -> tuple:
-    """The state of a window once a batch's packets have come, whatever their order.
+    """The state of a window once a batch's packets have come, whatever their order; packets without a column ``file`` are of one file.
 
-    The ``max_packets`` first by time are held. The others leave their number, their span and the squares of the gaps between them, in the order in which they leave.
+    The ``max_packets`` first of a file by time are held. The others leave their number, their span and the squares of the gaps between them, in the order in which they leave.
     """
-    n, fwd, length, length2, first, last, rest_first, rest_last, rest_gap2, protocols, counts, *held = state or _EMPTY
-    ts, size = packets["ts"].to_numpy(), packets["length"].to_numpy()
-    all_protocols = pd.Series(counts, index=list(protocols), dtype="int64").add(packets["protocol"].value_counts(), fill_value=0)
-    columns = [np.concatenate((np.asarray(old, dtype=packets[c].dtype), packets[c].to_numpy())) for old, c in zip(held, ("ts", "seq", "length", "direction"), strict=True)]
-    order = np.lexsort((columns[1], columns[0]))
-    rest = columns[0][order[max_packets:]]
+    *before, protocols, counts, times, seqs, lens, ways, files, protocol_of, packet_of = _arrays(state)
+    coming = packets["file"].to_numpy(object) if "file" in packets else np.full(len(packets), "", object)
+    codes, names = pd.factorize(np.concatenate((files, coming)), use_na_sentinel=False)  # files that were here keep their places
+    own, m = codes[len(files) :], len(names)
+    ts, size, direction = packets["ts"].to_numpy(), packets["length"].to_numpy(), packets["direction"].to_numpy()
+    starts = (0, 0, 0.0, 0.0, np.inf, -np.inf, np.inf, -np.inf, 0.0)
+    n, fwd, length, length2, first, last, rest_first, rest_last, rest_gap2 = (np.concatenate((c, np.full(m - len(files), x, c.dtype))) for c, x in zip(before, starts, strict=True))
+    n += np.bincount(own, minlength=m)
+    fwd += np.bincount(own[direction > 0], minlength=m)
+    length += np.bincount(own, size, m)
+    length2 += np.bincount(own, size * size, m)
+    np.minimum.at(first, own, ts)
+    np.maximum.at(last, own, ts)
+    kinds = pd.DataFrame({"of": np.concatenate((protocol_of, own)), "protocol": np.concatenate((protocols, packets["protocol"])), "n": np.concatenate((counts, np.ones(len(own), np.int64)))})
+    kinds = kinds.groupby(["of", "protocol"], as_index=False)["n"].sum()
+
+    place, *columns = (np.concatenate(pair) for pair in ((packet_of, own), (times, ts), (seqs, packets["seq"]), (lens, size), (ways, direction)))
+    order = np.lexsort((columns[1], columns[0], place))
+    place = place[order]
+    held = np.arange(len(place)) - np.searchsorted(place, place) < max_packets
+    rest, rest_of = columns[0][order[~held]], place[~held]
     if len(rest):
-        steps = np.diff(rest, prepend=rest_last) if np.isfinite(rest_last) else np.diff(rest)
-        rest_gap2 += float((np.maximum(steps, 0.0) ** 2).sum())
-        rest_first, rest_last = min(rest_first, float(rest[0])), max(rest_last, float(rest[-1]))
-    sums = (n + len(ts), fwd + int((packets["direction"] > 0).sum()), length + float(size.sum()), length2 + float(size @ size))
-    span = (min(first, float(ts.min())), max(last, float(ts.max())), rest_first, rest_last, rest_gap2)
-    return (*sums, *span, [int(p) for p in all_protocols.index], [int(c) for c in all_protocols], *(c[order[:max_packets]].tolist() for c in columns))
-
-
-def _flow_row(file: str, window: int, state: tuple, fragment: bool = False) -> pd.DataFrame:
-    """A closed window. The sum of its gaps is its span; their squares are those between held packets, from these to the rest, and within the rest."""
-    n, fwd, length, length2, first, last, rest_first, _, rest_gap2, protocols, counts, times, _, lens, ways = state
+        previous, begins = np.roll(rest, 1), np.diff(rest_of, prepend=-1) != 0
+        previous[begins] = rest_last[rest_of[begins]]
+        steps = np.where(np.isfinite(previous), np.maximum(rest - previous, 0.0), 0.0)
+        rest_gap2 += np.bincount(rest_of, steps * steps, m)
+        np.minimum.at(rest_first, rest_of, rest)
+        np.maximum.at(rest_last, rest_of, rest)
+    sums = (n, fwd, length, length2, first, last, rest_first, rest_last, rest_gap2)
+    kept = (kinds["protocol"].astype(int), kinds["n"], *(c[order[held]] for c in columns))
+    return (*(c.tolist() for c in sums), *(c.tolist() for c in kept), [x if isinstance(x, str) else None for x in names], kinds["of"].tolist(), place[held].tolist())
+
+
+def _flow_rows(window: int, state: tuple, fragment: bool = False) -> pd.DataFrame:
+    """A closed window, a row for each file. The sum of its gaps is its span; their squares are those between held packets, from these to the rest, and within the rest."""
+    n, fwd, length, length2, first, last, rest_first, _, rest_gap2, protocols, counts, times, _, lens, ways, files, protocol_of, packet_of = _arrays(state)
+    starts = np.searchsorted(packet_of, np.arange(len(n)))
+    ends = np.append(starts[1:], len(times))
     gaps = np.diff(times, prepend=times[0])
-    gap2 = float(gaps @ gaps) + rest_gap2 + ((rest_first - times[-1]) ** 2 if n > len(times) else 0.0)
-    protocol = min(zip([-c for c in counts], protocols, strict=True))[1]
+    gaps[starts] = 0.0
+    rest = np.where(n > ends - starts, rest_first - times[ends - 1], 0.0)
+    gap2 = np.add.reduceat(gaps * gaps, starts) + rest_gap2 + rest * rest
+    order = np.lexsort((protocols, -counts, protocol_of))
+    found = pd.Series(protocols[order], index=protocol_of[order], dtype="Int32")
+    protocol = found[~found.index.duplicated()].reindex(range(len(n)))
     means = [length / n, 1000.0 * (last - first) / n]
-    spreads = [max(0.0, squares / n - mean * mean) ** 0.5 for squares, mean in zip((length2, 1e6 * gap2), means, strict=True)]
-    row = (file, window, n, fwd, n - fwd, length, means[0], spreads[0], means[1], spreads[1], 1000.0 * (last - first), protocol, list(lens), (1000.0 * gaps).tolist(), list(ways), fragment)
-    return pd.DataFrame([row], columns=[field.split()[0] for field in _STATS.split(", ")])
+    spreads = [np.sqrt(np.maximum(0.0, squares / n - mean * mean)) for squares, mean in zip((length2, 1e6 * gap2), means, strict=True)]
+    series = [[x.tolist() for x in np.split(c, starts[1:])] for c in (lens, 1000.0 * gaps, ways)]
+    columns = (files, window, n, fwd, n - fwd, length, means[0], spreads[0], means[1], spreads[1], 1000.0 * (last - first), protocol.array, *series, fragment)
+    return pd.DataFrame(dict(zip([field.split()[0] for field in _STATS.split(", ")], columns, strict=True)))
+
+
+def _flow_row(file: str, window: int, state: tuple) -> pd.DataFrame:
+    """The row of a state of one file."""
+    return _flow_rows(window, state).assign(file=file)
 
 
 def bounded_windowed_flows(
-    packets: DataFrame, seconds: float, origin: float = 0.0, late_windows: int = 2, max_packets: int = MAX_PACKETS, fragments_for: float | None = None
+    packets: DataFrame, seconds: float, origin: float = 0.0, late_windows: int = 2, max_packets: int = MAX_PACKETS, fragments_for: float | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
-    """:func:`windowed_flows` with state of bounded size: sums and the first ``max_packets`` packets of a window, by time.
+    """:func:`windowed_flows` with state of bounded size: sums and the first ``max_packets`` packets of a file's window, by time.
+
+    Files are dealt into ``buckets`` by a hash; those of one bucket share a window's state and its call, so that calls grow with windows, not with files. The number must
+    stay the same for a stream's checkpoint.
 
     A window closes when a packet more than ``late_windows`` windows later has come; packets of closed windows are dropped and counted by Spark. Packets may come in any
     order. All columns are exact but one: the deviation of gaps, in windows of more than ``max_packets`` packets, needs those past the first in order of time.
@@ -120,23 +160,24 @@ def bounded_windowed_flows(
     ends = ends.withWatermark("dropped_at", f"{late_windows * seconds + kept_for} seconds")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        file, window, closed_at, _ = key
+        _, window, closed_at, _ = key
         if state.hasTimedOut:
-            yield _flow_row(file, window, state.get)
+            yield _flow_rows(window, state.get)
             state.remove()
             return
         coming = pd.concat(list(batches))
         if fragments_for is not None and closed_at <= state.getCurrentWatermarkMs():
             if state.exists:
-                yield _flow_row(file, window, state.get)
+                yield _flow_rows(window, state.get)
                 state.remove()
-            yield _flow_row(file, window, _with_packets(None, coming, max_packets), fragment=True)
+            yield _flow_rows(window, _with_packets(None, coming, max_packets), fragment=True)
             return
         state.update(_with_packets(state.get if state.exists else None, coming, max_packets))
         state.setTimeoutTimestamp(int(closed_at))
 
-    keys = ("file", "window_id", "closed_at", "dropped_at")
-    rows = ends.select(*keys, "seq", "ts", "length", "direction", "protocol").groupBy(*keys)
+    keys = ("bucket", "window_id", "closed_at", "dropped_at")
+    ends = ends.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(buckets)).cast("int"))
+    rows = ends.select(*keys, "file", "seq", "ts", "length", "direction", "protocol").groupBy(*keys)
     stats = rows.applyInPandasWithState(update, _STATS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     item = F.arrays_zip("lens", "gaps", "ways")
     series = F.transform(item, lambda x, i: F.struct((i + 1).alias("rn"), x["lens"].alias("length"), x["gaps"].alias("iat"), x["ways"].alias("direction")))
