@@ -16,6 +16,7 @@ from tideway.storage import kept
 
 MOST_BROADCAST = 64  # prototypes that a row is compared with one by one; more are met in block products
 BLOCK_TRAIN, BLOCK_TEST = 16_384, 2_048
+MOST_CELLS = 1 << 21  # similarities of a block of neighbours that are held at a time, 16 MB
 
 # The temperature of both softmax scores, and the margin score's target for equal pairs and bound for different ones.
 TEMPERATURE, PAIR_TARGET, PAIR_MARGIN = 0.07, 0.75, 0.20
@@ -80,19 +81,24 @@ def _grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_b
     return dealt(left, left_id, "__left", n_left, "__right", n_right).cogroup(dealt(right, right_id, "__right", n_right, "__left", n_left))
 
 
-def _top(k: int):
+def _top(k: int, most_cells: int = MOST_CELLS):
+    """The k most similar training rows of a block for each of its test rows; at most about ``most_cells`` similarities are held at a time."""
+
     def top(key: tuple, train: pa.Table, test: pa.Table) -> pa.Table:
         parts = []
         if train.num_rows and test.num_rows:
             ids, labels, tests = (t.column(n).to_numpy() for t, n in ((train, "id"), (train, "label"), (test, "test_id")))
             order = np.argsort(ids, kind="stable")  # so that the first of equal ones has the smaller id
             ids, labels = ids[order], labels[order]
-            sims = matrix(test.column("z")) @ matrix(train.column("z"))[order].T
-            last = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(tests), -np.inf)
-            for i, test_id in enumerate(tests):
-                near = np.flatnonzero(sims[i] >= last[i])
-                near = near[np.argsort(-sims[i, near], kind="stable")[:k]]
-                parts.append((np.full(len(near), test_id), ids[near], labels[near], sims[i, near]))
+            x, y = matrix(test.column("z")), matrix(train.column("z"))[order].T
+            rows = max(1, most_cells // len(ids))
+            for at in range(0, len(tests), rows):
+                sims = x[at : at + rows] @ y
+                last = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(sims), -np.inf)
+                for i, test_id in enumerate(tests[at : at + rows]):
+                    near = np.flatnonzero(sims[i] >= last[i])
+                    near = near[np.argsort(-sims[i, near], kind="stable")[:k]]
+                    parts.append((np.full(len(near), test_id), ids[near], labels[near], sims[i, near]))
         columns = map(np.concatenate, zip(*parts, strict=True)) if parts else ([], [], [], [])
         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("test_id", "train_id", "label", "sim"), columns, types, strict=True)})
