@@ -34,3 +34,10 @@ def test_drawn_series_follow_their_keys(spark):
         assert r["lens"] == pytest.approx([min(max(700 + 90 * normal("len", i, k), 40), 1500) for k in range(1, 10)])
         assert r["gaps"] == pytest.approx([max(20 + 4 * normal("iat", i, k), 0) for k in range(1, 10)])
         assert r["ways"] == [1.0 if key("dir", i, k) < 6 / 9 else -1.0 for k in range(1, 10)]
+
+
+def test_drifting_networks_are_spread_over_tasks(spark, sf):
+    assert tasks(QUERIES["f11_f12_drifting_network"][0](spark, sf)) > 8
+    (row,) = features.network_series(spark.createDataFrame([(7, 50.0)], "id long, rtt double"), "id").collect()
+    drift = 0.03 * normal("net", 7, 5, 0) * (0.5 + 5 / 23)
+    assert row["network_seq"][5][0] == pytest.approx(math.log1p(50) / 8 + drift, abs=1e-6)

@@ -373,7 +373,7 @@ def f11_f12_drifting_network(spark, sf_dir):
     """Network series with their drift of noise, by hash."""
     size = F.col("p_size")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (size * 4.0).alias("rtt"), (size % 40).alias("jitter"), (size % 9 / 100.0).alias("loss"), F.col("p_retailprice").alias("throughput"))
-    drifted = features.network_series(rows, "id")
+    drifted = features.network_series(features.spread_out(rows, "id"), "id")
     return drifted.select("id", *[F.round(F.aggregate("network_seq", F.lit(0.0), lambda s, r: s + r[j]), 4).alias(f"n{j}") for j in range(8)])
 
 
