@@ -150,6 +150,7 @@ def p30_p31_p32_p33_frames(spark, sf_dir):
 
 
 _CAPTURE_SPLIT = 1 << 20
+_CAPTURE_ROWS = 500_000  # that a task sorts and writes
 
 
 @query("""WITH rows AS (SELECT l_returnflag AS trace, l_linenumber AS kind, CASE WHEN l_linestatus = 'O' THEN 17 WHEN l_suppkey % 3 = 0 THEN 1 ELSE 6 END AS proto, l_suppkey % 65536 AS host, l_partkey % 65536 AS port, epoch(l_shipdate)::BIGINT AS ts,
@@ -157,22 +158,26 @@ _CAPTURE_SPLIT = 1 << 20
 SELECT trace, good AS accepted, count(*) AS n, sum(ts)::BIGINT AS times, sum(CASE WHEN good THEN port END)::BIGINT AS ports, max(place)::BIGINT AS last_record,
  min(ts) FILTER (place >= 100)::BIGINT AS after_first, count(*) FILTER (place < 100) AS n_first FROM decoded GROUP BY ALL""")
 def s5_s6_capture_files(spark, sf_dir):
-    """Frames written as capture files, a file per trace, read back in ranges, so that a trace is many tasks; the first hundred records of each are read by themselves, and no others for them."""
+    """Frames written as capture files, several to a trace, each a range of its time, so that no task sorts a trace; read back in ranges and numbered through a trace's files.
+
+    The first hundred records of each trace are read by themselves, and no others for them.
+    """
     spark.dataSource.register(capture.CaptureSource)
     root = shared_folder(spark, "captures")
-    frames = line_frames(spark, sf_dir).repartition("trace").sortWithinPartitions("trace", "ts", "record_no")
-    frames.write.format("capture").mode("append").save(root)
+    frames, order = line_frames(spark, sf_dir), ("trace", "ts", "record_no")
+    tasks = max(4, -(-table(spark, sf_dir, "lineitem").count() // _CAPTURE_ROWS))
+    frames.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write.format("capture").mode("append").save(root)
 
     def named(frames: DataFrame) -> DataFrame:
-        return frames.withColumn("trace", F.regexp_extract("trace", "^(.*)-[0-9]+-[0-9]+[.]pcap$", 1))
+        return frames.withColumn("trace", F.regexp_extract("trace", capture.TRACE_FILE, 1))
 
-    ranges = capture.capture_ranges(spark, root, _CAPTURE_SPLIT)
+    ranges = capture.numbered_through(capture.capture_ranges(spark, root, _CAPTURE_SPLIT))
     decoded = capture.decode_frames(named(capture.read_captures(spark, root, ranges=ranges)))
     found = decoded.groupBy("trace", "accepted").agg(
         F.count("*").alias("n"), F.sum(F.col("ts").cast("long")).alias("times"), F.sum("src.port").cast("long").alias("ports"), F.max("record_no").alias("last_record"),
         F.min(F.when(F.col("record_no") >= 100, F.col("ts").cast("long"))).alias("after_first"),
     )
-    first = capture.decode_frames(named(spark.read.format("capture").option("records", 100).load(root))).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
+    first = capture.decode_frames(named(capture.read_captures(spark, root, first=100, ranges=ranges))).groupBy("trace", "accepted").agg(F.count("*").alias("n_first"))
     return found.join(first, ["trace", "accepted"], "left").withColumn("n_first", F.coalesce("n_first", F.lit(0)))
 
 

@@ -16,7 +16,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -128,6 +128,7 @@ class CaptureSource(DataSource):
 SPLIT = 64 << 20  # bytes of a range
 CHAIN, LONGEST, APART = 6, 1 << 18, 86_400  # headers that make a guess, data of one record, seconds between records that follow one another
 ENDINGS = (".pcap", ".cap")
+TRACE_FILE = "^(.*)-([0-9]+)-([0-9]+)[.]pcap$"  # trace, task, number of the task's file
 
 
 def _plausible(fields: tuple[int, int, int, int], scale: float) -> bool:
@@ -239,6 +240,19 @@ def capture_ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFr
         done = chained.join(missing.select("path", "part"), ["path", "part"], "left_anti")
 
 
+def numbered_through(ranges: DataFrame, form: str = TRACE_FILE) -> DataFrame:
+    """The ranges with records numbered through all files of a trace, as :class:`CaptureWriter` names them for rows that were dealt by ranges: in the order of task and file.
+
+    The driver sees nothing of it; a window goes over a row a file.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    parts = [F.regexp_extract(name, form, i) for i in (1, 2, 3)]
+    files = ranges.groupBy("path").agg(F.sum("n").alias("in_file"))
+    before = Window.partitionBy(parts[0]).orderBy(parts[1].cast("int"), parts[2].cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("path", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("before"))
+    return ranges.join(files, "path").withColumn("number", F.col("number") + F.col("before")).drop("before")
+
+
 def read_captures(spark: SparkSession, path: str, split: int = SPLIT, first: int | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """The frames of all traces under ``path``, as many tasks as they have ranges of ``split`` bytes; with ``first``, of each trace only so many records, and no more is read for them.
 
