@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tideway.llm import exact_dedup, language, mixing, near_dedup, packing
 from tideway.storage import shared_folder
 
+LEAST_SCORE = 0.5  # of a document's language
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, texts without letters) go."""
-    return language.keep_known_languages(docs)
+    """Documents without a language go: null texts, texts without letters, and those where no language is likelier than all others together."""
+    return language.keep_known_languages(docs, least_score=LEAST_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
