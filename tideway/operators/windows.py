@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tideway.functions.labels import infer_condition
 from tideway.functions.values import finite, series_text
+from tideway.storage import kept
 
 MAX_PACKETS = 128
 WINDOW_SECONDS = 10.0
 LEAST_WINDOW = 0.1
 MOST_LENGTH = 65535.0
+ROWS_A_TASK = 250_000  # that a task sorts, about
+FEW_SOURCES = 10_000  # whose origins are sent to every task
 
 #: The canonical flow row: internal name to the name at the CSV edge.
 CANONICAL = {
@@ -42,6 +46,32 @@ def with_origin(packets: DataFrame, source: str, order: str | None = None) -> Da
     return packets.join(packets.groupBy(source).agg(first.alias("origin")), source)
 
 
+def with_first_origin(packets: DataFrame, source: str, order: str) -> DataFrame:
+    """``origin`` per source: the time of its first record. The origins of few sources are sent to all tasks, so that packets are not dealt out by source.
+
+    Where ``order`` is a struct, the least of its first field is found first, by hash; only the records that have it (or null) are compared, and sorted, whole.
+    """
+    kind, rows = packets.schema[order].dataType, packets
+    if isinstance(kind, StructType):
+        lead = F.col(order)[kind.names[0]]
+        leads = kept(packets.groupBy(source).agg(F.min(lead).alias("__lead")))
+        if leads.count() > FEW_SOURCES:
+            return with_origin(packets, source, order)
+        rows = packets.join(F.broadcast(leads), source).where((lead == F.col("__lead")) | lead.isNull())
+    origins = kept(rows.groupBy(source).agg(F.min_by("ts", order).alias("origin")))
+    return packets.join(F.broadcast(origins) if origins.count() <= FEW_SOURCES else origins, source)
+
+
+def dealt(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` of a table of ``total`` rows by ``keys``: more tasks, not larger ones, where the table is larger.
+
+    Spark has a fixed number of partitions and joins small ones, up to a size on the wire that sorts and lists in memory exceed many times. Tables that
+    give no core more than a task's rows are left to it.
+    """
+    tasks = -(-total // ROWS_A_TASK)
+    return rows.repartition(tasks, *keys) if tasks > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def window_id(ts: Column, origin: Column, seconds: float) -> Column:
     """Tumbling window number; exact at boundaries, negative before the origin."""
     width = F.lit(max(float(seconds), LEAST_WINDOW))
@@ -126,13 +156,14 @@ def flows_by_file(packets: DataFrame, seconds: float = WINDOW_SECONDS, max_packe
 def flows_by_endpoints(packets: DataFrame, seconds: float = WINDOW_SECONDS, max_packets: int = MAX_PACKETS) -> DataFrame:
     """Bidirectional flow rows of packets ``(trace, record_no, ts, proto, src, dst, length, accepted)``.
 
-    A trace's origin is its first record, accepted or not; only accepted packets make flows.
+    A trace's origin is its first record, accepted or not; only accepted packets make flows. Packets are dealt out by flow: a few traces are many tasks.
     """
     low, high, way = canonical_key(F.col("src"), F.col("dst"))
-    placed = with_origin(packets, "trace", "record_no").withColumn("window_id", window_id(F.col("ts"), F.col("origin"), seconds))
+    placed = with_first_origin(packets, "trace", "record_no").withColumn("window_id", window_id(F.col("ts"), F.col("origin"), seconds))
     placed = placed.where("accepted").withColumns({"ep_a": low, "ep_b": high, "direction": way, "protocol": F.col("proto")})
     placed = placed.withColumn("length", F.least(F.greatest(F.col("length").cast("double"), F.lit(0.0)), F.lit(MOST_LENGTH)))
     keys = ["trace", "window_id", "proto", "ep_a", "ep_b"]
+    placed = dealt(placed, keys, packets.count())
     stats = flow_statistics(with_gaps(placed, keys, ["record_no"]), keys, max_packets, ["record_no"])
     return canonical_flows(stats, keys)
 
