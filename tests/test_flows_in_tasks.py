@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tideway.operators import windows
+from tideway.plans.adapters import order_exports
 
 
 def _packets(spark, n: int = 4000):
@@ -34,3 +35,29 @@ def test_first_origin_by_a_struct(spark, monkeypatch):
     few = {(r["trace"], r["origin"]) for r in windows.with_first_origin(packets, "trace", "record_no").collect()}
     monkeypatch.setattr(windows, "FEW_SOURCES", 1)
     assert {(r["trace"], r["origin"]) for r in windows.with_first_origin(packets, "trace", "record_no").collect()} == few
+
+
+def _tasks(rows) -> int:
+    """Tasks that make the whole rows; a plan for their number alone may leave joins out."""
+    return len({r["p"] for r in rows.withColumn("p", F.spark_partition_id()).collect()})
+
+
+def test_a_long_file_is_many_tasks(spark, monkeypatch):
+    packets = spark.range(3000).select(F.when(F.col("id") >= 0, "a").alias("file"), F.col("id").alias("seq"), (1.0 + F.col("id") / 10).alias("ts"), F.lit(9.0).alias("length"), F.lit(1).alias("direction"), (F.col("id") % 2).alias("protocol"))
+    whole = sorted(map(str, windows.flows_by_file(packets, 1.0).collect()))
+    monkeypatch.setattr(windows, "ROWS_A_TASK", 100, raising=False)
+    found = windows.flows_by_file(packets, 1.0)
+    assert _tasks(found) > 8
+    assert sorted(map(str, found.collect())) == whole
+
+
+def test_exports_of_more_lines_are_more_tasks(spark, sf, monkeypatch):
+    whole = sorted(map(str, order_exports(spark, sf).collect()))
+    monkeypatch.setattr(windows, "ROWS_A_TASK", 100, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for larger tables
+    try:
+        found = order_exports(spark, sf)
+        assert _tasks(found) > 8
+        assert sorted(map(str, found.collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -41,9 +41,9 @@ def numeric_time_files(packets: DataFrame, file: str = "file", time: str = "time
 
 
 def with_origin(packets: DataFrame, source: str, order: str | None = None) -> DataFrame:
-    """``origin`` per source: the smallest time, or with ``order`` the time of the first record."""
+    """``origin`` per source: the smallest time, or with ``order`` the time of the first record. Only the origins are held for the join; packets are not sorted for it."""
     first = F.min("ts") if order is None else F.min_by("ts", order)
-    return packets.join(packets.groupBy(source).agg(first.alias("origin")), source)
+    return packets.join(packets.groupBy(source).agg(first.alias("origin")).hint("shuffle_hash"), source)
 
 
 def with_first_origin(packets: DataFrame, source: str, order: str) -> DataFrame:
@@ -147,9 +147,10 @@ def canonical_flows(stats: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def flows_by_file(packets: DataFrame, seconds: float = WINDOW_SECONDS, max_packets: int = MAX_PACKETS) -> DataFrame:
-    """Flow rows of packets ``(file, seq, ts, length, direction, protocol)``: one per file and window."""
+    """Flow rows of packets ``(file, seq, ts, length, direction, protocol)``: one per file and window. Packets are dealt out by window: a long file is many tasks."""
     placed = with_origin(valid_packets(packets), "file").withColumn("window_id", window_id(F.col("ts"), F.col("origin"), seconds))
     keys = ["file", "window_id"]
+    placed = dealt(placed, keys, packets.count())
     return canonical_flows(flow_statistics(with_gaps(placed, keys, ["ts", "seq"]), keys, max_packets), keys)
 
 

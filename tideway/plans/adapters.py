@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.functions.labels import protocol_number
+from tideway.operators.windows import dealt
 
 SQUEEZE = 1e5  # time runs this much faster, so that gaps are those of packets
 
@@ -61,7 +62,7 @@ def order_category() -> Column:
 def order_exports(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = None) -> DataFrame:
     """Orders as exported flows, whose series are their lines; orders without lines have an empty one.
 
-    ``chosen`` holds some of the orders, few enough to be broadcast: then only their lines are grouped.
+    ``chosen`` holds some of the orders, few enough to be broadcast: then only their lines are grouped. Else lines are dealt out in more tasks, not larger ones, where there are more.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -69,7 +70,9 @@ def order_exports(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = N
             F.col("l_shipdate").cast("timestamp").alias("day"), "l_linenumber", "l_partkey", "l_quantity", F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("way")
         ).alias("line"),
     )
-    if chosen is not None:
+    if chosen is None:
+        lines = dealt(lines, ["l_orderkey"], lines.count())
+    else:
         lines = lines.join(F.broadcast(chosen.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")
     grouped = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
