@@ -183,22 +183,24 @@ def padding_mask(sequence: Column) -> Column:
 def network_series(rows: DataFrame, row_id: str, steps: int = STEPS, noise: float = 0.03) -> DataFrame:
     """Adds ``network_seq``: eight scaled conditions at every step, with a drift of noise that grows along the series."""
     value = {n: number_of(rows, *NAMES[n]) for n in ("rtt", "jitter", "loss", "retrans", "throughput", "uplink")}
-    queue = number_of(rows, QUEUES, F.greatest(value["jitter"] * 0.4, F.lit(1.0)))
-    hint = condition_index(infer_condition(value["rtt"], value["jitter"], value["loss"]))
 
     def scaled(x: Column, by: float) -> Column:
         return F.log1p(F.greatest(x, F.lit(0.0))) / by
 
-    base = F.array(
-        scaled(value["rtt"], 8.0), scaled(value["jitter"], 6.0), _clip(value["loss"], 0, 1), scaled(value["retrans"], 8.0),
-        scaled(value["throughput"], 16.0), _clip(value["uplink"], 0, 1), scaled(queue, 6.0), hint / 3.0,
-    )
+    def conditions(v: Column) -> Column:
+        queue = number_of(rows, QUEUES, F.greatest(v["jitter"] * 0.4, F.lit(1.0)))
+        hint = condition_index(infer_condition(v["rtt"], v["jitter"], v["loss"]))
+        return F.array(
+            scaled(v["rtt"], 8.0), scaled(v["jitter"], 6.0), _clip(v["loss"], 0, 1), scaled(v["retrans"], 8.0),
+            scaled(v["throughput"], 16.0), _clip(v["uplink"], 0, 1), scaled(queue, 6.0), hint / 3.0,
+        )
+
+    base = let(F.struct(*[c.alias(n) for n, c in value.items()]), conditions)
+    if not noise:  # all steps are one
+        return rows.withColumn("network_seq", let(F.transform(base, lambda x: _clip(x, -5, 5).cast("float")), lambda step: F.array_repeat(step, steps)))
 
     def series(flow: Column) -> Column:
         def step(t: Column) -> Column:
-            if not noise:
-                return F.transform(flow["base"], lambda x: _clip(x, -5, 5).cast("float"))
-
             def noisy(at: Column) -> Column:
                 def cell(x: Column, j: Column) -> Column:
                     drift = noise * _normal(*[_key_after(at[k], j.cast("string")) for k in "uv"]) * at["grown"]
@@ -215,8 +217,8 @@ def network_series(rows: DataFrame, row_id: str, steps: int = STEPS, noise: floa
     return rows.withColumn("network_seq", let(F.struct(base.alias("base"), start.alias("start")), series))
 
 
-def augmented(rows: DataFrame, row_id: str, copy: Column | None = None, noise: float = 0.015) -> DataFrame:
-    """Another network condition for the same flow: ``packet_seq``, ``network_seq`` and ``condition`` are replaced."""
+def augmented(rows: DataFrame, row_id: str, copy: Column | None = None, noise: float = 0.015, itself: Column | None = None) -> DataFrame:
+    """Another network condition for the same flow: ``packet_seq``, ``network_seq`` and ``condition`` are replaced, save where ``itself`` holds."""
     copy = F.lit(1) if copy is None else copy
     own = F.col(row_id).cast("string")
 
@@ -239,17 +241,21 @@ def augmented(rows: DataFrame, row_id: str, copy: Column | None = None, noise: f
 
         return F.transform("network_seq", network)
 
-    rows = rows.withColumns({"packet_seq": let(chosen, packets), "network_seq": let(chosen, networks)})
+    def changed(name: str, new: Column) -> Column:
+        return new if itself is None else F.when(itself, F.col(name)).otherwise(new)
+
+    rows = rows.withColumns({"packet_seq": changed("packet_seq", let(chosen, packets)), "network_seq": changed("network_seq", let(chosen, networks))})
     mean = [_column_sum(F.col("network_seq"), j) / F.size("network_seq") for j in range(3)]
-    condition = infer_condition(F.expm1(mean[0] * 8.0), F.expm1(mean[1] * 6.0), mean[2])
-    return rows.withColumn("condition", condition)
+    means = F.struct(F.expm1(mean[0] * 8.0).alias("rtt"), F.expm1(mean[1] * 6.0).alias("jitter"), mean[2].alias("loss"))
+    condition = let(means, lambda m: infer_condition(m["rtt"], m["jitter"], m["loss"]))
+    return rows.withColumn("condition", changed("condition", condition))
 
 
 def with_augmented(rows: DataFrame, row_id: str, copies: int, noise: float = 0.015) -> DataFrame:
-    """The rows and ``copies`` augmented twins of each, whose ``source`` ends in ``_aug``."""
-    twins = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    twins = augmented(twins, row_id, F.col("copy"), noise).withColumn("source", F.concat("source", F.lit("_aug")))
-    return rows.withColumn("copy", F.lit(0)).unionByName(twins)
+    """The rows and ``copies`` augmented twins of each, whose ``source`` ends in ``_aug``. The flows are made once for all."""
+    itself = F.col("copy") == 0
+    all_rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
+    return augmented(all_rows, row_id, F.col("copy"), noise, itself).withColumn("source", F.when(itself, F.col("source")).otherwise(F.concat("source", F.lit("_aug"))))
 
 
 def flow_records(rows: DataFrame, row_id: str, noise: float = 0.03) -> DataFrame:
